@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import recompression, simhash
 
 
 def queries() -> dict:
-    return {"op9_simhash_anchor_cover": simhash.op9}
+    return {
+        "op4_recompression": recompression.op4,
+        "op9_simhash_anchor_cover": simhash.op9,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
