@@ -30,6 +30,7 @@ RUN, REACH, ROUNDS = 3, 6, 3
 MARGIN = RUN + RUN + REACH + REACH
 STARTS = WINDOW - 2 * MARGIN - REACH + 1
 assert STARTS >= REACH
+GROUP = 32
 #: Bits of the set of shared keys that is sent to the executors: 8 MB, however large the input. A false hit costs time only.
 SET_BITS = 1 << 26
 
@@ -107,10 +108,12 @@ def keyed_windows(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _groups(key: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Starts of the runs of consecutive windows under one key."""
+    """Starts of the runs of consecutive windows under one key, cut after GROUP windows: a row's flags are bits of a long."""
     new = np.ones(len(key), dtype=bool)
     new[1:] = (key[1:] != key[:-1]) | (place[1:] != place[:-1] + 1)
-    return np.flatnonzero(new)
+    first = np.flatnonzero(new)
+    since = np.arange(len(key)) - np.repeat(first, np.diff(np.append(first, len(key))))
+    return np.flatnonzero(since % GROUP == 0)
 
 
 def shared_keys(docs: DataFrame) -> DataFrame:
