@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import recompression, simhash
+from . import packing, recompression, simhash
 
 
 def queries() -> dict:
     return {
         "op4_recompression": recompression.op4,
+        "op5_bin_completion": packing.op5,
         "op9_simhash_anchor_cover": simhash.op9,
     }
 
