@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import packing, recompression, simhash
+from . import content_store, packing, recompression, simhash
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op4_recompression": recompression.op4,
         "op5_bin_completion": packing.op5,
         "op9_simhash_anchor_cover": simhash.op9,
+        "op10_content_store": content_store.op10,
     }
 
 
