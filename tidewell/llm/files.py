@@ -24,7 +24,7 @@ class Writer:
         system.create_dir(path, recursive=True)
         name = f"{uuid.uuid4().hex}.{kind}"
         self.uri, self.at = f"{folder}/{name}", 0
-        self._out = system.open_output_stream(f"{path}/{name}")
+        self._out = system.open_output_stream(f"{path}/{name}", compression=None)
 
     def write(self, data: bytes) -> tuple[int, int]:
         """(offset, length) of what was written."""

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from . import content_store, packing, recompression, simhash
+from . import content_store, packing, recompression, simhash, warc
 
 
 def queries() -> dict:
     return {
         "op4_recompression": recompression.op4,
         "op5_bin_completion": packing.op5,
+        "op8_warc_index_first": warc.op8,
         "op9_simhash_anchor_cover": simhash.op9,
         "op10_content_store": content_store.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc_index_first": warc.ORACLE}
