@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import content_store, packing, recompression, simhash, warc
+from . import content_store, packing, pivots, recompression, simhash, vptree, warc
 
 
 def queries() -> dict:
     return {
+        "op1_vantage_point_trees": vptree.op1,
+        "op2_pivot_distance_index": pivots.op2,
         "op4_recompression": recompression.op4,
         "op5_bin_completion": packing.op5,
         "op8_warc_index_first": warc.op8,
@@ -16,4 +18,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc_index_first": warc.ORACLE}
+    return {"op2_pivot_distance_index": pivots.ORACLE, "op8_warc_index_first": warc.ORACLE}
