@@ -196,7 +196,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int
     return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + extra)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, rows_per_bucket: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, rows_per_bucket: int = 4096) -> DataFrame:
     """pieces() with sequence_id and offset: which sequence each piece lies in, and where; no sequence is longer than capacity.
 
     A null text is empty: its document is end_id alone. Repeated ids and texts are packed as separate rows, a null id too. Very

@@ -3,27 +3,43 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 from functools import lru_cache
 
 import numpy as np
 
-#: Pieces a worker remembers before it starts afresh (about 60 MB).
-CACHE_PIECES = 250_000
-#: Fixed value: a control character that no tokenizer here joins with a space; it parts pieces within one call.
-_MARK = "\x01"
-#: Texts in which a space stands before white space, at the end, or with the mark, are encoded whole.
-_ODD = re.compile(r" [\s\x1c-\x1f]| \Z|\x01")
+#: Pieces a worker remembers before it starts afresh (about 110 MB).
+CACHE_PIECES = 600_000
+#: Control characters that mark the end of a piece within one call, and a piece with no space before it.
+_MARK, _BARE = "\x01", "\x02"
+#: Texts with these are encoded whole: white space beside white space or at an end, and the marks.
+_ODD_SPACED = re.compile(r"[ \n][\s\x1c-\x1f]|[ \n]\Z|[\x01\x02]")
+#: Where white space is dropped: the marks, and what Python but not the library takes for white space.
+_ODD_LOOSE = re.compile(r"[\x01\x1c-\x1f]")
+
+
+class _Known(dict):
+    """Number of each piece; a new one gets the next number and is noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.new.append(piece)
+        return n
 
 
 class Encoder:
     """Same ids as Tokenizer.encode(text, add_special_tokens=False), special tokens' strings being ordinary text.
 
-    A cut before a space that a non-space follows is always a cut between pre-tokens, for a byte-level pattern whose pieces take
-    at most one leading space and for one that drops white space; other texts go to the library whole.
+    For a byte-level pattern whose pieces take at most one leading space, a space or line end between two non-spaces starts a new
+    pre-token, and the line end is one by itself. Where the pattern drops white space, any is a cut. Other texts go to the library whole.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; idle threads of the library would spin
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -42,87 +58,78 @@ class Encoder:
         self.reset()
 
     def reset(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Known()
         self.pool = np.zeros(1 << 20, dtype=np.uint32)
         self.at = np.zeros(1 << 16, dtype=np.int64)
         self.size = np.zeros(1 << 16, dtype=np.int64)
-        self.used = 0
+        self.used = self.learnt = 0
 
     def _ids(self, texts: list[str]) -> np.ndarray:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.array(x, dtype=np.uint32) for x in ids]) if ids else np.zeros(0, dtype=np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
-        for i in range(0, len(pieces), 2000):
-            part = pieces[i : i + 2000]
+    def _learn(self) -> None:
+        """Encode the new pieces, in the order of their numbers."""
+        new, self.known.new = self.known.new, []
+        for i in range(0, len(new), 2000):
+            part = new[i : i + 2000]
+            size = np.zeros(len(part), dtype=np.int64)
             if self.lead:
-                ids = self._ids(["".join(part)])
-                ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum([len(p.encode()) for p in part]), side="left") + 1
+                bare = np.fromiter((p[0] == _BARE if p else False for p in part), dtype=bool, count=len(part))
+                full = [p for p, b in zip(part, bare.tolist(), strict=True) if not b]
+                ids = self._ids([self.lead + self.lead.join(full)]) if full else np.zeros(0, dtype=np.uint32)
+                n = np.fromiter((len(p.encode()) for p in full), dtype=np.int64, count=len(full)) + 1
+                ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(n), side="left") + 1
+                own = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] for p, b in zip(part, bare.tolist(), strict=True) if b], add_special_tokens=False)]
+                size[~bare], size[bare] = np.diff(ends, prepend=0), [len(x) for x in own]
+                at = np.cumsum(size) - size
+                out = np.zeros(int(size.sum()), dtype=np.uint32)
+                out[np.repeat(~bare, size)] = ids
+                out[np.repeat(bare, size)] = np.array([x for y in own for x in y], dtype=np.uint32)
+                ids, total = out, len(ids) + sum(map(len, own))
             else:
                 ids = self._ids([f" {_MARK} ".join(part) + f" {_MARK}"])
                 mark = ids == self.mark_id
                 ends = np.cumsum(~mark)[mark]
-                ids = ids[~mark]
-            if len(ends) != len(part) or int(ends[-1]) != len(ids):
+                size[:] = np.diff(ends, prepend=0)
+                ids, at, total = ids[~mark], np.cumsum(size) - size, int((~mark).sum())
+            if int(size.sum()) != total or len(ids) != total:
                 raise RuntimeError("pieces were joined by the tokenizer")
-            self._store(part, ids, ends)
+            self._store(ids, at, size)
 
-    def _store(self, part: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
-        n = len(self.known)
+    def _store(self, ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
+        n = self.learnt
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while n + len(part) > len(self.at):
+        while n + len(at) > len(self.at):
             self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
         self.pool[self.used : self.used + len(ids)] = ids
-        starts = np.concatenate(([0], ends[:-1]))
-        self.at[n : n + len(part)] = starts + self.used
-        self.size[n : n + len(part)] = ends - starts
+        self.at[n : n + len(at)], self.size[n : n + len(at)] = at + self.used, size
         self.used += len(ids)
-        for i, p in enumerate(part):
-            self.known[p] = n + i
+        self.learnt += len(at)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_PIECES:
             self.reset()
-        out: list = [None] * len(texts)
-        lead, split, new = self.lead, {}, set()
+        number, lines = self.known.__getitem__, f" {_BARE}\n {_BARE}"
+        odd = (_ODD_SPACED if self.lead else _ODD_LOOSE).search
+        found, whole, counts = [], {}, np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
-            if _ODD.search(text):
-                out[i] = self._ids([text])
-            elif not text:
-                out[i] = np.zeros(0, dtype=np.uint32)
+            if odd(text):
+                whole[i] = self._ids([text])
             else:
-                pieces = text.split(" ")
-                if lead:
-                    # The first piece has no space before it; its key carries a mark so as not to be taken for a later one.
-                    rest = pieces[1:]
-                    split[i] = (pieces[0], rest)
-                else:
-                    rest = pieces
-                    split[i] = (None, rest)
-                new.update(set(rest).difference(self.known))
-        if new:
-            self._learn_all(list(new))
-        known = self.known
-        heads = iter(self.tokenizer.encode_batch_fast([head for head, _ in split.values()], add_special_tokens=False) if lead else [])
-        for i, (_, rest) in split.items():
-            k = np.fromiter(map(known.__getitem__, rest), dtype=np.int64, count=len(rest))
-            size, at = self.size[k], self.at[k]
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            ids = self.pool[np.repeat(at - ends + size, size) + np.arange(total)]
-            out[i] = np.concatenate((np.array(next(heads).ids, dtype=np.uint32), ids)) if lead else ids
-        return out
-
-    def _learn_all(self, pieces: list[str]) -> None:
-        if not self.lead:
-            self._learn(pieces)
-            return
-        n = len(self.known)
-        self._learn([self.lead + p for p in pieces])
-        for i, p in enumerate(pieces):
-            del self.known[self.lead + p]
-            self.known[p] = n + i
+                pieces = (_BARE + text.replace("\n", lines)).split(" ") if self.lead else text.split()
+                counts[i] = len(pieces)
+                found.append(np.fromiter(map(number, pieces), dtype=np.int64, count=len(pieces)))
+        self._learn()
+        if not found:
+            return [whole[i] for i in range(len(texts))]
+        k = np.concatenate(found)
+        size = self.size[k]
+        ends = np.cumsum(size)
+        ids = self.pool[np.repeat(self.at[k] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
+        return [whole[i] if i in whole else ids[edge[i] : edge[i + 1]] for i in range(len(texts))]
 
 
 @lru_cache(maxsize=2)
