@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import content_store, packing, pivots, recompression, simhash, vptree, warc
+from . import content_store, nbsvm, packing, pivots, recompression, simhash, vptree, warc
 
 
 def queries() -> dict:
     return {
         "op1_vantage_point_trees": vptree.op1,
         "op2_pivot_distance_index": pivots.op2,
+        "op3_naive_bayes_svm": nbsvm.op3,
         "op4_recompression": recompression.op4,
         "op5_bin_completion": packing.op5,
         "op8_warc_index_first": warc.op8,
