@@ -32,7 +32,7 @@ from .tokens import encoder
 #: Fixed value: what a pack starts with.
 MAGIC = b"TWPACK1\n"
 #: A cut falls where the rolling hash of WINDOW ids has CUT_BITS low zero bits, LEAST ids after the last one or later, and MOST ids after it in any case.
-WINDOW, CUT_BITS, LEAST, MOST = 16, 9, 256, 4096
+WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 512, 8192
 DIGEST = 16
 END_ID = 1
 
@@ -57,15 +57,20 @@ def cuts(ids: np.ndarray) -> list[int]:
     return [*out, n] if not out or out[-1] != n else out
 
 
+@lru_cache(maxsize=1)
+def _zstd() -> tuple:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def press(ids: np.ndarray) -> bytes:
     """Chunk payload: width, then byte planes of the ids, compressed."""
     width = 2 if ids.max(initial=0) < 1 << 16 else 4
-    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+    return bytes([width]) + _zstd()[0].compress(ids.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def unpress(data: bytes) -> np.ndarray:
     width = data[0]
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8).reshape(width, -1)
+    planes = np.frombuffer(_zstd()[1].decompress(data[1:]), dtype=np.uint8).reshape(width, -1)
     return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel().astype("<u4")
 
 

@@ -9,14 +9,20 @@ from functools import lru_cache
 
 import numpy as np
 
-#: Pieces a worker remembers before it starts afresh (about 110 MB).
-CACHE_PIECES = 600_000
-#: Control characters that mark the end of a piece within one call, and a piece with no space before it.
-_MARK, _BARE = "\x01", "\x02"
-#: Texts with these are encoded whole: white space beside white space or at an end, and the marks.
-_ODD_SPACED = re.compile(r"[ \n][\s\x1c-\x1f]|[ \n]\Z|[\x01\x02]")
-#: Where white space is dropped: the marks, and what Python but not the library takes for white space.
-_ODD_LOOSE = re.compile(r"[\x01\x1c-\x1f]")
+#: Pieces a worker remembers before it starts afresh (and as many parts; about 120 MB).
+CACHE_PIECES = 300_000
+#: Fixed value: a control character that marks a piece with no space before it.
+_BARE = "\x02"
+#: Texts with these are encoded whole: white space beside white space or at an end, and the mark.
+_ODD_SPACED = re.compile(r"[ \n][\s\x1c-\x1f]|[ \n]\Z|\x02")
+#: Where white space is dropped: the mark, and what Python but not the library takes for white space.
+_ODD_LOOSE = re.compile(r"[\x02\x1c-\x1f]")
+
+
+#: Pieces of these characters only (ASCII but the apostrophe, and letters of Latin-1) are cut further: runs of letters, of digits (or each), of others are pre-tokens.
+_PLAIN = re.compile(r"[!-&(-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*\Z")
+_RUNS_LOOSE = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
+_ONE_RUN = re.compile(r"(?:[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+)\Z")
 
 
 class _Known(dict):
@@ -54,62 +60,84 @@ class Encoder:
             for token, i in vocabulary.items():
                 self.width[i] = len(token)  # a character for each byte
         else:
-            (self.mark_id,) = self._ids([_MARK])
+            vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a pre-token
+            for token, i in vocabulary.items():
+                self.last[i] = token.endswith("</w>")
+        self.parts = _Known()
         self.reset()
 
     def reset(self) -> None:
-        self.known = _Known()
-        self.pool = np.zeros(1 << 20, dtype=np.uint32)
-        self.at = np.zeros(1 << 16, dtype=np.int64)
-        self.size = np.zeros(1 << 16, dtype=np.int64)
+        """Forget the pieces; their parts too where those are many."""
+        if self.lead or len(self.parts) > CACHE_PIECES or not self.parts:
+            self.parts = _Known()
+            self.part_pool = np.zeros(1 << 18, dtype=np.uint32)
+            self.part_at, self.part_size = (np.zeros(1 << 16, dtype=np.int32) for _ in range(2))
+            self.part_used = self.part_learnt = 0
+        self.known = self.parts if self.lead else _Known()
+        self.pool = np.zeros(1 << 18, dtype=np.uint32)
+        self.at, self.size = (np.zeros(1 << 16, dtype=np.int32) for _ in range(2))
         self.used = self.learnt = 0
 
     def _ids(self, texts: list[str]) -> np.ndarray:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.array(x, dtype=np.uint32) for x in ids]) if ids else np.zeros(0, dtype=np.uint32)
 
+    def _cut(self, piece: str) -> list[str]:
+        """The pre-tokens of a piece where they are plain to see, else the piece."""
+        low = piece.lower()  # as the tokenizer does, for these characters
+        return _RUNS_LOOSE.findall(low) if _PLAIN.match(low) else [piece]
+
     def _learn(self) -> None:
-        """Encode the new pieces, in the order of their numbers."""
+        """Encode what is new: parts by the library, pieces from their parts, in the order of their numbers. Where spaces count, pieces are the parts."""
+        if self.lead:
+            self._learn_parts()
+            self.pool, self.at, self.size = self.part_pool, self.part_at, self.part_size
+            return
         new, self.known.new = self.known.new, []
+        if not new:
+            return
+        cut = [self._cut(p) for p in new]
+        number = self.parts.__getitem__
+        k = np.array([number(x) for c in cut for x in c], dtype=np.int64)
+        self._learn_parts()
+        count = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        size = self.part_size[k].astype(np.int64)
+        ends = np.cumsum(size)
+        ids = self.part_pool[np.repeat(self.part_at[k] - ends + size, size) + np.arange(int(ends[-1]))]
+        edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(count)))]
+        self.pool, self.at, self.size, self.used = _stored(self.pool, self.at, self.size, self.used, self.learnt, ids, edge[:-1], np.diff(edge))
+        self.learnt += len(new)
+
+    def _learn_parts(self) -> None:
+        """Encode new parts: those that are sure to stay apart in one text, whose ids are cut again by their ends; the others one by one."""
+        new, self.parts.new = self.parts.new, []
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
-            size = np.zeros(len(part), dtype=np.int64)
             if self.lead:
-                bare = np.fromiter((p[0] == _BARE if p else False for p in part), dtype=bool, count=len(part))
-                full = [p for p, b in zip(part, bare.tolist(), strict=True) if not b]
-                ids = self._ids([self.lead + self.lead.join(full)]) if full else np.zeros(0, dtype=np.uint32)
-                n = np.fromiter((len(p.encode()) for p in full), dtype=np.int64, count=len(full)) + 1
+                joins = np.fromiter((not p.startswith(_BARE) for p in part), dtype=bool, count=len(part))
+            else:
+                joins = np.fromiter((_ONE_RUN.match(p) is not None for p in part), dtype=bool, count=len(part))
+            one = [p for p, j in zip(part, joins.tolist(), strict=True) if j]
+            own = [e.ids for e in self.tokenizer.encode_batch_fast([p.removeprefix(_BARE) for p, j in zip(part, joins.tolist(), strict=True) if not j], add_special_tokens=False)]
+            ids = self._ids([self.lead + " ".join(one)]) if one else np.zeros(0, dtype=np.uint32)
+            if self.lead:
+                n = np.fromiter((len(p.encode()) for p in one), dtype=np.int64, count=len(one)) + 1
                 ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(n), side="left") + 1
-                own = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] for p, b in zip(part, bare.tolist(), strict=True) if b], add_special_tokens=False)]
-                size[~bare], size[bare] = np.diff(ends, prepend=0), [len(x) for x in own]
-                at = np.cumsum(size) - size
-                out = np.zeros(int(size.sum()), dtype=np.uint32)
-                out[np.repeat(~bare, size)] = ids
-                out[np.repeat(bare, size)] = np.array([x for y in own for x in y], dtype=np.uint32)
-                ids, total = out, len(ids) + sum(map(len, own))
             else:
-                ids = self._ids([f" {_MARK} ".join(part) + f" {_MARK}"])
-                mark = ids == self.mark_id
-                ends = np.cumsum(~mark)[mark]
-                size[:] = np.diff(ends, prepend=0)
-                ids, at, total = ids[~mark], np.cumsum(size) - size, int((~mark).sum())
-            if int(size.sum()) != total or len(ids) != total:
-                raise RuntimeError("pieces were joined by the tokenizer")
-            self._store(ids, at, size)
-
-    def _store(self, ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> None:
-        n = self.learnt
-        while self.used + len(ids) > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
-        while n + len(at) > len(self.at):
-            self.at, self.size = (np.concatenate((x, np.zeros_like(x))) for x in (self.at, self.size))
-        self.pool[self.used : self.used + len(ids)] = ids
-        self.at[n : n + len(at)], self.size[n : n + len(at)] = at + self.used, size
-        self.used += len(ids)
-        self.learnt += len(at)
+                ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(one) or (one and int(ends[-1]) != len(ids)):
+                raise RuntimeError("parts were joined by the tokenizer")
+            size = np.zeros(len(part), dtype=np.int64)
+            size[joins], size[~joins] = np.diff(ends, prepend=0), [len(x) for x in own]
+            out = np.zeros(int(size.sum()), dtype=np.uint32)
+            out[np.repeat(joins, size)] = ids
+            out[np.repeat(~joins, size)] = np.array([x for y in own for x in y], dtype=np.uint32)
+            self.part_pool, self.part_at, self.part_size, self.part_used = _stored(self.part_pool, self.part_at, self.part_size, self.part_used, self.part_learnt, out, np.cumsum(size) - size, size)
+            self.part_learnt += len(part)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > (2 if self.lead else 1) * CACHE_PIECES:
             self.reset()
         number, lines = self.known.__getitem__, f" {_BARE}\n {_BARE}"
         odd = (_ODD_SPACED if self.lead else _ODD_LOOSE).search
@@ -125,13 +153,24 @@ class Encoder:
         if not found:
             return [whole[i] for i in range(len(texts))]
         k = np.concatenate(found)
-        size = self.size[k]
+        size = self.size[k].astype(np.int64)
         ends = np.cumsum(size)
         ids = self.pool[np.repeat(self.at[k] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
         edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))].tolist()
         return [whole[i] if i in whole else ids[edge[i] : edge[i + 1]] for i in range(len(texts))]
 
 
+def _stored(pool: np.ndarray, at: np.ndarray, size: np.ndarray, used: int, n: int, ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The arrays with entries n and on added, grown by doubling."""
+    while used + len(ids) > len(pool):
+        pool = np.concatenate((pool, np.zeros_like(pool)))
+    while n + len(starts) > len(at):
+        at, size = (np.concatenate((x, np.zeros_like(x))) for x in (at, size))
+    pool[used : used + len(ids)] = ids
+    at[n : n + len(starts)], size[n : n + len(starts)] = starts + used, sizes
+    return pool, at, size, used + len(ids)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     return Encoder(path)
