@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_store, nbsvm, packing, pivots, recompression, simhash, toxicity, vptree, warc
+from . import content_store, mixing, nbsvm, packing, pivots, recompression, simhash, toxicity, vptree, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_naive_bayes_svm": nbsvm.op3,
         "op4_recompression": recompression.op4,
         "op5_bin_completion": packing.op5,
+        "op6_hierarchical_budget": mixing.op6,
         "op7_noisy_channel": toxicity.op7,
         "op8_warc_index_first": warc.op8,
         "op9_simhash_anchor_cover": simhash.op9,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pivot_distance_index": pivots.ORACLE, "op8_warc_index_first": warc.ORACLE}
+    return {"op2_pivot_distance_index": pivots.ORACLE, "op6_hierarchical_budget": mixing.ORACLE, "op8_warc_index_first": warc.ORACLE}
