@@ -327,6 +327,8 @@ def op4(spark, sf_dir: str) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the same columns, repeated passages cut from the texts."""
+    """docs with the same columns, repeated passages cut from the texts; n_chars, where there is one, counts the text left. A null text that stays so is null again."""
     done = deduplicate(docs)
-    return done.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+    text = F.when(F.col("row.text").isNotNull(), F.col("text"))
+    anew = {"text": text.alias("text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars") if "n_chars" in docs.columns else None}
+    return done.select(*(anew[c] if c in anew else F.col("row")[c].alias(c) for c in docs.columns))
