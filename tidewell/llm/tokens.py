@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections import defaultdict
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 
-#: Pieces a worker remembers before it starts afresh (and as many parts; about 120 MB).
-CACHE_PIECES = 300_000
+#: Pieces a worker remembers before it starts afresh (and of their parts; about 150 MB).
+CACHE_PIECES = 500_000
 #: Fixed value: a control character that marks a piece with no space before it.
 _BARE = "\x02"
 #: Texts with these are encoded whole: white space beside white space or at an end, and the mark.
@@ -19,22 +21,19 @@ _ODD_SPACED = re.compile(r"[ \n][\s\x1c-\x1f]|[ \n]\Z|\x02")
 _ODD_LOOSE = re.compile(r"[\x02\x1c-\x1f]")
 
 
-#: Pieces of these characters only (ASCII but the apostrophe, and letters of Latin-1) are cut further: runs of letters, of digits (or each), of others are pre-tokens.
-_PLAIN = re.compile(r"[!-&(-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*\Z")
-_RUNS_LOOSE = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^a-z0-9\xdf-\xf6\xf8-\xff]+")
-_ONE_RUN = re.compile(r"(?:[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[!-&(-/:-@\[-`{-~]+)\Z")
+#: Pieces of these characters only (ASCII but the apostrophe, and letters of Latin-1) are cut further: runs of letters, digits, and runs of others are pre-tokens.
+_PLAIN = re.compile(r"[ !-&(-~\xc0-\xd6\xd8-\xf6\xf8-\xff]*\Z")
+_RUNS = re.compile(r"[a-z\xdf-\xf6\xf8-\xff]+|[0-9 ]|[^a-z0-9 \xdf-\xf6\xf8-\xff]+")
 
 
-class _Known(dict):
-    """Number of each piece; a new one gets the next number and is noted."""
+def _numbers() -> defaultdict:
+    """A dictionary that gives each new key the next number."""
+    return defaultdict(count().__next__)
 
-    def __init__(self):
-        self.new: list[str] = []
 
-    def __missing__(self, piece: str) -> int:
-        self[piece] = n = len(self)
-        self.new.append(piece)
-        return n
+def _newest(numbers: defaultdict, known: int) -> list[str]:
+    """The keys numbered known and higher, in order."""
+    return list(islice(reversed(numbers), len(numbers) - known))[::-1]
 
 
 class Encoder:
@@ -64,17 +63,19 @@ class Encoder:
             self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that end a pre-token
             for token, i in vocabulary.items():
                 self.last[i] = token.endswith("</w>")
-        self.parts = _Known()
+        self.parts = _numbers()
         self.reset()
 
     def reset(self) -> None:
         """Forget the pieces; their parts too where those are many."""
         if self.lead or len(self.parts) > CACHE_PIECES or not self.parts:
-            self.parts = _Known()
+            self.parts = _numbers()
             self.part_pool = np.zeros(1 << 18, dtype=np.uint32)
             self.part_at, self.part_size = (np.zeros(1 << 16, dtype=np.int32) for _ in range(2))
             self.part_used = self.part_learnt = 0
-        self.known = self.parts if self.lead else _Known()
+            if not self.lead:
+                self._keep([" "], np.zeros(0, dtype=np.uint32), np.zeros(1, dtype=np.int64))  # number 0: what parts pieces
+        self.known = self.parts if self.lead else _numbers()
         self.pool = np.zeros(1 << 18, dtype=np.uint32)
         self.at, self.size = (np.zeros(1 << 16, dtype=np.int32) for _ in range(2))
         self.used = self.learnt = 0
@@ -83,61 +84,82 @@ class Encoder:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.array(x, dtype=np.uint32) for x in ids]) if ids else np.zeros(0, dtype=np.uint32)
 
-    def _cut(self, piece: str) -> list[str]:
-        """The pre-tokens of a piece where they are plain to see, else the piece."""
-        low = piece.lower()  # as the tokenizer does, for these characters
-        return _RUNS_LOOSE.findall(low) if _PLAIN.match(low) else [piece]
+    def _keep(self, parts: list[str], ids: np.ndarray, size: np.ndarray) -> None:
+        """Note the ids of the next parts; size: how many each has."""
+        for part in parts:
+            self.parts[part]
+        self.part_pool, self.part_at, self.part_size, self.part_used = _stored(self.part_pool, self.part_at, self.part_size, self.part_used, self.part_learnt, ids, np.cumsum(size) - size, size)
+        self.part_learnt += len(size)
 
     def _learn(self) -> None:
         """Encode what is new: parts by the library, pieces from their parts, in the order of their numbers. Where spaces count, pieces are the parts."""
         if self.lead:
-            self._learn_parts()
+            self._learn_spaced()
             self.pool, self.at, self.size = self.part_pool, self.part_at, self.part_size
             return
-        new, self.known.new = self.known.new, []
+        new = _newest(self.known, self.learnt)
         if not new:
             return
-        cut = [self._cut(p) for p in new]
-        number = self.parts.__getitem__
-        k = np.array([number(x) for c in cut for x in c], dtype=np.int64)
-        self._learn_parts()
-        count = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
+        text = " ".join(new).lower()  # as the tokenizer does, for these characters
+        odd: list[int] = []
+        plain = new
+        if not _PLAIN.match(text):
+            odd = [i for i, p in enumerate(new) if not _PLAIN.match(p.lower())]
+            plain = [p for i, p in enumerate(new) if i not in set(odd)] if len(odd) < 50 else [p for p in new if _PLAIN.match(p.lower())]
+            text = " ".join(plain).lower()
+        runs = _RUNS.findall(text)
+        k = np.fromiter(map(self.parts.__getitem__, runs), dtype=np.int64, count=len(runs))
+        fresh = _newest(self.parts, self.part_learnt)
+        for i in range(0, len(fresh), 2000):
+            part = fresh[i : i + 2000]
+            ids = self._ids([" ".join(part)])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part) or int(ends[-1]) != len(ids):
+                raise RuntimeError("parts were joined by the tokenizer")
+            self._keep([], ids, np.diff(ends, prepend=0))
+        counts = np.diff(np.concatenate(([-1], np.flatnonzero(k == 0), [len(k)]))) - 1 if plain else np.zeros(0, dtype=np.int64)
+        k = k[k != 0]
+        if odd:  # whole, each a part of its own
+            own = [e.ids for e in self.tokenizer.encode_batch_fast([new[i] for i in odd], add_special_tokens=False)]
+            first = self.part_learnt
+            self._keep([f"{_BARE}{self.learnt + i}" for i in odd], np.array([x for y in own for x in y], dtype=np.uint32), np.array([len(x) for x in own], dtype=np.int64))
+            full = np.ones(len(new), dtype=np.int64)
+            mask = np.ones(len(new), dtype=bool)
+            mask[odd] = False
+            full[mask] = counts
+            where = np.repeat(mask, full)
+            merged = np.empty(int(full.sum()), dtype=np.int64)
+            merged[where], merged[~where] = k, first + np.arange(len(odd))
+            k, counts = merged, full
         size = self.part_size[k].astype(np.int64)
         ends = np.cumsum(size)
-        ids = self.part_pool[np.repeat(self.part_at[k] - ends + size, size) + np.arange(int(ends[-1]))]
-        edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(count)))]
+        ids = self.part_pool[np.repeat(self.part_at[k] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        edge = np.concatenate(([0], ends))[np.concatenate(([0], np.cumsum(counts)))]
         self.pool, self.at, self.size, self.used = _stored(self.pool, self.at, self.size, self.used, self.learnt, ids, edge[:-1], np.diff(edge))
         self.learnt += len(new)
 
-    def _learn_parts(self) -> None:
-        """Encode new parts: those that are sure to stay apart in one text, whose ids are cut again by their ends; the others one by one."""
-        new, self.parts.new = self.parts.new, []
+    def _learn_spaced(self) -> None:
+        """New pieces that a space comes before are encoded in one text and its ids cut by their bytes; bare ones one by one."""
+        new = _newest(self.parts, self.part_learnt)
         for i in range(0, len(new), 2000):
             part = new[i : i + 2000]
-            if self.lead:
-                joins = np.fromiter((not p.startswith(_BARE) for p in part), dtype=bool, count=len(part))
-            else:
-                joins = np.fromiter((_ONE_RUN.match(p) is not None for p in part), dtype=bool, count=len(part))
+            joins = np.fromiter((not p.startswith(_BARE) for p in part), dtype=bool, count=len(part))
             one = [p for p, j in zip(part, joins.tolist(), strict=True) if j]
-            own = [e.ids for e in self.tokenizer.encode_batch_fast([p.removeprefix(_BARE) for p, j in zip(part, joins.tolist(), strict=True) if not j], add_special_tokens=False)]
-            ids = self._ids([self.lead + " ".join(one)]) if one else np.zeros(0, dtype=np.uint32)
-            if self.lead:
-                n = np.fromiter((len(p.encode()) for p in one), dtype=np.int64, count=len(one)) + 1
-                ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(n), side="left") + 1
-            else:
-                ends = np.flatnonzero(self.last[ids]) + 1
+            own = [e.ids for e in self.tokenizer.encode_batch_fast([p[1:] for p, j in zip(part, joins.tolist(), strict=True) if not j], add_special_tokens=False)]
+            ids = self._ids([self.lead + self.lead.join(one)]) if one else np.zeros(0, dtype=np.uint32)
+            n = np.fromiter((len(p.encode()) for p in one), dtype=np.int64, count=len(one)) + 1
+            ends = np.searchsorted(np.cumsum(self.width[ids]), np.cumsum(n), side="left") + 1
             if len(ends) != len(one) or (one and int(ends[-1]) != len(ids)):
-                raise RuntimeError("parts were joined by the tokenizer")
+                raise RuntimeError("pieces were joined by the tokenizer")
             size = np.zeros(len(part), dtype=np.int64)
             size[joins], size[~joins] = np.diff(ends, prepend=0), [len(x) for x in own]
             out = np.zeros(int(size.sum()), dtype=np.uint32)
             out[np.repeat(joins, size)] = ids
             out[np.repeat(~joins, size)] = np.array([x for y in own for x in y], dtype=np.uint32)
-            self.part_pool, self.part_at, self.part_size, self.part_used = _stored(self.part_pool, self.part_at, self.part_size, self.part_used, self.part_learnt, out, np.cumsum(size) - size, size)
-            self.part_learnt += len(part)
+            self._keep([], out, size)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > (2 if self.lead else 1) * CACHE_PIECES:
+        if len(self.known) > CACHE_PIECES:
             self.reset()
         number, lines = self.known.__getitem__, f" {_BARE}\n {_BARE}"
         odd = (_ODD_SPACED if self.lead else _ODD_LOOSE).search
