@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .files import Writer, read_ranges
 from .kernels import mix
 from .ranges import running_start
-from .shared import fresh_path, partitions, spool, text_chunks, texts_of
+from .shared import fresh_path, partitions, spool, text_chunks, texts_of, tidied
 from .tokens import encoder
 
 #: Fixed value: what a pack starts with.
@@ -189,8 +189,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str
             yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.binary()), pa.array([out.uri]), *(pa.nulls(1, pa.int64()) for _ in range(3)), pa.nulls(1, recipe_type), pa.array([merkle_root(leaves)], type=pa.binary()), pa.array([len(leaves)], type=pa.int64())], names=["address", "pack", "at", "size", "n_ids", "recipe", "pack_root", "n_chunks"])
 
     given = texts_of(docs, id_col, text_col, [F.monotonically_increasing_id().alias("row")])
-    dealt = given.mapInArrow(encode, schema).repartition(partitions(spark), F.hash("to")).sortWithinPartitions("address")
-    made = spool(dealt.mapInArrow(store, out_schema), "store-rows")
+    dealt = given.mapInArrow(tidied(encode), schema).repartition(partitions(spark), F.hash("to")).sortWithinPartitions("address")
+    made = spool(dealt.mapInArrow(tidied(store), out_schema), "store-rows")
     index = made.where("address is not null").select("address", "pack", "at", "size", "n_ids")
     packs = made.where("pack_root is not null").select("pack", F.col("pack_root").alias("root"), "n_chunks")
     recipes = running_start(made.where("recipe is not null").select("recipe.*"), "doc_id", "n_ids", "start", tie="row")
@@ -228,7 +228,7 @@ def _read_chunks(store: Store, with_data: bool) -> DataFrame:
 
     spark = store.index.sparkSession
     dealt = store.index.repartition(partitions(spark), "pack").sortWithinPartitions("pack", "at")
-    return dealt.mapInArrow(read, "address binary, n_ids long, crc long" + ", data binary" * with_data)
+    return dealt.mapInArrow(tidied(read), "address binary, n_ids long, crc long" + ", data binary" * with_data)
 
 
 def _uses(store: Store) -> DataFrame:
@@ -249,7 +249,7 @@ def checksums(store: Store) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(n), pa.array(crc_shift(crc, after * 4))], names=["row", "n", "crc"])
 
     chunks = _read_chunks(store, False).withColumnRenamed("n_ids", "n")
-    parts = _uses(store).join(chunks, "address").select("row", "n", "crc", "after").mapInArrow(move, "row long, n long, crc long")
+    parts = _uses(store).join(chunks, "address").select("row", "n", "crc", "after").mapInArrow(tidied(move), "row long, n long, crc long")
     by_row = parts.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
     return store.recipes.join(by_row, "row").select("doc_id", "start", "n_tokens", "ids_crc32")
 
@@ -267,7 +267,7 @@ def read_documents(store: Store) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, type=pa.binary())], names=["doc_id", "start", "ids"])
 
     parts = _uses(store).join(_read_chunks(store, True), "address").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "data"))).alias("parts"))
-    return store.recipes.join(parts, "row").select("doc_id", "start", "root", "parts").mapInArrow(check, "doc_id long, start long, ids binary")
+    return store.recipes.join(parts, "row").select("doc_id", "start", "root", "parts").mapInArrow(tidied(check), "doc_id long, start long, ids binary")
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .kernels import Words, mix, words
 from .labelled import fit_logistic, fold, logistic, training_docs
-from .shared import table, text_chunks, texts_of
+from .shared import table, text_chunks, texts_of, tidied
 
 BITS = 18
 ORDERS = (1, 2, 3)
@@ -154,7 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, rows: Column, most
         for part, texts in text_chunks(batches, rows=256):
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([f.tobytes() for f in features(texts)], type=pa.binary())], names=["doc_id", "label", "f"])
 
-    got = training_docs(docs, labels, label_col, rows, most).mapInArrow(run, "doc_id long, label int, f binary").toArrow().sort_by("doc_id")
+    got = training_docs(docs, labels, label_col, rows, most).mapInArrow(tidied(run), "doc_id long, label int, f binary").toArrow().sort_by("doc_id")
     return fit([np.frombuffer(x, dtype=np.int32) for x in got["f"].to_pylist()], got["label"].to_numpy())
 
 
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for part, texts in text_chunks(batches, rows=256):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.scores(features(texts)))], names=["doc_id", "score"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, score double")
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import spool, text_chunks, texts_of
+from .shared import spool, text_chunks, texts_of, tidied
 from .tokens import encoder
 
 CAPACITY = 1024
@@ -192,8 +192,9 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int
                         column.append(x)
             arrays = [pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
             yield pa.RecordBatch.from_arrays(arrays[: 6 if carry else 5], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 6 if carry else 5])
+        own.reset(whole=True)
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + extra)
+    return texts_of(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + extra)
 
 
 def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, rows_per_bucket: int = 4096) -> DataFrame:
@@ -227,7 +228,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence), pa.array(rows[i, 4])], names=[*columns, "sequence_id", "offset"])
 
     schema = ", ".join(f"{c} {t}" for c, t in cut.dtypes) + ", sequence_id long, offset long"
-    return ranked.mapInArrow(place, schema.replace("bigint", "long"))
+    return ranked.mapInArrow(tidied(place), schema.replace("bigint", "long"))
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import tidied
 from .vectors import SHARD_ROWS, Best, matrix, sharded_search, shard_count, spooled, usable
 
 PIVOTS = 64
@@ -93,7 +94,7 @@ def top_k(df: DataFrame, query_every: int = 20, k: int = 20, scale: int = 64, pi
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(d.argmin(axis=1).astype(np.int32))], names=["vec_id", "v", "pivot"])
 
     shards = shard_count(n)
-    pinned = rows.mapInArrow(keyed, "vec_id long, v array<double>, pivot int")
+    pinned = rows.mapInArrow(tidied(keyed), "vec_id long, v array<double>, pivot int")
     counts = {r["pivot"]: r["count"] for r in pinned.groupBy("pivot").count().collect()}  # a row a pivot
     # Pivots get as many shards as they fill; small ones share. A place is (first shard, how many).
     place, used = {}, 0.0

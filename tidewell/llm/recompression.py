@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .kernels import Words, mix, words
-from .shared import partitions, spool, text_chunks, texts_of
+from .shared import partitions, spool, text_chunks, texts_of, tidied
 
 WINDOW = 50
 RUN, REACH, ROUNDS = 3, 6, 3
@@ -127,7 +127,7 @@ def shared_keys(docs: DataFrame) -> DataFrame:
             g = _groups(key, window)
             yield pa.RecordBatch.from_arrays([pa.array(key[g].view(np.int64)), pa.array(ids[w.doc[window[g]]])], names=["key", "doc_id"])
 
-    named = docs.mapInArrow(run, "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
+    named = docs.mapInArrow(tidied(run), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
     return spool(named.where("a <> b").select("key", "n"), "shared-keys")
 
 
@@ -230,8 +230,8 @@ def repeated_windows(docs: DataFrame, hot_rows: int = 256, hot_keys: int = 1 <<
                         column.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(out[0], type=pa.int64()), pa.array(out[1], type=pa.int64()), pa.array(out[2], type=pa.int32()), pa.array(out[3], type=pa.int64())], names=["doc_id", "body", "at", "bits"])
 
-    rows = docs.mapInArrow(run, schema).repartition(partitions(spark), "key", "piece").sortWithinPartitions("key", "piece", "doc_id")
-    return rows.mapInArrow(verify, "doc_id long, body long, at int, bits long")
+    rows = docs.mapInArrow(tidied(run), schema).repartition(partitions(spark), "key", "piece").sortWithinPartitions("key", "piece", "doc_id")
+    return rows.mapInArrow(tidied(verify), "doc_id long, body long, at int, bits long")
 
 
 def _arrow(schema: str) -> pa.Schema:
@@ -271,7 +271,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Remove every word that lies in a window of WINDOW words whose words also start in a document with a smaller id.
 
     Windows are judged on the input. Returns (doc_id, text, n_words, n_removed, kept_sha256) and, with carry, `row`: a struct of
-    all the input's columns, so that no name can clash. Text without removals comes back byte for byte; else the kept stretches, joined
+    the other columns, so that no name can clash, in which `_` tells whether there was a text. Text without removals comes back byte for byte; else the kept stretches, joined
     by one space. A null text has no words and comes back empty; a row with a null id is left as it is and no witness for others;
     of repeated ids each row is judged by smaller ids only; an empty table gives no rows.
     """
@@ -279,8 +279,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     given = texts_of(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
     flags = spool(repeated_windows(given), "flags")
     touched = spark.sparkContext.broadcast(bit_set(flags.select(F.xxhash64("doc_id").alias("h")).distinct(), "h"))
-    hashed = texts_of(docs, id_col, text_col, [F.xxhash64(F.col(id_col).cast("long")).alias("h"), *([F.struct(*docs.columns).alias("row")] if carry else [])])
-    row = f", row {docs.select(F.struct(*docs.columns).alias('row')).schema['row'].dataType.simpleString()}" if carry else ""
+    extra = [F.struct(F.col(text_col).isNotNull().alias("_"), *(F.col(c) for c in docs.columns if c != text_col)).alias("row")] if carry else []
+    hashed = texts_of(docs, id_col, text_col, [F.xxhash64(F.col(id_col).cast("long")).alias("h"), *extra])
+    row = f", row {docs.select(*extra).schema['row'].dataType.simpleString()}" if carry else ""
     tail = ["row"] if carry else []
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,9 +307,9 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     result = "doc_id long, text binary, n_words long, n_removed long, kept_sha256 string" + row
     marks = flags.groupBy("doc_id", "body").agg(F.collect_list(F.struct("at", "bits")).alias("marks"))
-    candidates = hashed.mapInArrow(named, "doc_id long, text binary, body long" + row)
+    candidates = hashed.mapInArrow(tidied(named), "doc_id long, text binary, body long" + row)
     joined = candidates.join(marks, ["doc_id", "body"], "left").select("doc_id", "text", "marks", *tail)
-    both = hashed.mapInArrow(clean, result).unionByName(joined.mapInArrow(cut, result))
+    both = hashed.mapInArrow(tidied(clean), result).unionByName(joined.mapInArrow(tidied(cut), result))
     return both.withColumn("text", F.col("text").cast("string"))
 
 
@@ -329,6 +330,6 @@ def op4(spark, sf_dir: str) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """docs with the same columns, repeated passages cut from the texts; n_chars, where there is one, counts the text left. A null text that stays so is null again."""
     done = deduplicate(docs)
-    text = F.when(F.col("row.text").isNotNull(), F.col("text"))
+    text = F.when(F.col("row._"), F.col("text"))
     anew = {"text": text.alias("text"), "n_chars": F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("row.n_chars")).alias("n_chars") if "n_chars" in docs.columns else None}
     return done.select(*(anew[c] if c in anew else F.col("row")[c].alias(c) for c in docs.columns))

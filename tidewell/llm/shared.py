@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a kernel handles at once (a longer document is handled alone).
 CHUNK_BYTES = 1 << 20
+#: Rows of an Arrow batch of texts.
+ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,11 +48,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tidied(kernel: Callable) -> Callable:
+    """The kernel of a mapInArrow, which at its end hands memory back: workers outlive their tasks, and what each holds adds up beside the JVM."""
+
+    @functools.wraps(kernel)
+    def run(batches):
+        try:
+            yield from kernel(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Iterable[str] = ()) -> DataFrame:
-    """Only the columns that are needed, as (id, text bytes, extra...): bytes reach Python without a decode."""
+    """Only the columns that are needed, as (id, text bytes, extra...): bytes reach Python without a decode.
+
+    Sets the session's Arrow batches to ARROW_ROWS rows, since the default ten thousand long texts don't fit a worker.
+    """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *extra)
 
 
+def others(docs: DataFrame, text_col: str = "text") -> Column:
+    """A struct `row` of the columns but the text, so that no name clashes with what an operator adds; with a flag first, so that it is never empty."""
+    return F.struct(F.lit(True).alias("_"), *(F.col(c) for c in docs.columns if c != text_col)).alias("row")
+
+
+def as_before(df: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The columns of docs again from `text` and `row`."""
+    return df.select(*(F.col("text").cast("string").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns))
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, rows: int = 2048) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most `limit` bytes of text and `rows` rows, and their texts (null: empty)."""
     for batch in batches:

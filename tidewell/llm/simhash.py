@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import partitions, spool, text_chunks, texts_of
+from .shared import partitions, spool, text_chunks, texts_of, tidied
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.array([fingerprint(t, shingle, seed) for t in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fp)], names=["doc_id", "fp"])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return texts_of(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, fp long")
 
 
 class Code:
@@ -181,7 +181,7 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS, n_blocks: int | None = None
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b, dtype=np.int32)), pa.array(at.view(np.int64)), pa.array(n)], names=["block", "anchor", "n"])
 
     # Bounded by the hot anchors: at most blocks * rows / home_rows of them.
-    hot_rows = reps.mapInArrow(home_keys, "block int, anchor long, n long").groupBy("block", "anchor").agg(F.sum("n").alias("n")).where(F.col("n") > home_rows).collect()
+    hot_rows = reps.mapInArrow(tidied(home_keys), "block int, anchor long, n long").groupBy("block", "anchor").agg(F.sum("n").alias("n")).where(F.col("n") > home_rows).collect()
     hot = spark.sparkContext.broadcast({(r["block"], r["anchor"]): (-(-r["n"] // home_rows), max(1, r["n"] * far // probe_rows)) for r in hot_rows})
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,9 +234,9 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS, n_blocks: int | None = None
         if bucket:
             yield out(*bucket.own())
 
-    dealt = reps.repartition(partitions(spark)).mapInArrow(deal, "block int, anchor long, piece int, probe boolean, fp long, rep long")
+    dealt = reps.repartition(partitions(spark)).mapInArrow(tidied(deal), "block int, anchor long, piece int, probe boolean, fp long, rep long")
     met = dealt.repartition(partitions(spark), "block", "anchor", "piece").sortWithinPartitions("block", "anchor", "piece", "probe")
-    return met.mapInArrow(compare, "u long, v long").where("u <> v")
+    return met.mapInArrow(tidied(compare), "u long, v long").where("u <> v")
 
 
 def _replicate(i: np.ndarray, anchor: np.ndarray, block: int, probe: bool, spread: np.ndarray, hot: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -66,9 +66,9 @@ class Encoder:
         self.parts = _numbers()
         self.reset()
 
-    def reset(self) -> None:
-        """Forget the pieces; their parts too where those are many."""
-        if self.lead or len(self.parts) > CACHE_PIECES or not self.parts:
+    def reset(self, whole: bool = False) -> None:
+        """Forget the pieces; their parts too where those are many, or if all is to go."""
+        if whole or self.lead or len(self.parts) > CACHE_PIECES or not self.parts:
             self.parts = _numbers()
             self.part_pool = np.zeros(1 << 18, dtype=np.uint32)
             self.part_at, self.part_size = (np.zeros(1 << 16, dtype=np.int32) for _ in range(2))

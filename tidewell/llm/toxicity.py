@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .kernels import words
 from .labelled import fit_logistic, fold, logistic, training_docs
-from .shared import spool, table, text_chunks, texts_of
+from .shared import as_before, others, spool, table, text_chunks, texts_of, tidied
 
 #: Documented bound of the sample of labelled rows that evidence is counted on.
 MOST_ROWS = 20_000
@@ -107,7 +107,7 @@ def trigram_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         on = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(on), pa.array(total[on])], names=["gram", "n"])
 
-    got = texts_of(docs, id_col, text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    got = texts_of(docs, id_col, text_col).mapInArrow(tidied(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(SYMBOLS**3)
     for r in got:
         out[r["gram"]] = r["n"]
@@ -325,7 +325,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, rows: Column, most
         for part, texts in text_chunks(batches, rows=256):
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([decoder.restore(_lower(t)) for t in texts]), part.column(2)], names=["doc_id", "text", "label"])
 
-    sample = spool(training_docs(docs, labels, label_col, rows, most).mapInArrow(restore, "doc_id long, text string, label int"), "toxicity-sample")
+    sample = spool(training_docs(docs, labels, label_col, rows, most).mapInArrow(tidied(restore), "doc_id long, text string, label int"), "toxicity-sample")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -345,7 +345,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, rows: Column, most
                 yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.bincount(at, weights=y, minlength=len(name)).astype(np.int64)), pa.array(np.bincount(at, weights=~y, minlength=len(name)).astype(np.int64))], names=["name", "pos", "neg"])
 
     # Bounded by the words of the sample's positive texts.
-    got = sample.mapInArrow(count, "name long, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 2 and pos * 2 > neg").toArrow()
+    got = sample.mapInArrow(tidied(count), "name long, pos long, neg long").groupBy("name").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 2 and pos * 2 > neg").toArrow()
     name = got["name"].to_numpy().view(np.uint64)
     order = np.argsort(name)
     size = {r["label"]: r["count"] for r in sample.groupBy((F.col("label") > 0).cast("int").alias("label")).count().collect()}
@@ -359,27 +359,28 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str, rows: Column, most
                 x = known.value.strongest(part.column(1).to_pylist(), part.column(2).to_numpy())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(np.ascontiguousarray(x[:, j])) for j in range(STRONGEST))], names=["doc_id", "label", *(f"e{j}" for j in range(STRONGEST))])
 
-    seen = sample.mapInArrow(measure, "doc_id long, label int, " + ", ".join(f"e{j} double" for j in range(STRONGEST))).toArrow().sort_by("doc_id")
+    seen = sample.mapInArrow(tidied(measure), "doc_id long, label int, " + ", ".join(f"e{j} double" for j in range(STRONGEST))).toArrow().sort_by("doc_id")
     x = np.column_stack([seen[f"e{j}"].to_numpy() for j in range(STRONGEST)])
     evidence.scale = fit_logistic(x, (seen["label"].to_numpy() > 0).astype(float))
     return Model(costs, evidence)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """(doc_id, score[, row]): how likely the whole text is toxic, 0 to 1, for every row; with carry, `row` is a struct of all columns of docs.
+    """(doc_id, score[, text bytes, row]): how likely the whole text is toxic, 0 to 1, for every row; with carry, also the text as it was and `row`, a struct of the other columns.
 
     A null text is empty. A text without evidence, so an empty one, gets the model's answer to none. Without labelled rows of
     both classes every score is that of no evidence. Null or repeated ids are scored like others; an empty table gives no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    tail = ["row"] if carry else []
-    schema = "doc_id long, score double" + (f", row {docs.select(F.struct(*docs.columns).alias('row')).schema['row'].dataType.simpleString()}" if carry else "")
+    extra = [others(docs, text_col)] if carry else []
+    schema = "doc_id long, score double" + (f", text binary, row {docs.select(*extra).schema['row'].dataType.simpleString()}" if carry else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches, rows=256):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.scores(texts)), *part.columns[2:]], names=["doc_id", "score", *tail])
+            more = part.columns[1:] if carry else []
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.scores(texts)), *more], names=["doc_id", "score", "text", "row"][: 2 + len(more)])
 
-    return texts_of(docs, id_col, text_col, [F.struct(*docs.columns).alias("row")] if carry else []).mapInArrow(run, schema)
+    return texts_of(docs, id_col, text_col, extra).mapInArrow(tidied(run), schema)
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
@@ -391,4 +392,4 @@ def op7(spark, sf_dir: str) -> DataFrame:
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """docs without those scored threshold or more; the model learns from all labels (at most MOST_ROWS of them)."""
     model = train(docs, labels, "toxic", F.lit(True))
-    return score(docs, model, carry=True).where(F.col("score") < threshold).select("row.*")
+    return as_before(score(docs, model, carry=True).where(F.col("score") < threshold), docs.columns)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spool
+from .shared import spool, tidied
 
 #: Rows of a shard, about; queries of a block. A task holds one shard at a time and streams the blocks past it.
 SHARD_ROWS, BLOCK_QUERIES = 1536, 256
@@ -45,7 +45,7 @@ def query_blocks(queries: DataFrame, shards: int) -> DataFrame:
             at = range(0, len(ids), BLOCK_QUERIES)
             yield pa.RecordBatch.from_arrays([pa.array([ids[i : i + BLOCK_QUERIES].tobytes() for i in at], type=pa.binary()), pa.array([v[i : i + BLOCK_QUERIES].tobytes() for i in at], type=pa.binary())], names=["ids", "data"])
 
-    blocks = queries.mapInArrow(run, "ids binary, data binary")
+    blocks = queries.mapInArrow(tidied(run), "ids binary, data binary")
     return blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "ids", "data")
 
 
@@ -93,7 +93,7 @@ def sharded_search(data: DataFrame, queries: DataFrame, shards: int, k: int, bui
     rows = data.select("shard", "vec_id", "v", none.cast("binary").alias("ids"), none.cast("binary").alias("data"))
     rows = rows.unionByName(query_blocks(queries, shards).select("shard", none.cast("long").alias("vec_id"), none.cast("array<double>").alias("v"), "ids", "data"))
     dealt = rows.repartition(max(shards, 1), "shard").sortWithinPartitions("shard", F.col("vec_id").isNull(), "vec_id")
-    best = dealt.mapInArrow(run, "query_id long, shard int, ids array<long>, scores array<double>")
+    best = dealt.mapInArrow(tidied(run), "query_id long, shard int, ids array<long>, scores array<double>")
     best = best.select("query_id", "shard", F.arrays_zip((F.transform("scores", lambda s: -s)).alias("least"), F.col("ids").alias("vec_id")).alias("found"))
     width = shards
     while True:  # a merge takes in 64 shards of a query at most

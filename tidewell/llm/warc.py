@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .files import Writer, read_ranges
-from .shared import fresh_path, partitions, spool
+from .shared import fresh_path, partitions, spool, tidied
 
 #: Fixed values of the WARC 1.1 format.
 VERSION = b"WARC/1.1"
@@ -102,7 +102,7 @@ def write_archives(pages: DataFrame, least_bytes: int = 0, path: str | None = No
         if out is not None:
             out.close()
 
-    return spool(marked.mapInArrow(write, INDEX), "warc-index")
+    return spool(marked.mapInArrow(tidied(write), INDEX), "warc-index")
 
 
 _INDEX_ARROW = pa.schema([(n, {"long": pa.int64(), "string": pa.string()}[t]) for n, t in (c.split() for c in INDEX.split(", "))])
@@ -144,7 +144,7 @@ def read_records(selected: DataFrame, with_payload: bool = True) -> DataFrame:
 
     dealt = selected.select("file", "at", "size").repartition(partitions(selected.sparkSession), F.col("file"), F.floor(F.col("at") / (32 << 20))).sortWithinPartitions("file", "at")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload binary" * with_payload
-    return dealt.mapInArrow(read, schema)
+    return dealt.mapInArrow(tidied(read), schema)
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
