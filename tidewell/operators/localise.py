@@ -83,12 +83,12 @@ def _removal(counts: DataFrame, ref: DataFrame, current: DataFrame) -> DataFrame
     grid = counts.select(*slice_key).distinct().join(F.broadcast(bins), "slice_col")  # bins times slice columns rows
     full = grid.join(counts, [*slice_key, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     part = Window.partitionBy(*slice_key)
-    full = full.withColumns({"R": F.sum("r").over(part), "T": F.sum("t").over(part), "S": F.sum("n").over(part)})
-    p, q = F.try_divide("r", "R"), F.try_divide("t", "T")
-    rest = F.try_divide(F.col("t") - F.col("n"), F.col("T") - F.col("S"))
-    scores = full.groupBy(*slice_key).agg((F.sum(jsd_terms(p, q)) - F.sum(jsd_terms(p, rest))).alias("score"), F.max("S").alias("S"), F.max("T").alias("T"))
+    full = full.withColumns({"all_r": F.sum("r").over(part), "all_t": F.sum("t").over(part), "all_n": F.sum("n").over(part)})
+    p, q = F.try_divide("r", "all_r"), F.try_divide("t", "all_t")
+    rest = F.try_divide(F.col("t") - F.col("n"), F.col("all_t") - F.col("all_n"))
+    scores = full.groupBy(*slice_key).agg((F.sum(jsd_terms(p, q)) - F.sum(jsd_terms(p, rest))).alias("score"), F.max("all_n").alias("all_n"), F.max("all_t").alias("all_t"))
     total = current.agg(F.count("*").alias("total"))
-    return scores.where("S > 0 and S < T").crossJoin(F.broadcast(total)).select(*slice_key, "score", (F.col("S") / F.col("total")).alias("coverage"))
+    return scores.where("all_n > 0 and all_n < all_t").crossJoin(F.broadcast(total)).select(*slice_key, "score", (F.col("all_n") / F.col("total")).alias("coverage"))
 
 
 def rank_bursts(panel: DataFrame, w: Windows | None, slice_col: str = "item_id", feature: str = "sales", spike_days: int = SPIKE_DAYS, min_rows: int = MIN_SLICE_SIZE, keys: Sequence[str] = ()) -> DataFrame:
@@ -164,12 +164,12 @@ def combination_scores(panel: DataFrame, feature: str, w: Windows, columns: Sequ
     cur = rows.where("win = 'cur'")
     counts = cur.select("bin", F.explode(conditions).alias("conditions")).groupBy("conditions", "bin").agg(F.count("*").alias("n"))
     both = count_by_window(rows.where("bin is not null").select("win", "bin"), []).withColumnsRenamed({"n_ref": "r", "n_cur": "t"})
-    kept = counts.groupBy("conditions").agg(F.sum("n").alias("S"))
-    total = both.agg(F.sum("t").alias("T"), F.sum("r").alias("R"))
-    kept = kept.crossJoin(F.broadcast(total)).where((F.col("S") / F.col("T") >= min_coverage) & (F.col("S") < F.col("T")))
+    kept = counts.groupBy("conditions").agg(F.sum("n").alias("all_n"))
+    total = both.agg(F.sum("t").alias("all_t"), F.sum("r").alias("all_r"))
+    kept = kept.crossJoin(F.broadcast(total)).where((F.col("all_n") / F.col("all_t") >= min_coverage) & (F.col("all_n") < F.col("all_t")))
     full = kept.crossJoin(F.broadcast(both)).join(counts, ["conditions", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))  # bins: 20 rows
-    p, q, rest = F.try_divide("r", "R"), F.try_divide("t", "T"), F.try_divide(F.col("t") - F.col("n"), F.col("T") - F.col("S"))
-    scores = full.groupBy("conditions").agg((F.sum(jsd_terms(p, q)) - F.sum(jsd_terms(p, rest))).alias("score"), (F.max("S") / F.max("T")).alias("coverage"))
+    p, q, rest = F.try_divide("r", "all_r"), F.try_divide("t", "all_t"), F.try_divide(F.col("t") - F.col("n"), F.col("all_t") - F.col("all_n"))
+    scores = full.groupBy("conditions").agg((F.sum(jsd_terms(p, q)) - F.sum(jsd_terms(p, rest))).alias("score"), (F.max("all_n") / F.max("all_t")).alias("coverage"))
     return scores.withColumn("efficiency", F.col("score") / F.greatest("coverage", F.lit(1e-6)))
 
 
