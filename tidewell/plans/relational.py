@@ -27,7 +27,7 @@ def a10(spark, sf_dir):
 @query(
     "b_predicates",
     f"WITH {S.RETAIL} SELECT cat_id, count(*) FILTER (date BETWEEN DATE '2000-03-01' AND DATE '2000-03-31') AS inclusive, count(*) FILTER (date >= DATE '2000-03-01' AND date < DATE '2000-03-31') AS half_open, "
-    "count(*) FILTER (CAST(item_id AS VARCHAR) = '7') AS one_item, count(*) FILTER (store_id IN ('FRANCE', 'GERMANY')) AS in_set, count(*) FILTER (state_id = 'ASIA' AND sales > 25) AS conjunction, "
+    "count(*) FILTER (CAST(item_id AS VARCHAR) = '7') AS one_item, count(*) FILTER (store_id IN ('NATION_7', 'NATION_9')) AS in_set, count(*) FILTER (state_id = 'ASIA' AND sales > 25) AS conjunction, "
     "round(sum(CASE WHEN state_id = 'ASIA' THEN sales * 2 ELSE sales END), 4) AS updated FROM retail GROUP BY 1",
 )
 def b_predicates(spark, sf_dir):
@@ -37,7 +37,7 @@ def b_predicates(spark, sf_dir):
     day = F.col("date")
     return p.groupBy("cat_id").agg(
         F.count_if(day.between(d("2000-03-01"), d("2000-03-31"))).alias("inclusive"), F.count_if((day >= d("2000-03-01")) & (day < d("2000-03-31"))).alias("half_open"),
-        F.count_if(F.col("item_id") == "7").alias("one_item"), F.count_if(F.col("store_id").isin("FRANCE", "GERMANY")).alias("in_set"), F.count_if((F.col("state_id") == "ASIA") & (F.col("sales") > 25)).alias("conjunction"),
+        F.count_if(F.col("item_id") == "7").alias("one_item"), F.count_if(F.col("store_id").isin("NATION_7", "NATION_9")).alias("in_set"), F.count_if((F.col("state_id") == "ASIA") & (F.col("sales") > 25)).alias("conjunction"),
         F.round(F.sum(F.when(F.col("state_id") == "ASIA", F.col("sales") * 2).otherwise(F.col("sales"))), 4).alias("updated"),
     )
 
@@ -106,7 +106,7 @@ def c6(spark, sf_dir):
 
 @query(
     "c7_event_flag",
-    f"WITH {S.RETAIL}, nat AS (SELECT DISTINCT date FROM retail WHERE day(date) = 1 AND month(date) % 3 = 0), st AS (SELECT DISTINCT date, state_id FROM retail WHERE day(date) = 15 AND length(state_id) > 4), ci AS (SELECT DISTINCT date, store_id FROM retail WHERE day(date) = 20 AND store_id LIKE '%A%') "
+    f"WITH {S.RETAIL}, nat AS (SELECT DISTINCT date FROM retail WHERE day(date) = 1 AND month(date) % 3 = 0), st AS (SELECT DISTINCT date, state_id FROM retail WHERE day(date) = 15 AND length(state_id) > 4), ci AS (SELECT DISTINCT date, store_id FROM retail WHERE day(date) = 20 AND store_id LIKE '%1%') "
     "SELECT CAST(nat.date IS NOT NULL OR st.date IS NOT NULL OR ci.date IS NOT NULL AS INT) AS flag, count(*) AS n FROM retail p LEFT JOIN nat ON nat.date = p.date LEFT JOIN st ON st.date = p.date AND st.state_id = p.state_id LEFT JOIN ci ON ci.date = p.date AND ci.store_id = p.store_id GROUP BY 1",
 )
 def c7(spark, sf_dir):
@@ -115,7 +115,7 @@ def c7(spark, sf_dir):
     day = F.dayofmonth("date")
     nat = p.where((day == 1) & (F.month("date") % 3 == 0)).select("date").distinct().withColumn("a", F.lit(True))
     st = p.where((day == 15) & (F.length("state_id") > 4)).select("date", "state_id").distinct().withColumn("b", F.lit(True))
-    ci = p.where((day == 20) & F.col("store_id").like("%A%")).select("date", "store_id").distinct().withColumn("c", F.lit(True))
+    ci = p.where((day == 20) & F.col("store_id").like("%1%")).select("date", "store_id").distinct().withColumn("c", F.lit(True))
     j = p.join(nat, "date", "left").join(st, ["date", "state_id"], "left").join(ci, ["date", "store_id"], "left")
     return j.groupBy(F.coalesce("a", "b", "c", F.lit(False)).cast("int").alias("flag")).agg(F.count("*").alias("n"))
 
