@@ -1 +1,117 @@
-"""Queries."""
+"""Queries: profiles, dependencies, hierarchy discovery, converters, reports, generators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators import model, profile, report
+from ..sources import synthetic
+from ..sources.panel import RETAIL_WINDOWS, event_panel, read, retail_panel
+
+from .registry import query
+
+_R = lambda *names, d=9: [F.round(n, d).alias(n) for n in names]
+
+
+def _profile_sql(table: str, columns: tuple[str, ...]) -> str:
+    u = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS v FROM {table}" for c in columns)
+    return (
+        f"WITH u AS ({u}), x AS (SELECT *, TRY_CAST(v AS DOUBLE) AS x, TRY_CAST(v AS DATE) AS d FROM u) SELECT \"column\", count(*) AS n, count(*) - count(v) AS n_null, count(DISTINCT v) AS n_unique, round(count(d) / nullif(count(v), 0)::DOUBLE, 9) AS dates, round(count(x) / nullif(count(v), 0)::DOUBLE, 9) AS numbers, "
+        "round(count(*) FILTER (x = 0) / nullif(count(x), 0)::DOUBLE, 9) AS zero, round(count(*) FILTER (x < 0) / nullif(count(x), 0)::DOUBLE, 9) AS negative, round(count(*) FILTER (x % 1 <> 0) / nullif(count(x), 0)::DOUBLE, 9) AS fractional FROM x GROUP BY 1"
+    )
+
+
+_COLS = ("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment")
+
+
+@query("q2_q5_columns", _profile_sql("customer", _COLS))
+def q2(spark, sf_dir):
+    """Every column's profile in one pass."""
+    return profile.columns_profile(read(spark, sf_dir, "customer"), _COLS).select("column", "n", "n_null", "n_unique", *_R("dates", "numbers", "zero", "negative", "fractional"))
+
+
+@query("q3_dependencies", "WITH p AS (SELECT DISTINCT p_brand, p_type, p_size FROM part), x AS (" + " UNION ALL ".join(f"SELECT '{a}' AS determinant, '{b}' AS dependent, CAST({a} AS VARCHAR) AS a, count(DISTINCT {b}) AS n FROM p GROUP BY {a}" for a in ("p_brand", "p_type", "p_size") for b in ("p_brand", "p_type", "p_size") if a != b) + ") SELECT determinant, dependent, count(*) FILTER (n > 1) AS n_violations FROM x GROUP BY 1, 2")
+def q3(spark, sf_dir):
+    """Dependencies between all pairs of columns in one job."""
+    return profile.dependency_matrix(read(spark, sf_dir, "part"), ["p_brand", "p_type", "p_size"])
+
+
+@query("q4_numeric_summary", "SELECT s_nationkey, count(s_acctbal) AS n, round(avg(s_acctbal), 6) AS mean, round(stddev_samp(s_acctbal), 6) AS std, " + ", ".join(f"round(quantile_cont(s_acctbal, {q}), 6) AS {k}" for k, q in profile.QUANTILES.items()).replace("AS min", 'AS "min"').replace("AS max", 'AS "max"') + " FROM supplier GROUP BY 1")
+def q4(spark, sf_dir):
+    """Exact quantiles, mean and deviation by group."""
+    return profile.numeric_summary(read(spark, sf_dir, "supplier"), "s_acctbal", ["s_nationkey"]).select("s_nationkey", "n", *_R("mean", "std", *profile.QUANTILES, d=6))
+
+
+@query("q6_date_gaps", "WITH g AS (SELECT l_suppkey, min(CAST(l_shipdate AS DATE)) AS a, max(CAST(l_shipdate AS DATE)) AS b, count(DISTINCT CAST(l_shipdate AS DATE)) AS n FROM lineitem GROUP BY 1), m AS (SELECT 1 - n / (datediff('day', a, b) + 1)::DOUBLE AS x FROM g) SELECT count(*) AS n_groups, round(avg(x), 9) AS mean, round(median(x), 9) AS median, round(quantile_cont(x, 0.9), 9) AS p90, round(avg(CAST(x > 0 AS INT)), 9) AS any_gap FROM m")
+def q6(spark, sf_dir):
+    """Days missing in each series."""
+    d = read(spark, sf_dir, "lineitem").select("l_suppkey", F.to_date("l_shipdate").alias("d"))
+    return profile.date_gaps(d, "d", ["l_suppkey"]).select("n_groups", *_R("mean", "median", "p90", "any_gap"))
+
+
+@query("q7_schema_inference")
+def q7(spark, sf_dir):
+    """Q7: roles of all columns whatever their names (rules over small profiles)."""
+    t = {"a": read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("x1"), F.col("o_custkey").alias("x2"), F.col("o_totalprice").alias("x3"), F.to_date("o_orderdate").cast("string").alias("x4")), "b": read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("y1"), F.col("n_name").alias("y2"))}
+    found = profile.infer_schema(t)
+    return spark.createDataFrame([(name, c, r, name == found["fact"]) for name, cs in found["roles"].items() for c, r in cs.items()], "table string, column string, role string, is_fact boolean")
+
+
+@query("q8_hierarchy", "SELECT * FROM (VALUES ('dept_id', 'cat_id'), ('item_id', 'dept_id'), ('store_id', 'state_id')) AS v(child, parent)")
+def q8(spark, sf_dir):
+    """The hierarchy of the slice columns, found from the data."""
+    return profile.hierarchy_of(retail_panel(spark, sf_dir), ["cat_id", "dept_id", "state_id", "store_id", "item_id"])
+
+
+@query("q9_flags", "SELECT avg(CAST(value = 0 AS INT)) > 0.3 AS zero_inflated, avg(CAST(value % 1 <> 0 AS INT)) > 0 AS fractional, avg(CAST(value < 0 AS INT)) > 0 AS negative, CASE WHEN bool_and(value % 1 = 0) AND quantile_cont(value, 0.99) < 21 THEN 'integer' ELSE 'quantile' END AS bin_path FROM events")
+def q9(spark, sf_dir):
+    """Q9: flags of a target."""
+    return profile.flags(read(spark, sf_dir, "events"), "value")
+
+
+@query("q10_to_panel", "WITH g AS (SELECT CAST(l_partkey AS VARCHAR) AS item_id, CAST(l_suppkey AS VARCHAR) AS store_id, CAST(l_shipdate AS DATE) AS date, sum(greatest(l_quantity, 0)) AS sales FROM lineitem GROUP BY ALL) SELECT store_id, count(*) AS n, min(date) AS first_day, round(sum(sales), 4) AS sales FROM g GROUP BY 1")
+def q10(spark, sf_dir):
+    """Any fact table with known roles as a panel."""
+    p, _ = profile.to_panel(read(spark, sf_dir, "lineitem"), "l_partkey", "l_suppkey", "l_shipdate", "l_quantity")
+    return p.groupBy("store_id").agg(F.count("*").alias("n"), F.min("date").alias("first_day"), F.round(F.sum("sales"), 4).alias("sales"))
+
+
+@query("q11_edge_scores", "SELECT 2::BIGINT AS tp, 3::BIGINT AS n_found, 3::BIGINT AS n_true, round(2 / 3.0::DOUBLE, 9) AS precision, round(2 / 3.0::DOUBLE, 9) AS recall, round(2 / 3.0::DOUBLE, 9) AS f1")
+def q11(spark, sf_dir):
+    """Precision and recall of found edges against known ones."""
+    found = profile.hierarchy_of(retail_panel(spark, sf_dir), ["cat_id", "dept_id", "state_id", "store_id", "item_id"])
+    truth = spark.createDataFrame([("dept_id", "cat_id"), ("store_id", "state_id"), ("item_id", "cat_id")], "child string, parent string")
+    return profile.edge_scores(found, truth).select("tp", "n_found", "n_true", *_R("precision", "recall", "f1"))
+
+
+@query("q13_config_choice", "WITH c AS (SELECT s_nationkey AS k, count(*) AS n, round(max(s_acctbal), 2) AS top, min(s_suppkey) AS first FROM supplier GROUP BY 1) SELECT k, n, top, first FROM c ORDER BY n DESC, top DESC, first LIMIT 1")
+def q13(spark, sf_dir):
+    """The best configuration by several keys."""
+    c = read(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n"), F.round(F.max("s_acctbal"), 2).alias("top"), F.min("s_suppkey").alias("first"))
+    return c.orderBy(F.desc("n"), F.desc("top"), "first").limit(1)
+
+
+@query("r1_report")
+def r1(spark, sf_dir):
+    """R1, K15, DM10: a narrated report of each monitored feature that drifts."""
+    return report.reports(retail_panel(spark, sf_dir), RETAIL_WINDOWS)
+
+
+@query("a8_synthetic_panel")
+def a8(spark, sf_dir):
+    """A seeded synthetic panel."""
+    p = synthetic.panel(spark, days=60, items=40, stores=5, seed=7)
+    return p.groupBy("state_id", "is_weekend").agg(F.count("*").alias("n"), F.avg("sales").alias("mean"))
+
+
+@query("m2_m4_demand_model")
+def m2(spark, sf_dir):
+    """M1-M4: a Poisson demand model trained on the reference window, its errors, and its price contributions."""
+    p = event_panel(spark, sf_dir)
+    from ..sources.panel import EVENT_WINDOWS
+
+    numeric, categorical = ("wday", "is_weekend"), ("dept_id", "store_id")
+    m = model.train(p, EVENT_WINDOWS, numeric, categorical)
+    return model.score(m, p).groupBy("dept_id").agg(F.avg("abs_error").alias("mae"), F.avg("residual").alias("bias"))
+
+
