@@ -21,8 +21,11 @@ MIN_COVERAGE, SEED_COLUMNS = 0.05, 5
 
 
 def top_k(candidates: DataFrame, k: int = TOP_K, keys: Sequence[str] = (), score: str = "score") -> DataFrame:
-    """The k best with `rank`; ties by slice column order, then value. Without keys a distributed top-k, with keys one per group."""
-    order = [F.desc(score), F.asc("slice_ord"), F.asc("slice_val")]
+    """The k best with `rank`; ties by slice column order, then value. Without keys a distributed top-k, with keys one per group.
+
+    Scores are compared to 12 decimals: two slices of the same rows have one score, whatever the order in which its terms were added.
+    """
+    order = [F.desc(F.round(score, 12)), F.asc("slice_ord"), F.asc("slice_val")]
     if not keys:
         best = candidates.orderBy(*order).limit(k)
         return best.withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # k rows

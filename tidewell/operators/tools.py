@@ -86,7 +86,7 @@ def compare_windows(panel: DataFrame, col: str, w: Windows, min_slice_size: int
     of = lambda win, x: F.when(F.col("win") == win, x)
     stats = rows.groupBy(F.col(col).cast("string").alias("slice_val")).agg(*(F.avg(of(k, (F.col("sales") == 0).cast("int"))).alias(f"{k}_zero") for k in ("ref", "cur")))
     mid = js.agg(F.median("js").alias("column_median_js"), F.count("*").alias("of_n"))
-    place = F.row_number().over(Window.orderBy(F.desc("js"), "slice_val"))  # a row a value of one column
+    place = F.row_number().over(Window.orderBy(F.desc(F.round("js", 12)), "slice_val"))  # a row a value of one column
     return js.withColumn("place", place).crossJoin(F.broadcast(mid)).join(stats, "slice_val")
 
 

@@ -10,7 +10,7 @@ from . import sql as S
 from .registry import query
 
 TOP = "SELECT slice_col, slice_val, round(score, 9) AS score, round(coverage, 9) AS coverage, CAST(rank AS INT) AS rank"
-RANK = "row_number() OVER (ORDER BY score DESC, slice_ord, slice_val) AS rank"
+RANK = "row_number() OVER (ORDER BY round(score, 12) DESC, slice_ord, slice_val) AS rank"
 
 
 def _top(df):

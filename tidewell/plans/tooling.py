@@ -46,7 +46,7 @@ def p4(spark, sf_dir):
 @query(
     "p5_compare_windows",
     f"WITH {S.RETAIL}, {within_sql(S.RETAIL, 'retail', S.RETAIL_REF, S.RETAIL_CUR, ('store_id',), 's')}, z AS (SELECT store_id, avg(CAST(sales = 0 AS INT)) FILTER (win = 'ref') AS ref_zero, avg(CAST(sales = 0 AS INT)) FILTER (win = 'cur') AS cur_zero FROM t GROUP BY 1) "
-    "SELECT slice_val, round(score, 9) AS js, CAST(row_number() OVER (ORDER BY score DESC, slice_val) AS INT) AS place, count(*) OVER () AS of_n, round(median(score) OVER (), 9) AS column_median_js, round(coverage, 9) AS coverage, round(ref_zero, 9) AS ref_zero, round(cur_zero, 9) AS cur_zero FROM s JOIN z ON store_id = slice_val",
+    "SELECT slice_val, round(score, 9) AS js, CAST(row_number() OVER (ORDER BY round(score, 12) DESC, slice_val) AS INT) AS place, count(*) OVER () AS of_n, round(median(score) OVER (), 9) AS column_median_js, round(coverage, 9) AS coverage, round(ref_zero, 9) AS ref_zero, round(cur_zero, 9) AS cur_zero FROM s JOIN z ON store_id = slice_val",
 )
 def p5(spark, sf_dir):
     """Divergence, rank of n, column median, zero shares."""
