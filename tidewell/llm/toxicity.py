@@ -71,7 +71,8 @@ def suspects(text: str) -> np.ndarray:
     hot[1:] |= ((points[1:] == ord("$")) | (points[1:] == ord("@"))) & letter[:-1]
     hot[2:] |= letter[2:] & (points[2:] == points[1:-1]) & (points[1:-1] == points[:-2])
     single = letter[1:-1] & ~letter[:-2] & ~letter[2:]
-    hot[3:-3] |= single[:-4] & sep[2:-4] & single[2:-2] & sep[4:-2] & single[4:]
+    apart = single[:-4] & sep[2:-4] & single[2:-2] & sep[4:-2] & single[4:]  # from the first of three
+    hot[1 : 1 + len(apart)] |= apart
     at = np.flatnonzero(hot)
     if not len(at):
         return at
