@@ -204,3 +204,35 @@ def test_best_first_search():
     pairs = {(("cat_id", "a"), ("store_id", "s")): (0.2, 0.25)}
     assert localise.best_first(singles, pairs)[0][0] == (("cat_id", "a"), ("store_id", "s"))
     assert localise.best_first([], {}) == []
+
+
+def test_agents_with_tools(spark):
+    from tidewell.operators import harness
+
+    p = small_panel(spark, [(i, s, d, 1 + (d > 10) * (s == "1") * 5) for i in "ab" for s in "12" for d in range(1, 21)])
+    said = iter([{"tool": "compare_windows", "args": {"col": "store_id"}}, {"tool": "get_slice_history", "args": {"col": "nope"}}, {"tool": "check_spikes", "args": {"col": "store_id", "val": "1"}}, {"submit": {"col": "store_id", "val": "9"}}, {"submit": {"col": "store_id", "val": "1"}}])
+    out = harness.investigate(p, W, lambda m: next(said))
+    assert out.answer == {"col": "store_id", "val": "1"} and out.calls == 3 and "unknown" in json.dumps(out.transcript)
+    said = iter([{"tool": "duplicate_check", "args": {}}, {"tool": "constant_run_check", "args": {}}, {"submit": {"fault": "none"}}])
+    assert harness.inspect_faults(p, W, lambda m: next(said)).answer == {"fault": "none"}
+    said = iter([{"tool": "list_files", "args": {}}, {"tool": "profile", "args": {"file": "f"}}, {"submit": {"fact": "f", "item": "item_id", "store": "store_id", "date": "date", "target": "sales"}}])
+    assert harness.onboard({"f": p}, lambda m: next(said)).answer["target"] == "sales"
+    assert harness.decide({"mae": 1}, lambda m: {"submit": {"decision": "retrain", "confidence": 0.9}}).answer["decision"] == "retrain"
+    assert harness.decide({"mae": 1}, lambda m: {"submit": {"decision": "maybe"}}).reason.startswith("invalid")
+    rows = harness.rerank_trials([("t", p, W, ("store_id", "1")), ("u", p, W, ("store_id", "1"))], lambda m: {"content": "no"}, "coarse_only", done=frozenset({"u"}))
+    assert [r["trial_id"] for r in rows] == ["t"] and not rows[0]["used"] and rows[0]["reason"].startswith("fallback")
+
+
+def test_model_and_harm(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    from tidewell.operators import model
+
+    p = small_panel(spark, [(i, s, d, (i == "a") * 3 + d % 3 + 1) for i in "ab" for s in "12" for d in range(1, 21)])
+    m = model.train(p, W, ("wday",), ("dept_id",))
+    m.write().overwrite().save(str(tmp_path / "m"))
+    scored = model.score(PipelineModel.load(str(tmp_path / "m")), p)
+    assert scored.agg(F.avg("abs_error")).first()[0] < 2
+    worse = model.harm(model.score(m, p.withColumn("sales", F.col("sales") * 4)), scored, W).first()
+    assert worse["harmful"] and worse["ratio"] > 1.05
+    assert "phi_wday" in model.contributions(m, p, ("wday",)).columns

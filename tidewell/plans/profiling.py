@@ -115,3 +115,15 @@ def m2(spark, sf_dir):
     return model.score(m, p).groupBy("dept_id").agg(F.avg("abs_error").alias("mae"), F.avg("residual").alias("bias"))
 
 
+
+
+@query(
+    "a17_obscured_copy",
+    "WITH c AS (SELECT c_mktsegment AS v, 'v' || dense_rank() OVER (ORDER BY c_mktsegment) AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT c_custkey, code AS x1 FROM customer JOIN c ON v = c_mktsegment",
+)
+def a17(spark, sf_dir):
+    """Values replaced by codes, columns renamed."""
+    from ..sources import io
+
+    hidden, _ = io.obscured(read(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment"), ["c_mktsegment"], {"c_mktsegment": "x1"})
+    return hidden

@@ -106,3 +106,20 @@ def l4(spark, sf_dir):
     ranked = trials.localise_trials(tag(inject.with_trials(p, _TRIALS), EVENT_WINDOWS), "sales", COARSE_COLUMNS)
     truth = spark.createDataFrame([(n, i.slice_col, i.slice_val) for n, i in _TRIALS], "trial_id string, true_col string, true_val string")
     return trials.score_rankings(ranked, truth, hierarchy.closure(hierarchy.edges(p)))
+
+
+@query("l16_rerank_harness")
+def l16(spark, sf_dir):
+    """Three trials through the re-ranking harness, with a scripted model that puts the last candidate first."""
+    import json
+
+    from ..operators import harness
+    from ..sources.panel import EVENT_WINDOWS
+
+    def scripted(messages):
+        n = len(json.loads(messages[0]["content"])["candidates"])
+        return {"content": json.dumps({"ranking": list(range(n))[::-1]})}
+
+    p = event_panel(spark, sf_dir)
+    rows = harness.rerank_trials([(n, inject.inject(p, i), EVENT_WINDOWS, (i.slice_col, i.slice_val)) for n, i in _TRIALS], scripted, mode="hybrid")
+    return spark.createDataFrame(rows, "trial_id string, n_candidates int, base string, model string, base_hit boolean, model_hit boolean, used boolean, reason string")
