@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import tidied
-from .vectors import SHARD_ROWS, Best, matrix, sharded_search, shard_count, spooled, usable
+from .vectors import Best, matrix, shard_count, shard_rows, sharded_search, spooled, usable
 
 PIVOTS = 64
 ANNULUS = 96
@@ -99,8 +99,8 @@ def top_k(df: DataFrame, query_every: int = 20, k: int = 20, scale: int = 64, pi
     # Pivots get as many shards as they fill; small ones share. A place is (first shard, how many).
     place, used = {}, 0.0
     for p in range(max(1, len(sample))):
-        need = counts.get(p, 0) / SHARD_ROWS
-        place[p] = (int(used) % shards, max(1, -(-counts.get(p, 0) // SHARD_ROWS)))
+        need = counts.get(p, 0) / shard_rows(n)
+        place[p] = (int(used) % shards, max(1, -(-counts.get(p, 0) // shard_rows(n))))
         used += max(need, 0.0) if need < 1 else place[p][1]
     first, many = (F.array(*(F.lit(place[p][i]) for p in sorted(place))) for i in (0, 1))
     spread = F.pmod(F.xxhash64("vec_id", F.lit(13)), F.element_at(many, F.col("pivot") + 1))

@@ -31,8 +31,8 @@ MARGIN = RUN + RUN + REACH + REACH
 STARTS = WINDOW - 2 * MARGIN - REACH + 1
 assert STARTS >= REACH
 GROUP = 32
-#: Bits of the set of shared keys that is sent to the executors: 8 MB, however large the input. A false hit costs time only.
-SET_BITS = 1 << 26
+#: Fewest and most bits of a set that is sent to the executors (64 MB at most, however large the input); a false hit costs time only.
+LEAST_BITS, MOST_BITS = 1 << 22, 1 << 29
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _U = np.uint64
@@ -132,25 +132,23 @@ def shared_keys(docs: DataFrame) -> DataFrame:
 
 
 def bit_set(df: DataFrame, value: str) -> np.ndarray:
-    """A set of SET_BITS bits with those of the longs in column `value` (their low bits); built by Spark, 8 MB at most on the driver."""
-    bit = df.select(F.col(value).bitwiseAND(F.lit(SET_BITS - 1)).alias("bit"))
+    """A set of bits with those of the longs in column `value` (their low bits): 16 bits a value within the bounds, built by Spark, small on the driver."""
+    n = df.count()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+    bit = df.select(F.col(value).bitwiseAND(F.lit(size - 1)).alias("bit"))
     found = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    out = np.zeros(SET_BITS // 8, dtype=np.uint8)
-    for r in found.collect():
-        _place(out, r["bucket"], np.frombuffer(bytes(r["bits"]), dtype=np.uint8))
+    out = np.zeros(size // 8, dtype=np.uint8)
+    for r in found.collect():  # 64 MB at most
+        at = (r["bucket"] - 1) * 4096  # Spark's bucket 1 holds bits 1 to 32768; bit 0 lies before it and needs no place
+        if at >= 0:
+            got = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+            out[at : at + len(got)] |= got[: len(out) - at]
     return out
 
 
-def _place(out: np.ndarray, bucket: int, bits: np.ndarray) -> None:
-    """Spark's buckets count from 1 for bits 1 to 32768; bit 0 lies in bucket 0."""
-    at = (bucket - 1) * 4096
-    if at >= 0:
-        out[at : at + len(bits)] |= bits[: len(out) - at]
-
-
 def _has(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    """Membership of keys; Spark puts value v at bit (v - 1) % 32768 of bucket 1 + (v - 1) // 32768. Value 0 always passes."""
-    v = (key & _U(SET_BITS - 1)).astype(np.int64) - 1
+    """Membership of keys: Spark puts value v at bit (v - 1) % 32768 of bucket 1 + (v - 1) // 32768. Value 0 always passes."""
+    v = (key & _U(8 * len(bits) - 1)).astype(np.int64) - 1
     return (v < 0) | ((bits[v >> 3] >> (v & 7).astype(np.uint8)) & 1).astype(bool)
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from .shared import spool, tidied
 
-#: Rows of a shard, about; queries of a block. A task holds one shard at a time and streams the blocks past it.
-SHARD_ROWS, BLOCK_QUERIES = 1536, 256
+#: Rows of a shard, about: as many as give MOST_SHARDS shards, within bounds; queries of a block. A task holds one shard at a time and streams the blocks past it.
+SHARD_ROWS, LARGEST_SHARD, MOST_SHARDS, BLOCK_QUERIES = 1536, 250_000, 4096, 256
 
 
 def usable(df: DataFrame, id_col: str, vector_col: str, allow_zero: bool) -> DataFrame:
@@ -144,8 +144,12 @@ class Best:
         return np.where(np.isfinite(self.score), self.id, -1), self.score
 
 
+def shard_rows(n: int) -> int:
+    return min(max(SHARD_ROWS, n // MOST_SHARDS), LARGEST_SHARD)
+
+
 def shard_count(n: int) -> int:
-    return max(1, -(-n // SHARD_ROWS))
+    return max(1, -(-n // shard_rows(n)))
 
 
 def spooled(rows: DataFrame) -> tuple[DataFrame, int]:
