@@ -11,27 +11,32 @@ from ..sources.panel import COARSE_COLUMNS, Windows
 from .detect import CATEGORICAL, NUMERIC, global_scan
 from .localise import rank_within_slices, top_k
 
-NO_SLICE = "no localized slice explained a meaningful share of it: likely a broad, cross-cutting shift rather than a localized one."
+# The wording of a report.
+HEAD = "Drift detected in '%s' (JS=%.4f, L-inf=%.4f)"
+NO_SLICE = " but no localized slice explained a meaningful share of it: likely a broad, cross-cutting shift rather than a localized one."
+STRONGEST, FIGURES = ". The strongest localized explanation is ", " (score=%.4f, covering %.1f%% of the current window)."
+PROMO_NOTE = " This window overlaps a known promotional/event period ({}), which is consistent with a demand-side (not data-quality) explanation."
+PIPELINE_NOTE = " No calendar event overlaps this window, which is more consistent with a data-quality or pipeline issue than a genuine demand shift."
 GLOBAL_ACTIONS = ("Investigate global pipeline changes (schema, ingestion timing).", "Check for a platform-wide event (site-wide sale, outage) around this window.")
+VERIFY, CHECK_LOGS = ("Verify against the marketing/promotions calendar for ", "."), ("Check pipeline/ingestion logs for ", " around this window.")
+COMPARE = ("Compare against the model-based localization baseline for a second opinion on ", ".")
+RULE_OUT, RULE_OUT_SCORE = "Secondary candidate to rule out: ", " (score=%.4f)."
 
 
 def narrate(alerts: DataFrame, promo: str | None = None, pipeline_issue: bool = False) -> DataFrame:
     """alerts (feature, js, l_inf, is_drift, slices: array of structs, best first) with narrative and recommended_actions."""
     top, second = F.get("slices", F.lit(0)), F.get("slices", F.lit(1))
     place = lambda s: F.concat(s["slice_col"], F.lit("='"), s["slice_val"], F.lit("'"))
-    head = F.format_string("Drift detected in '%s' (JS=%.4f, L-inf=%.4f)", "feature", "js", "l_inf")
-    note = ""
-    if promo:
-        note = f" This window overlaps a known promotional/event period ({promo}), which is consistent with a demand-side (not data-quality) explanation."
-    elif pipeline_issue:
-        note = " No calendar event overlaps this window, which is more consistent with a data-quality or pipeline issue than a genuine demand shift."
-    found = F.concat(head, F.lit(". The strongest localized explanation is "), place(top), F.format_string(" (score=%.4f, covering %.1f%% of the current window).", top["score"], top["coverage"] * 100), F.lit(note))
-    check: Column = F.concat(F.lit("Verify against the marketing/promotions calendar for "), place(top), F.lit(".")) if promo else F.concat(F.lit("Check pipeline/ingestion logs for "), place(top), F.lit(" around this window."))
-    other = F.concat(F.lit("Compare against the model-based localization baseline for a second opinion on "), F.col("feature"), F.lit("."))
-    rule_out = F.concat(F.lit("Secondary candidate to rule out: "), place(second), F.format_string(" (score=%.4f).", second["score"]))
+    head = F.format_string(HEAD, "feature", "js", "l_inf")
+    note = PROMO_NOTE.format(promo) if promo else PIPELINE_NOTE if pipeline_issue else ""
+    around = lambda words, x: F.concat(F.lit(words[0]), x, F.lit(words[1]))
+    found = F.concat(head, F.lit(STRONGEST), place(top), F.format_string(FIGURES, top["score"], top["coverage"] * 100), F.lit(note))
+    check: Column = around(VERIFY if promo else CHECK_LOGS, place(top))
+    other = around(COMPARE, F.col("feature"))
+    rule_out = F.concat(F.lit(RULE_OUT), place(second), F.format_string(RULE_OUT_SCORE, second["score"]))
     some = F.size("slices") > 0
     actions = F.when(~some, F.array(*map(F.lit, GLOBAL_ACTIONS))).when(F.size("slices") > 1, F.array(check, other, rule_out)).otherwise(F.array(check, other))
-    return alerts.withColumns({"narrative": F.when(some, found).otherwise(F.concat(head, F.lit(f" but {NO_SLICE}"))), "recommended_actions": actions})
+    return alerts.withColumns({"narrative": F.when(some, found).otherwise(F.concat(head, F.lit(NO_SLICE))), "recommended_actions": actions})
 
 
 def reports(panel: DataFrame, w: Windows, k: int = 5, synthesizer: Callable[[DataFrame], DataFrame] = narrate) -> DataFrame:
