@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.binning import adaptive_edges, bin_of
 from tidewell.functions.divergence import divergences
+from tidewell.functions.quantiles import LARGE_BYTES, leaf_bytes, quantiles
 from tidewell.functions.stats import mcnemar, wilson
 from tidewell.operators import agents, detect, hierarchy, inject, localise, profile, quality, report, tools, trials
 from tidewell.operators.inject import Injection
@@ -236,3 +237,21 @@ def test_model_and_harm(spark, tmp_path):
     worse = model.harm(model.score(m, p.withColumn("sales", F.col("sales") * 4)), scored, W).first()
     assert worse["harmful"] and worse["ratio"] > 1.05
     assert "phi_wday" in model.contributions(m, p, ("wday",)).columns
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_ranked_quantiles_are_the_same(spark, keys):
+    rows = [(i % 3, float(v)) for i, v in enumerate([*range(200), *[7] * 90, 1e9, -5.5, 0.25])] + [(0, None), (5, 3.0)]
+    df = spark.createDataFrame(rows, "k int, x double")
+    marks = [0.0, 0.05, 0.5, 0.77, 0.99, 1.0]
+    of = lambda ranked: {tuple(r[k] for k in keys): r["q"] for r in quantiles(df, "x", marks, keys, ranked).collect()}
+    a, b = of(True), of(False)
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-12) for k in a)
+    e = lambda ranked: sorted(map(str, adaptive_edges(df, "x", keys, ranked=ranked).collect()))
+    assert e(True) == e(False)
+    assert adaptive_edges(df.where("false"), "x", ranked=True).first()["edges"] == [0, 1]
+
+
+def test_input_size_is_seen(spark):
+    size = leaf_bytes(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").join(spark.range(3).withColumnRenamed("id", "l_orderkey"), "l_orderkey"))
+    assert 1000 < size < LARGE_BYTES
