@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.held import connection, same
-from tidewell.llm import components, content_store, kernels, mixing, nbsvm, packing, pivots, ranges, recompression, registry, simhash, toxicity, vptree, warc
+from tidewell.llm import components, content_store, kernels, mixing, nbsvm, packing, pivots, ranges, recompression, registry, shared, simhash, toxicity, vptree, warc
 from tidewell.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -180,6 +180,16 @@ def test_simhash_edges(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(docs.withColumn("fp", F.lit("x"))).collect()) == [1, 3]
 
 
+def test_rows_go_by_id(spark, monkeypatch):
+    docs = documents(spark, ["t"] * 3000, range(3000)).unionByName(documents(spark, ["n", "again"], [None, 7])).withColumn("row", F.lit(1)).withColumn("_id", F.lit(2))
+    gone = spark.range(0, 3000, 7).select(F.col("id").alias("doc_id"))
+    for bits in (shared.MAP_BITS, 1 << 6):  # a map so small that it marks kept rows too
+        monkeypatch.setattr(shared, "MAP_BITS", bits)
+        out = shared.without_ids(docs, gone)
+        assert out.columns == docs.columns and sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in out.collect()) == [-1, *(i for i in range(3000) if i % 7)]
+    assert shared.without_ids(docs, gone.where("false")).count() == 3002
+
+
 def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(5, 5)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}

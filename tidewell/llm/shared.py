@@ -83,6 +83,28 @@ def as_before(df: DataFrame, columns: list[str], text_col: str = "text") -> Data
     return df.select(*(F.col("text").cast("string").alias(c) if c == text_col else F.col("row")[c].alias(c) for c in columns))
 
 
+#: Most bits of the map by which without_ids() tells most rows apart: at most 8192 rows of 4 KB.
+MAP_BITS = 1 << 28
+
+
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """docs without the rows whose id is in gone (id_col, distinct). Rows with a null id stay.
+
+    Few ids are gone as a rule, and rows carry texts: a map of the gone ids' hashes (16 bits an id, 32 MB at most) is sent to the scan, and only
+    rows that it marks, rightly or not, are moved for the join that decides. gone is read three times, so it should be a written table.
+    """
+    size = min(MAP_BITS, max(1 << 6, 1 << (16 * gone.count()).bit_length()))
+    at = F.xxhash64(F.col(id_col).cast("long")).bitwiseAND(F.lit(size - 1))
+    maps = gone.select(at.alias("_h")).groupBy(F.bitmap_bucket_number("_h").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_h")).alias("_bits"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("_id"), F.bitmap_bucket_number(at).alias("_bucket"), F.bitmap_bit_position(at).cast("int").alias("_bit"))
+    marked = rows.join(F.broadcast(maps), "_bucket", "left")
+    byte = F.conv(F.hex(F.col("_bits").substr((F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce((F.col("_id").isNotNull()) & (F.getbit(byte, F.col("_bit") % 8) == 1), F.lit(False))
+    marked = marked.select("row", "_id", hit.alias("_hit"))
+    moved = marked.where("_hit").join(gone.select(F.col(id_col).cast("long").alias("_id")), "_id", "left_anti")
+    return marked.where("not _hit").select("row.*").unionByName(moved.select("row.*"))
+
+
 def text_chunks(batches: Iterable[pa.RecordBatch], limit: int = CHUNK_BYTES, rows: int = 2048) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most `limit` bytes of text and `rows` rows, and their texts (null: empty)."""
     for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import partitions, spool, text_chunks, texts_of, tidied
+from .shared import partitions, spool, text_chunks, texts_of, tidied, without_ids
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -274,5 +274,5 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those in a group of near-duplicates that has a smaller id. Rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(found, id_col, "left_anti").select(docs.columns)
+    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    return without_ids(docs, spool(gone, "gone"), id_col)

@@ -41,7 +41,7 @@ LOOKALIKES = {
 #: Costs, as negative natural logarithms: a look-alike, a letter's repeats dropped to one or two, a mark or space dropped or kept between single letters.
 COST_SWAP, COST_ONCE, COST_TWICE, COST_DROP, COST_KEEP = 2.0, 0.7, 1.2, 0.5, 3.0
 #: A digit, $ or @ at an end that is no letter (other marks cost COST_DROP there).
-COST_END = 4.0
+COST_END = 9.0
 _TRIPLE = re.compile(r"(.)\1\1", re.S)
 #: Longest stretch read as one disguised word; longer ones with digits are codes, not words.
 LONGEST = 40
