@@ -131,7 +131,7 @@ class Best:
         if scores.shape[1] > 2 * self.k:  # all that can enter, ties included
             bar = np.partition(scores, -self.k, axis=1)[:, -self.k]
             most = int((scores >= bar[:, None]).sum(axis=1).max())
-            pick = np.argsort(-scores, axis=1, kind="stable")[:, :most]
+            pick = np.argpartition(-scores, most - 1, axis=1)[:, :most] if most < scores.shape[1] else np.broadcast_to(np.arange(most), scores.shape)
         else:
             pick = np.broadcast_to(np.arange(scores.shape[1]), scores.shape)
         s = np.concatenate((self.score[q], np.take_along_axis(scores, pick, axis=1)), axis=1)

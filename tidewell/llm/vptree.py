@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from .vectors import Best, shard_count, sharded_search, spooled, usable
 
-LEAF = 96
+LEAF = 256
 #: On unit vectors recall stays 1 up to 3; where norms vary widely it falls below 0.9 past 1.25.
 RELAX = 1.2
 
