@@ -9,10 +9,12 @@ import gc
 import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,8 +50,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def ship_package() -> None:
+    """Make the package importable in Python workers that start elsewhere than the driver: a zip of its sources, once a context.
+
+    Not done where PYTHONPATH, which workers inherit, already leads to it.
+    """
+    context = SparkContext._active_spark_context
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if context is None or getattr(context, "_tidewell_shipped", False):
+        return
+    if root not in map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))):
+        package = os.path.join(root, "tidewell")
+        if not os.path.isdir(package):
+            return  # it is itself in an archive, so was shipped already
+        path = os.path.join(tempfile.mkdtemp(prefix="tidewell-"), "tidewell_package.zip")
+        with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+            for folder, _, names in os.walk(package):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        full = os.path.join(folder, name)
+                        z.write(full, os.path.relpath(full, root))
+        context.addPyFile(path)
+    context._tidewell_shipped = True
+
+
 def tidied(kernel: Callable) -> Callable:
     """The kernel of a mapInArrow, which at its end hands memory back: workers outlive their tasks, and what each holds adds up beside the JVM."""
+    ship_package()
 
     @functools.wraps(kernel)
     def run(batches):
