@@ -132,9 +132,9 @@ def shared_keys(docs: DataFrame) -> DataFrame:
 
 
 def bit_set(df: DataFrame, value: str) -> np.ndarray:
-    """A set of bits with those of the longs in column `value` (their low bits): 16 bits a value within the bounds, built by Spark, small on the driver."""
+    """A set of bits with those of the longs in column `value` (their low bits): 32 to 64 bits a value within the bounds, built by Spark, small on the driver."""
     n = df.count()
-    size = min(MOST_BITS, max(LEAST_BITS, 1 << (16 * n).bit_length()))
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (32 * n).bit_length()))
     bit = df.select(F.col(value).bitwiseAND(F.lit(size - 1)).alias("bit"))
     found = bit.groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     out = np.zeros(size // 8, dtype=np.uint8)
