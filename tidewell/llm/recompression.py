@@ -128,7 +128,7 @@ def shared_keys(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(key[g].view(np.int64)), pa.array(ids[w.doc[window[g]]])], names=["key", "doc_id"])
 
     named = docs.mapInArrow(tidied(run), "key long, doc_id long").groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n"))
-    return spool(named.where("a <> b").select("key", "n"), "shared-keys")
+    return spool(named.where("a <> b").select("key", "n"), "shared-keys", small=True)
 
 
 def bit_set(df: DataFrame, value: str) -> np.ndarray:
@@ -275,7 +275,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     given = texts_of(docs.where(F.col(id_col).isNotNull()), id_col, text_col)
-    flags = spool(repeated_windows(given), "flags")
+    flags = spool(repeated_windows(given), "flags", small=True)
     touched = spark.sparkContext.broadcast(bit_set(flags.select(F.xxhash64("doc_id").alias("h")).distinct(), "h"))
     extra = [F.struct(F.col(text_col).isNotNull().alias("_"), *(F.col(c) for c in docs.columns if c != text_col)).alias("row")] if carry else []
     hashed = texts_of(docs, id_col, text_col, [F.xxhash64(F.col(id_col).cast("long")).alias("h"), *extra])

@@ -39,10 +39,13 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors."""
+def spool(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage ends there and survives lost executors.
+
+    small: its rows are short, so a file takes in four partitions; thousands of little files cost more than they hold.
+    """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.coalesce(max(1, partitions(df.sparkSession) // 4)) if small else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
