@@ -43,36 +43,41 @@ COST_SWAP, COST_ONCE, COST_TWICE, COST_DROP, COST_KEEP = 2.0, 0.7, 1.2, 0.5, 3.0
 #: A digit, $ or @ at an end that is no letter (other marks cost COST_DROP there).
 COST_END = 9.0
 _TRIPLE = re.compile(r"(.)\1\1", re.S)
-#: Longest stretch read as one disguised word; longer ones with digits are codes, not words.
+#: Most runs of one character in a stretch read as one disguised word; longer ones with digits are codes, not words.
 LONGEST = 40
 
 _SWAPS = re.escape("".join(LOOKALIKES))
-#: Stretches with more than one reading, from their first character on: single letters set apart; a word with look-alikes before, between or (two at
+#: Stretches with more than one reading, from their first character on: single letters or look-alikes set apart; a word with look-alikes before, between or (two at
 #: most, of those that seldom end a word) after its letters; a word that repeats a letter three times or more.
 DISGUISED = re.compile(
-    rf"[^\W_](?:[ .\-_*~][^\W_]){{2,}}(?!\w)"
+    rf"(?:[^\W_]|[{_SWAPS}])(?:[ .\-_*~](?:[^\W_]|[{_SWAPS}])){{2,}}(?!\w)"
     rf"|(?:[{_SWAPS}]*[^\W\d_]+)?[{_SWAPS}]+[^\W\d_](?:[^\W_]|[{_SWAPS}](?=[^\W_{_SWAPS}]|[{_SWAPS}][^\W_]))*(?:[$@\d]{{1,2}}(?![{_SWAPS}]))?"
     rf"|[^\W\d_]+[$@]{{1,2}}(?![{_SWAPS}])"
     rf"|[^\W_]+"
 )
-_LETTER, _SWAP, _SEP, _SPACE = 1, 2, 4, 8
+_LETTER, _SWAP, _SEP, _SPACE, _WORD = 1, 2, 4, 8, 16
 _KIND = np.zeros(0x250, dtype=np.uint8)
 for _o in range(0x250):
-    _KIND[_o] = _LETTER * chr(_o).isalpha() + _SWAP * (chr(_o) in LOOKALIKES) + _SEP * (chr(_o) in " .-_*~") + _SPACE * chr(_o).isspace()
+    _KIND[_o] = _LETTER * chr(_o).isalpha() + _SWAP * (chr(_o) in LOOKALIKES) + _SEP * (chr(_o) in " .-_*~") + _SPACE * chr(_o).isspace() + _WORD * chr(_o).isalnum()
 
 
 def suspects(text: str) -> np.ndarray:
     """Where words start that a disguise may have touched (a superset), for a text in lower case; found without looking at words one by one."""
     points = np.frombuffer(f"\n{text}\n".encode("utf-32-le", "replace"), dtype=np.uint32)
-    kind = np.where(points < len(_KIND), _KIND[np.minimum(points, len(_KIND) - 1)], _LETTER).astype(np.uint8)
-    letter, swap, sep = ((kind & k) > 0 for k in (_LETTER, _SWAP, _SEP))
+    kind = np.where(points < len(_KIND), _KIND[np.minimum(points, len(_KIND) - 1)], _LETTER + _WORD).astype(np.uint8)
+    letter, swap, sep, word = ((kind & k) > 0 for k in (_LETTER, _SWAP, _SEP, _WORD))
     hot = np.zeros(len(kind), dtype=bool)
     hot[1:] |= letter[1:] & swap[:-1]
     hot[1:] |= ((points[1:] == ord("$")) | (points[1:] == ord("@"))) & letter[:-1]
     hot[2:] |= letter[2:] & (points[2:] == points[1:-1]) & (points[1:-1] == points[:-2])
-    single = letter[1:-1] & ~letter[:-2] & ~letter[2:]
-    apart = single[:-4] & sep[2:-4] & single[2:-2] & sep[4:-2] & single[4:]  # from the first of three
-    hot[1 : 1 + len(apart)] |= apart
+    single = (word | swap)[1:-1] & ~word[:-2] & ~word[2:]
+    apart = np.flatnonzero(single[:-4] & sep[2:-4] & single[2:-2] & sep[4:-2] & single[4:]) + 1  # from the first of three
+    if len(apart):  # in stretches, of which those with a letter count
+        first = np.flatnonzero(np.diff(apart, prepend=-9) != 2)
+        end = apart[np.append(first[1:], len(apart)) - 1] + 5
+        letters = np.append(0, np.cumsum(letter))
+        with_letter = letters[end] > letters[apart[first]]
+        hot[apart[np.repeat(with_letter, np.diff(np.append(first, len(apart))))]] = True
     at = np.flatnonzero(hot)
     if not len(at):
         return at
@@ -150,7 +155,7 @@ class Decoder:
 
     def _read(self, seen: str) -> str:
         spaced = _spaced(seen)
-        if (len(seen) > LONGEST and not spaced) or (not spaced and seen.isalpha() and not _TRIPLE.search(seen)) or seen.isdigit():
+        if (not spaced and _runs(seen) > LONGEST) or (spaced and not any(c.isalpha() for c in seen)) or (not spaced and seen.isalpha() and not _TRIPLE.search(seen)) or seen.isdigit():
             return seen
         got = self.known.get(seen)
         if got is None:
@@ -188,7 +193,11 @@ def _symbols(written: str) -> tuple[int, ...]:
 
 
 def _spaced(seen: str) -> bool:
-    return len(seen) >= 5 and all((c.isalnum() if i % 2 == 0 else not c.isalnum()) for i, c in enumerate(seen))
+    return len(seen) >= 5 and len(seen) % 2 == 1 and all((c.isalnum() or c in LOOKALIKES) if i % 2 == 0 else c in " .-_*~" for i, c in enumerate(seen))
+
+
+def _runs(seen: str) -> int:
+    return len(seen) if len(seen) <= LONGEST else 1 + sum(a != b for a, b in zip(seen, seen[1:], strict=False))
 
 
 def _lattice(seen: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
@@ -199,7 +208,7 @@ def _lattice(seen: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
         while i + n < len(seen) and seen[i + n] == c:
             n += 1
         at, i = i, i + n
-        if spaced and not c.isalnum():
+        if spaced and at % 2:
             yield [("", COST_DROP), (" ", COST_KEEP)]
             continue
         letters = [(c, 0.0)] if c.isalpha() else [(x, COST_SWAP) for x in LOOKALIKES.get(c, "")]
@@ -213,7 +222,7 @@ def _lattice(seen: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
                 options.append((x, cost))
             else:
                 options += [(x, cost + COST_ONCE), (x * 2, cost + (COST_TWICE if n > 2 else 0.0))]
-                if n > 2 and c.isalpha():
+                if 2 < n <= LONGEST and c.isalpha():
                     options.append((x * n, cost + COST_TWICE))
         yield options
 
