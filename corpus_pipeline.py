@@ -33,8 +33,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """What is left is packed into sequences: a row a piece."""
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """What is left is packed into sequences: a row a piece, with its token ids."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), carry=True)
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", near_duplicates), ("substring_dedup", repeats), ("mixing", mix), ("packing", pack)]

@@ -80,3 +80,16 @@ def test_suspects_are_a_superset(text):
         found = toxicity.DISGUISED.match(text, b)
         if found and toxicity._spaced(found.group()) and any(c.isalpha() for c in found.group()):
             assert b in starts
+
+
+# ---- pipeline: the packed corpus holds its ids
+
+
+def test_pipeline_ends_in_token_ids(spark):
+    docs = documents(spark, ["some words here", "word " * 3000])
+    tokenizer = Tokenizer.from_file(BYTES)
+    whole = {}
+    for r in sorted(corpus_pipeline.pack(spark, docs, "").collect(), key=lambda r: (r["doc_id"], r["piece"])):
+        assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        whole[r["doc_id"]] = whole.get(r["doc_id"], b"") + bytes(r["ids"])
+    assert {d: np.frombuffer(b, dtype="<u4").tolist() for d, b in whole.items()} == {r["doc_id"]: [*tokenizer.encode(r["text"], add_special_tokens=False).ids, packing.END_ID] for r in docs.collect()}
