@@ -93,3 +93,15 @@ def test_pipeline_ends_in_token_ids(spark):
         assert len(r["ids"]) == 4 * r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
         whole[r["doc_id"]] = whole.get(r["doc_id"], b"") + bytes(r["ids"])
     assert {d: np.frombuffer(b, dtype="<u4").tolist() for d, b in whole.items()} == {r["doc_id"]: [*tokenizer.encode(r["text"], add_special_tokens=False).ids, packing.END_ID] for r in docs.collect()}
+
+
+# ---- op5, op10: added tokens in texts
+
+
+@pytest.mark.parametrize("path", [BYTES, WORDS])
+def test_added_tokens_in_texts_are_the_librarys(path):
+    own, tokenizer = Encoder(path), Tokenizer.from_file(path)
+    texts = [t for a in ("<|endoftext|>", "<|startoftext|>") for t in (a, f"x{a}y", f"x {a} y", f"{a}{a}", a.upper(), f"a\n{a}\nb", a[:-1], a[1:], f"É {a} 中")] + ["<| x", "plain words"]
+    expected = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in own.encode(texts)] == expected
+    assert any(len(e) == 1 for e in expected)

@@ -37,10 +37,10 @@ def _newest(numbers: defaultdict, known: int) -> list[str]:
 
 
 class Encoder:
-    """Same ids as Tokenizer.encode(text, add_special_tokens=False), special tokens' strings being ordinary text.
+    """Same ids as Tokenizer.encode(text, add_special_tokens=False), so an added token's string in a text is that token.
 
     For a byte-level pattern whose pieces take at most one leading space, a space or line end between two non-spaces starts a new
-    pre-token, and the line end is one by itself. Where the pattern drops white space, any is a cut. Other texts go to the library whole.
+    pre-token, and the line end is one by itself. Where the pattern drops white space, any is a cut. Other texts, and those that may hold an added token's string, go to the library whole.
     """
 
     def __init__(self, path: str):
@@ -48,7 +48,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        marks = [max(re.split(r"[\w\s]+", t), key=len) for t in added]  # what no normalizer changes, and is soon looked for
+        self.marks = sorted({m for m in marks if m})
+        unmarked = [re.escape(t) for t, m in zip(added, marks, strict=True) if not m]
+        self.unmarked = re.compile("|".join(unmarked), re.I).search if unmarked else None
         kind = json.loads(self.tokenizer.to_str())["pre_tokenizer"]["type"]
         if kind not in ("ByteLevel", "Sequence"):
             raise ValueError(f"no rule for cutting texts for pre-tokenizer {kind}")
@@ -165,7 +169,7 @@ class Encoder:
         odd = (_ODD_SPACED if self.lead else _ODD_LOOSE).search
         found, whole, counts = [], {}, np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
-            if odd(text):
+            if odd(text) or any(m in text for m in self.marks) or (self.unmarked and self.unmarked(text)):
                 whole[i] = self._ids([text])
             else:
                 pieces = (_BARE + text.replace("\n", lines)).split(" ") if self.lead else text.split()
