@@ -58,6 +58,22 @@ def test_near_copies_go(spark):
     assert minhash.similar_groups(odd.where("false")).count() == 0
 
 
+# ---- op1: a few long vectors among unit ones
+
+
+@pytest.mark.parametrize("longest", [6.0, 9.0, 12.0, 20.0, 1000.0])
+@pytest.mark.parametrize("many", [1, 5])
+def test_long_vectors_leave_the_search_on(longest, many):
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(1536, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[100 : 100 + many] *= longest
+    ids, q = np.arange(1536), np.arange(0, 1536, 20)
+    for relax, least in ((vptree.RELAX, 0.9), (1.0, 1.0)):
+        found, _ = vptree.Tree(ids, x, relax).search(ids[q], x[q], 20)
+        assert np.mean([len(set(f) & set(best_of(x, ids.tolist(), i, 20))) / 20 for f, i in zip(found.tolist(), q, strict=True)]) >= least
+
+
 # ---- op7: spaced and look-alike at once
 
 
