@@ -9,11 +9,12 @@ import numpy as np
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tests.llm.test_llm import BYTES, WORDS, best_of, documents
-from tidewell.llm import minhash, packing, toxicity, vptree
+from tests.llm.test_llm import BYTES, WORDS, best_of, brute_groups, documents
+from tidewell.llm import near_texts, packing, toxicity, vptree
 from tidewell.llm.tokens import Encoder
 
 # ---- pipeline: near copies
@@ -26,18 +27,6 @@ def edited(words, n, r):
     return words
 
 
-def brute_groups(texts):
-    """{id: smallest id reachable by pairs whose five-word shingles have 0.8 or more in common}."""
-    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
-    group = list(range(len(texts)))
-    for j, b in enumerate(sets):
-        for i, a in enumerate(sets[:j]):
-            if group[i] != group[j] and (a == b or (a and b and len(a & b) / len(a | b) >= 0.8)):
-                x, y = sorted((group[i], group[j]))
-                group = [x if g == y else g for g in group]
-    return dict(enumerate(group))
-
-
 def test_near_copies_go(spark):
     r = random.Random(8)
     texts = []
@@ -51,11 +40,13 @@ def test_near_copies_go(spark):
     texts += [" ".join(edited(words, 6, r)) for _ in range(12)] + ["", " \n", "few words", "Few  words"]
     groups = brute_groups(texts)
     docs = documents(spark, texts)
-    assert {x["doc_id"]: x["component_id"] for x in minhash.similar_groups(docs).collect()} == groups
+    assert {x["doc_id"]: x["component_id"] for x in near_texts.similar_groups(docs).collect()} == groups
     assert {x["doc_id"] for x in corpus_pipeline.near_duplicates(spark, docs, "").collect()} == {d for d, g in groups.items() if d == g}
+    again = documents(spark, [texts[0], texts[1], texts[24]], [3, 9, 9])  # an id stays where one of its texts does
+    assert sorted(x["doc_id"] for x in near_texts.keep_first(again.withColumn("w0", F.lit(1)).withColumn("node", F.lit(2))).collect()) == [3, 9, 9]
     odd = documents(spark, [None, "a b", "a b", ""], [4, None, None, 2])
-    assert sorted(str(x["doc_id"]) for x in minhash.keep_first(odd).collect()) == ["2", "None", "None"]
-    assert minhash.similar_groups(odd.where("false")).count() == 0
+    assert sorted(str(x["doc_id"]) for x in near_texts.keep_first(odd).collect()) == ["2", "None", "None"]
+    assert near_texts.similar_groups(odd.where("false")).count() == 0
 
 
 # ---- op1: a few long vectors among unit ones

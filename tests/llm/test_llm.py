@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.held import connection, same
-from tidewell.llm import components, content_store, kernels, mixing, nbsvm, packing, pivots, ranges, recompression, registry, shared, simhash, toxicity, vptree, warc
+from tidewell.llm import components, content_store, kernels, mixing, nbsvm, near_texts, packing, pivots, ranges, recompression, registry, shared, simhash, toxicity, vptree, warc
 from tidewell.llm.tokens import Encoder
 
 SF = "/root/testdata/sf0.001"
@@ -166,7 +166,7 @@ def test_anchors_meet_all_links(spark, blocks):
     reps = {}
     for i, f in fps.items():
         reps.setdefault(f, i)
-    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for f, i in reps.items()], "fp long, rep long")
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f, i) for f, i in reps.items()], "fp long, node long")
     found = simhash.links(df, n_blocks=blocks, home_rows=3, probe_rows=20)  # hot anchors are dealt out
     joined = {r["node"]: r["component"] for r in components.connected_components(found).collect()}
     assert {i: joined.get(i, i) for i in reps.values()} == brute_components({i: f for f, i in reps.items()})
@@ -177,7 +177,23 @@ def test_simhash_edges(spark):
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}
     assert got == {5: 3, 3: 3, 9: 3, 1: 1}
     assert simhash.near_duplicates(docs.where("false")).count() == 0
-    assert sorted(r["doc_id"] for r in simhash.keep_first(docs.withColumn("fp", F.lit("x"))).collect()) == [1, 3]
+    clash = docs.withColumns({"fp": F.lit("x"), "node": F.lit("y"), "row": F.lit(0)})
+    assert simhash.near_duplicates(clash).count() == 4
+    assert sorted(r["doc_id"] for r in near_texts.keep_first(clash).collect()) == [1, 3]
+
+
+def test_simhash_repeated_ids(spark):
+    r = random.Random(4)
+    a, b = (" ".join(f"w{r.getrandbits(30)}" for _ in range(60)) for _ in range(2))
+    for more in ([], [(4, a)]):
+        docs = documents(spark, [a, b, b.upper(), *(t for _, t in more)], [5, 5, 2, *(i for i, _ in more)])
+        got = {(r["doc_id"], r["fp"] == simhash_of(a)): r["component_id"] for r in simhash.near_duplicates(docs).collect()}
+        assert got[(5, False)] == got[(2, False)] == 2 and got[(5, True)] == (4 if more else 5)
+
+
+def simhash_of(text):
+    f = simhash.fingerprint(text.encode())
+    return f - (f >> 63 << 64)
 
 
 def test_rows_go_by_id(spark, monkeypatch):
@@ -487,6 +503,18 @@ def test_op2_sql(spark):
 # ---- the pipeline
 
 
+def brute_groups(texts):
+    """{place: smallest place reachable by pairs whose five-word shingles have 0.8 or more in common}."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for t in texts]
+    group = list(range(len(texts)))
+    for j, b in enumerate(sets):
+        for i, a in enumerate(sets[:j]):
+            if group[i] != group[j] and (a == b or (a and b and len(a & b) / len(a | b) >= 0.8)):
+                x, y = sorted((group[i], group[j]))
+                group = [x if g == y else g for g in group]
+    return dict(enumerate(group))
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -495,8 +523,9 @@ def test_pipeline_stages(spark):
         before, after = ({r["doc_id"] for r in x.select("doc_id").collect()} for x in (docs, out))
         assert after <= before and len(after) > 0.6 * len(before), name
         if name == "near_duplicates":
-            fps = {r["doc_id"]: simhash.fingerprint((r["text"] or "").encode()) for r in docs.collect()}
-            assert after == {d for d, c in brute_components(fps).items() if d == c}
+            rows = sorted((r["doc_id"], r["text"] or "") for r in docs.collect())
+            groups = brute_groups([t for _, t in rows])  # the stage's contract: five-word shingles, 0.8 or more in common
+            assert after == {rows[i][0] for i, g in groups.items() if i == g}
         if name == "substring_dedup":
             kept = brute_windows([(r["doc_id"], (r["text"] or "").encode().split()) for r in docs.collect()])
             assert {r["doc_id"]: r["text"].encode().split() for r in out.collect()} == kept

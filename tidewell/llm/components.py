@@ -7,24 +7,32 @@ from pyspark.sql import functions as F
 
 from .shared import spool
 
+#: Pieces of a node with very many neighbours.
+SALTS = 256
+
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
+def _with_least(pairs: DataFrame) -> DataFrame:
+    """pairs (u, v) with `m`, the smallest v of its u. A u with many pairs is met in up to SALTS pieces: minima by piece, then by u, which go back to the pieces that u has."""
+    salted = pairs.withColumn("_s", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+    least = salted.groupBy("u", "_s").agg(F.min("v").alias("m")).groupBy("u").agg(F.min("m").alias("m"), F.collect_list("_s").alias("_s"))
+    return salted.join(least.select("u", "m", F.explode("_s").alias("_s")), ["u", "_s"]).select("u", "v", "m")
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    """Each node hands its larger neighbours to its smallest one. The minimum is pre-aggregated; the join back can be split where a node is hot."""
-    both = _both(edges)
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    """Each node hands its larger neighbours to the smallest of it and its neighbours."""
+    met = _with_least(_both(edges)).where("v > u")
+    return met.select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node hands itself and its smaller neighbours to the smallest of them."""
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+    met = _with_least(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    moved = met.select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v"))
+    return moved.where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:

@@ -8,7 +8,7 @@ the fingerprints that came are compared with those at home there. Fewer, longer
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import combinations
 
@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import partitions, spool, text_chunks, texts_of, tidied, without_ids
+from .kernels import mix
+from .shared import partitions, spool, text_chunks, texts_of, tidied
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -98,26 +99,22 @@ class Code:
 
 
 @lru_cache(maxsize=8)
-def blocks_of(n_blocks: int, max_bits: int) -> tuple[tuple[int, Code], ...]:
-    """(shift, code) of each block of the 64 bits."""
+def blocks_of(n_blocks: int, block_bits: int) -> tuple[tuple[int, Code], ...]:
+    """(shift, code) of each block of a 64-bit word; block_bits: how far apart two fingerprints may be in a block where they meet."""
     width, rest = divmod(64, n_blocks)
     out, shift = [], 0
     for i in range(n_blocks):
         bits = width + (i < rest)
-        out.append((shift, Code(bits, Code.radius + max_bits // n_blocks)))
+        out.append((shift, Code(bits, Code.radius + block_bits)))
         shift += bits
     return tuple(out)
 
 
-def _popcount_links(homes: np.ndarray, probes: np.ndarray, max_bits: int) -> np.ndarray:
-    return np.bitwise_count(probes[:, None] ^ homes[None, :]) <= max_bits
-
-
 class _Bucket:
     """Compares what comes to one anchor with what is at home there, and keeps only a forest of the links found."""
 
-    def __init__(self, fp: np.ndarray, rep: np.ndarray):
-        self.fp, self.rep = fp, rep
+    def __init__(self, fp: np.ndarray, node: np.ndarray):
+        self.fp, self.node = fp, node
         self.parent = np.arange(len(fp))
 
     def roots(self) -> np.ndarray:
@@ -127,12 +124,15 @@ class _Bucket:
                 return up
             self.parent = up
 
-    def probe(self, fp: np.ndarray, rep: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Links (rep of a probe, rep of a home), one for each probe that has any besides itself; homes that a probe links are joined."""
-        links = _popcount_links(self.fp, fp, max_bits)
-        some = np.flatnonzero(links.sum(axis=1) > 0)
+    def probe(self, fp: np.ndarray, node: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links (node of a probe, node of a home), one for each probe that has any besides itself; homes that a probe links are joined."""
+        apart = np.bitwise_count(fp[:, None, 0] ^ self.fp[None, :, 0])
+        for k in range(1, fp.shape[1]):
+            apart += np.bitwise_count(fp[:, None, k] ^ self.fp[None, :, k])
+        links = apart <= max_bits
+        some = np.flatnonzero(links.any(axis=1))
         if not len(some):
-            return rep[:0], rep[:0]
+            return node[:0], node[:0]
         links = links[some]
         root = self.roots()
         none = len(root)
@@ -144,7 +144,7 @@ class _Bucket:
             for a, b in set(zip(root[new != root].tolist(), new[new != root].tolist(), strict=True)):
                 self._join(a, b)
             root = self.roots()
-        u, v = rep[some], self.rep[least]
+        u, v = node[some], self.node[least]
         keep = u != v
         return u[keep], v[keep]
 
@@ -158,47 +158,59 @@ class _Bucket:
     def own(self) -> tuple[np.ndarray, np.ndarray]:
         root = self.roots()
         keep = np.flatnonzero(root != np.arange(len(root)))
-        return self.rep[keep], self.rep[root[keep]]
+        return self.node[keep], self.node[root[keep]]
+
+
+#: Where the number of a block begins in the key of an anchor: blocks are shorter than this.
+_BLOCK_AT = np.uint64(40)
 
 
-def links(reps: DataFrame, max_bits: int = MAX_BITS, n_blocks: int | None = None, home_rows: int = 2000, probe_rows: int = 50_000) -> DataFrame:
-    """(u, v): a forest that connects exactly what the links of at most max_bits differing bits connect. reps: distinct (fp long, rep long).
+def links(
+    fingerprints: DataFrame, max_bits: int = MAX_BITS, words: Sequence[str] = ("fp",), compared: int | None = None, n_blocks: int | None = None, block_bits: int | None = None, home_rows: int = 2000, probe_rows: int = 50_000
+) -> DataFrame:
+    """(u, v): a forest of nodes that connects what the links found connect. fingerprints: (node long, words... long), a row a node.
 
-    An anchor with more than home_rows at home, or more than about probe_rows coming, is dealt out over several tasks, in pieces that meet pairwise.
+    A fingerprint is the 64-bit `words` together. Two are linked if they meet at an anchor, being at most block_bits apart in one of the n_blocks blocks of a
+    word, and differ in at most max_bits of the first `compared` words. With the defaults (one word; max_bits // n_blocks apart in a block) that finds
+    every pair of at most max_bits differing bits. An anchor with more than home_rows at home, or more than about probe_rows coming, is dealt out
+    over several tasks, in pieces that meet pairwise; where the hot ones are is a list no longer than there are anchors.
     """
-    spark = reps.sparkSession
+    spark = fingerprints.sparkSession
     if n_blocks is None:
-        n_blocks = 4 if reps.count() <= 1 << 22 else 3
-    assert max_bits // n_blocks <= 3
-    codes = blocks_of(n_blocks, max_bits)
-    far = int(sum(len(f) for f in codes[0][1].flips) / 16)
+        n_blocks = 4 if fingerprints.count() <= 1 << 22 else 3
+    block_bits = max_bits // n_blocks if block_bits is None else block_bits
+    assert block_bits <= 3
+    compared = compared or len(words)
+    codes = [(w, *c) for w in range(len(words)) for c in blocks_of(n_blocks, block_bits)]
+    far = int(sum(len(f) for f in codes[0][2].flips) / 16)
+    given = fingerprints.select("node", *words)
+    kept = list(words[:compared])
+
+    def columns(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return batch.column(0).to_numpy(), np.stack([batch.column(1 + w).to_numpy().view(np.uint64) for w in range(len(words))], axis=1)
 
     def home_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = batch.column(0).to_numpy().view(np.uint64)
-            for b, (shift, code) in enumerate(codes):
-                at, n = np.unique(code.home((fp >> np.uint64(shift)) & code.mask), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), b, dtype=np.int32)), pa.array(at.view(np.int64)), pa.array(n)], names=["block", "anchor", "n"])
+            fp = columns(batch)[1]
+            for b, (w, shift, code) in enumerate(codes):
+                at, n = np.unique(code.home((fp[:, w] >> np.uint64(shift)) & code.mask) | np.uint64(b) << _BLOCK_AT, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at.view(np.int64)), pa.array(n)], names=["anchor", "n"])
 
-    # Bounded by the hot anchors: at most blocks * rows / home_rows of them.
-    hot_rows = reps.mapInArrow(tidied(home_keys), "block int, anchor long, n long").groupBy("block", "anchor").agg(F.sum("n").alias("n")).where(F.col("n") > home_rows).collect()
-    hot = spark.sparkContext.broadcast({(r["block"], r["anchor"]): (-(-r["n"] // home_rows), max(1, r["n"] * far // probe_rows)) for r in hot_rows})
+    hot_rows = given.mapInArrow(tidied(home_keys), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > home_rows).collect()
+    hot_rows = sorted((r["anchor"], -(-r["n"] // home_rows), max(1, r["n"] * far // probe_rows)) for r in hot_rows)
+    hot = spark.sparkContext.broadcast(np.array(hot_rows, dtype=np.int64).reshape(-1, 3))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "anchor", "piece", "probe", "fp", "rep"]
+        names = ["anchor", "piece", "probe", "node", *kept]
         for whole in batches:
             for at in range(0, whole.num_rows, 4096):
-                batch = whole.slice(at, 4096)
-                fp, rep = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-                spread = np.bitwise_xor.reduce(np.frombuffer(fp.tobytes(), dtype=np.uint16).reshape(-1, 4).astype(np.int64) * np.array([1, 31, 1009, 32749]), axis=1)
-                for b, (shift, code) in enumerate(codes):
-                    x = (fp >> np.uint64(shift)) & code.mask
-                    index, anchor = code.near(x)
-                    for probe, i, a in ((False, np.arange(len(fp)), code.home(x)), (True, index, anchor)):
-                        piece = np.zeros(len(i), dtype=np.int32)
-                        if hot.value:
-                            i, a, piece = _replicate(i, a, b, probe, spread, hot.value)
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), b, dtype=np.int32)), pa.array(a.view(np.int64)), pa.array(piece), pa.array(np.full(len(i), probe)), pa.array(fp[i].view(np.int64)), pa.array(rep[i])], names=names)
+                node, fp = columns(whole.slice(at, 4096))
+                spread = (mix(node.view(np.uint64)) >> np.uint64(1)).astype(np.int64)
+                for b, (w, shift, code) in enumerate(codes):
+                    x = (fp[:, w] >> np.uint64(shift)) & code.mask
+                    for probe, (i, a) in ((False, (np.arange(len(fp)), code.home(x))), (True, code.near(x))):
+                        i, a, piece = _replicate(i, (a | np.uint64(b) << _BLOCK_AT).view(np.int64), probe, spread, hot.value)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(piece), pa.array(np.full(len(i), probe)), pa.array(node[i]), *(pa.array(fp[i, k].view(np.int64)) for k in range(compared))], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, bucket = None, [], None
@@ -207,26 +219,23 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS, n_blocks: int | None = None
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for whole in batches:
-            columns = [whole.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-            same = np.ones(whole.num_rows, dtype=bool)
-            same[0] = False
-            for c in columns[:4]:
-                same[1:] &= c[1:] == c[:-1]
-            cuts = [*np.flatnonzero(~same).tolist(), whole.num_rows]
+            anchor, piece, probe, node = (whole.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            fps = np.stack([whole.column(4 + k).to_numpy().view(np.uint64) for k in range(compared)], axis=1)
+            same = (anchor[1:] == anchor[:-1]) & (piece[1:] == piece[:-1]) & (probe[1:] == probe[:-1])
+            cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), whole.num_rows] if whole.num_rows else []
             found = []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                now = tuple(int(c[a]) for c in columns[:3])
-                fp, rep = columns[4][a:b].view(np.uint64), columns[5][a:b]
+                now = int(anchor[a]), int(piece[a])
                 if now != key:
                     if bucket:
                         found.append(bucket.own())
                     key, held, bucket = now, [], None
-                if not columns[3][a]:
-                    held.append((fp, rep))
+                if not probe[a]:
+                    held.append((fps[a:b], node[a:b]))
                 elif held or bucket:
                     if bucket is None:
                         bucket, held = _Bucket(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])), []
-                    found += [bucket.probe(fp[i : i + 512], rep[i : i + 512], max_bits) for i in range(0, len(fp), 512)]
+                    found += [bucket.probe(fps[i : min(i + 512, b)], node[i : min(i + 512, b)], max_bits) for i in range(a, b, 512)]
             if found:
                 u, v = (np.concatenate(x) for x in zip(*found, strict=True))
                 if len(u):
@@ -234,14 +243,18 @@ def links(reps: DataFrame, max_bits: int = MAX_BITS, n_blocks: int | None = None
         if bucket:
             yield out(*bucket.own())
 
-    dealt = reps.repartition(partitions(spark)).mapInArrow(tidied(deal), "block int, anchor long, piece int, probe boolean, fp long, rep long")
-    met = dealt.repartition(partitions(spark), "block", "anchor", "piece").sortWithinPartitions("block", "anchor", "piece", "probe")
+    schema = "anchor long, piece int, probe boolean, node long, " + ", ".join(f"{c} long" for c in kept)
+    dealt = given.repartition(partitions(spark)).mapInArrow(tidied(deal), schema)
+    met = dealt.repartition(partitions(spark), "anchor", "piece").sortWithinPartitions("anchor", "piece", "probe")
     return met.mapInArrow(tidied(compare), "u long, v long").where("u <> v")
 
 
-def _replicate(i: np.ndarray, anchor: np.ndarray, block: int, probe: bool, spread: np.ndarray, hot: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """A home goes to its row of the grid of pieces, a probe to its column: each pair meets in one piece."""
-    grid = np.array([hot.get((block, a), (1, 1)) for a in anchor.tolist()], dtype=np.int64).reshape(-1, 2)
+def _replicate(i: np.ndarray, anchor: np.ndarray, probe: bool, spread: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A home goes to its row of the grid of pieces, a probe to its column: each pair meets in one piece. hot: anchor, rows, columns, by anchor."""
+    if not len(hot):
+        return i, anchor, np.zeros(len(i), dtype=np.int32)
+    at = np.minimum(np.searchsorted(hot[:, 0], anchor), len(hot) - 1)
+    grid = np.where((hot[at, 0] == anchor)[:, None], hot[at, 1:], 1)
     rows, cols = grid[:, 0], grid[:, 1]
     times = rows if probe else cols
     index = np.repeat(np.arange(len(i)), times)
@@ -251,17 +264,23 @@ def _replicate(i: np.ndarray, anchor: np.ndarray, block: int, probe: bool, sprea
     return i[index], anchor[index], piece.astype(np.int32)
 
 
+def component_ids(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, component_id): the smallest rep of each node's component. nodes: (node, rep); joined: (node, component) of the nodes on links."""
+    least = nodes.join(joined, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    return nodes.join(joined, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints chain by links of at most max_bits differing bits share the smallest doc_id.
 
-    Equal fingerprints are joined first by a pre-aggregated minimum, so copies never meet pairwise. A null text counts as empty;
-    empty texts have fingerprint 0 and link like any other. Rows with a null id are left out. Repeated ids keep their rows.
-    An empty table gives no rows; other columns are not looked at.
+    Equal fingerprints are one node, so copies never meet pairwise. A null text counts as empty; empty texts have fingerprint 0 and link like any
+    other. Rows with a null id are left out. Repeated ids keep their rows, and an id does not link the fingerprints of its rows. An
+    empty table gives no rows; other columns are not looked at.
     """
     each = spool(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, seed), "fingerprints")
-    reps = spool(each.groupBy("fp").agg(F.min("doc_id").alias("rep")), "reps")
-    joined = connected_components(links(reps, max_bits))
-    named = reps.join(joined, reps.rep == joined.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    nodes = spool(each.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("rep")), "nodes")
+    joined = connected_components(links(nodes.withColumn("fp", F.col("node")), max_bits))
+    named = component_ids(nodes, joined).withColumnRenamed("node", "fp")
     return each.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -270,9 +289,3 @@ def op9(spark, sf_dir: str) -> DataFrame:
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without those in a group of near-duplicates that has a smaller id. Rows with a null id stay."""
-    gone = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return without_ids(docs, spool(gone, "gone"), id_col)
