@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.llm import minhash, mixing, packing, recompression, toxicity
+from tidewell.llm import mixing, near_texts, packing, recompression, toxicity
 from tidewell.llm.shared import spool, table
 
 #: Share of the tokens that reach the mixing stage that it keeps.
@@ -19,7 +19,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (0.8 or more of their five-word shingles in common) the document with the smallest id stays."""
-    return minhash.keep_first(docs)
+    return near_texts.keep_first(docs)
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
