@@ -466,8 +466,10 @@ def test_quotas_go_to_siblings_first(spark):
     assert more == {("a", "x"): 20.0, ("a", "y"): 2000.0, ("b", "x"): 2000.0}
 
 
-def test_mixing_edges(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [100_000, 0])
+def test_mixing_edges(spark, monkeypatch, sent):
     monkeypatch.setattr(mixing, "STRETCH", 3)  # many stretches
+    monkeypatch.setattr(mixing, "MOST_SENT", sent)
     docs = documents(spark, [f"{'w ' * (i % 9)}x" for i in range(90)] + [None, "", "a b"], [*range(90), 90, 91, None])
     taken = mixing.mixture(docs, share=0.5).toPandas()
     total = sum(len((t["text"] or "").split()) for t in docs.where("doc_id is not null").collect())
@@ -475,6 +477,8 @@ def test_mixing_edges(spark, monkeypatch):
     kept = mixing.keep_mixture(docs.withColumn("full", F.lit(1)).withColumn("order", F.lit(2)), 1.0)
     assert kept.count() == 92 and kept.columns == [*docs.columns, "full", "order"]
     assert mixing.mixture(docs.where("false")).count() == 0
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and ("_salt" in plan) == (sent == 0)
 
 
 # ---- op8

@@ -7,7 +7,7 @@ weights; only what all of them can't take shows at their parent's siblings, sinc
 A leaf's quota is so many whole epochs and a prefix of one more. The order of an epoch is that of md5(seed:epoch:doc_id), so any subset of
 documents keeps its relative order. The prefix ends at the document where the running tokens pass the rest of the quota (rounded to the
 nearest document). It is found from sums over stretches of the order and one stretch a leaf, and applied as a
-threshold on the order: texts are not moved, and a hot leaf is only summed.
+threshold on the order. What is known of a leaf is one row, which goes to the documents (see beside()); they are not moved, and a hot leaf is only summed.
 """
 
 from __future__ import annotations
@@ -21,7 +21,9 @@ from .shared import spool, table
 
 WORDS = r"[^\x20\x09-\x0D]+"
 #: Documents in a stretch of a leaf's order, about.
-STRETCH = 20_000
+STRETCH = 2_000
+#: Most leaves whose rows are broadcast (some 300 bytes each); beyond, rows meet them in SALTS pieces a leaf.
+MOST_SENT, SALTS = 100_000, 64
 
 
 def n_words(text: str) -> Column:
@@ -60,6 +62,14 @@ def quotas(leaves: DataFrame, levels: Sequence[str], budget: float, weights: Map
     return nodes.withColumnRenamed("_given", "quota").drop("_room")
 
 
+def beside(rows: DataFrame, leaves: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows (with doc_id) joined with their leaf's row. leaves: a written table, so its rows are counted first, and sent to the rows if they are few."""
+    if leaves.count() <= MOST_SENT:
+        return rows.join(F.broadcast(leaves), list(keys))
+    dealt = leaves.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(dealt, [*keys, "_salt"]).drop("_salt")
+
+
 def order_of(seed: int, epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), epoch.cast("string"), doc_id.cast("string")).cast("binary"))
 
@@ -73,18 +83,18 @@ def choose(sizes: DataFrame, levels: Sequence[str], share: float, weights: Mappi
     cut = cut.withColumn("rest", F.col("quota") - F.col("full") * F.col("supply")).withColumn("stretches", F.ceil(F.col("docs") / STRETCH).cast("long"))
     cut = spool(cut.select(*levels, "supply", "quota", "full", "rest", "stretches"), "quotas")
 
-    ordered = sizes.join(cut, list(levels)).withColumn("order", order_of(seed, F.col("full"), F.col("doc_id")))
+    ordered = beside(sizes, cut.select(*levels, "full", "rest", "stretches"), levels).withColumn("order", order_of(seed, F.col("full"), F.col("doc_id")))
     at = F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("double") / 2**32 * F.col("stretches")).cast("long")
     ordered = ordered.withColumn("at", at)
     sums = ordered.groupBy(*levels, "at").agg(F.sum("n").alias("n"), F.first("rest").alias("rest"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(*levels).orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    edge = sums.withColumn("before", before).where("before < rest").withColumn("_last", F.max("at").over(Window.partitionBy(*levels))).where("at = _last").select(*levels, "at", "before")
+    edge = sums.withColumn("before", before).where("before < rest").withColumn("_last", F.max("at").over(Window.partitionBy(*levels))).where("at = _last").select(*levels, F.col("at").alias("_at"), "before")
     # In the last stretch that begins within the rest; documents of the stretches before it are in.
-    near = ordered.join(edge, [*levels, "at"])
+    near = beside(ordered, spool(edge, "edges"), levels).where("at = _at")
     run = F.coalesce(F.sum("n").over(Window.partitionBy(*levels).orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     inside = F.col("before") + run + F.col("n") / 2 < F.col("rest")
     last = near.withColumn("_in", inside).groupBy(*levels).agg(F.max(F.when(F.col("_in"), F.struct("order", "doc_id"))).alias("last"), F.first("at").alias("at"))
-    return cut.join(last, list(levels), "left").select(*levels, "supply", "quota", "full", "stretches", "last", "at")
+    return spool(cut.join(last, list(levels), "left").select(*levels, "supply", "quota", "full", "stretches", "last", "at"), "chosen")
 
 
 def copies(seed: int) -> Column:
@@ -115,7 +125,7 @@ def mixture(docs: DataFrame, share: float = SHARE, weights: Mapping[int, Mapping
     """
     sizes = spool(sizes_of(docs), "sizes")
     chosen = choose(sizes, LEVELS, share, weights, max_epochs, seed)
-    taken = sizes.join(chosen, list(LEVELS)).withColumn("copies", copies(seed)).where("copies > 0")
+    taken = beside(sizes, chosen, LEVELS).withColumn("copies", copies(seed)).where("copies > 0")
     return taken.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("epoch"), *LEVELS, F.col("n").alias("n_tokens"))
 
 
@@ -124,9 +134,8 @@ def keep_mixture(docs: DataFrame, share: float, weights: Mapping[int, Mapping[st
     sizes = spool(sizes_of(docs), "sizes")
     chosen = choose(sizes, LEVELS, share, weights, 1, seed)
     chosen = chosen.select(*(F.col(c).alias(f"_{c}") for c in LEVELS), "full", "stretches", "last", "at")
-    # A row a leaf: Spark broadcasts it if it is small, by its size as written.
     row = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), domain_of("source").alias("_domain"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in LEVELS[1:]))
-    return row.join(chosen, [f"_{c}" for c in LEVELS]).where(copies(seed) > 0).select("row.*")
+    return beside(row, chosen, [f"_{c}" for c in LEVELS]).where(copies(seed) > 0).select("row.*")
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
