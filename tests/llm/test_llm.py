@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import shutil
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.held import connection, same
@@ -216,21 +218,23 @@ def test_components_of_a_path_and_a_star(spark):
 # ---- tokens, op5, op10
 
 BYTES, WORDS = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))
+SPECIAL = ["<|endoftext|>", "<|startoftext|>", "<|", "|>"]
 ODD = st.text(st.sampled_from(list("abcXYZ019 \n\t,.!?'’-éßÉ中́　\x01\x02\x1c\x85")) | st.characters(codec="utf-8"), max_size=40)
 
 
 @pytest.mark.parametrize("path", [BYTES, WORDS])
 def test_encoder_is_the_library(path):
-    e = Encoder(path)
+    e, tokenizer = Encoder(path), Tokenizer.from_file(path)
+    odd = st.lists(ODD | st.sampled_from(SPECIAL), max_size=6).map("".join) | ODD
 
     @settings(max_examples=300, deadline=None)
-    @given(st.lists(ODD, max_size=4))
+    @given(st.lists(odd, max_size=4))
     def check(texts):
-        assert [x.tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [x.tolist() for x in e.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
     check()
     texts = ["It's a test, isn't it?", "a  b", " lead", "trail ", "x<|endoftext|>y", "", "don't DON'T"]
-    assert [x.tolist() for x in e.encode(texts)] == [e.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [x.tolist() for x in e.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 @pytest.mark.parametrize("low,high,n", [(1, 1024, 60), (300, 520, 200), (1, 60, 500), (1024, 1025, 5)])
@@ -264,7 +268,7 @@ def test_op5_packs_every_token(spark):
     got: pd.DataFrame = registry.queries()["op5_bin_completion"](spark, SF).toPandas().sort_values(["sequence_id", "offset"])
     ends = got.groupby("sequence_id").length.cumsum()
     assert (got.offset == ends - got.length).all() and ends.max() <= 1024
-    tokenizer = Encoder(BYTES).tokenizer
+    tokenizer = Tokenizer.from_file(BYTES)  # the library's own, untouched
     by = dict(list(got.sort_values("piece").groupby("doc_id")))
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 2], dtype="<u4")
@@ -283,7 +287,7 @@ def test_packing_edges(spark):
 
 def test_op10_reads_back_what_it_wrote(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    tokenizer, start, expected = Encoder(WORDS).tokenizer, 0, {}
+    tokenizer, start, expected = Tokenizer.from_file(WORDS), 0, {}  # the library's own, untouched
     for r in docs.orderBy("doc_id").collect():
         ids = np.array([*tokenizer.encode(r["text"] or "", add_special_tokens=False).ids, 1], dtype="<u4")
         expected[r["doc_id"]] = (start, len(ids), zlib.crc32(ids.tobytes()))
@@ -304,14 +308,56 @@ def test_store_edges(spark):
     assert content_store.checksums(none).count() == 0
 
 
-def test_damage_is_found(spark):
-    store = content_store.write_store(documents(spark, ["some words here"]), WORDS)
-    pack = store.index.first()["pack"].removeprefix("file://").removeprefix("file:")
-    raw = bytearray(open(pack, "rb").read())
-    raw[-1] ^= 255
-    open(pack, "wb").write(raw)
-    with pytest.raises(Exception):  # noqa: B017  (of Spark, around that of the reader)
-        content_store.checksums(store).collect()
+def local(uri):
+    return uri.removeprefix("file://").removeprefix("file:")
+
+
+def rewritten(df):
+    """df written over the folder it was read from."""
+    path = local(df.inputFiles()[0].rsplit("/", 1)[0])
+    rows = df.toPandas()
+    shutil.rmtree(path)
+    df.sparkSession.createDataFrame(rows, df.schema).write.parquet(f"file://{path}")
+
+
+def test_a_store_is_opened_again(spark):
+    docs = documents(spark, [f"{'word ' * (i * 40)}number {i}" for i in range(40)], range(40, 0, -1)).withColumns({"row": F.lit("x"), "start": F.lit("y"), "address": F.lit(0)})
+    written = content_store.write_store(docs, WORDS)
+    store = content_store.open_store(spark, written.path)
+    assert store.root == written.root and content_store.checksums(store).count() == 40
+    inside = [r["doc_id"] for r in content_store.read_documents(store, in_order=True).collect()]
+    assert inside == list(range(1, 41))
+    rewritten(store.recipes.where("doc_id <> 7"))
+    with pytest.raises(ValueError, match="its root states"):
+        content_store.open_store(spark, written.path)
+
+
+@pytest.mark.parametrize("damage", ["flipped", "cut", "swapped", "lost row", "lost pack", "recipe"])
+def test_damage_is_found(spark, damage):
+    docs = documents(spark, [f"some words here {i} {'and more ' * 300 * (i % 3)}" for i in range(30)])
+    store = content_store.write_store(docs, WORDS)
+    packs = sorted(r["pack"] for r in store.manifest.collect())
+    first = local(packs[0])
+    raw = open(first, "rb").read()
+    if damage == "flipped":
+        open(first, "wb").write(raw[:-1] + bytes([raw[-1] ^ 255]))
+    elif damage == "cut":
+        open(first, "wb").write(raw[: len(raw) // 2])
+    elif damage == "swapped":
+        other = local(packs[1])
+        shutil.copy(other, first + ".tmp")
+        shutil.copy(first, other)
+        shutil.copy(first + ".tmp", first)
+    elif damage == "lost row":
+        gone = store.index.first()["address"]
+        store.index = store.index.where(F.col("address") != F.lit(bytes(gone)))
+    elif damage == "lost pack":
+        store.index = store.index.where(F.col("pack") != packs[0])
+    else:
+        store.recipes = store.recipes.withColumn("addresses", F.reverse("addresses"))
+    for read in (content_store.checksums, content_store.read_documents):
+        with pytest.raises(Exception):  # noqa: B017  (of Spark, around that of the reader)
+            read(store).collect()
 
 
 @given(st.binary(max_size=50), st.binary(max_size=50))

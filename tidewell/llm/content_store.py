@@ -3,7 +3,10 @@
 A rolling hash over the last ids cuts each document's ids into chunks, so equal stretches of ids are cut alike. A chunk's address
 is the BLAKE2b digest of its ids; each address is stored once, in one of the pack files. A recipe lists the addresses of a
 document's chunks in order and where its ids start in the stream of all documents by ascending doc_id; its Merkle root, the packs' roots
-and one root over all of them (the manifest) make it possible to tell that what is read back is what was written.
+and one root over all of them (the manifest) tell whether what is read back is what was written. Every reader checks them: the root when a store is
+opened, a pack's root over the chunks found in it, each chunk against its address, and a recipe's root against its addresses; what is missing is an error.
+
+Folder: packs/, rows/ (Parquet: index and packs), recipes/ (Parquet) and root/ (Parquet, one row, written last: without it there is no store).
 
 Pack file: 8 bytes "TWPACK1\\n", then the chunks, which the index addresses by offset and length. Each is a byte, 2 or 4, and a Zstandard
 frame of the ids as little-endian integers of so many bytes, split into byte planes (all lowest bytes first).
@@ -20,13 +23,13 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .files import Writer, read_ranges
 from .kernels import mix
 from .ranges import running_start
-from .shared import fresh_path, partitions, spool, text_chunks, texts_of, tidied
+from .shared import fresh_path, partitions, text_chunks, texts_of, tidied
 from .tokens import encoder
 
 #: Fixed value: what a pack starts with.
@@ -35,6 +38,8 @@ MAGIC = b"TWPACK1\n"
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 512, 8192
 DIGEST = 16
 END_ID = 1
+#: Pieces in which a chunk that very many documents hold is met.
+SALTS = 64
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -118,7 +123,7 @@ def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Store:
-    """index (address, pack, at, size, n_ids), recipes (doc_id, n_ids, start, root, addresses, ends), manifest (pack, root, n_chunks); root: over the packs."""
+    """index (address, pack, at, size, n_ids), recipes (doc_id, row, n_ids, start, root, addresses, ends), manifest (pack, root, n_chunks); root: over the packs."""
 
     path: str
     index: DataFrame
@@ -190,25 +195,55 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int = END_ID, path: str
 
     given = texts_of(docs, id_col, text_col, [F.monotonically_increasing_id().alias("row")])
     dealt = given.mapInArrow(tidied(encode), schema).repartition(partitions(spark), F.hash("to")).sortWithinPartitions("address")
-    made = spool(dealt.mapInArrow(tidied(store), out_schema), "store-rows")
+    dealt.mapInArrow(tidied(store), out_schema).write.parquet(f"{path}/rows")
+    made = spark.read.parquet(f"{path}/rows")
+    recipes = running_start(made.where("recipe is not null").select("recipe.*"), "doc_id", "n_ids", "start", tie="row")
+    recipes.select("doc_id", "row", "n_ids", "start", "root", "addresses", "ends").write.parquet(f"{path}/recipes")
+    packs = made.where("pack_root is not null").select("pack", F.col("pack_root").alias("root"), "n_chunks")
+    stated = _stated(packs, spark.read.parquet(f"{path}/recipes"))
+    spark.createDataFrame([stated], _ROOT).write.parquet(f"{path}/root")
+    return open_store(spark, path)
+
+
+_ROOT = "root binary, n_packs long, n_recipes long, recipes_sum decimal(38,0)"
+
+
+def _stated(packs: DataFrame, recipes: DataFrame) -> tuple:
+    """What the root row states. A row a pack, of which there are as many as tasks, comes to the driver; of the recipes only a count and a sum of hashes."""
+    roots = sorted(bytes(r["root"]) for r in packs.select("root").collect())
+    n, total = recipes.agg(F.count("*"), F.sum(F.xxhash64("doc_id", "row", "n_ids", "start", "root").cast("decimal(38,0)"))).first()
+    return merkle_root(roots), len(roots), n, total
+
+
+def open_store(spark: SparkSession, path: str) -> Store:
+    """A store written before. Packs or recipes other than those its root row states are an error."""
+    made = spark.read.parquet(f"{path}/rows")
     index = made.where("address is not null").select("address", "pack", "at", "size", "n_ids")
     packs = made.where("pack_root is not null").select("pack", F.col("pack_root").alias("root"), "n_chunks")
-    recipes = running_start(made.where("recipe is not null").select("recipe.*"), "doc_id", "n_ids", "start", tie="row")
-    recipes = spool(recipes.select("doc_id", "row", "n_ids", "start", "root", "addresses", "ends"), "recipes")
-    # A row a pack, of which there are as many as tasks: small, and needed in one place for the one root.
-    root = merkle_root([bytes(r["root"]) for r in packs.select("root").orderBy("root").collect()])
-    return Store(path, index, recipes, packs, root)
+    recipes = spark.read.parquet(f"{path}/recipes")
+    said = spark.read.parquet(f"{path}/root").first()
+    stated = (bytes(said["root"]), *said[1:])
+    if _stated(packs, recipes) != stated:
+        raise ValueError(f"the packs or recipes of {path} are not those that its root states")
+    return Store(path, index, recipes, packs, stated[0])
 
 
 def _read_chunks(store: Store, with_data: bool) -> DataFrame:
-    """(address, n_ids, crc[, data]) of every stored chunk, read from the packs in coalesced ranges; an address that its ids don't give is an error."""
+    """(address, n_ids, crc[, data]) of every stored chunk, read from the packs in coalesced ranges.
+
+    A chunk whose ids don't give its address, and a pack whose chunks don't give its root, are errors.
+    """
+    spark = store.index.sparkSession
+    packs = spark.sparkContext.broadcast({r["pack"]: (bytes(r["root"]), r["n_chunks"]) for r in store.manifest.collect()})  # a row a pack: as many as tasks
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def ranges():
             for batch in batches:
-                yield from zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 0)), strict=True)
+                for pack, at, size, address in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3, 0)), strict=True):
+                    yield pack, at, size, (pack, address)
 
         held: list[tuple] = []
+        now, leaves = None, []
 
         def out():
             a, n, c, d = zip(*held, strict=True)
@@ -216,31 +251,63 @@ def _read_chunks(store: Store, with_data: bool) -> DataFrame:
             arrays = [pa.array(a, type=pa.binary()), pa.array(n, type=pa.int64()), pa.array(c, type=pa.int64())] + ([pa.array(d, type=pa.binary())] if with_data else [])
             return pa.RecordBatch.from_arrays(arrays, names=["address", "n_ids", "crc", "data"][: len(arrays)])
 
-        for address, data in read_ranges(ranges()):
+        def close():
+            if now is not None and packs.value.get(now) != (merkle_root(leaves), len(leaves)):
+                raise ValueError(f"the index of pack {now} is not what its root states")
+
+        for (pack, address), data in read_ranges(ranges()):
+            if pack != now:
+                close()
+                now, leaves = pack, []
+            leaves.append(address)
             raw = unpress(data).tobytes()
             if blake2b(raw, digest_size=DIGEST).digest() != address:
                 raise ValueError(f"chunk {address.hex()} is damaged")
             held.append((address, len(raw) // 4, zlib.crc32(raw), raw if with_data else None))
             if len(held) >= 256:
                 yield out()
+        close()
         if held:
             yield out()
 
-    spark = store.index.sparkSession
     dealt = store.index.repartition(partitions(spark), "pack").sortWithinPartitions("pack", "at")
     return dealt.mapInArrow(tidied(read), "address binary, n_ids long, crc long" + ", data binary" * with_data)
 
 
 def _uses(store: Store) -> DataFrame:
-    """(row, k, address, n, after) of each chunk of each recipe; after: the ids behind it in its document."""
-    ends = F.transform(F.sequence(F.lit(0), F.size("ends") - 1), lambda k: F.struct(k.alias("k"), F.col("addresses").substr(k * DIGEST + 1, F.lit(DIGEST)).alias("address"), F.element_at("ends", (k + 1).cast("int")).alias("end")))
-    return store.recipes.select("row", "n_ids", F.explode(ends).alias("c")).select("row", "c.k", "c.address", (F.col("n_ids") - F.col("c.end")).alias("after"))
+    """(row, k, address, n, after) of each chunk of each recipe; after: the ids behind it in its document. A recipe whose addresses don't give its root is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for row, n_ids, root, addresses, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                own = [addresses[i : i + DIGEST] for i in range(0, len(addresses), DIGEST)]
+                if merkle_root(own) != root or len(own) != len(ends) or ends[-1] != n_ids:
+                    raise ValueError(f"recipe {row} differs from its root")
+                for k, (address, end) in enumerate(zip(own, ends, strict=True)):
+                    for column, x in zip(out, (row, k, address, end - (ends[k - 1] if k else 0), n_ids - end), strict=True):
+                        column.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["row", "k", "address", "n", "after"])
+
+    return store.recipes.select("row", "n_ids", "root", "addresses", "ends").mapInArrow(tidied(run), "row long, k int, address binary, n long, after long")
+
+
+def _met(store: Store, with_data: bool) -> DataFrame:
+    """(row, k, n, after, address, crc[, data]) of each use of a chunk. A chunk of very many documents meets them in up to SALTS pieces; one that no pack holds is an error."""
+    uses = _uses(store).withColumn("_s", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
+    chunks = _read_chunks(store, with_data).withColumnRenamed("n_ids", "_n")
+    pieces = uses.groupBy("address").agg(F.collect_set("_s").alias("_s")).join(chunks, "address").withColumn("_s", F.explode("_s"))
+    met = uses.join(pieces, ["address", "_s"], "left")
+    whole = F.col("_n").isNotNull() & (F.col("_n") == F.col("n"))
+    lost = F.raise_error(F.concat(F.lit("a chunk of recipe "), F.col("row").cast("string"), F.lit(" is missing or of another length")))
+    crc = F.when(whole, F.col("crc")).otherwise(lost.cast("long"))
+    return met.select("row", "k", "n", "after", "address", crc.alias("crc"), *(["data"] if with_data else []))
 
 
 def checksums(store: Store) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) by document, from the files: each pack is read once, and the chunks' checksums are put together by the recipes.
 
-    Only checksums travel, not ids: of a + b the CRC-32 is that of a moved past len(b) bytes, xor that of b.
+    Only checksums travel, not ids: of a + b the CRC-32 is that of a moved past len(b) bytes, xor that of b. What is damaged or missing is an error.
     """
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,14 +315,16 @@ def checksums(store: Store) -> DataFrame:
             row, n, crc, after = (batch.column(i).to_numpy() for i in range(4))
             yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(n), pa.array(crc_shift(crc, after * 4))], names=["row", "n", "crc"])
 
-    chunks = _read_chunks(store, False).withColumnRenamed("n_ids", "n")
-    parts = _uses(store).join(chunks, "address").select("row", "n", "crc", "after").mapInArrow(tidied(move), "row long, n long, crc long")
+    parts = _met(store, False).select("row", "n", "crc", "after").mapInArrow(tidied(move), "row long, n long, crc long")
     by_row = parts.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.bit_xor("crc").alias("ids_crc32"))
-    return store.recipes.join(by_row, "row").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return store.recipes.join(by_row, "row", "left").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-def read_documents(store: Store) -> DataFrame:
-    """(doc_id, start, ids binary): whole documents, put together from their chunks; a document whose chunks don't give its Merkle root is an error."""
+def read_documents(store: Store, in_order: bool = False) -> DataFrame:
+    """(doc_id, start, ids binary): whole documents, put together from their chunks; in_order: by ascending start, the order of the stream.
+
+    What is damaged or missing is an error, also a document whose chunks don't give its Merkle root. A document is put together in one task.
+    """
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,8 +335,9 @@ def read_documents(store: Store) -> DataFrame:
                 ids.append(b"".join(p["data"] for p in parts))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, type=pa.binary())], names=["doc_id", "start", "ids"])
 
-    parts = _uses(store).join(_read_chunks(store, True), "address").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "data"))).alias("parts"))
-    return store.recipes.join(parts, "row").select("doc_id", "start", "root", "parts").mapInArrow(tidied(check), "doc_id long, start long, ids binary")
+    parts = _met(store, True).where("crc is not null").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("k", "data"))).alias("parts"))
+    found = store.recipes.join(parts, "row", "left").select("doc_id", "start", "root", "parts").mapInArrow(tidied(check), "doc_id long, start long, ids binary")
+    return found.orderBy("start") if in_order else found
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
