@@ -22,6 +22,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +39,6 @@ MAGIC = b"TWPACK1\n"
 WINDOW, CUT_BITS, LEAST, MOST = 16, 10, 512, 8192
 DIGEST = 16
 END_ID = 1
-#: Pieces in which a chunk that very many documents hold is met.
-SALTS = 64
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -277,8 +276,18 @@ def _read_chunks(store: Store, with_data: bool) -> DataFrame:
 def _uses(store: Store) -> DataFrame:
     """(row, k, address, n, after) of each chunk of each recipe; after: the ids behind it in its document. A recipe whose addresses don't give its root is an error."""
 
+    names = ["row", "k", "address", "n", "after"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            one = pc.and_(pc.equal(pc.binary_length(batch.column(3)), DIGEST), pc.equal(pc.list_value_length(batch.column(4)), 1))
+            short, batch = batch.filter(one), batch.filter(pc.invert(one))
+            if short.num_rows:  # of one chunk, whose address is the root
+                row, n_ids, root, address, ends = short.columns
+                if not (address.equals(root) and pc.list_flatten(ends).equals(n_ids)):
+                    raise ValueError("a recipe differs from its root")
+                zero = np.zeros(len(row), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([row, pa.array(zero.astype(np.int32)), address, n_ids, pa.array(zero)], names=names)
             out: tuple[list, ...] = ([], [], [], [], [])
             for row, n_ids, root, addresses, ends in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = [addresses[i : i + DIGEST] for i in range(0, len(addresses), DIGEST)]
@@ -287,17 +296,16 @@ def _uses(store: Store) -> DataFrame:
                 for k, (address, end) in enumerate(zip(own, ends, strict=True)):
                     for column, x in zip(out, (row, k, address, end - (ends[k - 1] if k else 0), n_ids - end), strict=True):
                         column.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["row", "k", "address", "n", "after"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()), strict=True)], names=names)
 
     return store.recipes.select("row", "n_ids", "root", "addresses", "ends").mapInArrow(tidied(run), "row long, k int, address binary, n long, after long")
 
 
 def _met(store: Store, with_data: bool) -> DataFrame:
-    """(row, k, n, after, address, crc[, data]) of each use of a chunk. A chunk of very many documents meets them in up to SALTS pieces; one that no pack holds is an error."""
-    uses = _uses(store).withColumn("_s", F.pmod(F.xxhash64("row"), F.lit(SALTS)).cast("int"))
-    chunks = _read_chunks(store, with_data).withColumnRenamed("n_ids", "_n")
-    pieces = uses.groupBy("address").agg(F.collect_set("_s").alias("_s")).join(chunks, "address").withColumn("_s", F.explode("_s"))
-    met = uses.join(pieces, ["address", "_s"], "left")
+    """(row, k, n, after, address, crc[, data]) of each use of a chunk; one that no pack holds is an error. The uses of a chunk of very many documents are
+    the left side of an outer join, which Spark splits where it is skewed (spark.sql.adaptive.skewJoin).
+    """
+    met = _uses(store).join(_read_chunks(store, with_data).withColumnRenamed("n_ids", "_n"), "address", "left")
     whole = F.col("_n").isNotNull() & (F.col("_n") == F.col("n"))
     lost = F.raise_error(F.concat(F.lit("a chunk of recipe "), F.col("row").cast("string"), F.lit(" is missing or of another length")))
     crc = F.when(whole, F.col("crc")).otherwise(lost.cast("long"))

@@ -11,8 +11,8 @@ from itertools import count, islice
 
 import numpy as np
 
-#: Pieces a worker remembers before it starts afresh (and of their parts; about 150 MB).
-CACHE_PIECES = 500_000
+#: Pieces a worker remembers before it starts afresh (and of their parts; about 210 MB).
+CACHE_PIECES = 750_000
 #: Fixed value: a control character that marks a piece with no space before it.
 _BARE = "\x02"
 #: Texts with these are encoded whole: white space beside white space or at an end, and the mark.
