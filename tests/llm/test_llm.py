@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import operator
 import random
 import shutil
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -430,6 +433,28 @@ def test_vector_edges(spark, search):
     assert sorted(few.vec_id) == [21, 22]
 
 
+def test_top_k_of_long_vectors_is_exact(spark):
+    """Components whose products no double holds, as queries and as candidates, beside ordinary ones; repeated ids."""
+    r = random.Random(2)
+    rows = [(i, [r.uniform(-1, 1) for _ in range(3)]) for i in range(1, 120)]
+    rows += [(20, [2e6, 1.0, 0.5]), (121, [2e6, 1.0 / 64, -0.3]), (122, [-3e7, 5e7, 1e8]), (140, [123456789.25, -987654321.5, 5.0]), (141, [2e6, 1.0, 0.5])]
+
+    def expected(table):
+        out = {}
+        whole = [(i, [math.floor(Fraction(x) * 64) for x in v]) for i, v in table]
+        for q, v in whole:
+            if q % 20 == 0:
+                best = sorted((-max(-pivots.MOST, min(pivots.MOST, sum(map(operator.mul, v, w)))), i) for i, w in whole if i != q)
+                out[q] = sorted(out.get(q, []) + best)[:20]
+        return {q: [(i, -s) for s, i in b] for q, b in out.items()}
+
+    rows = [x for x in rows if x[0] != 20 or x[1][0] > 1]  # one row an id
+    for more in ([], [(160, [1e200, -1.0, 0.0]), (161, [1e308, 1e-3, 7.0])]):
+        df = spark.createDataFrame(rows + more, "vec_id long, embedding array<double>")
+        got = {q: list(zip(g.vec_id, g.score, strict=True)) for q, g in pivots.top_k(df).toPandas().sort_values("rank").groupby("query_id")}
+        assert got == expected(rows + more)
+
+
 def test_zero_vectors(spark):
     df = spark.createDataFrame([(20, [0.0, 0.0]), (21, [1.0, 0.0]), (22, [0.0, 0.0])], "vec_id long, embedding array<float>")
     assert vptree.nearest(df).count() == 0

@@ -9,16 +9,21 @@ Pivots are a bounded sample of rows; every row is indexed.
 
 from __future__ import annotations
 
+import math
+import operator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import tidied
+from .shared import spool, tidied
 from .vectors import Best, matrix, shard_count, shard_rows, sharded_search, spooled, usable
 
 PIVOTS = 64
 ANNULUS = 96
+#: The largest long, and less its smallest.
+MOST = (1 << 63) - 1
 
 
 class Annuli:
@@ -66,20 +71,67 @@ class Annuli:
         return best.result()
 
 
+class Wide:
+    """Rows of any size, or for queries of any size: doubles propose, Python's integers decide. Scores beyond a long are held at its limits."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, scale: int):
+        self.ids, self.x, self.scale = ids, vectors, scale
+
+    def whole(self, x: np.ndarray) -> list[int]:
+        return [math.floor(v * self.scale) if abs(v) < 2.0**53 else int(v) * self.scale for v in x.tolist()]
+
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        found, score = np.full((len(queries), k), -1), np.zeros((len(queries), k), dtype=np.int64)
+        wide = max(np.abs(self.x).max(initial=0), np.abs(queries).max(initial=0)) > 2.0**400  # whose products no double holds
+        if not wide:
+            x, q = (np.where(np.abs(v) < 2.0**53, np.floor(v * self.scale), v * self.scale) for v in (self.x, queries))
+            near = q @ x.T
+            error = (x.shape[1] + 4) * 2.0**-52 * np.sqrt((q * q).sum(axis=1))[:, None] * np.sqrt((x * x).sum(axis=1))[None, :]
+        for i, own in enumerate(query_ids.tolist()):
+            rows = np.flatnonzero(self.ids != own)
+            if not wide and len(rows) > k:
+                low = near[i, rows] - error[i, rows]
+                rows = rows[near[i, rows] + error[i, rows] >= np.partition(low, -k)[-k]]
+            mine = self.whole(queries[i])
+            exact = [sum(map(operator.mul, mine, self.whole(self.x[r]))) for r in rows.tolist()]
+            held = sorted((-max(-MOST, min(MOST, e)), int(self.ids[r])) for e, r in zip(exact, rows.tolist(), strict=True))[:k]
+            found[i, : len(held)], score[i, : len(held)] = [h[1] for h in held], [-h[0] for h in held]
+        return found, score
+
+
 def top_k(df: DataFrame, query_every: int = 20, k: int = 20, scale: int = 64, pivots: int = PIVOTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score long): exactly the k highest inner products of floor(scale * x), for rows whose id is divisible by query_every.
 
     Vectors that are null, of another length than most, or hold null or non-finite components take no part; zero vectors do. Ties go to smaller
-    ids. A pivot with more rows than a shard holds is split over several shards. Components whose products could exceed 2 ** 53, the
-    integers a double holds exactly, are an error. Repeated ids are each found, none by its own id. An empty table gives no rows.
+    ids. A pivot with more rows than a shard holds is split over several shards. Rows so long that products could exceed 2 ** 53, the
+    integers a double holds exactly, stay out of the index: they are held against every query, and as queries against every row, in
+    Python's integers; scores beyond a long are held at its limits and tie there. Repeated ids are each found, none by its own id. An empty table gives no rows.
     """
-    spark = df.sparkSession
+    given, n = spooled(usable(df, id_col, vector_col, allow_zero=True))
+    is_query = F.pmod("vec_id", F.lit(query_every)) == 0
+    reach = F.aggregate("v", F.lit(0.0), lambda a, x: a + (F.abs(x) * scale + 1) * (F.abs(x) * scale + 1))
+    wide = given.where(reach >= 2.0**53)
+    n_wide = wide.count()
+    found = _indexed(given.where(reach < 2.0**53) if n_wide else given, n - n_wide, is_query, k, scale, pivots)
+    if n_wide:
+        index = lambda ids, vectors: Wide(ids, vectors, scale)
+        for rows, many, queries in ((given, n, wide.where(is_query)), (wide, n_wide, given.where(is_query & (reach < 2.0**53)))):
+            shards = shard_count(many)
+            data = rows.select(F.pmod(F.xxhash64("vec_id", F.lit(17)), F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
+            found = found.unionByName(sharded_search(data, queries, shards, k, index, "long"))
+        best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("least"), "vec_id"))), 1, k)  # of at most 2 k rows
+        found = found.groupBy("query_id").agg(best.alias("found")).select("query_id", F.posexplode("found").alias("at", "f"))
+        found = found.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("f.vec_id").alias("vec_id"), (-F.col("f.least")).alias("score"))
+    return found
+
+
+def _indexed(given: DataFrame, n: int, is_query: Column, k: int, scale: int, pivots: int) -> DataFrame:
+    """top_k of rows whose products are exact in doubles."""
+    spark = given.sparkSession
     whole = F.transform("v", lambda x: F.floor(x * F.lit(float(scale))).cast("double"))
-    rows, n = spooled(usable(df, id_col, vector_col, allow_zero=True).select("vec_id", whole.alias("v")))
+    rows = spool(given.select("vec_id", whole.alias("v")), "integers")
     square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
     top = rows.agg(F.max(square)).first()[0] or 0.0
-    if top >= 2.0**53:
-        raise ValueError("components are too large for exact products")
     sample = rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id").limit(pivots).collect()  # the pivots: a fixed number
     at = np.array([r["v"] for r in sample], dtype=np.float64) if sample else np.zeros((1, 1))
     seeds = (np.array([r["vec_id"] for r in sample], dtype=np.int64), at)
@@ -105,9 +157,7 @@ def top_k(df: DataFrame, query_every: int = 20, k: int = 20, scale: int = 64, pi
     first, many = (F.array(*(F.lit(place[p][i]) for p in sorted(place))) for i in (0, 1))
     spread = F.pmod(F.xxhash64("vec_id", F.lit(13)), F.element_at(many, F.col("pivot") + 1))
     data = pinned.select(F.pmod(F.element_at(first, F.col("pivot") + 1) + spread, F.lit(shards)).cast("int").alias("shard"), "vec_id", "v")
-    queries = rows.where(F.pmod("vec_id", F.lit(query_every)) == 0)
-    found = sharded_search(data, queries, shards, k, lambda ids, vectors: Annuli(ids, vectors, at, top, seeds))
-    return found.withColumn("score", F.col("score").cast("long"))
+    return sharded_search(data, rows.where(is_query), shards, k, lambda ids, vectors: Annuli(ids, vectors, at, top, seeds), "long")
 
 
 def op2(spark, sf_dir: str) -> DataFrame:

@@ -49,13 +49,15 @@ def query_blocks(queries: DataFrame, shards: int) -> DataFrame:
     return blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "ids", "data")
 
 
-def sharded_search(data: DataFrame, queries: DataFrame, shards: int, k: int, build: Callable[[np.ndarray, np.ndarray], object]) -> DataFrame:
-    """(query_id, rank, vec_id, score double): the best k of all shards. data: (shard int, vec_id, v); queries: (vec_id, v).
+def sharded_search(data: DataFrame, queries: DataFrame, shards: int, k: int, build: Callable[[np.ndarray, np.ndarray], object], score: str = "double") -> DataFrame:
+    """(query_id, rank, vec_id, score double, or long): the best k of all shards. data: (shard int, vec_id, v); queries: (vec_id, v).
 
     build(ids, vectors) makes a shard's index, whose search(query ids, query vectors, k) gives arrays (ids, scores), k or fewer a
     query by falling score then id, padded with id -1. Every query is held against every shard, in blocks; a shard's best of a query are a row.
     """
 
+    kind = np.int64 if score == "long" else np.float64
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, ids, vectors, index = None, [], [], None
 
@@ -82,18 +84,18 @@ def sharded_search(data: DataFrame, queries: DataFrame, shards: int, k: int, bui
                 index = build(np.concatenate(ids), np.concatenate(vectors))
             for q, d in zip(rest.column(3).to_pylist(), rest.column(4).to_pylist(), strict=True):
                 q = np.frombuffer(q, dtype=np.int64)
-                found, score = index.search(q, np.frombuffer(d, dtype=np.float64).reshape(len(q), -1), k)
+                found, value = index.search(q, np.frombuffer(d, dtype=np.float64).reshape(len(q), -1), k)
                 size = (found >= 0).sum(axis=1)
                 ends = pa.array(np.concatenate(([0], np.cumsum(size))).astype(np.int32))
                 keep = found >= 0
-                lists = (pa.ListArray.from_arrays(ends, pa.array(x[keep])) for x in (found, score))
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x)) for x in (found[keep], value[keep].astype(kind)))
                 yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(np.full(len(q), shard, dtype=np.int32)), *lists], names=["query_id", "shard", "ids", "scores"])
 
     none = F.lit(None)
     rows = data.select("shard", "vec_id", "v", none.cast("binary").alias("ids"), none.cast("binary").alias("data"))
     rows = rows.unionByName(query_blocks(queries, shards).select("shard", none.cast("long").alias("vec_id"), none.cast("array<double>").alias("v"), "ids", "data"))
     dealt = rows.repartition(max(shards, 1), "shard").sortWithinPartitions("shard", F.col("vec_id").isNull(), "vec_id")
-    best = dealt.mapInArrow(tidied(run), "query_id long, shard int, ids array<long>, scores array<double>")
+    best = dealt.mapInArrow(tidied(run), f"query_id long, shard int, ids array<long>, scores array<{score}>")
     best = best.select("query_id", "shard", F.arrays_zip((F.transform("scores", lambda s: -s)).alias("least"), F.col("ids").alias("vec_id")).alias("found"))
     width = shards
     while True:  # a merge takes in 64 shards of a query at most
