@@ -265,6 +265,55 @@ def test_bin_completion_beats_best_fit():
     assert sum(k for _, k in packing.complete(counts, 10)) == 2
 
 
+def fewest(sizes, capacity):
+    """The fewest bins, by trying every place of every piece."""
+    best = len(sizes)
+
+    def put(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(sizes):
+            best = len(rooms)
+            return
+        for room in set(rooms):
+            if room >= sizes[k]:
+                i = rooms.index(room)
+                put(k + 1, [*rooms[:i], room - sizes[k], *rooms[i + 1 :]])
+        put(k + 1, [*rooms, capacity - sizes[k]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(8, 40).flatmap(lambda c: st.tuples(st.just(c), st.lists(st.integers(1, c), min_size=1, max_size=10))))
+def test_exact_setting_finds_the_fewest_bins(case):
+    capacity, sizes = case
+    counts = np.bincount(sizes, minlength=capacity + 1)
+    bins = packing.complete(counts, capacity, max_steps=None)
+    assert sum(n for _, n in bins) == fewest(sorted(sizes, reverse=True), capacity)
+    assert sorted(s for p, n in bins for s in p * n) == sorted(sizes) and all(sum(p) <= capacity for p, _ in bins)
+    assert sum(n for _, n in packing.complete(counts, capacity)) >= sum(n for _, n in bins)
+
+
+def test_fillings_are_those_not_dominated():
+    assert packing.dominates((5, 3), (4, 3)) and packing.dominates((5,), (3, 2)) and not packing.dominates((3, 2), (5,)) and not packing.dominates((4, 4), (5, 1))
+    assert packing.all_fillings(np.bincount([6, 4, 3, 2]), 6) == [(6,)]
+    assert packing.all_fillings(np.bincount([5, 4, 3, 2]), 6) == [(4, 2), (5,)]
+
+
+def test_triplets_are_packed_full():
+    """60 bins' worth of pieces, three of which fill a bin exactly."""
+    r, sizes = np.random.default_rng(5), []
+    while len(sizes) < 180:
+        a, b = (int(x) for x in r.integers(257, 511, 2))
+        if 256 < 1024 - a - b < 512:
+            sizes += [a, b, 1024 - a - b]
+    counts = np.bincount(sizes, minlength=1025)
+    assert sum(n for _, n in packing.complete(counts)) == 60 < sum(n for _, n in packing.best_fit(counts, 1024))
+
+
 def test_op5_packs_every_token(spark):
     import pandas as pd
 
@@ -282,7 +331,7 @@ def test_op5_packs_every_token(spark):
 
 def test_packing_edges(spark):
     docs = documents(spark, [None, "", "same", "same", "word " * 3000], [1, 2, 3, 3, 4])
-    got = packing.pack(docs.withColumn("length", F.lit(1)), BYTES, carry=True).toPandas()
+    got = packing.pack(docs.withColumns({"length": F.lit(1), "bucket": F.lit(2), "row": F.lit(3)}), BYTES, carry=True, rows_per_bucket=1).toPandas()
     assert (got[got.doc_id == 1].length == 1).all() and len(got[got.doc_id == 3]) == 2 and len(got[got.doc_id == 4]) > 1
     assert not got.duplicated(["sequence_id", "offset"]).any()
     assert packing.pack(docs.where("false"), BYTES).count() == 0
@@ -408,6 +457,27 @@ def test_tree_is_exact_at_factor_one_and_good_above():
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(near.tolist(), truth, strict=True)]) >= 0.9
 
 
+@pytest.mark.parametrize("spread,most", [(0.1, 0.5), (0.02, 0.3)])
+def test_clustered_vectors_are_pruned(spread, most):
+    """The share of query-row pairs compared, where the data have structure; recall stays (exact for the annuli)."""
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(60, 64))
+    x = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 64)) * spread
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, q = np.arange(6000), np.arange(0, 6000, 100)
+    truth = [set(best_of(x, ids.tolist(), i, 20)) for i in q]
+    tree = vptree.Tree(ids, x)
+    found, _ = tree.search(ids[q], x[q], 20)
+    assert np.mean([len(set(f) & t) / 20 for f, t in zip(found.tolist(), truth, strict=True)]) >= 0.9
+    assert tree.compared < most * len(q) * len(ids)
+    whole = np.floor(x * 64)
+    pivot = np.random.default_rng(6).choice(6000, pivots.PIVOTS, replace=False)
+    annuli = pivots.Annuli(ids, whole, whole[pivot], float((whole**2).sum(axis=1).max()), (ids[pivot], whole[pivot]))
+    exact, _ = annuli.search(ids[q], whole[q], 20)
+    assert exact.tolist() == [best_of(whole, ids.tolist(), i, 20) for i in q]
+    assert annuli.compared < most * len(q) * len(ids)
+
+
 def test_op1_recall_and_scores(spark):
     rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").orderBy("vec_id").collect()
     x, ids = np.array([r["embedding"] for r in rows], dtype=np.float64), [r["vec_id"] for r in rows]

@@ -3,13 +3,14 @@
 Documents become pieces of at most `capacity` tokens. What packing needs to know is how many pieces there are of each length: at
 most `capacity` numbers, however large the corpus. The search runs on these counts: around the largest length left it enumerates
 the undominated fillings of a bin, uses one as often as counts allow, and branches; the waste so far bounds the number of bins from below
-and prunes; the best-fit-decreasing packing is the first incumbent. Pieces of one length are alike, so the plan is a short
+and prunes; the best-fit-decreasing packing is the first incumbent. Parts of the packing found are searched once more, a bin at a time. Pieces of one length are alike, so the plan is a short
 list "rank r to r + n of length l go to sequences s to s + n at offset o", by which each piece finds its place.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,8 +23,10 @@ from .tokens import encoder
 
 CAPACITY = 1024
 END_ID = 2
-#: Steps of the search after which the best packing so far stands.
-MAX_STEPS = 3_000
+#: The search on counts: choices made, after which the best packing so far stands, and fillings tried at a node.
+MAX_STEPS, FILLINGS = 3_000, 3
+#: The search in parts: bins of a part, fillings tried at a node, steps of a round, rounds without a gain after which it ends.
+REPACK_BINS, REPACK_FILLINGS, REPACK_STEPS, REPACK_ROUNDS = 80, 8, 2_000, 12
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -73,57 +76,176 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
     return [(c, n) for bins in open_bins.values() for c, n in bins.items()]
 
 
-def _fillings(counts: np.ndarray, room: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of `room` with up to three pieces, fullest first, fewest pieces first among equals; at most `most`.
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the pieces of b, falling, can be put into those of a, so that a bin with a leaves no more behind than one with b."""
 
-    A filling is dominated by one that holds a single piece as large as all of it, so each sum is tried with the fewest pieces only.
+    def put(room: list[int], k: int) -> bool:
+        return k == len(b) or any(put([*room[:i], r - b[k], *room[i + 1 :]], k + 1) for i, r in enumerate(room) if r >= b[k] and r not in room[:i])
+
+    return put(list(a), 0)
+
+
+def all_fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
+    """Every undominated filling of `room`, of any number of pieces, fullest first."""
+    sizes = [int(s) for s in np.flatnonzero(counts[: room + 1])[::-1] if s]
+    found: list[tuple[int, ...]] = []
+
+    def extend(at: int, left: int, held: tuple[int, ...]) -> None:
+        if at == len(sizes):
+            if not any(s <= left and held.count(s) < counts[s] for s in sizes):  # nothing more fits
+                found.append(held)
+            return
+        s = sizes[at]
+        for k in range(min(int(counts[s]), left // s), -1, -1):
+            extend(at + 1, left - k * s, held + (s,) * k)
+
+    extend(0, room, ())
+    found.sort(key=lambda f: (-sum(f), len(f)))
+    kept: list[tuple[int, ...]] = []
+    for f in found:
+        if not any(dominates(k, f) for k in kept):
+            kept.append(f)
+    return kept
+
+
+def _fillings(counts: np.ndarray, room: int, most: int, each: int = 1, slack: int | None = None) -> list[tuple[int, ...]]:
+    """Up to `most` fillings of `room` that waste at most slack, fullest first; of each total up to `each`, with the fewest pieces that give it, three at most.
+
+    A filling is dominated by one that holds a single piece as large as all of it, so fewer pieces come first. Where three of the largest piece don't fill the
+    room, the largest go in first.
     """
     have = np.flatnonzero(counts[: room + 1])
     have = have[have > 0]
     if not len(have):
-        return [()]
+        return [()] if slack is None or room <= slack else []
     largest = int(have[-1])
-    if room > 3 * largest:  # small pieces only: the largest go in until three can fill the rest
-        n = min(int(counts[largest]), room // largest - 2)
-        after = counts.copy()
-        after[largest] -= n
-        return [(largest,) * n + f for f in _fillings(after, room - n * largest, most)]
+    if room > 3 * largest:
+        n = max(0, min(int(counts[largest]), room // largest - 2))
+        if n:
+            after = counts.copy()
+            after[largest] -= n
+            return [(largest,) * n + f for f in _fillings(after, room - n * largest, most, each, slack)]
     found: list[tuple[int, ...]] = []
     there = np.zeros(room + 1, dtype=bool)
     there[have] = True
-    for total in range(room, 0, -1):
-        if there[total]:
-            found.append((total,))
-        else:
+    for total in range(room, max(0, -1 if slack is None else room - slack - 1), -1):
+        own = [(total,)] if there[total] else []
+        if len(own) < each:
             low = have[have <= total // 2]
             pairs = low[there[total - low] & ((total - low != low) | (counts[low] >= 2))]
-            if len(pairs):
-                a = int(pairs[0])
-                found.append((total - a, a))
-            else:
-                for a in have[have <= total // 3][:24].tolist():
-                    rest = total - a
-                    b = have[(have >= a) & (have <= rest // 2)]
-                    c = rest - b
-                    good = there[c]
-                    for x, y in zip(b[good][:4].tolist(), c[good][:4].tolist(), strict=True):
-                        three = (y, x, a)
-                        if all(counts[s] >= three.count(s) for s in three):
-                            found.append(three)
-                            break
-                    else:
-                        continue
+            own += [(total - a, a) for a in pairs[: each - len(own)].tolist()]
+        if not own:
+            for a in have[have <= total // 3].tolist():
+                rest = total - a
+                b = have[(have >= a) & (have <= rest // 2)]
+                c = rest - b
+                for x, y in zip(b[there[c]].tolist(), c[there[c]].tolist(), strict=True):
+                    three = (y, x, a)
+                    if all(counts[s] >= three.count(s) for s in three):
+                        own.append(three)
+                        break
+                if len(own) >= each:
                     break
+        found += own
         if len(found) >= most:
             break
-    return found or [()]
+    return found[:most] or ([()] if slack is None else [])
+
+
+def exact(counts: np.ndarray, capacity: int, best: list[Pattern], goal: int) -> list[Pattern]:
+    """The fewest bins there are: every undominated filling around the largest piece, one bin at a time, pruned by waste bounds. For small instances."""
+    held, least = best, sum(n for _, n in best)
+    total = int((counts * np.arange(len(counts))).sum())
+    seen: dict[bytes, int] = {}
 
+    def branch(left: np.ndarray, used: list[Pattern], waste: int) -> None:
+        nonlocal held, least
+        sizes = np.flatnonzero(left)
+        if not len(sizes):
+            if len(used) < least:
+                held, least = used, len(used)
+            return
+        if least <= goal or -(-(total + waste) // capacity) >= least or len(used) + waste_bound(left, capacity) >= least or seen.get(left.tobytes(), least) <= len(used):
+            return
+        seen[left.tobytes()] = len(used)
+        big = int(sizes[-1])
+        after = left.copy()
+        after[big] -= 1
+        for f in all_fillings(after, capacity - big):
+            rest = after.copy()
+            for s in f:
+                rest[s] -= 1
+            branch(rest, [*used, ((big, *f), 1)], waste + capacity - big - sum(f))
 
-def complete(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int = MAX_STEPS) -> list[Pattern]:
-    """The fewest bins found for counts[l] pieces of each length l: a list of (lengths in a bin, how many such bins)."""
+    branch(counts.copy(), [], 0)
+    return held
+
+
+def repacked(counts: np.ndarray, capacity: int, bins: int, max_steps: int, rng: np.random.Generator | None) -> list[Pattern] | None:
+    """A packing into `bins` bins, or None where max_steps find none: bin completion that may waste only what is left over by so many bins."""
+    steps = 0
+
+    def branch(left: np.ndarray, slack: int) -> list[Pattern] | None:
+        nonlocal steps
+        sizes = np.flatnonzero(left)
+        if not len(sizes):
+            return []
+        steps += 1
+        big = int(sizes[-1])
+        after = left.copy()
+        after[big] -= 1
+        options = _fillings(after, capacity - big, REPACK_FILLINGS, REPACK_FILLINGS, slack)
+        if rng is not None:
+            rng.shuffle(options)
+        for f in options:
+            if steps >= max_steps:
+                return None
+            rest = after.copy()
+            for s in f:
+                rest[s] -= 1
+            found = branch(rest, slack - (capacity - big - sum(f)))
+            if found is not None:
+                return [((big, *f), 1), *found]
+        return None
+
+    return branch(counts.copy(), bins * capacity - int((counts * np.arange(len(counts))).sum()))
+
+
+def complete(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int | None = MAX_STEPS, fillings: int = FILLINGS, repack_steps: int = REPACK_STEPS) -> list[Pattern]:
+    """The fewest bins found for counts[l] pieces of each length l: a list of (lengths in a bin, how many such bins). Never more than best-fit decreasing gives.
+
+    First the search on counts: up to `fillings` fillings a node, each taken as often as counts allow, max_steps choices. What it leaves above the
+    bound is searched again in parts (see repacked): the bins with room and as many others, REPACK_BINS at most, in rounds of
+    repack_steps steps (ten times as many where a part is all there is), REPACK_ROUNDS without a gain in a row. max_steps None: the exact search instead, for instances of some 30 pieces.
+    """
     counts = np.array(counts, dtype=np.int64)
+    counts[0] = 0
     goal = waste_bound(counts, capacity)
     best = best_fit(counts, capacity)
+    if max_steps is None:
+        return exact(counts, capacity, best, goal)
+    best = _on_counts(counts, capacity, best, goal, max_steps, fillings)
+    rng, missed = np.random.default_rng(0), 0
+    while sum(n for _, n in best) > goal and missed < REPACK_ROUNDS:
+        open_bins = sorted(((capacity - sum(p), p, n) for p, n in best if sum(p)), key=lambda x: -x[0])
+        freed: list[tuple[int, ...]] = []
+        for room, p, n in open_bins:
+            freed += [p] * min(n, REPACK_BINS // 2 - len(freed)) if room else []
+        pool = [p for p, n in best for _ in range(min(n, REPACK_BINS) - freed.count(p))]
+        freed += [pool[i] for i in rng.permutation(len(pool))[: REPACK_BINS - len(freed)].tolist()]
+        taken = Counter(freed)
+        full = [(p, n - taken[p]) for p, n in best]
+        part = np.bincount([s for p in freed for s in p], minlength=len(counts))
+        steps = repack_steps if any(n > 0 for _, n in full) else 10 * repack_steps  # where the part is all there is
+        found = repacked(part, capacity, len(freed) - 1, steps, None if missed == 0 else rng)
+        if found is None:
+            missed += 1
+        else:
+            best, missed = [(p, n) for p, n in full if n > 0] + found, 0
+    return best
+
+
+def _on_counts(counts: np.ndarray, capacity: int, best: list[Pattern], goal: int, max_steps: int, fillings: int) -> list[Pattern]:
     least = sum(n for _, n in best)
     total = int((counts * np.arange(len(counts))).sum())
     steps = 0
@@ -134,7 +256,7 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int = MAX_
         left, used, bins, waste, options = state
         if options is None:
             sizes = np.flatnonzero(left)
-            if not len(sizes) or sizes[-1] == 0:
+            if not len(sizes):
                 if bins < least:
                     best, least = used, bins
                 stack.pop()
@@ -142,8 +264,7 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int = MAX_
             big = int(sizes[-1])
             after = left.copy()
             after[big] -= 1
-            wide = len(stack) < 40  # deep nodes are many: only the fullest filling there
-            options = state[4] = [(big, *f) for f in _fillings(after, capacity - big, 3 if wide else 1)]
+            options = state[4] = [(big, *f) for f in _fillings(after, capacity - big, fillings)]
         if not options:
             stack.pop()
             continue
@@ -197,7 +318,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int
     return texts_of(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + extra)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, rows_per_bucket: int = 4096) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, rows_per_bucket: int = 512) -> DataFrame:
     """pieces() with sequence_id and offset: which sequence each piece lies in, and where; no sequence is longer than capacity.
 
     A null text is empty: its document is end_id alone. Repeated ids and texts are packed as separate rows, a null id too. Very
@@ -209,13 +330,14 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
     for r in cut.groupBy("length").count().collect():  # at most `capacity` rows
         counts[r["length"]] = r["count"]
     placed = spark.sparkContext.broadcast(plan(counts, capacity))
-    buckets = max(1, int(counts.max()) // rows_per_bucket)
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    size = dealt.groupBy("length", "bucket").count()  # at most capacity * buckets rows
+    # A length with many pieces is ranked in buckets of about rows_per_bucket, and the buckets' sizes are added up.
+    buckets = F.element_at(F.array(*(F.lit(int(n) // rows_per_bucket + 1) for n in counts)), (F.col("length") + 1).cast("int"))
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets).cast("int"))
+    size = dealt.groupBy("length", "bucket").count()  # a row a bucket
     first = size.select("length", "bucket", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
     row = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
     columns = cut.columns
-    ranked = (dealt if buckets > 1 else dealt.drop("bucket").withColumn("bucket", F.lit(0))).withColumn("row", row).join(first, ["length", "bucket"]).select(*columns, (F.col("first") + F.col("row")).cast("long").alias("rank"))
+    ranked = dealt.withColumn("row", row).join(first, ["length", "bucket"]).select(*columns, (F.col("first") + F.col("row")).cast("long").alias("rank"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = placed.value

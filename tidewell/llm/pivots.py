@@ -44,6 +44,7 @@ class Annuli:
         since = np.arange(len(home)) - np.searchsorted(home, home)
         start = np.flatnonzero(since % ANNULUS == 0)
         self.cut = np.append(start, len(home))
+        self.compared = 0  # pairs of a query and a row so far
         self.pivot, self.lo, self.hi = home[start], far[start], far[self.cut[1:] - 1]
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -68,6 +69,7 @@ class Annuli:
                 q = active[at == a]
                 rows = np.arange(self.cut[a], self.cut[a + 1])
                 best.add(q, self.ids[rows], rows, queries[q] @ self.x[rows].T)
+        self.compared += best.compared
         return best.result()
 
 

@@ -118,6 +118,7 @@ class Best:
         self.id = np.full((n, k), np.iinfo(np.int64).max)
         self.row = np.full((n, k), -1, dtype=np.int64)
         self.floor = np.full(n, -np.inf) if floor is None else floor
+        self.compared = 0
 
     def kth(self) -> np.ndarray:
         """Scores below this can't enter."""
@@ -125,6 +126,7 @@ class Best:
 
     def add(self, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, scores: np.ndarray) -> None:
         """scores: of queries q (indices) with data rows `rows` of ids `ids`."""
+        self.compared += scores.size
         scores = np.where(ids[None, :] == self.own[q][:, None], -np.inf, scores)
         on = np.flatnonzero(scores.max(axis=1, initial=-np.inf) >= self.kth()[q])
         if not len(on):

@@ -27,6 +27,7 @@ class Tree:
         self.norm = np.einsum("nd,nd->n", self.x, self.x)
         self.lift = np.zeros(len(ids))
         self.bands = []
+        self.compared = 0  # pairs of a query and a row so far
         rows = np.argsort(-self.norm, kind="stable")
         while len(rows):
             top = float(self.norm[rows[0]])
@@ -52,6 +53,7 @@ class Tree:
             go = np.flatnonzero(np.sqrt(size * top) >= best.kth() - 1e-9 * (size + top))
             if len(go):
                 self._visit(root, go, queries, size, best, top)
+        self.compared += best.compared
         # Scores once more, by one rule for every pair, so that equal vectors have equal scores in all shards.
         found, rows = best.result()[0], np.maximum(best.row, 0)
         score = np.where(found >= 0, (queries[:, None, :] * self.x[rows]).sum(axis=2), -np.inf)
