@@ -26,7 +26,9 @@ END_ID = 2
 #: The search on counts: choices made, after which the best packing so far stands, and fillings tried at a node.
 MAX_STEPS, FILLINGS = 3_000, 3
 #: The search in parts: bins of a part, fillings tried at a node, steps of a round, rounds without a gain after which it ends.
-REPACK_BINS, REPACK_FILLINGS, REPACK_STEPS, REPACK_ROUNDS = 80, 8, 2_000, 12
+REPACK_BINS, REPACK_FILLINGS, REPACK_STEPS, REPACK_ROUNDS = 80, 8, 200, 8
+#: Steps of a round where the part is all there is.
+WHOLE_STEPS = 20_000
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -211,12 +213,12 @@ def repacked(counts: np.ndarray, capacity: int, bins: int, max_steps: int, rng:
     return branch(counts.copy(), bins * capacity - int((counts * np.arange(len(counts))).sum()))
 
 
-def complete(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int | None = MAX_STEPS, fillings: int = FILLINGS, repack_steps: int = REPACK_STEPS) -> list[Pattern]:
+def complete(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int | None = MAX_STEPS, fillings: int = FILLINGS, repack_steps: int = REPACK_STEPS, whole_steps: int = WHOLE_STEPS) -> list[Pattern]:
     """The fewest bins found for counts[l] pieces of each length l: a list of (lengths in a bin, how many such bins). Never more than best-fit decreasing gives.
 
     First the search on counts: up to `fillings` fillings a node, each taken as often as counts allow, max_steps choices. What it leaves above the
     bound is searched again in parts (see repacked): the bins with room and as many others, REPACK_BINS at most, in rounds of
-    repack_steps steps (ten times as many where a part is all there is), REPACK_ROUNDS without a gain in a row. max_steps None: the exact search instead, for instances of some 30 pieces.
+    repack_steps steps (whole_steps where a part is all there is), REPACK_ROUNDS without a gain in a row. max_steps None: the exact search instead, for instances of some 30 pieces.
     """
     counts = np.array(counts, dtype=np.int64)
     counts[0] = 0
@@ -236,7 +238,7 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int | None
         taken = Counter(freed)
         full = [(p, n - taken[p]) for p, n in best]
         part = np.bincount([s for p in freed for s in p], minlength=len(counts))
-        steps = repack_steps if any(n > 0 for _, n in full) else 10 * repack_steps  # where the part is all there is
+        steps = repack_steps if any(n > 0 for _, n in full) else whole_steps
         found = repacked(part, capacity, len(freed) - 1, steps, None if missed == 0 else rng)
         if found is None:
             missed += 1

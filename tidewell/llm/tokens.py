@@ -17,6 +17,8 @@ CACHE_PIECES = 750_000
 _BARE = "\x02"
 #: Texts with these are encoded whole: white space beside white space or at an end, and the mark.
 _ODD_SPACED = re.compile(r"[ \n][\s\x1c-\x1f]|[ \n]\Z|\x02")
+#: White space but space and line end, and the mark: texts without these have odd spacing only if a piece between spaces is empty.
+_OTHER_SPACE = [_BARE, *(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n")]
 #: Where white space is dropped: the mark, and what Python but not the library takes for white space.
 _ODD_LOOSE = re.compile(r"[\x02\x1c-\x1f]")
 
@@ -162,17 +164,28 @@ class Encoder:
             out[np.repeat(~joins, size)] = np.array([x for y in own for x in y], dtype=np.uint32)
             self._keep([], out, size)
 
+    def _pieces(self, text: str, lines: str) -> list[str] | None:
+        """The pieces of a text, or None if it is to be encoded whole."""
+        if not self.lead:
+            return None if _ODD_LOOSE.search(text) else text.split()
+        other = any(c in text for c in _OTHER_SPACE)
+        if other and _ODD_SPACED.search(text):
+            return None
+        pieces = (_BARE + text.replace("\n", lines)).split(" ")
+        return None if not other and ("" in pieces or _BARE in pieces) else pieces
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.known) > CACHE_PIECES:
             self.reset()
         number, lines = self.known.__getitem__, f" {_BARE}\n {_BARE}"
-        odd = (_ODD_SPACED if self.lead else _ODD_LOOSE).search
         found, whole, counts = [], {}, np.zeros(len(texts), dtype=np.int64)
         for i, text in enumerate(texts):
-            if odd(text) or any(m in text for m in self.marks) or (self.unmarked and self.unmarked(text)):
+            pieces = None
+            if not (any(m in text for m in self.marks) or (self.unmarked and self.unmarked(text))):
+                pieces = self._pieces(text, lines)
+            if pieces is None:
                 whole[i] = self._ids([text])
             else:
-                pieces = (_BARE + text.replace("\n", lines)).split(" ") if self.lead else text.split()
                 counts[i] = len(pieces)
                 found.append(np.fromiter(map(number, pieces), dtype=np.int64, count=len(pieces)))
         self._learn()
