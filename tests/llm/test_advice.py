@@ -72,14 +72,14 @@ def test_mixed_disguises_are_read():
     text = "the idiot is a moron and a loser with trash and scum and scorn so stupid and pathetic, an idiot of a clown, a worthless clown " * 50
     c = toxicity.codes("\n" + text + "\n\n")
     d = toxicity.Decoder(toxicity.character_costs(np.bincount((c[:-2] * 64 + c[1:-1]) * 64 + c[2:], minlength=64**3).astype(float).reshape(64, 64, 64)))
-    said = {"m 0 r 0 n": "moron", "s c 0 r n": "scorn", "i d 1 0 t": "idiot", "m.0.r.0.n": "moron", "l 0 s e r": "loser", "1 d 1 0 t": "idiot", "t r @ s h": "trash", "$-c-u-m": "scum", "stu" + "u" * 60 + "pid": "stupid"}
+    said = {"m 0 r 0 n": "moron", "s c 0 r n": "scorn", "i d 1 0 t": "idiot", "m.0.r.0.n": "moron", "l 0 s e r": "loser", "1 d 1 0 t": "idiot", "t r @ s h": "trash", "$-c-u-m": "scum", "stu" + "u" * 60 + "pid": "stupid", "i  d  i  o  t": "idiot", "i . d . 1 . 0 . t": "idiot", "m--0--r--0--n": "moron"}
     assert {s: d.restore(s) for s in said} == said
     assert d.restore("so m 0 r 0 n!") == "so moron!"
     plain = "1 2 3 4 and 1.2.3, 5 - 6 - 7, a 1"
     assert d.restore(plain) == plain
 
 
-@given(st.text(st.sampled_from("ab01$!(. -_*~²é€中\n"), max_size=24))
+@given(st.text(st.sampled_from("ab01$!(.  -_*~²é€中\n"), max_size=24))
 def test_suspects_are_a_superset(text):
     starts = set(toxicity.suspects(text).tolist())
     begin = [i for i in range(len(text)) if not text[i].isspace() and (i == 0 or text[i - 1].isspace())]

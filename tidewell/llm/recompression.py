@@ -8,8 +8,8 @@ a fingerprint of what it stands for, so names are the same in every task, and a
 With runs of at most RUN words, symbols of at most REACH words and ROUNDS pair rounds, at most MARGIN words at either end of a
 substring are spoilt; what is left of a window of 50 words always holds the start of an unspoilt symbol. Each window is keyed by one
 of these (the least name), extended to a higher symbol that spans MARGIN words either side. Windows with equal words have
-equal keys. Keys seen in one document only are dropped; windows under shared keys are verified word by word (by a 64-bit
-fingerprint of the window within a 64-bit key).
+equal keys. Keys seen in one document only are dropped; windows under shared keys are told apart by a second 64-bit fingerprint of their
+words, so that two different windows pass for equal only where both fingerprints, 128 bits, agree. Words themselves are not compared.
 """
 
 from __future__ import annotations

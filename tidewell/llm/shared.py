@@ -25,9 +25,11 @@ ARROW_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one under /tmp."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and Spark runs in one process (tests) one under /tmp."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         os.makedirs("/tmp/checkpoints", exist_ok=True)
         found = "file://" + tempfile.mkdtemp(prefix="tidewell-", dir="/tmp/checkpoints")
         spark.sparkContext.setCheckpointDir(found)

@@ -47,10 +47,13 @@ _TRIPLE = re.compile(r"(.)\1\1", re.S)
 LONGEST = 40
 
 _SWAPS = re.escape("".join(LOOKALIKES))
-#: Stretches with more than one reading, from their first character on: single letters or look-alikes set apart; a word with look-alikes before, between or (two at
+_SEPARATORS = " .-_*~"
+_APART = rf"(?:[^\W_]|[{_SWAPS}])(?:[{re.escape(_SEPARATORS)}]+(?:[^\W_]|[{_SWAPS}])){{2,}}"
+_spaced = re.compile(_APART).fullmatch
+#: Stretches with more than one reading, from their first character on: single letters or look-alikes set apart by separators, however many; a word with look-alikes before, between or (two at
 #: most, of those that seldom end a word) after its letters; a word that repeats a letter three times or more.
 DISGUISED = re.compile(
-    rf"(?:[^\W_]|[{_SWAPS}])(?:[ .\-_*~](?:[^\W_]|[{_SWAPS}])){{2,}}(?!\w)"
+    rf"{_APART}(?!\w)"
     rf"|(?:[{_SWAPS}]*[^\W\d_]+)?[{_SWAPS}]+[^\W\d_](?:[^\W_]|[{_SWAPS}](?=[^\W_{_SWAPS}]|[{_SWAPS}][^\W_]))*(?:[$@\d]{{1,2}}(?![{_SWAPS}]))?"
     rf"|[^\W\d_]+[$@]{{1,2}}(?![{_SWAPS}])"
     rf"|[^\W_]+"
@@ -58,7 +61,7 @@ DISGUISED = re.compile(
 _LETTER, _SWAP, _SEP, _SPACE, _WORD = 1, 2, 4, 8, 16
 _KIND = np.zeros(0x250, dtype=np.uint8)
 for _o in range(0x250):
-    _KIND[_o] = _LETTER * chr(_o).isalpha() + _SWAP * (chr(_o) in LOOKALIKES) + _SEP * (chr(_o) in " .-_*~") + _SPACE * chr(_o).isspace() + _WORD * chr(_o).isalnum()
+    _KIND[_o] = _LETTER * chr(_o).isalpha() + _SWAP * (chr(_o) in LOOKALIKES) + _SEP * (chr(_o) in _SEPARATORS) + _SPACE * chr(_o).isspace() + _WORD * chr(_o).isalnum()
 
 
 def suspects(text: str) -> np.ndarray:
@@ -71,13 +74,17 @@ def suspects(text: str) -> np.ndarray:
     hot[1:] |= ((points[1:] == ord("$")) | (points[1:] == ord("@"))) & letter[:-1]
     hot[2:] |= letter[2:] & (points[2:] == points[1:-1]) & (points[1:-1] == points[:-2])
     single = (word | swap)[1:-1] & ~word[:-2] & ~word[2:]
-    apart = np.flatnonzero(single[:-4] & sep[2:-4] & single[2:-2] & sep[4:-2] & single[4:]) + 1  # from the first of three
-    if len(apart):  # in stretches, of which those with a letter count
-        first = np.flatnonzero(np.diff(apart, prepend=-9) != 2)
-        end = apart[np.append(first[1:], len(apart)) - 1] + 5
-        letters = np.append(0, np.cumsum(letter))
-        with_letter = letters[end] > letters[apart[first]]
-        hot[apart[np.repeat(with_letter, np.diff(np.append(first, len(apart))))]] = True
+    apart = np.flatnonzero(single) + 1
+    if len(apart) > 2:
+        others = np.append(0, np.cumsum(~sep))
+        joined = (others[apart[1:]] == others[apart[:-1] + 1]) & (np.diff(apart) > 1)  # only separators between
+        three = np.flatnonzero(joined[:-1] & joined[1:])  # from the first of three
+        if len(three):  # in stretches, of which those with a letter count
+            first = np.flatnonzero(np.diff(three, prepend=-9) != 1)
+            end = apart[three[np.append(first[1:], len(three)) - 1] + 2] + 1
+            letters = np.append(0, np.cumsum(letter))
+            with_letter = letters[end] > letters[apart[three[first]]]
+            hot[apart[three[np.repeat(with_letter, np.diff(np.append(first, len(three))))]]] = True
     at = np.flatnonzero(hot)
     if not len(at):
         return at
@@ -154,7 +161,7 @@ class Decoder:
         return "".join(out)
 
     def _read(self, seen: str) -> str:
-        spaced = _spaced(seen)
+        spaced = bool(_spaced(seen))
         if (not spaced and _runs(seen) > LONGEST) or (spaced and not any(c.isalpha() for c in seen)) or (not spaced and seen.isalpha() and not _TRIPLE.search(seen)) or seen.isdigit():
             return seen
         got = self.known.get(seen)
@@ -166,7 +173,7 @@ class Decoder:
 
     def decode(self, seen: str) -> str:
         """Viterbi over the lattice of readings; a state is the last two symbols of what was written."""
-        spaced = _spaced(seen)
+        spaced = bool(_spaced(seen))
         states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
         for options in _lattice(seen, spaced):
             new: dict[tuple[int, int], tuple[float, tuple]] = {}
@@ -192,10 +199,6 @@ def _symbols(written: str) -> tuple[int, ...]:
     return tuple(codes(written).tolist())
 
 
-def _spaced(seen: str) -> bool:
-    return len(seen) >= 5 and len(seen) % 2 == 1 and all((c.isalnum() or c in LOOKALIKES) if i % 2 == 0 else c in " .-_*~" for i, c in enumerate(seen))
-
-
 def _runs(seen: str) -> int:
     return len(seen) if len(seen) <= LONGEST else 1 + sum(a != b for a, b in zip(seen, seen[1:], strict=False))
 
@@ -208,7 +211,7 @@ def _lattice(seen: str, spaced: bool) -> Iterator[list[tuple[str, float]]]:
         while i + n < len(seen) and seen[i + n] == c:
             n += 1
         at, i = i, i + n
-        if spaced and at % 2:
+        if spaced and c in _SEPARATORS:
             yield [("", COST_DROP), (" ", COST_KEEP)]
             continue
         letters = [(c, 0.0)] if c.isalpha() else [(x, COST_SWAP) for x in LOOKALIKES.get(c, "")]
