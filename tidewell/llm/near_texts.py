@@ -2,8 +2,8 @@
 
 A set of shingles gives a SimHash of 256 bits, in 16 blocks of 16. Two sets of similarity s differ in a bit with probability
 acos(2 s / (1 + s)) / pi, 0.15 at 0.8, so a block differs in at most one bit with probability 0.28, and one of 16 blocks with 0.995 (0.9995 at 0.85).
-Such a block meets at an anchor of the covering code (see simhash); there the first 128 bits are compared: those of a pair at 0.8 differ
-in 19 on average with a deviation of 4, those of unlike texts in 64 with one of 6, so APART tells them apart. Equal sets are one node, so copies never meet.
+Such a block meets at an anchor of the covering code (see simhash); there all 256 bits are compared: those of a pair at 0.8 differ
+in 39 on average with a deviation of 6, of one at 0.4 in 78 with one of 7, so APART tells them apart. Equal sets are one node, so copies never meet.
 
 What the anchors link forms groups of candidates. In a group each set is compared with a few of the others (hubs), four times as many each round,
 until all pairs of a group that are not too far apart were compared or are known to be in one component; so a group of near copies costs about a comparison a member.
@@ -27,12 +27,12 @@ from .simhash import component_ids, links
 SHINGLE_WORDS = 5
 LEAST = 0.8
 SEED = 42
-#: Words of 64 bits of a fingerprint, and how many of them are compared at an anchor; a block has 16 bits and may differ in one.
-WORDS, COMPARED, BLOCKS, BLOCK_BITS = ("w0", "w1", "w2", "w3"), 2, 4, 1
-#: Most differing bits of the compared words: four deviations over the average of a pair at LEAST.
-APART = 36
-#: Rounds of four times as many hubs each: enough for 4 ** 20 sets in a group.
-_MOST_ROUNDS = 20
+#: Words of 64 bits of a fingerprint, blocks of a word, and bits in which a block may differ where two meet.
+WORDS, BLOCKS, BLOCK_BITS = ("w0", "w1", "w2", "w3"), 4, 1
+#: Most differing bits of the 256: some three deviations over the average of a pair at LEAST.
+APART = 55
+#: Hubs of the first round, and rounds of four times as many each: enough for 4 ** 20 sets in a group.
+_HUBS, _MOST_ROUNDS = 4, 20
 #: Pieces in which a hub, or a group, with very many pairs is dealt out.
 _SALTS = 64
 _TURNS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -60,7 +60,7 @@ def name_of(hashes: np.ndarray) -> int:
 
 
 def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
-    """(sets, 4) words: by word and bit, the majority of the hashes scrambled for that word; of no hashes 0."""
+    """(sets, 4) words: by word and bit, the majority of the hashes scrambled for that word, a tie going by the least hash; of no hashes 0."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
     ends = np.cumsum(size)
     hashes = np.concatenate([*sets, np.zeros(0, dtype=np.uint64)])
@@ -76,20 +76,22 @@ def wide_fingerprints(sets: list[np.ndarray]) -> np.ndarray:
             bits = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones[whom, k] += np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
         at = to
-    majority = (ones * 2 > size[:, None, None]).astype(np.uint8)
+    least = np.array([s[0] if len(s) else 0 for s in sets], dtype=np.uint64)
+    ties = np.stack([np.unpackbits(mix(mix(least ^ turn)).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little") for turn in _TURNS], axis=1)
+    majority = (ones * 2 + (ties & (size > 0)[:, None, None].astype(np.uint8)) > size[:, None, None]).astype(np.uint8)
     return np.packbits(majority, axis=2, bitorder="little").view("<u8").reshape(len(sets), len(WORDS))
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(doc_id, node long, words...): the name of the whole set of shingles, and its fingerprint."""
+    """(doc_id, node long, n long, words...): the name of the whole set of shingles, its size, and its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in text_chunks(batches):
             sets = [shingles(t, shingle) for t in texts]
             fp = wide_fingerprints(sets).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name_of(s) for s in sets], type=pa.int64()), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(len(WORDS)))], names=["doc_id", "node", *WORDS])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([name_of(s) for s in sets], type=pa.int64()), pa.array([len(s) for s in sets], type=pa.int64()), *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(len(WORDS)))], names=["doc_id", "node", "n", *WORDS])
 
-    return texts_of(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, node long, " + ", ".join(f"{w} long" for w in WORDS))
+    return texts_of(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, node long, n long, " + ", ".join(f"{w} long" for w in WORDS))
 
 
 def _sets(texts: DataFrame, shingle: int) -> DataFrame:
@@ -133,8 +135,9 @@ def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame | None:
     """(node, component) by pairs of similarity `least` or more inside each candidate group; None where there are no groups. nodes: (node, rep, words...); groups: (node, component)."""
-    near = F.bit_count(F.col("w0").bitwiseXOR(F.col("h0"))) + F.bit_count(F.col("w1").bitwiseXOR(F.col("h1"))) <= APART
-    buckets = groups.withColumnRenamed("component", "key").join(nodes.select("node", "w0", "w1"), "node").withColumn("component", F.col("node"))
+    distance = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"hub_{w}"))) for w in WORDS[1:]), F.bit_count(F.col(WORDS[0]).bitwiseXOR(F.col(f"hub_{WORDS[0]}"))))
+    near = (distance <= APART) & (F.least("n", "hub_n") >= F.greatest("n", "hub_n") * (least - 1e-9))
+    buckets = groups.withColumnRenamed("component", "key").join(nodes.select("node", "n", *WORDS), "node").withColumn("component", F.col("node"))
     sets = edges = joined = None
     for i in range(_MOST_ROUNDS):
         mixed = buckets.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
@@ -146,8 +149,9 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int
             texts = texts_of(docs, id_col, text_col).join(whom.select("doc_id").distinct(), "doc_id", "left_semi")
             # Of a repeated id only the texts asked for, and of equal texts under one id one.
             sets = spool(_sets(texts, shingle).join(buckets.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
-        hub = F.min(F.struct("node", "component", "w0", "w1")).alias("h")
-        hubs = buckets.groupBy("key", F.pmod(F.xxhash64("node", F.lit(i)), F.lit(4**i)).alias("part")).agg(hub).select("key", F.col("h.node").alias("hub"), F.col("h.component").alias("hub_component"), F.col("h.w0").alias("h0"), F.col("h.w1").alias("h1"))
+        hub = F.min(F.struct("node", "component", "n", *WORDS)).alias("h")
+        parted = buckets.groupBy("key", F.pmod(F.xxhash64("node", F.lit(i)), F.lit(_HUBS * 4**i)).alias("part")).agg(hub)
+        hubs = parted.select("key", F.col("h.node").alias("hub"), *(F.col(f"h.{c}").alias(f"hub_{c}") for c in ("component", "n", *WORDS)))
         hubs = spool(hubs, "hubs", small=True)
         salted = buckets.withColumn("_s", _salt("node"))  # a group with very many members meets its hubs in pieces
         pairs = salted.join(salted.select("key", "_s").distinct().join(hubs, "key"), ["key", "_s"]).where("component <> hub_component").where(near).select("hub", "node").distinct()
@@ -166,8 +170,8 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in the group of its text. An empty table gives no rows; other columns are not looked at.
     """
     each = spool(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "sketches")
-    nodes = spool(each.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(w).alias(w) for w in WORDS)), "nodes")
-    candidates = spool(connected_components(links(nodes, APART, WORDS, COMPARED, BLOCKS, BLOCK_BITS)), "candidates", small=True)
+    nodes = spool(each.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(w).alias(w) for w in ("n", *WORDS))), "nodes")
+    candidates = spool(connected_components(links(nodes, APART, WORDS, n_blocks=BLOCKS, block_bits=BLOCK_BITS)), "candidates", small=True)
     joined = _verified(docs, nodes, candidates, shingle, least, id_col, text_col)
     if joined is None:
         return each.join(nodes.select("node", F.col("rep").alias("component_id")), "node").select("doc_id", "component_id")

@@ -126,7 +126,7 @@ class _Bucket:
 
     def probe(self, fp: np.ndarray, node: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Links (node of a probe, node of a home), one for each probe that has any besides itself; homes that a probe links are joined."""
-        apart = np.bitwise_count(fp[:, None, 0] ^ self.fp[None, :, 0])
+        apart = np.bitwise_count(fp[:, None, 0] ^ self.fp[None, :, 0]).astype(np.uint16 if fp.shape[1] > 3 else np.uint8)
         for k in range(1, fp.shape[1]):
             apart += np.bitwise_count(fp[:, None, k] ^ self.fp[None, :, k])
         links = apart <= max_bits
