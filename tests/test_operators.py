@@ -195,16 +195,36 @@ def test_report_branches(spark):
     kind = "array<struct<rank:int,slice_col:string,slice_val:string,score:double,coverage:double>>"
     df = spark.createDataFrame([("sales", 0.1, 0.2, True, []), ("price", 0.1, 0.2, True, [(1, "cat_id", "A", 0.5, 0.25), (2, "cat_id", "B", 0.4, 0.2)])], f"feature string, js double, l_inf double, is_drift boolean, slices {kind}")
     none, two = report.narrate(df).orderBy(F.size("slices")).collect()
-    assert "no localized slice" in none["narrative"] and len(none["recommended_actions"]) == 2
-    assert "cat_id='A'" in two["narrative"] and "25.0%" in two["narrative"] and len(two["recommended_actions"]) == 3
-    assert "marketing" in report.narrate(df, promo="Sale").orderBy(F.desc(F.size("slices"))).first()["recommended_actions"][0]
+    assert "whole panel" in none["narrative"] and len(none["recommended_actions"]) == 2
+    assert "cat_id A" in two["narrative"] and "25.0%" in two["narrative"] and len(two["recommended_actions"]) == 3
+    planned = report.narrate(df, promo="Sale").orderBy(F.desc(F.size("slices"))).first()
+    assert "Sale" in planned["narrative"] and "campaign" in planned["recommended_actions"][0]
 
 
-def test_best_first_search():
-    singles = [((("cat_id", "a"),), 0.1, 0.5), ((("store_id", "s"),), 0.05, 0.5)]
-    pairs = {(("cat_id", "a"), ("store_id", "s")): (0.2, 0.25)}
-    assert localise.best_first(singles, pairs)[0][0] == (("cat_id", "a"), ("store_id", "s"))
-    assert localise.best_first([], {}) == []
+def test_synthesizer_falls_back(spark):
+    df = spark.createDataFrame([("sales", 0.1, 0.2, True, [])], "feature string, js double, l_inf double, is_drift boolean, slices array<struct<rank:int,slice_col:string,slice_val:string,score:double,coverage:double>>")
+
+    def broken(alerts):
+        raise OSError("quota")
+
+    with pytest.warns(UserWarning, match="quota"):
+        assert report.with_fallback(broken)(df).first()["synthesized_by"] == "rules"
+    assert report.with_fallback(lambda a: a)(df).first()["synthesized_by"] == "rules"  # lacks the columns
+    assert report.with_fallback(report.narrate)(df).first()["synthesized_by"] == "model"
+
+
+def test_best_first_search(spark):
+    def search(rows):
+        scored = [([{"col": c, "val": v} for c, v in conditions], score, coverage, score / coverage) for conditions, score, coverage in rows]
+        df = spark.createDataFrame(scored, "conditions array<struct<col:string,val:string>>, score double, coverage double, efficiency double")
+        return [tuple(c["val"] for c in r["conditions"]) for r in localise.best_first(df).orderBy("rank").collect()]
+
+    a, s, d = ("cat_id", "a"), ("store_id", "s"), ("dept_id", "d")
+    singles = [((a,), 0.1, 0.5), ((s,), 0.05, 0.5), ((d,), 0.04, 0.5), ((("cat_id", "b"),), 0.01, 0.3)]
+    assert search(singles + [((a, s), 0.2, 0.25), ((a, d), 0.02, 0.25)]) == [("a", "s"), ("a",), ("s",), ("a", "d"), ("d",)]
+    assert search(singles + [((a, s), 0.01, 0.25)]) == [("a",), ("s",), ("d",)]  # no union beats its members
+    assert search(singles + [((a, s), 0.2, 0.25), ((a, d, s), 0.3, 0.1)])[0] == ("a", "d", "s")
+    assert search([]) == []
 
 
 def test_agents_with_tools(spark):

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.binning import adaptive_edges, bin_of, equal_width_edges
 from ..functions.divergence import divergences, jsd_terms
 from ..sources.panel import COARSE_COLUMNS, SLICE_COLUMNS, Windows, tag, unpivot_slices
-from .detect import MIN_SLICE_SIZE, count_by_window, global_scan, scan_within_slices
+from ..sources.written import written
+from .detect import MIN_SLICE_SIZE, count_by_window, is_drift, scan_within_slices
 
 #: Below the first bar the coarse ranking gives way to bursts; above the second the burst list is taken.
 COARSE_BAR, BURST_BAR, TOP_K = 0.005, 60.0, 5
@@ -46,51 +47,76 @@ def slice_histograms(panel: DataFrame, feature: str, w: Windows | None, columns:
     return count_by_window(unpivot_slices(binned, [c for c in columns if c != feature], [*keys, "win", "bin"]), [*keys, "slice_col", "slice_ord", "slice_val"])
 
 
-def rank_within_slices(panel: DataFrame, feature: str, w: Windows | None, columns: Sequence[str] = COARSE_COLUMNS, min_slice_size: int = MIN_SLICE_SIZE, keys: Sequence[str] = ()) -> DataFrame:
-    """slice_col, slice_ord, slice_val, score, coverage of every slice with enough rows in both windows: divergence of its own two histograms.
+#: The slice that holds all rows, in the table of slice_counts.
+ALL = "_all_"
+
+
+def slice_counts(panel: DataFrame, feature: str, w: Windows, columns: Sequence[str] = COARSE_COLUMNS) -> DataFrame:
+    """slice_col, slice_ord, slice_val, bin, inside, n_ref, n_cur: a written table of the histograms of every slice, and of all rows under slice_col ALL.
 
-    coverage: its current rows over all current rows, those without a value included.
+    Two passes over the panel, one for the edges and one for the counts; what is asked of the histograms afterwards reads this table only.
+    bin is null where the feature is; values outside the edges are in the end bins, with inside false.
     """
-    counts = slice_histograms(panel, feature, w, columns, keys)
-    total = _tagged(panel, w, list(keys)).where("win = 'cur'").groupBy(*keys).agg(F.count("*").alias("total"))
+    rows = tag(panel.select(feature, "date", *(c for c in columns if c != feature)), w)
+    edges = written(adaptive_edges(rows.where(F.col(feature).isNotNull()), feature), "edges")
+    rows = rows.withColumn(ALL, F.lit(ALL)).crossJoin(F.broadcast(edges))  # one row
+    x = F.col(feature).cast("double")
+    binned = rows.withColumns({"bin": bin_of(x, F.col("edges"), False), "inside": bin_of(x, F.col("edges"), True).isNotNull()})
+    long = unpivot_slices(binned, [*(c for c in columns if c != feature), ALL], ["win", "bin", "inside"])
+    return written(count_by_window(long, ["slice_col", "slice_ord", "slice_val", "inside"]), "slice-counts")
+
+
+def _total(counts: DataFrame) -> DataFrame:
+    """One row: the current rows, those without a value included."""
+    return counts.where(F.col("slice_col") == ALL).agg(F.coalesce(F.sum("n_cur"), F.lit(0)).alias("total"))
+
+
+def _rank_histograms(counts: DataFrame, total: DataFrame, min_slice_size: int, keys: Sequence[str] = ()) -> DataFrame:
     out = divergences(counts, [*keys, "slice_col", "slice_ord", "slice_val"]).where((F.col("ref_n") >= min_slice_size) & (F.col("cur_n") >= min_slice_size))
     out = out.join(total, list(keys)) if keys else out.crossJoin(F.broadcast(total))
     return out.select(*keys, "slice_col", "slice_ord", "slice_val", F.col("js").alias("score"), (F.col("cur_n") / F.col("total")).alias("coverage"))
 
 
+def rank_counts_within(counts: DataFrame, min_slice_size: int = MIN_SLICE_SIZE) -> DataFrame:
+    """rank_within_slices from the table of slice_counts."""
+    own = counts.where(F.col("bin").isNotNull() & (F.col("slice_col") != ALL)).groupBy("slice_col", "slice_ord", "slice_val", "bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    return _rank_histograms(own, _total(counts), min_slice_size)
+
+
+def rank_within_slices(panel: DataFrame, feature: str, w: Windows | None, columns: Sequence[str] = COARSE_COLUMNS, min_slice_size: int = MIN_SLICE_SIZE, keys: Sequence[str] = ()) -> DataFrame:
+    """slice_col, slice_ord, slice_val, score, coverage of every slice with enough rows in both windows: divergence of its own two histograms.
+
+    coverage: its current rows over all current rows, those without a value included. Under keys (a trial or window id) all is done in one lazy plan.
+    """
+    if w is not None and not keys:
+        return rank_counts_within(slice_counts(panel, feature, w, columns), min_slice_size)
+    total = _tagged(panel, w, list(keys)).where("win = 'cur'").groupBy(*keys).agg(F.count("*").alias("total"))
+    return _rank_histograms(slice_histograms(panel, feature, w, columns, keys), total, min_slice_size, keys)
+
+
 def rank_by_removal(panel: DataFrame, feature: str, w: Windows, columns: Sequence[str] = COARSE_COLUMNS) -> DataFrame:
     """Score: how much the divergence falls when a slice's rows leave the current window. The rest's histogram is the whole's less the slice's.
 
     The reference side drops values outside the edges, the current side puts them into the end bins.
     """
-    rows = tag(panel.select(feature, "date", *(c for c in columns if c != feature)), w)
-    edges = adaptive_edges(rows.where(F.col(feature).isNotNull()), feature)
-    rows = rows.crossJoin(F.broadcast(edges))
-    x = F.col(feature).cast("double")
-    ref = rows.where("win = 'ref'").select(bin_of(x, F.col("edges"), True).alias("bin")).where("bin is not null").groupBy("bin").agg(F.count("*").alias("r"))
-    cur = unpivot_slices(rows.where("win = 'cur'").withColumn("bin", bin_of(x, F.col("edges"), False)).where("bin is not null"), [c for c in columns if c != feature], ["bin"])
-    counts = cur.groupBy("slice_col", "slice_ord", "slice_val", "bin").agg(F.count("*").alias("n"))
-    return _removal(counts, ref, rows.where("win = 'cur'"))
-
-
-def _removal(counts: DataFrame, ref: DataFrame, current: DataFrame) -> DataFrame:
-    """counts: slice_col, slice_ord, slice_val, bin, n; ref: bin, r."""
+    counts = slice_counts(panel, feature, w, columns)
+    total = _total(counts)
+    counts = counts.where("bin is not null")
+    every = counts.where(F.col("slice_col") == ALL).groupBy("bin").agg(F.sum(F.when(F.col("inside"), F.col("n_ref")).otherwise(0)).alias("r"), F.sum("n_cur").alias("t"))
+    slices = counts.where(F.col("slice_col") != ALL)
     slice_key = ["slice_col", "slice_ord", "slice_val"]
-    whole = counts.groupBy("slice_col", "bin").agg(F.sum("n").alias("t"))
-    # Bins of either side, a bounded number, beside each slice: what is missing counts 0.
-    bins = whole.join(ref, "bin", "full_outer").select("slice_col", "bin", F.coalesce("t", F.lit(0)).alias("t"), F.coalesce("r", F.lit(0)).alias("r"))
-    columns = counts.select("slice_col").distinct()
-    bins = bins.where("slice_col is not null").unionByName(bins.where("slice_col is null").drop("slice_col").crossJoin(F.broadcast(columns)).select("slice_col", "bin", "t", "r"))
-    ref_only = ref.crossJoin(F.broadcast(columns)).join(whole, ["slice_col", "bin"], "left_anti").select("slice_col", "bin", F.lit(0).cast("long").alias("t"), "r")
-    bins = bins.unionByName(ref_only).distinct()
-    grid = counts.select(*slice_key).distinct().join(F.broadcast(bins), "slice_col")  # bins times slice columns rows
-    full = grid.join(counts, [*slice_key, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    own = slices.groupBy(*slice_key, "bin").agg(F.sum("n_cur").alias("n")).where("n > 0")
+    # The whole of a slice column's rows: those without a value in it are in no slice.
+    whole = own.groupBy("slice_col", "bin").agg(F.sum("n").alias("t"))
+    columns_found = whole.select("slice_col").distinct()
+    bins = every.select("bin", "r").crossJoin(F.broadcast(columns_found)).join(whole, ["slice_col", "bin"], "left").withColumn("t", F.coalesce("t", F.lit(0)))  # bins times slice columns
+    grid = own.select(*slice_key).distinct().join(F.broadcast(bins), "slice_col")
+    full = grid.join(own, [*slice_key, "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     part = Window.partitionBy(*slice_key)
     full = full.withColumns({"all_r": F.sum("r").over(part), "all_t": F.sum("t").over(part), "all_n": F.sum("n").over(part)})
     p, q = F.try_divide("r", "all_r"), F.try_divide("t", "all_t")
     rest = F.try_divide(F.col("t") - F.col("n"), F.col("all_t") - F.col("all_n"))
     scores = full.groupBy(*slice_key).agg((F.sum(jsd_terms(p, q)) - F.sum(jsd_terms(p, rest))).alias("score"), F.max("all_n").alias("all_n"), F.max("all_t").alias("all_t"))
-    total = current.agg(F.count("*").alias("total"))
     return scores.where("all_n > 0 and all_n < all_t").crossJoin(F.broadcast(total)).select(*slice_key, "score", (F.col("all_n") / F.col("total")).alias("coverage"))
 
 
@@ -130,25 +156,28 @@ class Config:
 
 
 def detect_and_localise(panel: DataFrame, w: Windows, cfg: Config = Config(), feature: str = "sales") -> DataFrame:
-    """method, rank, slice_col, slice_val, score, coverage: the gated two-stage localisation as one declarative plan.
+    """detected_by, method, rank, slice_col, slice_val, score, coverage: the gated two-stage localisation.
 
     The scan of the feature, or the first drifting slice of a fallback column, opens the gate. The coarse ranking is taken, unless its best is
-    missing or under coarse_bar and the best burst is over burst_bar. The gates are one-row aggregates joined to the two short lists.
+    missing or under coarse_bar and the best burst is over burst_bar. The scan and the coarse ranking come from one table of counts; fallback
+    scans and bursts read the panel again, only where the gates (a row each) ask for them.
     """
-    fired = global_scan(panel, w, numeric=(feature,), categorical=()).agg(F.coalesce(F.bool_or("is_drift"), F.lit(False)).alias("fired"))
-    fallback = None
-    for i, c in enumerate(cfg.fallback_columns):
-        found = scan_within_slices(panel, feature, c, w, cfg.min_slice_size).agg(F.min(F.struct(F.lit(i).alias("i"), F.lit(c).alias("slice_col"), "slice_val")).alias("first"))
-        fallback = found if fallback is None else fallback.unionByName(found)
-    hit = fallback.agg(F.min("first").alias("first"))
-    coarse = top_k(rank_within_slices(panel, feature, w, cfg.coarse_columns, cfg.min_slice_size), cfg.top_k).withColumn("method", F.lit("within_slice"))
-    burst = top_k(rank_bursts(panel, w, cfg.burst_column, feature, min_rows=cfg.min_slice_size), cfg.top_k).withColumn("method", F.lit("burst"))
-    gate = coarse.agg(F.max("score").alias("coarse_top")).crossJoin(burst.agg(F.max("score").alias("burst_top"))).crossJoin(fired).crossJoin(hit)
-    try_burst = F.lit(True) if cfg.bursts_always else F.coalesce(F.col("coarse_top"), F.lit(0.0)) < cfg.coarse_bar
-    use_burst = try_burst & (F.coalesce(F.col("burst_top"), F.lit(0.0)) > cfg.burst_bar)
-    gate = gate.select((F.col("fired") | F.col("first").isNotNull()).alias("alert"), F.when(use_burst, "burst").otherwise("within_slice").alias("chosen"), F.when(F.col("fired"), "global").when(F.col("first").isNotNull(), "within_slice_fallback").alias("detected_by"))
-    both = coarse.unionByName(burst).crossJoin(F.broadcast(gate))  # at most 2 k rows, one row
-    return both.where("alert and method = chosen").select("detected_by", "method", "rank", "slice_col", "slice_val", "score", "coverage")
+    counts = slice_counts(panel, feature, w, cfg.coarse_columns)
+    every = counts.where((F.col("slice_col") == ALL) & F.col("inside") & F.col("bin").isNotNull()).groupBy("bin").agg(F.sum("n_ref").alias("n_ref"), F.sum("n_cur").alias("n_cur"))
+    scan = divergences(every, []).select(is_drift(F.col("js"), F.col("l_inf")).alias("fired")).first()
+    found = "global" if scan and scan["fired"] else None
+    for c in cfg.fallback_columns if found is None else ():
+        if not scan_within_slices(panel, feature, c, w, cfg.min_slice_size).isEmpty():
+            found = "within_slice_fallback"
+            break
+    chosen = top_k(rank_counts_within(counts, cfg.min_slice_size), cfg.top_k)
+    method, best = "within_slice", chosen.agg(F.max("score")).first()[0] if found else None
+    if found and (cfg.bursts_always or (best or 0.0) < cfg.coarse_bar):
+        burst = written(top_k(rank_bursts(panel, w, cfg.burst_column, feature, min_rows=cfg.min_slice_size), cfg.top_k), "bursts")
+        if (burst.agg(F.max("score")).first()[0] or 0.0) > cfg.burst_bar:
+            method, chosen = "burst", burst
+    out = chosen.select(F.lit(found).cast("string").alias("detected_by"), F.lit(method).alias("method"), "rank", "slice_col", "slice_val", "score", "coverage")
+    return out if found else out.where("false")
 
 
 # ---- conjunctions of slices
@@ -160,13 +189,17 @@ def combination_scores(panel: DataFrame, feature: str, w: Windows, columns: Sequ
     Equal-width bins over both windows; counts come from one pass over grouping sets of the columns; the score is the divergence removed.
     """
     rows = tag(panel.select(feature, "date", *columns), w).where(F.col(feature).isNotNull())
-    rows = rows.crossJoin(F.broadcast(equal_width_edges(rows, feature)))
+    rows = rows.crossJoin(F.broadcast(written(equal_width_edges(rows, feature), "edges")))
     rows = rows.withColumn("bin", bin_of(F.col(feature).cast("double"), F.col("edges"), True))
     sets = [s for k in range(1, size + 1) for s in combinations(columns, k)]
     conditions = F.array(*(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val")) for c in s)) for s in sets))
-    cur = rows.where("win = 'cur'")
-    counts = cur.select("bin", F.explode(conditions).alias("conditions")).groupBy("conditions", "bin").agg(F.count("*").alias("n"))
-    both = count_by_window(rows.where("bin is not null").select("win", "bin"), []).withColumnsRenamed({"n_ref": "r", "n_cur": "t"})
+    # One pass: under no conditions all rows of both windows, under others the current ones.
+    none = F.array(F.slice(conditions[0], 1, 0))
+    given = F.when(F.col("win") == "cur", F.concat(none, conditions)).otherwise(none)
+    each = rows.select("win", "bin", F.explode(given).alias("conditions"))
+    made = written(count_by_window(each, ["conditions"]), "conjunctions", few=False)
+    counts = made.where(F.size("conditions") > 0).select("conditions", "bin", F.col("n_cur").alias("n"))
+    both = made.where((F.size("conditions") == 0) & F.col("bin").isNotNull()).select("bin", F.col("n_ref").alias("r"), F.col("n_cur").alias("t"))
     kept = counts.groupBy("conditions").agg(F.sum("n").alias("all_n"))
     total = both.agg(F.sum("t").alias("all_t"), F.sum("r").alias("all_r"))
     kept = kept.crossJoin(F.broadcast(total)).where((F.col("all_n") / F.col("all_t") >= min_coverage) & (F.col("all_n") < F.col("all_t")))
@@ -176,38 +209,33 @@ def combination_scores(panel: DataFrame, feature: str, w: Windows, columns: Sequ
     return scores.withColumn("efficiency", F.col("score") / F.greatest("coverage", F.lit(1e-6)))
 
 
-def best_first(singles: Sequence[tuple[tuple, float, float]], pairs: dict, columns: Sequence[str] = SLICE_COLUMNS, top: int = SEED_COLUMNS, more=None) -> list[tuple[tuple, float, float]]:
-    """The best-first search over scored conjunctions (collected from combination_scores: at most 1 / min_coverage a column or pair).
+def best_first(scored: DataFrame, top: int = SEED_COLUMNS, keep: int = TOP_K) -> DataFrame:
+    """rank, conditions, score, coverage, efficiency: what a best-first search over the scored conjunctions (of combination_scores) ends with.
 
-    singles: (conditions, score, coverage). pairs: sorted conditions to (score, coverage). more: a function for conjunctions pairs lacks (three slices
-    and up, which the search reaches when two with different first columns are joined); without one they are left out.
+    Seeds: of the 3 * top most efficient slices the best-scored of each column, `top` columns at most. Rounds: unions of two members whose first columns
+    differ, looked up among the scored and not met before; while the most efficient of them beats all so far, the `top` best join the members.
+    Conjunctions that were not scored (too many slices, too little coverage) are never members. Each round is a small written table.
     """
-    rate = lambda c: c[1] / max(c[2], 1e-6)
-    order = sorted(singles, key=lambda c: (-rate(c), columns.index(c[0][0][0]), c[0][0][1]))
-    first: dict[str, tuple] = {}
-    for c in order[: top * 3]:
-        name = c[0][0][0]
-        if (name not in first and len(first) < top) or (name in first and c[1] > first[name][1]):
-            first[name] = c
-    front = list(first.values())
-    best = max(map(rate, front), default=-1.0)
-    tried: set = set()
-    while True:
-        new = []
-        for a, b in combinations(front, 2):
-            both = tuple(sorted(a[0] + b[0]))
-            if a[0][0][0] == b[0][0][0] or both in tried:
-                continue
-            tried.add(both)
-            found = pairs.get(both) or (more(both) if more else None)
-            if found and found[1] >= MIN_COVERAGE:
-                new.append((both, *found))
-        new.sort(key=lambda c: (-rate(c), c[0]))
-        if not new or rate(new[0]) <= best:
+    order = [F.desc(F.round("efficiency", 12)), F.asc("conditions")]
+    scored = written(scored.select(F.array_sort("conditions").alias("conditions"), "score", "coverage", "efficiency"), "scored")
+    place = scored.where(F.size("conditions") == 1).withColumn("place", F.row_number().over(Window.orderBy(*order)))  # at most 1 / MIN_COVERAGE a column
+    of_column = Window.partitionBy(F.col("conditions")[0]["col"])
+    seeds = place.where(F.col("place") <= 3 * top).withColumns({"first": F.min("place").over(of_column), "own": F.row_number().over(of_column.orderBy(F.desc(F.round("score", 12)), "place"))})
+    seeds = seeds.where("own = 1").orderBy("first").limit(top)
+    members, met = written(seeds.select(*scored.columns), "members"), None
+    lead = members.agg(F.max(F.round("efficiency", 12))).first()[0]
+    while lead is not None:
+        a, b = (members.select(F.col("conditions").alias(n)) for n in "ab")
+        pairs = a.join(F.broadcast(b), (F.col("a") < F.col("b")) & (F.col("a")[0]["col"] != F.col("b")[0]["col"]))  # a few members each
+        fresh = pairs.select(F.array_sort(F.array_union("a", "b")).alias("conditions")).distinct()
+        fresh = written(fresh if met is None else fresh.join(met, "conditions", "left_anti"), "unions")
+        met = fresh if met is None else written(met.unionByName(fresh), "met")
+        found = written(scored.join(F.broadcast(fresh), "conditions").orderBy(*order).limit(top), "found")
+        best = found.agg(F.max(F.round("efficiency", 12))).first()[0]
+        if best is None or best <= lead:
             break
-        best = rate(new[0])
-        front = front + new[:top]
-    return sorted(front, key=lambda c: (-rate(c), c[0]))[:5]
+        lead, members = best, written(members.unionByName(found.select(*members.columns)), "members")
+    return members.orderBy(*order).limit(keep).withColumn("rank", F.row_number().over(Window.orderBy(*order)))  # keep rows
 
 
 def merged_pool(coarse: DataFrame, item_divergence: DataFrame, item_burst: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,32 +12,45 @@ from ..sources.panel import COARSE_COLUMNS, Windows
 from .detect import CATEGORICAL, NUMERIC, global_scan
 from .localise import rank_within_slices, top_k
 
-# The wording of a report.
-HEAD = "Drift detected in '%s' (JS=%.4f, L-inf=%.4f)"
-NO_SLICE = " but no localized slice explained a meaningful share of it: likely a broad, cross-cutting shift rather than a localized one."
-STRONGEST, FIGURES = ". The strongest localized explanation is ", " (score=%.4f, covering %.1f%% of the current window)."
-PROMO_NOTE = " This window overlaps a known promotional/event period ({}), which is consistent with a demand-side (not data-quality) explanation."
-PIPELINE_NOTE = " No calendar event overlaps this window, which is more consistent with a data-quality or pipeline issue than a genuine demand shift."
-GLOBAL_ACTIONS = ("Investigate global pipeline changes (schema, ingestion timing).", "Check for a platform-wide event (site-wide sale, outage) around this window.")
-VERIFY, CHECK_LOGS = ("Verify against the marketing/promotions calendar for ", "."), ("Check pipeline/ingestion logs for ", " around this window.")
-COMPARE = ("Compare against the model-based localization baseline for a second opinion on ", ".")
-RULE_OUT, RULE_OUT_SCORE = "Secondary candidate to rule out: ", " (score=%.4f)."
+#: Sentences about an alert, by what is known of it.
+SHIFTED = "%s no longer follows its reference distribution: divergence %.4f, largest change of a bin's share %.4f."
+FOUND = " It shows most in %s (score %.4f), which makes up %.1f%% of the rows compared."
+SPREAD = " No single slice stands out, so the whole panel seems to have moved."
+PLANNED = " %s falls into these days, so look at demand before data."
+UNPLANNED = " Nothing on the calendar falls into these days, so look at data before demand."
+#: What to do next, in this order.
+LOOK_AT_FEED, LOOK_AT_CALENDAR = "Read the load logs of %s for these days.", "Hold %s against the campaign plan."
+SECOND_VIEW = "Rank the slices of %s by model contributions as well and compare."
+RUNNER_UP = "Exclude %s, next in the ranking with %.4f, before closing."
+WHOLE_PANEL = ("Compare schema and load times of all feeds before and after the change.", "Ask whether something happened on all sites at once in these days.")
 
 
 def narrate(alerts: DataFrame, promo: str | None = None, pipeline_issue: bool = False) -> DataFrame:
     """alerts (feature, js, l_inf, is_drift, slices: array of structs, best first) with narrative and recommended_actions."""
-    top, second = F.get("slices", F.lit(0)), F.get("slices", F.lit(1))
-    place = lambda s: F.concat(s["slice_col"], F.lit("='"), s["slice_val"], F.lit("'"))
-    head = F.format_string(HEAD, "feature", "js", "l_inf")
-    note = PROMO_NOTE.format(promo) if promo else PIPELINE_NOTE if pipeline_issue else ""
-    around = lambda words, x: F.concat(F.lit(words[0]), x, F.lit(words[1]))
-    found = F.concat(head, F.lit(STRONGEST), place(top), F.format_string(FIGURES, top["score"], top["coverage"] * 100), F.lit(note))
-    check: Column = around(VERIFY if promo else CHECK_LOGS, place(top))
-    other = around(COMPARE, F.col("feature"))
-    rule_out = F.concat(F.lit(RULE_OUT), place(second), F.format_string(RULE_OUT_SCORE, second["score"]))
-    some = F.size("slices") > 0
-    actions = F.when(~some, F.array(*map(F.lit, GLOBAL_ACTIONS))).when(F.size("slices") > 1, F.array(check, other, rule_out)).otherwise(F.array(check, other))
-    return alerts.withColumns({"narrative": F.when(some, found).otherwise(F.concat(head, F.lit(NO_SLICE))), "recommended_actions": actions})
+    said = lambda text, *values: F.format_string(text, *values)
+    name = lambda s: F.concat_ws(" ", s["slice_col"], s["slice_val"])
+    best, next_best, many = F.get("slices", F.lit(0)), F.get("slices", F.lit(1)), F.size("slices")
+    cause = PLANNED % promo if promo else UNPLANNED if pipeline_issue else ""
+    where = F.when(many == 0, F.lit(SPREAD)).otherwise(F.concat(said(FOUND, name(best), best["score"], best["coverage"] * 100), F.lit(cause)))
+    steps: list[Column] = [said(LOOK_AT_CALENDAR if promo else LOOK_AT_FEED, name(best)), said(SECOND_VIEW, F.col("feature"))]
+    steps.append(F.when(many > 1, said(RUNNER_UP, name(next_best), next_best["score"])))
+    actions = F.when(many == 0, F.array(*map(F.lit, WHOLE_PANEL))).otherwise(F.array_compact(F.array(*steps)))
+    return alerts.withColumns({"narrative": F.concat(said(SHIFTED, F.col("feature"), F.col("js"), F.col("l_inf")), where), "recommended_actions": actions})
+
+
+def with_fallback(synthesizer: Callable[[DataFrame], DataFrame], fallback: Callable[[DataFrame], DataFrame] = narrate) -> Callable[[DataFrame], DataFrame]:
+    """A synthesizer that a model stands behind, made safe: if it fails, or its reports lack a column, the fallback's are taken; `synthesized_by` says whose."""
+
+    def run(alerts: DataFrame) -> DataFrame:
+        try:
+            made = synthesizer(alerts)
+            if {"narrative", "recommended_actions"} <= set(made.columns):
+                return made.withColumn("synthesized_by", F.lit("model"))
+        except Exception as error:  # noqa: BLE001  (whatever the model's client raises)
+            warnings.warn(f"reports by rules, since the synthesizer failed: {error}", stacklevel=2)
+        return fallback(alerts).withColumn("synthesized_by", F.lit("rules"))
+
+    return run
 
 
 def reports(panel: DataFrame, w: Windows, k: int = 5, synthesizer: Callable[[DataFrame], DataFrame] = narrate) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy, localise
@@ -114,15 +116,38 @@ def k16(spark, sf_dir):
     return out.select(name.alias("conditions"), F.round("score", 7).alias("score"), F.round("coverage", 9).alias("coverage"))
 
 
-@query("k17_best_first_search")
+def _search_sql(rounds: int = 3) -> str:
+    """The best-first search over conjunctions of up to three slices, its rounds written out."""
+    sets = [s for k in (1, 2, 3) for s in combinations(COARSE_COLUMNS, k)]
+    each = " UNION ALL ".join("SELECT [" + ", ".join(f"'{c}=' || {c}" for c in s) + "] AS conditions, bin FROM b WHERE win = 'cur'" for s in sets)
+    best, first = "ORDER BY round(eff, 12) DESC, conditions LIMIT 5", "split_part({}.conditions[1], '=', 1)"
+    out = (
+        f"WITH {S.RETAIL}, {S.tagged('t', 'retail', S.RETAIL_REF, S.RETAIL_CUR)}, m AS (SELECT min(sales) AS lo, max(sales) AS hi FROM t), "
+        "b AS (SELECT *, len(list_filter(range(1, 20), lambda i: sales >= lo + (hi - lo) * i / 20.0)) AS bin FROM t, m), rp AS (SELECT bin, count(*) FILTER (win = 'ref') AS r, count(*) FILTER (win = 'cur') AS t FROM b GROUP BY 1), "
+        f"u AS ({each}), n AS (SELECT conditions, bin, count(*) AS n FROM u GROUP BY 1, 2), v AS (SELECT conditions, sum(n) AS s FROM n GROUP BY 1), tot AS (SELECT sum(t) AS tt, sum(r) AS rr FROM rp), "
+        "g AS (SELECT v.conditions, s, tt, r / rr::DOUBLE AS p, t / tt::DOUBLE AS q, (t - coalesce(n, 0)) / (tt - s)::DOUBLE AS rest FROM v, tot, rp LEFT JOIN n ON n.conditions = v.conditions AND n.bin = rp.bin WHERE s / tt::DOUBLE >= 0.05 AND s < tt), "
+        "sc AS (SELECT *, score / greatest(coverage, 1e-6) AS eff FROM (SELECT conditions, sum(0.5 * (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)) "
+        "- sum(0.5 * (CASE WHEN p > 0 THEN p * log2(2 * p / (p + rest)) ELSE 0 END + CASE WHEN rest > 0 THEN rest * log2(2 * rest / (p + rest)) ELSE 0 END)) AS score, max(s / tt::DOUBLE) AS coverage FROM g GROUP BY 1)), "
+        f"sp AS (SELECT *, {first.format('sc')} AS c, row_number() OVER (ORDER BY round(eff, 12) DESC, conditions) AS place FROM sc WHERE len(conditions) = 1), "
+        "so AS (SELECT *, min(place) OVER (PARTITION BY c) AS first, row_number() OVER (PARTITION BY c ORDER BY round(score, 12) DESC, place) AS own FROM sp WHERE place <= 15), "
+        "f0 AS (SELECT conditions, score, coverage, eff FROM so WHERE own = 1 ORDER BY first LIMIT 5), go0 AS (SELECT true AS go)"
+    )
+    for i in range(1, rounds + 1):
+        before = "".join(f" EXCEPT SELECT conditions FROM u{j}" for j in range(1, i))
+        out += (
+            f", u{i} AS (SELECT DISTINCT list_sort(list_distinct(list_concat(a.conditions, b.conditions))) AS conditions FROM f{i - 1} a, f{i - 1} b WHERE a.conditions < b.conditions AND {first.format('a')} <> {first.format('b')}{before}), "
+            f"n{i} AS (SELECT sc.* FROM sc JOIN u{i} USING (conditions) {best}), go{i} AS (SELECT go AND coalesce((SELECT max(round(eff, 12)) FROM n{i}) > (SELECT max(round(eff, 12)) FROM f{i - 1}), false) AS go FROM go{i - 1}), "
+            f"f{i} AS (SELECT * FROM f{i - 1} UNION ALL SELECT n{i}.* FROM n{i}, go{i} WHERE go)"
+        )
+    return out + f" SELECT CAST(row_number() OVER (ORDER BY round(eff, 12) DESC, conditions) AS INT) AS rank, array_to_string(conditions, ' & ') AS conditions, round(score, 7) AS score, round(coverage, 9) AS coverage FROM (SELECT * FROM f{rounds} {best})"
+
+
+@query("k17_best_first_search", _search_sql())
 def k17(spark, sf_dir):
-    """The best-first search over the scored conjunctions (a bounded list on the driver)."""
-    rows = localise.combination_scores(retail_panel(spark, sf_dir), "sales", RETAIL_WINDOWS).collect()  # at most 20 slices a column or pair
-    of = lambda r: tuple((c["col"], c["val"]) for c in r["conditions"])
-    singles = [(of(r), r["score"], r["coverage"]) for r in rows if len(r["conditions"]) == 1]
-    pairs = {tuple(sorted(of(r))): (r["score"], r["coverage"]) for r in rows if len(r["conditions"]) == 2}
-    found = localise.best_first(singles, pairs)
-    return spark.createDataFrame([(i + 1, " & ".join(f"{c}={v}" for c, v in cond), float(s), float(g)) for i, (cond, s, g) in enumerate(found)], "rank int, conditions string, score double, coverage double")
+    """The best-first search over conjunctions of up to three slices."""
+    out = localise.best_first(localise.combination_scores(retail_panel(spark, sf_dir), "sales", RETAIL_WINDOWS, size=3))
+    name = F.array_join(F.transform("conditions", lambda c: F.concat(c["col"], F.lit("="), c["val"])), " & ")
+    return out.select(F.col("rank").cast("int").alias("rank"), name.alias("conditions"), F.round("score", 7).alias("score"), F.round("coverage", 9).alias("coverage"))
 
 
 @query(
