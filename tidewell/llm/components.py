@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import spool
+from .shared import spool, spool_counted
 
 #: Pieces of a node with very many neighbours.
 SALTS = 256
@@ -38,13 +38,12 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable, for every node on an edge. edges: (u long, v long), any direction, repeats allowed.
 
-    Null ends and loops are left out; no edges give no rows. Only one count and one checksum a round come to the driver.
+    Null ends and loops are left out; no edges give no rows. Only one count and one checksum a round, observed as it is written, come to the driver.
     """
-    edges = spool(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "edges")
+    edges = spool(edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v").distinct(), "edges", small=True)
     before = None
     for _ in range(max_rounds):
-        edges = spool(_small_star(_large_star(edges)), "edges")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges, now = spool_counted(_small_star(_large_star(edges)), "edges", F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"), small=True)
         if now == before:
             break
         before = now

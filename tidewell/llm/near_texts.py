@@ -5,7 +5,7 @@ acos(2 s / (1 + s)) / pi, 0.15 at 0.8, so a block differs in at most one bit wit
 Such a block meets at an anchor of the covering code (see simhash); there all 256 bits are compared: those of a pair at 0.8 differ
 in 39 on average with a deviation of 6, of one at 0.4 in 78 with one of 7, so APART tells them apart. Equal sets are one node, so copies never meet.
 
-What the anchors link forms groups of candidates. In a group each set is compared with a few of the others (hubs), four times as many each round,
+What the anchors link forms groups of candidates. In a group each set is compared with a few of the others (hubs), eight times as many each round,
 until all pairs of a group that are not too far apart were compared or are known to be in one component; so a group of near copies costs about a comparison a member.
 """
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import mix
-from .shared import spool, text_chunks, texts_of, tidied, without_ids
+from .shared import spool, spool_counted, text_chunks, texts_of, tidied, without_ids
 from .simhash import component_ids, links
 
 SHINGLE_WORDS = 5
@@ -31,8 +31,8 @@ SEED = 42
 WORDS, BLOCKS, BLOCK_BITS = ("w0", "w1", "w2", "w3"), 4, 1
 #: Most differing bits of the 256: some three deviations over the average of a pair at LEAST.
 APART = 55
-#: Hubs of the first round, and rounds of four times as many each: enough for 4 ** 20 sets in a group.
-_HUBS, _MOST_ROUNDS = 4, 20
+#: Hubs of the first round, and rounds of eight times as many each: enough for 8 ** 12 sets in a group.
+_HUBS, _MORE, _MOST_ROUNDS = 4, 8, 12
 #: Pieces in which a hub, or a group, with very many pairs is dealt out.
 _SALTS = 64
 _TURNS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
@@ -141,8 +141,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int
     sets = edges = joined = None
     for i in range(_MOST_ROUNDS):
         mixed = buckets.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        buckets = spool(buckets.join(mixed, "key", "left_semi"), "buckets", small=True)
-        if buckets.isEmpty():
+        buckets, seen = spool_counted(buckets.join(mixed, "key", "left_semi"), "buckets", small=True)
+        if not seen["rows"]:
             return joined
         if sets is None:
             whom = nodes.join(buckets.select("node"), "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
@@ -150,14 +150,14 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int
             # Of a repeated id only the texts asked for, and of equal texts under one id one.
             sets = spool(_sets(texts, shingle).join(buckets.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
         hub = F.min(F.struct("node", "component", "n", *WORDS)).alias("h")
-        parted = buckets.groupBy("key", F.pmod(F.xxhash64("node", F.lit(i)), F.lit(_HUBS * 4**i)).alias("part")).agg(hub)
+        parted = buckets.groupBy("key", F.pmod(F.xxhash64("node", F.lit(i)), F.lit(_HUBS * _MORE**i)).alias("part")).agg(hub)
         hubs = parted.select("key", F.col("h.node").alias("hub"), *(F.col(f"h.{c}").alias(f"hub_{c}") for c in ("component", "n", *WORDS)))
         hubs = spool(hubs, "hubs", small=True)
         salted = buckets.withColumn("_s", _salt("node"))  # a group with very many members meets its hubs in pieces
         pairs = salted.join(salted.select("key", "_s").distinct().join(hubs, "key"), ["key", "_s"]).where("component <> hub_component").where(near).select("hub", "node").distinct()
         found = spool(_similar(pairs, sets, least), "similar", small=True)
         edges = found if edges is None else edges.unionByName(found)
-        joined = spool(connected_components(edges), "joined", small=True)
+        joined = connected_components(edges)
         left = buckets.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")  # a hub has met all in its group
         buckets = left.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     raise RuntimeError(f"groups were not compared in {_MOST_ROUNDS} rounds")
@@ -171,7 +171,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     each = spool(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "sketches")
     nodes = spool(each.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(w).alias(w) for w in ("n", *WORDS))), "nodes")
-    candidates = spool(connected_components(links(nodes, APART, WORDS, n_blocks=BLOCKS, block_bits=BLOCK_BITS)), "candidates", small=True)
+    candidates = connected_components(links(nodes, APART, WORDS, n_blocks=BLOCKS, block_bits=BLOCK_BITS))
     joined = _verified(docs, nodes, candidates, shingle, least, id_col, text_col)
     if joined is None:
         return each.join(nodes.select("node", F.col("rep").alias("component_id")), "node").select("doc_id", "component_id")

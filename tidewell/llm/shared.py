@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a kernel handles at once (a longer document is handled alone).
@@ -51,6 +51,12 @@ def spool(df: DataFrame, name: str, small: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spool_counted(df: DataFrame, name: str, *metrics: Column, small: bool = False) -> tuple[DataFrame, dict]:
+    """spool(), and aggregates over its rows, observed while they are written rather than in a job of their own."""
+    seen = Observation()
+    return spool(df.observe(seen, F.count(F.lit(1)).alias("rows"), *metrics), name, small), seen.get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
