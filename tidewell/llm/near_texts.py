@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .kernels import mix
-from .shared import spool, spool_counted, text_chunks, texts_of, tidied, without_ids
+from .shared import partitions, spool, spool_counted, text_chunks, texts_of, tidied, without_ids
 from .simhash import component_ids, links
 
 SHINGLE_WORDS = 5
@@ -33,7 +33,7 @@ WORDS, BLOCKS, BLOCK_BITS = ("w0", "w1", "w2", "w3"), 4, 1
 APART = 55
 #: Hubs of the first round, and rounds of eight times as many each: enough for 8 ** 12 sets in a group.
 _HUBS, _MORE, _MOST_ROUNDS = 4, 8, 12
-#: Pieces in which a hub, or a group, with very many pairs is dealt out.
+#: Pieces in which a group with very many members is dealt out.
 _SALTS = 64
 _TURNS = np.array([0, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
 _AT_ONCE = 1 << 16
@@ -105,61 +105,69 @@ def _sets(texts: DataFrame, shingle: int) -> DataFrame:
     return texts.mapInArrow(tidied(run), "node long, shingles binary")
 
 
-def _salt(column: str):
-    return F.pmod(F.xxhash64(column), F.lit(_SALTS)).cast("int")
+def _against_hubs(members: DataFrame, hubs: DataFrame, least: float) -> DataFrame:
+    """(u, v): each hub of a group and the members of another component whose sets have a similarity of `least` or more.
 
-
-def _similar(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (hub, node) whose shingle sets have a Jaccard similarity of `least` or more, as (u, v). A hub with many pairs is met in pieces."""
+    members, hubs: (key, node, component, n, words..., shingles). A group meets its hubs in up to _SALTS pieces: a member's set is moved once however
+    many hubs there are, a hub's once a piece. A task holds the hubs of one piece, and members stream past them.
+    """
+    columns = ["key", "_s", "is_hub", "node", "component", "n", *WORDS, "shingles"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, stacked = None, [], None
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), dtype=np.uint64) for x in (a, b))
-                small, large = sorted((len(a), len(b)))
-                if small < least * large * (1 - 1e-12):  # too unlike in size
-                    keep.append(False)
+            found: tuple[list, list] = ([], [])
+            plain = [batch.column(i).to_pylist() for i in range(6)]
+            words = np.stack([batch.column(6 + k).to_numpy().view(np.uint64) for k in range(len(WORDS))], axis=1)
+            for i, (key, salt, is_hub, node, component, n) in enumerate(zip(*plain, strict=True)):
+                if (key, salt) != now:
+                    now, held, stacked = (key, salt), [], None
+                own = np.frombuffer(batch.column(10)[i].as_buffer(), dtype=np.uint64)
+                if is_hub:  # sorted before the members
+                    held.append((node, component, n, words[i].copy(), own.copy()))
                     continue
-                both = np.concatenate((a, b))
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(common / max(small + large - common, 1) >= least)
-            yield batch.select([0, 1]).filter(pa.array(keep, type=pa.bool_())).rename_columns(["u", "v"])
-
-    salted = pairs.withColumn("_s", _salt("node"))
-    hubs = salted.select("hub", "_s").distinct().join(sets.select(F.col("node").alias("hub"), F.col("shingles").alias("hub_set")), "hub")
-    met = salted.join(sets.select("node", F.col("shingles").alias("node_set")), "node").join(hubs, ["hub", "_s"])
-    return met.select("hub", "node", "hub_set", "node_set").mapInArrow(tidied(run), "u long, v long")
+                if stacked is None:
+                    stacked = tuple(np.array([h[k] for h in held]) for k in (1, 2, 3))
+                near = (stacked[0] != component) & (np.minimum(stacked[1], n) >= np.maximum(stacked[1], n) * (least - 1e-9))
+                near &= np.bitwise_count(stacked[2] ^ words[i]).sum(axis=1, dtype=np.int64) <= APART
+                for h in np.flatnonzero(near).tolist():
+                    both = np.concatenate((held[h][4], own))
+                    both.sort(kind="stable")
+                    common = int((both[1:] == both[:-1]).sum())
+                    if common >= least * (len(both) - common):
+                        found[0].append(held[h][0])
+                        found[1].append(node)
+            yield pa.RecordBatch.from_arrays([pa.array(found[0], type=pa.int64()), pa.array(found[1], type=pa.int64())], names=["u", "v"])
+
+    salted = members.withColumn("_s", F.pmod(F.xxhash64("node"), F.lit(_SALTS)).cast("int")).withColumn("is_hub", F.lit(False))
+    sent = hubs.withColumn("is_hub", F.lit(True)).join(salted.select("key", "_s").distinct(), "key")
+    rows = salted.select(columns).unionByName(sent.select(columns)).repartition(partitions(members.sparkSession), "key", "_s").sortWithinPartitions("key", "_s", F.desc("is_hub"))
+    return rows.mapInArrow(tidied(run), "u long, v long")
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame | None:
-    """(node, component) by pairs of similarity `least` or more inside each candidate group; None where there are no groups. nodes: (node, rep, words...); groups: (node, component)."""
-    distance = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"hub_{w}"))) for w in WORDS[1:]), F.bit_count(F.col(WORDS[0]).bitwiseXOR(F.col(f"hub_{WORDS[0]}"))))
-    near = (distance <= APART) & (F.least("n", "hub_n") >= F.greatest("n", "hub_n") * (least - 1e-9))
-    buckets = groups.withColumnRenamed("component", "key").join(nodes.select("node", "n", *WORDS), "node").withColumn("component", F.col("node"))
+    """(node, component) by pairs of similarity `least` or more inside each candidate group; None where there are no groups. nodes: (node, rep, n, words...); groups: (node, component)."""
+    state = groups.withColumnRenamed("component", "key").withColumn("component", F.col("node"))
     sets = edges = joined = None
     for i in range(_MOST_ROUNDS):
-        mixed = buckets.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        buckets, seen = spool_counted(buckets.join(mixed, "key", "left_semi"), "buckets", small=True)
+        mixed = state.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+        state, seen = spool_counted(state.join(mixed, "key", "left_semi"), "groups", small=True)
         if not seen["rows"]:
             return joined
         if sets is None:
-            whom = nodes.join(buckets.select("node"), "node", "left_semi").select("node", F.col("rep").alias("doc_id"))
-            texts = texts_of(docs, id_col, text_col).join(whom.select("doc_id").distinct(), "doc_id", "left_semi")
+            whom = nodes.join(state.select("node"), "node", "left_semi")
+            texts = texts_of(docs, id_col, text_col).join(whom.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
             # Of a repeated id only the texts asked for, and of equal texts under one id one.
-            sets = spool(_sets(texts, shingle).join(buckets.select("node"), "node", "left_semi").dropDuplicates(["node"]), "shingles")
-        hub = F.min(F.struct("node", "component", "n", *WORDS)).alias("h")
-        parted = buckets.groupBy("key", F.pmod(F.xxhash64("node", F.lit(i)), F.lit(_HUBS * _MORE**i)).alias("part")).agg(hub)
-        hubs = parted.select("key", F.col("h.node").alias("hub"), *(F.col(f"h.{c}").alias(f"hub_{c}") for c in ("component", "n", *WORDS)))
+            sets = spool(_sets(texts, shingle).dropDuplicates(["node"]).join(whom.drop("rep"), "node"), "shingles")
+        first = F.min("node").alias("node")
+        hubs = state.groupBy("key", F.pmod(F.xxhash64("node", F.lit(i)), F.lit(_HUBS * _MORE**i)).alias("part")).agg(first).select("node")
         hubs = spool(hubs, "hubs", small=True)
-        salted = buckets.withColumn("_s", _salt("node"))  # a group with very many members meets its hubs in pieces
-        pairs = salted.join(salted.select("key", "_s").distinct().join(hubs, "key"), ["key", "_s"]).where("component <> hub_component").where(near).select("hub", "node").distinct()
-        found = spool(_similar(pairs, sets, least), "similar", small=True)
+        members = state.join(sets, "node")
+        found = spool(_against_hubs(members, members.join(hubs, "node", "left_semi"), least), "similar", small=True)
         edges = found if edges is None else edges.unionByName(found)
         joined = connected_components(edges)
-        left = buckets.join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti")  # a hub has met all in its group
-        buckets = left.drop("component").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        left = state.drop("component").join(hubs, "node", "left_anti")  # a hub has met all in its group
+        state = left.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     raise RuntimeError(f"groups were not compared in {_MOST_ROUNDS} rounds")
 
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one step of a kernel handles at once (a longer document is handled alone).
 CHUNK_BYTES = 1 << 20
-#: Rows of an Arrow batch of texts.
-ARROW_ROWS = 1000
+#: Rows of an Arrow batch of texts, and its bytes (a longer row is a batch).
+ARROW_ROWS, ARROW_BYTES = 1000, "4m"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -105,8 +105,9 @@ def tidied(kernel: Callable) -> Callable:
 def texts_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", extra: Iterable[str] = ()) -> DataFrame:
     """Only the columns that are needed, as (id, text bytes, extra...): bytes reach Python without a decode.
 
-    Sets the session's Arrow batches to ARROW_ROWS rows, since the default ten thousand long texts don't fit a worker.
+    Sets the session's Arrow batches to ARROW_ROWS rows and ARROW_BYTES, since the default ten thousand long texts don't fit a worker.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"), *extra)
 

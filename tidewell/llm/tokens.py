@@ -11,8 +11,8 @@ from itertools import count, islice
 
 import numpy as np
 
-#: Pieces a worker remembers before it starts afresh (and of their parts; about 210 MB).
-CACHE_PIECES = 750_000
+#: Pieces a worker remembers before it starts afresh (and of their parts; about 210 MB), and where it keeps no parts beside them, when a larger cache saves nothing.
+CACHE_PIECES, CACHE_PLAIN = 750_000, 500_000
 #: Fixed value: a control character that marks a piece with no space before it.
 _BARE = "\x02"
 #: Texts with these are encoded whole: white space beside white space or at an end, and the mark.
@@ -175,7 +175,7 @@ class Encoder:
         return None if not other and ("" in pieces or _BARE in pieces) else pieces
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > (CACHE_PLAIN if self.lead else CACHE_PIECES):
             self.reset()
         number, lines = self.known.__getitem__, f" {_BARE}\n {_BARE}"
         found, whole, counts = [], {}, np.zeros(len(texts), dtype=np.int64)
