@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import SALTS, connected_components
 from .kernels import mix
 from .shared import partitions, spool, text_chunks, texts_of, tidied
 
@@ -266,8 +266,11 @@ def _replicate(i: np.ndarray, anchor: np.ndarray, probe: bool, spread: np.ndarra
 
 def component_ids(nodes: DataFrame, joined: DataFrame) -> DataFrame:
     """(node, component_id): the smallest rep of each node's component. nodes: (node, rep); joined: (node, component) of the nodes on links."""
-    least = nodes.join(joined, "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    return nodes.join(joined, "node", "left").join(least, "component", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    # A component with very many nodes meets its least rep in pieces; nodes on no link are not moved for that.
+    linked = nodes.join(joined, "node").withColumn("_s", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    least = linked.groupBy("component", "_s").agg(F.min("rep").alias("m")).groupBy("component").agg(F.min("m").alias("component_id"), F.collect_list("_s").alias("_s"))
+    named = linked.join(least.withColumn("_s", F.explode("_s")), ["component", "_s"]).select("node", "component_id")
+    return nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
