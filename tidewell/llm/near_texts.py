@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .kernels import mix
 from .shared import partitions, spool, spool_counted, text_chunks, texts_of, tidied, without_ids
-from .simhash import component_ids, links
+from .simhash import by_node, links, numbered
 
 SHINGLE_WORDS = 5
 LEAST = 0.8
@@ -178,12 +178,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     in the group of its text. An empty table gives no rows; other columns are not looked at.
     """
     each = spool(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "sketches")
-    nodes = spool(each.groupBy("node").agg(F.min("doc_id").alias("rep"), *(F.first(w).alias(w) for w in ("n", *WORDS))), "nodes")
+    nodes = spool(by_node(each, "node", *(F.first(w).alias(w) for w in ("n", *WORDS))), "nodes")
     candidates = connected_components(links(nodes, APART, WORDS, n_blocks=BLOCKS, block_bits=BLOCK_BITS))
-    joined = _verified(docs, nodes, candidates, shingle, least, id_col, text_col)
-    if joined is None:
-        return each.join(nodes.select("node", F.col("rep").alias("component_id")), "node").select("doc_id", "component_id")
-    return each.join(component_ids(nodes.select("node", "rep"), joined), "node").select("doc_id", "component_id")
+    joined = _verified(docs, nodes.drop("salts"), candidates, shingle, least, id_col, text_col)
+    none = candidates.where("false") if joined is None else joined
+    return numbered(each.select("doc_id", "node"), nodes, none).select("doc_id", "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import SALTS, connected_components
@@ -273,6 +273,23 @@ def component_ids(nodes: DataFrame, joined: DataFrame) -> DataFrame:
     return nodes.join(named, "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
 
 
+def numbered(each: DataFrame, nodes: DataFrame, joined: DataFrame, node: str = "node") -> DataFrame:
+    """each (doc_id, node, ...) with component_id. nodes: (node, rep, salts), as by_node() gives. A node of very many documents meets them in pieces."""
+    named = component_ids(nodes.select("node", "rep"), joined).join(nodes.select("node", "salts"), "node").withColumn("_s", F.explode("salts")).select(F.col("node").alias(node), "_s", "component_id")
+    return each.withColumn("_s", _piece()).join(named, [node, "_s"]).drop("_s")
+
+
+def by_node(each: DataFrame, node: str, *kept: Column) -> DataFrame:
+    """(node, rep, salts, kept...): a row a node, with its smallest doc_id and the pieces in which it has documents; added up by piece first."""
+    parts = each.groupBy(F.col(node).alias("node"), _piece().alias("_s")).agg(F.min("doc_id").alias("rep"), *kept)
+    again = [F.first(c).alias(c) for c in parts.columns[3:]]
+    return parts.groupBy("node").agg(F.min("rep").alias("rep"), F.collect_list("_s").alias("salts"), *again)
+
+
+def _piece() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE_WORDS, seed: int = SEED, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints chain by links of at most max_bits differing bits share the smallest doc_id.
 
@@ -281,10 +298,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows; other columns are not looked at.
     """
     each = spool(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, seed), "fingerprints")
-    nodes = spool(each.groupBy(F.col("fp").alias("node")).agg(F.min("doc_id").alias("rep")), "nodes")
+    nodes = spool(by_node(each, "fp"), "nodes")
     joined = connected_components(links(nodes.withColumn("fp", F.col("node")), max_bits))
-    named = component_ids(nodes, joined).withColumnRenamed("node", "fp")
-    return each.join(named, "fp").select("doc_id", "fp", "component_id")
+    return numbered(each, nodes, joined, "fp").select("doc_id", "fp", "component_id")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
