@@ -191,6 +191,16 @@ def test_agent_loop():
     assert agents.rerank([{"v": "a"}], lambda m: {"content": "?"})[1].startswith("fallback")
 
 
+def test_failing_models_and_long_results():
+    def broken(messages):
+        raise TimeoutError("slow")
+
+    order, why = agents.rerank([{"v": "a"}, {"v": "b"}], broken)
+    assert [c["v"] for c in order] == ["a", "b"] and why == "fallback: TimeoutError: slow"
+    shown = json.loads(agents._fitted([{"value": "x" * 100, "i": i} for i in range(100)]))
+    assert shown["of"] == 100 and 0 < len(shown["rows"]) < 100 and len(json.dumps(shown)) <= agents.SHOWN
+
+
 def test_report_branches(spark):
     kind = "array<struct<rank:int,slice_col:string,slice_val:string,score:double,coverage:double>>"
     df = spark.createDataFrame([("sales", 0.1, 0.2, True, []), ("price", 0.1, 0.2, True, [(1, "cat_id", "A", 0.5, 0.25), (2, "cat_id", "B", 0.4, 0.2)])], f"feature string, js double, l_inf double, is_drift boolean, slices {kind}")

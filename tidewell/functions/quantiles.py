@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Input beyond which groups are ranked rather than kept in a task.
-LARGE_BYTES = 64 << 30
+LARGE_BYTES = 1 << 30
 RANGES = 64
 
 

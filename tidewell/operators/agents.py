@@ -54,7 +54,10 @@ def rerank(candidates: Sequence[dict], chat: Chat, repeats: int = 1) -> tuple[li
     prompt = [{"role": "user", "content": json.dumps({"candidates": [{"index": i, **c} for i, c in enumerate(candidates)], "answer": {"ranking": "indices, best first"}})}]
     votes, reason = [], "no answer"
     for _ in range(repeats):
-        order, reason = valid_ranking(chat(prompt).get("content", ""), len(candidates))
+        try:
+            order, reason = valid_ranking(chat(prompt).get("content", ""), len(candidates))
+        except Exception as error:  # noqa: BLE001  (whatever the model's client raises: quota, time, connection)
+            order, reason = None, f"{type(error).__name__}: {error}"
         if order:
             votes.append(order)
     if not votes:
@@ -86,7 +89,7 @@ def run(chat: Chat, tools: Mapping[str, Callable[..., object]], task: str, budge
             messages.append({"role": "user", "content": f"Your answer is not valid: {wrong}"})
         elif reply.get("tool") and out.calls < budget:
             out.calls += 1
-            messages.append({"role": "tool", "content": json.dumps(_call(tools, reply), default=str)[:4000]})
+            messages.append({"role": "tool", "content": _fitted(_call(tools, reply))})
         else:
             messages.append({"role": "user", "content": "Reply with a tool call or a submission."})
     else:
@@ -95,6 +98,22 @@ def run(chat: Chat, tools: Mapping[str, Callable[..., object]], task: str, budge
     return out
 
 
+#: Most characters of a tool's result that a model is shown.
+SHOWN = 4000
+
+
+def _fitted(result: object) -> str:
+    """A result as JSON; of a list too long to be shown, as many first rows as fit, and how many there were."""
+    text = json.dumps(result, default=str)
+    if len(text) <= SHOWN or not isinstance(result, list):
+        return text
+    n = len(result)
+    while n and len(text) > SHOWN:
+        n -= 1
+        text = json.dumps({"rows": result[:n], "of": len(result)}, default=str)
+    return text
+
+
 def _call(tools: Mapping[str, Callable[..., object]], reply: dict) -> object:
     tool = tools.get(reply["tool"])
     if tool is None:

@@ -52,6 +52,15 @@ def related(pairs: DataFrame, ancestors: DataFrame) -> DataFrame:
     return joined.select(*keys, (same | F.col("_down").isNotNull() | F.col("_up").isNotNull()).alias("related"))
 
 
+def related_pairs(slices: DataFrame, ancestors: DataFrame) -> DataFrame:
+    """col_a, val_a, col_b, val_b of all pairs of the given slices (slice_col, slice_val) that are equal, or one an ancestor of the other: by the ancestors, not by trying all pairs."""
+    names = ["col_a", "val_a", "col_b", "val_b"]
+    up = ancestors.select("col", "val", "ancestor_col", "ancestor_val").distinct()
+    each = slices.select("slice_col", "slice_val").distinct()
+    pairs = up.toDF(*names).unionByName(up.toDF("col_b", "val_b", "col_a", "val_a")).unionByName(each.select("slice_col", "slice_val", "slice_col", "slice_val").toDF(*names))
+    return pairs.join(each.toDF("col_a", "val_a"), ["col_a", "val_a"], "left_semi").join(each.toDF("col_b", "val_b"), ["col_b", "val_b"], "left_semi").select(*names)
+
+
 def dependencies(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """determinant, dependent, n_violations for each pair of columns: values of the one that go with several of the other. One pass over the distinct rows."""
     names = sorted({c for p in pairs for c in p})

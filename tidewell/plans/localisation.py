@@ -173,18 +173,15 @@ def k19(spark, sf_dir):
 @query(
     "k20_related_slices",
     f"WITH {S.RETAIL}, {within(S.RETAIL, 'retail', S.RETAIL_REF, S.RETAIL_CUR, COARSE_COLUMNS, 's')}, k AS (SELECT *, {RANK} FROM s), p AS (SELECT DISTINCT dept_id, cat_id, store_id, state_id FROM retail) "
-    "SELECT a.slice_col AS col_a, a.slice_val AS val_a, b.slice_col AS col_b, b.slice_val AS val_b, "
+    "SELECT a.slice_col AS col_a, a.slice_val AS val_a, b.slice_col AS col_b, b.slice_val AS val_b FROM k a, k b WHERE "
     "a.slice_col = b.slice_col AND a.slice_val = b.slice_val OR EXISTS (SELECT 1 FROM p WHERE (a.slice_col = 'dept_id' AND b.slice_col = 'cat_id' AND dept_id = a.slice_val AND cat_id = b.slice_val) OR (b.slice_col = 'dept_id' AND a.slice_col = 'cat_id' AND dept_id = b.slice_val AND cat_id = a.slice_val) "
-    "OR (a.slice_col = 'store_id' AND b.slice_col = 'state_id' AND store_id = a.slice_val AND state_id = b.slice_val) OR (b.slice_col = 'store_id' AND a.slice_col = 'state_id' AND store_id = b.slice_val AND state_id = a.slice_val)) AS related "
-    "FROM k a, k b WHERE a.rank <= 40 AND b.rank <= 40",
+    "OR (a.slice_col = 'store_id' AND b.slice_col = 'state_id' AND store_id = a.slice_val AND state_id = b.slice_val) OR (b.slice_col = 'store_id' AND a.slice_col = 'state_id' AND store_id = b.slice_val AND state_id = a.slice_val))",
 )
 def k20(spark, sf_dir):
-    """Which of the forty best slices are related to which."""
+    """Which of all ranked slices are related to which."""
     panel = retail_panel(spark, sf_dir)
-    top = localise.top_k(localise.rank_within_slices(panel, "sales", RETAIL_WINDOWS), 40)
-    a = top.select(F.col("slice_col").alias("col_a"), F.col("slice_val").alias("val_a"))
-    b = top.select(F.col("slice_col").alias("col_b"), F.col("slice_val").alias("val_b"))
-    return hierarchy.related(a.crossJoin(F.broadcast(b)), hierarchy.closure(hierarchy.edges(panel)))  # 40 rows each
+    ranked = localise.rank_within_slices(panel, "sales", RETAIL_WINDOWS)
+    return hierarchy.related_pairs(ranked, hierarchy.closure(hierarchy.edges(panel)))
 
 
 @query(

@@ -2,25 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from ..sources.panel import read
+from ..sources.written import shared_folder
 from ..streaming import drift
 from .registry import query
 
 
-def _folder(spark) -> str:
-    """The shared folder, or one under /tmp where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if found:
-        return found.rstrip("/")
-    os.makedirs("/tmp/checkpoints", exist_ok=True)
-    return "file://" + tempfile.mkdtemp(prefix="tidewell-stream-", dir="/tmp/checkpoints")
-
-
 def _stream(spark, sf_dir):
     return drift.read_stream(spark, f"{sf_dir}/events.parquet")
 
@@ -28,21 +17,21 @@ def _stream(spark, sf_dir):
 @query("i2_sliding_windows", "WITH w AS (SELECT ts, event_type, value, unnest([date_trunc('day', ts), date_trunc('day', ts) - INTERVAL 1 DAY, date_trunc('day', ts) - INTERVAL 2 DAY]) AS start FROM events) SELECT CAST(start AS VARCHAR) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2 HAVING max(start) + INTERVAL 3 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)")
 def i2(spark, sf_dir):
     """Three-day windows a day apart; those the watermark has closed."""
-    out = drift.run_to_table(drift.window_counts(_stream(spark, sf_dir), "ts", "event_type", "3 days", "1 day"), _folder(spark))
+    out = drift.run_to_table(drift.window_counts(_stream(spark, sf_dir), "ts", "event_type", "3 days", "1 day"), shared_folder(spark))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("i1_rolling_reference", "WITH c AS (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('day', min(ts)) + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)), s AS (SELECT start, lag(start) OVER (ORDER BY start) AS before FROM (SELECT DISTINCT start FROM c)), p AS (SELECT s.start, c.event_type, sum(CASE WHEN c.start = s.before THEN n ELSE 0 END) AS r, sum(CASE WHEN c.start = s.start THEN n ELSE 0 END) AS k FROM s JOIN c ON c.start IN (s.start, s.before) WHERE before IS NOT NULL GROUP BY 1, 2), q AS (SELECT start, r / sum(r) OVER (PARTITION BY start)::DOUBLE AS p, k / sum(k) OVER (PARTITION BY start)::DOUBLE AS q FROM p) SELECT CAST(start AS VARCHAR) AS start, round(sum(0.5 * (CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END)), 9) AS js, round(max(abs(p - q)), 9) AS l_inf FROM q GROUP BY 1")
 def i1(spark, sf_dir):
     """Each day's mix of event types against the day before."""
-    counts = drift.run_to_table(drift.window_counts(_stream(spark, sf_dir), "ts", "event_type", "1 day"), _folder(spark))
+    counts = drift.run_to_table(drift.window_counts(_stream(spark, sf_dir), "ts", "event_type", "1 day"), shared_folder(spark))
     return drift.neighbour_drift(counts, "event_type").select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.round("js", 9).alias("js"), F.round("l_inf", 9).alias("l_inf"))
 
 
 @query("i4_without_repeats", "SELECT count(DISTINCT event_id) AS n FROM events")
 def i4(spark, sf_dir):
     """I4: repeated events dropped within the watermark."""
-    return drift.run_to_table(drift.without_repeats(_stream(spark, sf_dir), ["event_id"], "ts", "60 days").select("event_id"), _folder(spark)).agg(F.count("*").alias("n"))
+    return drift.run_to_table(drift.without_repeats(_stream(spark, sf_dir), ["event_id"], "ts", "60 days").select("event_id"), shared_folder(spark)).agg(F.count("*").alias("n"))
 
 
 @query("i5_sessions", "WITH d AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 DAY THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM d), g AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM g GROUP BY 1")

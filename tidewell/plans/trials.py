@@ -82,7 +82,8 @@ def k22_rates(spark, sf_dir):
 
 def _drawn(spark, sf_dir):
     panel = event_panel(spark, sf_dir)
-    values = {c: [r[0] for r in panel.select(c).distinct().orderBy(c).limit(500).collect()] for c in ("dept_id", "store_id", "item_id")}  # drawn from, not computed on
+    # A hash sample of all values of a column, any of which may be in it; the trials are drawn from the samples.
+    values = {c: [r[0] for r in panel.select(c).distinct().orderBy(F.md5(F.concat(F.lit("42:"), F.col(c).cast("string"))), c).limit(64).collect()] for c in ("dept_id", "store_id", "item_id")}
     return panel, list(trials.draw_trials(values, date(2024, 1, 1) + timedelta(trials.REF_DAYS), 42, 3))
 
 
