@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import content_store, exact, merkle, mixing, nbsvm, packing, pivots, recompression, simhash, toxicity, vptree, warc
+from . import content_store, exact, merkle, mixing, nbsvm, packing, pivots, recompression, simhash, toxicity, vptree, warc, wavelet
 
 
 def queries() -> dict:
@@ -17,10 +17,11 @@ def queries() -> dict:
         "op8_warc_index_first": warc.op8,
         "op9_simhash_anchor_cover": simhash.op9,
         "op10_content_store": content_store.op10,
+        "op11_dual_sorted_wavelet": wavelet.op11,
         "op12_binomial_runs": exact.op12,
         "op13_coordinate_proofs": merkle.op13,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pivot_distance_index": pivots.ORACLE, "op6_hierarchical_budget": mixing.ORACLE, "op8_warc_index_first": warc.ORACLE, "op12_binomial_runs": exact.ORACLE, "op13_coordinate_proofs": merkle.ORACLE}
+    return {"op2_pivot_distance_index": pivots.ORACLE, "op6_hierarchical_budget": mixing.ORACLE, "op8_warc_index_first": warc.ORACLE, "op11_dual_sorted_wavelet": wavelet.ORACLE, "op12_binomial_runs": exact.ORACLE, "op13_coordinate_proofs": merkle.ORACLE}
