@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.panel import COARSE_COLUMNS, Windows, tag, unpivot_slices, within
+from .localise import top_k
 
 NUMERIC, CATEGORICAL = ("sell_price", "wday", "is_weekend", "snap", "month"), ("cat_id", "store_id")
 
@@ -45,11 +46,11 @@ def contributions(model, panel: DataFrame, numeric: Sequence[str] = NUMERIC) ->
     return rows.crossJoin(F.broadcast(means)).select(*panel.columns, *((F.lit(float(b)) * (F.col(c) - F.col(f"_{c}"))).alias(f"phi_{c}") for c, b in zip(numeric, beta, strict=True)))  # one row
 
 
-def mean_shift(panel: DataFrame, phi: str, w: Windows, columns: Sequence[str] = COARSE_COLUMNS, k: int = 5) -> DataFrame:
-    """The k slices whose mean of phi differs most between the windows."""
-    rows = unpivot_slices(tag(panel.select(phi, "date", *columns), w), columns, ["win", phi])
-    g = rows.groupBy("slice_col", "slice_ord", "slice_val").agg(F.abs(F.avg(F.when(F.col("win") == "cur", F.col(phi))) - F.avg(F.when(F.col("win") == "ref", F.col(phi)))).alias("score"))
-    return g.where("score is not null").orderBy(F.desc("score"), "slice_ord", "slice_val").limit(k)
+def mean_shift(panel: DataFrame, phi: str, w: Windows | None, columns: Sequence[str] = COARSE_COLUMNS, k: int = 5, keys: Sequence[str] = ()) -> DataFrame:
+    """The k slices whose mean of phi differs most between the windows; with keys (a trial id; w None: the rows are tagged) the k of each, with their rank. A slice without rows in both windows has no score."""
+    rows = panel.select(*keys, phi, "win", *columns) if w is None else tag(panel.select(*keys, phi, "date", *columns), w)
+    g = unpivot_slices(rows, columns, [*keys, "win", phi]).groupBy(*keys, "slice_col", "slice_ord", "slice_val").agg(F.abs(F.avg(F.when(F.col("win") == "cur", F.col(phi))) - F.avg(F.when(F.col("win") == "ref", F.col(phi)))).alias("score"))
+    return top_k(g.where("score is not null"), k, keys)
 
 
 def harm(scored: DataFrame, clean: DataFrame, w: Windows, at: float = 1.05) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import PIECES, hash_of, poisson, uniforms
 from ..functions.stats import mcnemar, mean_interval, wilson
 
 
@@ -71,13 +72,23 @@ def grid_search(df: DataFrame, thresholds: dict[str, Sequence[float]], predict,
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("balanced"), "n_changed", *names)))  # a row a combination
 
 
-def bootstrap(df: DataFrame, label: str, predicted: str, n: int = 2000, seed: int = 0) -> DataFrame:
-    """lo, hi of the balanced accuracy by n Poisson bootstraps: only the four cells are resampled, so rows are counted once."""
-    import numpy as np
+def resamples(df: DataFrame, key: str, label: str, predicted: str, n: int, seed: int) -> DataFrame:
+    """resample (0 to n - 1), tp, fp, fn, tn: how often rows of each kind are in it.
 
-    cells = {r["k"]: r["n"] for r in df.groupBy((F.col(label).cast("int") * 2 + F.col(predicted).cast("int")).alias("k")).agg(F.count("*").alias("n")).collect()}
-    rng = np.random.default_rng(seed)
-    tn, fp, fn, tp = (rng.poisson(cells.get(k, 0), n).astype(float) for k in range(4))
-    balanced = (tp / np.maximum(tp + fn, 1) + tn / np.maximum(tn + fp, 1)) / 2
-    lo, hi = np.quantile(balanced, [0.025, 0.975])
-    return df.sparkSession.createDataFrame([(float(lo), float(hi))], "lo double, hi double")
+    How often a row is in a resample is a Poisson variable of mean 1, drawn from the hash of seed, resample and key; a hash serves four resamples. Rows meet their draws where
+    they are and are added up before anything moves, so a resample is a row a task in the shuffle.
+    """
+    rows = df.select(F.col(key).cast("string").alias("_key"), F.col(label).alias("_y"), F.col(predicted).alias("_p"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // PIECES))).alias("_block"))
+    rows = rows.select("_y", "_p", "_block", F.posexplode(uniforms(hash_of(F.lit(seed), F.col("_block"), F.col("_key")))).alias("_piece", "_u"))
+    times, y, p = poisson(F.col("_u")), F.col("_y"), F.col("_p")
+    of = lambda test: F.coalesce(F.sum(F.when(test, F.col("_times"))), F.lit(0)).alias
+    rows = rows.select((F.col("_block") * PIECES + F.col("_piece")).alias("resample"), "_y", "_p", times.alias("_times")).where((F.col("resample") < n) & (F.col("_times") > 0))
+    return rows.groupBy("resample").agg(of(p & y)("tp"), of(p & ~y)("fp"), of(~p & y)("fn"), of(~p & ~y)("tn"))
+
+
+def bootstrap(df: DataFrame, label: str, predicted: str, n: int = 2000, seed: int = 0, key: str = "id") -> DataFrame:
+    """lo, hi (2.5 and 97.5 %) of the balanced accuracy over n bootstrap resamples of the rows, key naming a row; a resample without one of the two classes has none and is left out."""
+    g = resamples(df, key, label, predicted, n, seed)
+    balanced = (F.try_divide("tp", F.col("tp") + F.col("fn")) + F.try_divide("tn", F.col("tn") + F.col("fp"))) / 2
+    return g.agg(F.percentile(balanced, F.array(F.lit(0.025), F.lit(0.975))).alias("q")).select(F.get("q", F.lit(0)).alias("lo"), F.get("q", F.lit(1)).alias("hi"))

@@ -106,7 +106,7 @@ def a8(spark, sf_dir):
 
 @query("m2_m4_demand_model")
 def m2(spark, sf_dir):
-    """M1-M4: a Poisson demand model trained on the reference window, its errors, and its price contributions."""
+    """M1-M3: a Poisson regression as the demand model, trained on the reference window, and its errors (boosted trees: modelling.py)."""
     p = event_panel(spark, sf_dir)
     from ..sources.panel import EVENT_WINDOWS
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import poisson_steps
 from ..operators import scoring
 from ..sources.panel import read
 from .registry import query
@@ -93,10 +94,20 @@ def l10(spark, sf_dir):
     return g.select("low", "span", *_R("balanced"), "n_changed", "place")
 
 
-@query("d29_bootstrap")
+#: Resamples of the query, and the steps of the Poisson distribution function.
+RESAMPLES = 200
+_POISSON = " + ".join(f"CAST(u >= {s!r} AS INT)" for s in poisson_steps())
+_RESAMPLED = f"""b AS (SELECT o_orderkey, harmful AS y, x >= 180000 AS p, unnest(range({-(-RESAMPLES // 4)})) AS block FROM t),
+h AS (SELECT y, p, block, md5('0:' || block || ':' || o_orderkey) AS h FROM b),
+u AS (SELECT y, p, block * 4 + i AS resample, CAST('0x' || substr(h, CAST(1 + 8 * i AS INT), 8) AS BIGINT) / 4294967296.0::DOUBLE AS u FROM h, range(4) r(i)),
+c AS (SELECT resample, y, p, {_POISSON} AS n FROM u),
+g AS (SELECT sum(n) FILTER (p AND y) AS tp, sum(n) FILTER (p AND NOT y) AS fp, sum(n) FILTER (NOT p AND y) AS fn, sum(n) FILTER (NOT p AND NOT y) AS tn FROM c GROUP BY resample)"""
+
+
+@query("d29_bootstrap", f"WITH {_T}, {_RESAMPLED}, q AS (SELECT quantile_cont((tp / (tp + fn)::DOUBLE + tn / (tn + fp)::DOUBLE) / 2, [0.025, 0.975]) AS q FROM g) SELECT round(q[1], 9) AS lo, round(q[2], 9) AS hi FROM q")
 def d29(spark, sf_dir):
-    """Bootstrap bounds of a rule's balanced accuracy."""
-    return scoring.bootstrap(_trials(spark, sf_dir).withColumn("p", F.col("x") >= 180000), "harmful", "p").select(*_R("lo", "hi"))
+    """Bootstrap bounds of a rule's balanced accuracy, every row resampled."""
+    return scoring.bootstrap(_trials(spark, sf_dir).withColumn("p", F.col("x") >= 180000), "harmful", "p", RESAMPLES, key="o_orderkey").select(*_R("lo", "hi"))
 
 
 @query("o5_fault_strata", f"WITH {_T}, y AS (SELECT CASE WHEN kind LIKE '1%' OR kind LIKE '2%' THEN 'COVERED' ELSE 'HELD_OUT' END AS stratum, hit_a, hit_b FROM t) SELECT coalesce(stratum, 'ALL') AS stratum, count(*) AS n, count(*) FILTER (hit_a) AS type_ok, count(*) FILTER (hit_b) AS place_ok, count(*) FILTER (hit_a AND hit_b) AS both_ok FROM y GROUP BY ROLLUP (stratum)")

@@ -80,17 +80,23 @@ def k22_rates(spark, sf_dir):
     return trials.firing_rates(trials.false_alarm_sweep(retail_panel(spark, sf_dir), SWEEP)).select("feature", "fired", "n", *(F.round(c, 9).alias(c) for c in ("rate", "lo", "hi")))
 
 
-def _drawn(spark, sf_dir):
-    panel = event_panel(spark, sf_dir)
-    # A hash sample of all values of a column, any of which may be in it; the trials are drawn from the samples.
-    values = {c: [r[0] for r in panel.select(c).distinct().orderBy(F.md5(F.concat(F.lit("42:"), F.col(c).cast("string"))), c).limit(64).collect()] for c in ("dept_id", "store_id", "item_id")}
-    return panel, list(trials.draw_trials(values, date(2024, 1, 1) + timedelta(trials.REF_DAYS), 42, 3))
+_POOL, _SEED, _N = date(2024, 1, 1) + timedelta(trials.REF_DAYS), 42, 3
+_SERIES = ", ".join(f"('{t}', '{k}', '{c}', {m})" for t, k, c, m in trials.trial_ids(_SEED, _N))
+_DRAWN = f"""i(trial_id, drift_type, slice_col, magnitude) AS (VALUES {_SERIES}),
+v AS (SELECT DISTINCT 'dept_id' AS slice_col, dept_id AS slice_val FROM ev UNION SELECT DISTINCT 'store_id', store_id FROM ev UNION SELECT DISTINCT 'item_id', item_id FROM ev),
+d AS (SELECT trial_id, any_value(drift_type) AS drift_type, any_value(i.slice_col) AS slice_col, any_value(magnitude) AS magnitude, arg_min(slice_val, md5(trial_id || ':' || slice_val)) AS slice_val,
+      DATE '{_POOL}' + CAST(CAST('0x' || substr(md5(any_value(trial_id) || ':offset'), 1, 8) AS BIGINT) % {trials.POOL_DAYS - trials.WINDOW_DAYS} AS INT) AS day FROM i JOIN v ON v.slice_col = i.slice_col GROUP BY trial_id),
+k AS (SELECT trial_id, day, unnest(range({trials.WINDOW_DAYS - 1})) AS n FROM d WHERE drift_type = 'intermittent'),
+s AS (SELECT trial_id, list(CAST(day + CAST(n AS INT) AS VARCHAR) ORDER BY n) AS spikes FROM (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY trial_id ORDER BY md5(trial_id || ':spike:' || n), n) <= {inject.SPIKES}) GROUP BY trial_id)"""
 
 
-@query("k23_trials")
+@query(
+    "k23_trials",
+    f"WITH {S.EVENTS}, {_DRAWN} SELECT trial_id, drift_type, slice_col, slice_val, CAST(day - {trials.REF_DAYS} AS VARCHAR) AS ref_start, CAST(day - 1 AS VARCHAR) AS ref_end, CAST(day AS VARCHAR) AS cur_start, CAST(day + {trials.WINDOW_DAYS} AS VARCHAR) AS cur_end, CAST(magnitude AS DOUBLE) AS magnitude, coalesce(spikes, []) AS spikes FROM d LEFT JOIN s USING (trial_id)",
+)
 def k23(spark, sf_dir):
-    """Seeded trials (drawn on the driver)."""
-    _, drawn = _drawn(spark, sf_dir)
+    """Seeded trials, each slice drawn among all values."""
+    drawn = trials.draw_trials_of(event_panel(spark, sf_dir), _POOL, _SEED, _N)
     rows = [(n, i.kind, i.slice_col, i.slice_val, w.ref_start, w.ref_end, w.cur_start, w.cur_end, i.magnitude, list(i.spikes)) for n, w, i in drawn]
     return spark.createDataFrame(rows, "trial_id string, drift_type string, slice_col string, slice_val string, ref_start string, ref_end string, cur_start string, cur_end string, magnitude double, spikes array<string>")
 
