@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..sources.panel import read
 from ..sources.written import shared_folder
-from ..streaming import drift
-from .registry import query
+from ..streaming import drift, stateful
+from . import sql as S
+from .registry import ORACLES, query
 
 
 def _stream(spark, sf_dir):
@@ -40,3 +41,29 @@ def i5(spark, sf_dir):
     e = read(spark, sf_dir, "events")
     s = e.groupBy(F.session_window("ts", "2 days").alias("w"), "user_id").agg(F.count("*").alias("n"))
     return s.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))
+
+
+_CLOSED = "(SELECT CAST(max(ts) - INTERVAL 1 DAY AS DATE) FROM events)"
+
+
+@query(
+    "i3_growing_windows",
+    f"WITH {S.EVENTS}, w AS (SELECT unnest(range(7, 91, 7)) AS window_days), k AS (SELECT dept_id || '/' || window_days AS kw, dept_id, window_days, sales AS x, CASE WHEN datediff('day', DATE '2024-01-01', date) < window_days // 2 THEN 'ref' ELSE 'cur' END AS win FROM ev, w "
+    f"WHERE date >= DATE '2024-01-01' AND datediff('day', DATE '2024-01-01', date) < window_days AND DATE '2024-01-01' + CAST(window_days AS INT) <= {_CLOSED}), "
+    "big AS (SELECT kw, any_value(dept_id) AS dept_id, any_value(window_days) AS window_days FROM k GROUP BY 1 HAVING count(*) FILTER (win = 'ref') >= 20 AND count(*) FILTER (win = 'cur') >= 20), "
+    f"{S.edges('ed', 'k', 'x', 'kw')}, b AS (SELECT kw, win, {S.bin_of('x')} AS bin FROM k JOIN ed USING (kw) WHERE x BETWEEN e[1] AND e[len(e)]), h AS (SELECT kw, bin, {S.COUNTS} FROM b GROUP BY 1, 2), {S.js('kw', 'h', 'd')} "
+    "SELECT dept_id AS key, CAST(window_days AS INT) AS window_days, CAST(DATE '2024-01-01' + CAST(window_days // 2 AS INT) AS DATE) AS change_point, round(js, 9) AS js FROM d JOIN big USING (kw) WHERE js > 0.02 QUALIFY row_number() OVER (PARTITION BY dept_id ORDER BY window_days) = 1",
+)
+def i3(spark, sf_dir):
+    """Of each event type the first growing window whose halves differ, from the stream itself."""
+    with stateful.rocksdb(spark):
+        out = drift.run_to_table(stateful.growing_windows(_stream(spark, sf_dir), "ts", "event_type", "value", "2024-01-01", threshold=0.02), shared_folder(spark))
+    return out.withColumn("js", F.round("js", 9))
+
+
+@query("i1_rolling_reference_in_stream", ORACLES["i1_rolling_reference"])
+def i1_stream(spark, sf_dir):
+    """Each day's mix of event types against the day before, compared inside the stream."""
+    with stateful.rocksdb(spark):
+        out = drift.run_to_table(stateful.rolling_reference(_stream(spark, sf_dir), "ts", "event_type", "1 day"), shared_folder(spark))
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.round("js", 9).alias("js"), F.round("l_inf", 9).alias("l_inf"))
