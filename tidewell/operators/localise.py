@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.binning import adaptive_edges, bin_of, equal_width_edges
+from ..functions.binning import N_BINS, adaptive_edges, bin_of, equal_width_edges
 from ..functions.divergence import divergences, jsd_terms
 from ..sources.panel import COARSE_COLUMNS, SLICE_COLUMNS, Windows, tag, unpivot_slices
 from ..sources.written import written
@@ -183,38 +183,93 @@ def detect_and_localise(panel: DataFrame, w: Windows, cfg: Config = Config(), fe
 # ---- conjunctions of slices
 
 
-def combination_scores(panel: DataFrame, feature: str, w: Windows, columns: Sequence[str] = COARSE_COLUMNS, size: int = 2, min_coverage: float = MIN_COVERAGE) -> DataFrame:
-    """conditions (array of column and value), score, coverage, efficiency of every conjunction of up to `size` slices with enough coverage.
+CONDITIONS = "array<struct<col:string,val:string>>"
+
+
+@dataclass(frozen=True)
+class ConjunctionIndex:
+    """cells: a row a combination of frequent values (null: another value) with its counts by bin, `ref` and `cur`; a written table that any conjunction is scored from."""
 
-    Equal-width bins over both windows; counts come from one pass over grouping sets of the columns; the score is the divergence removed.
+    cells: DataFrame
+    columns: tuple[str, ...]
+    min_coverage: float
+
+
+def conjunction_index(panel: DataFrame, feature: str, w: Windows, columns: Sequence[str] = COARSE_COLUMNS, min_coverage: float = MIN_COVERAGE, n_bins: int = N_BINS) -> ConjunctionIndex:
+    """Two passes over the windows: edges and frequent values, then counts.
+
+    A conjunction covers no more than any of its slices, so only values with enough coverage can be in one, at most 1 / min_coverage a column. All others are one value, and cells are few
+    whatever the rows: what a conjunction of any width covers is a sum over cells. Equal-width bins over both windows; rows without the feature are left out.
     """
+    columns = tuple(c for c in columns if c != feature)
     rows = tag(panel.select(feature, "date", *columns), w).where(F.col(feature).isNotNull())
-    rows = rows.crossJoin(F.broadcast(written(equal_width_edges(rows, feature), "edges")))
-    rows = rows.withColumn("bin", bin_of(F.col(feature).cast("double"), F.col("edges"), True))
-    sets = [s for k in range(1, size + 1) for s in combinations(columns, k)]
-    conditions = F.array(*(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("val")) for c in s)) for s in sets))
-    # One pass: under no conditions all rows of both windows, under others the current ones.
-    none = F.array(F.slice(conditions[0], 1, 0))
-    given = F.when(F.col("win") == "cur", F.concat(none, conditions)).otherwise(none)
-    each = rows.select("win", "bin", F.explode(given).alias("conditions"))
-    made = written(count_by_window(each, ["conditions"]), "conjunctions", few=False)
-    counts = made.where(F.size("conditions") > 0).select("conditions", "bin", F.col("n_cur").alias("n"))
-    both = made.where((F.size("conditions") == 0) & F.col("bin").isNotNull()).select("bin", F.col("n_ref").alias("r"), F.col("n_cur").alias("t"))
-    kept = counts.groupBy("conditions").agg(F.sum("n").alias("all_n"))
-    total = both.agg(F.sum("t").alias("all_t"), F.sum("r").alias("all_r"))
-    kept = kept.crossJoin(F.broadcast(total)).where((F.col("all_n") / F.col("all_t") >= min_coverage) & (F.col("all_n") < F.col("all_t")))
-    full = kept.crossJoin(F.broadcast(both)).join(counts, ["conditions", "bin"], "left").withColumn("n", F.coalesce("n", F.lit(0)))  # bins: 20 rows
-    p, q, rest = F.try_divide("r", "all_r"), F.try_divide("t", "all_t"), F.try_divide(F.col("t") - F.col("n"), F.col("all_t") - F.col("all_n"))
-    scores = full.groupBy("conditions").agg((F.sum(jsd_terms(p, q)) - F.sum(jsd_terms(p, rest))).alias("score"), (F.max("all_n") / F.max("all_t")).alias("coverage"))
+    edges = written(equal_width_edges(rows, feature, n_bins), "edges")
+    size = unpivot_slices(rows.where("win = 'cur'").withColumn(ALL, F.lit(ALL)), [*columns, ALL], ["win"]).groupBy("slice_col", "slice_val").agg(F.count("*").alias("n"))
+    size = written(size, "slice-sizes", few=False)
+    total = size.where(F.col("slice_col") == ALL).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    frequent = size.where(F.col("slice_col") != ALL).crossJoin(F.broadcast(total)).where(F.col("n") / F.col("total") >= min_coverage).collect()  # at most 1 / min_coverage a column
+    known = {c: [r["slice_val"] for r in frequent if r["slice_col"] == c] for c in columns}
+    value = [F.when(F.col(c).cast("string").isin(known[c]), F.col(c).cast("string")).alias(c) if known[c] else F.lit(None).cast("string").alias(c) for c in columns]
+    binned = rows.crossJoin(F.broadcast(edges)).select(*value, "win", bin_of(F.col(feature).cast("double"), F.col("edges"), True).alias("bin"))  # one row
+    by = lambda win: F.array(*(F.count_if((F.col("win") == win) & (F.col("bin") == i)) for i in range(n_bins))).alias(win)
+    return ConjunctionIndex(written(binned.groupBy(*columns).agg(by("ref"), by("cur")).withColumn("cell", F.monotonically_increasing_id()), "cells", few=False), columns, min_coverage)
+
+
+def _sums(name: str, n_bins: int = N_BINS) -> Column:
+    return F.array(*(F.sum(F.get(name, F.lit(i))) for i in range(n_bins)))
+
+
+def _of_counts(index: ConjunctionIndex, counts: DataFrame) -> DataFrame:
+    """conditions, score, coverage, efficiency of conjunctions (conditions, cur: counts by bin) with enough coverage that are not all rows."""
+    whole = index.cells.agg(_sums("ref").alias("_r"), _sums("cur").alias("_t"))  # one row
+    add = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    full = counts.crossJoin(F.broadcast(whole)).withColumns({"_n": add("cur"), "_all_r": add("_r"), "_all_t": add("_t")})
+    full = full.where((F.col("_n") / F.col("_all_t") >= index.min_coverage) & (F.col("_n") < F.col("_all_t")))
+    at = lambda c, i: F.get(c, F.lit(i))
+    terms = []
+    for i in range(N_BINS):
+        p, q, rest = F.try_divide(at("_r", i), "_all_r"), F.try_divide(at("_t", i), "_all_t"), F.try_divide(at("_t", i) - at("cur", i), F.col("_all_t") - F.col("_n"))
+        terms.append(jsd_terms(p, q) - jsd_terms(p, rest))
+    scores = full.select("conditions", sum(terms[1:], terms[0]).alias("score"), (F.col("_n") / F.col("_all_t")).alias("coverage"))
     return scores.withColumn("efficiency", F.col("score") / F.greatest("coverage", F.lit(1e-6)))
 
 
-def best_first(scored: DataFrame, top: int = SEED_COLUMNS, keep: int = TOP_K) -> DataFrame:
-    """rank, conditions, score, coverage, efficiency: what a best-first search over the scored conjunctions (of combination_scores) ends with.
+def score_conjunctions(index: ConjunctionIndex, conjunctions: DataFrame) -> DataFrame:
+    """conditions, score, coverage, efficiency of the given conjunctions (conditions: array of col and val, of any width) that have enough coverage, from the index alone.
+
+    A conjunction meets the cells that hold its first condition, then those among them that hold as many of its conditions as it has.
+    """
+    columns = F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("val")) for c in index.columns))
+    held = index.cells.select("cell", "cur", F.explode(F.filter(columns, lambda x: x["val"].isNotNull())).alias("c")).select("cell", "cur", "c.col", "c.val")
+    asked = conjunctions.select(F.array_sort(F.array_distinct(F.col("conditions").cast(CONDITIONS))).alias("conditions")).distinct()
+    asked = asked.select("conditions", F.explode("conditions").alias("c")).select("conditions", "c.col", "c.val")
+    met = held.join(asked, ["col", "val"]).groupBy("conditions", "cell").agg(F.count("*").alias("k"), F.first("cur").alias("cur")).where(F.col("k") == F.size("conditions"))
+    return _of_counts(index, met.groupBy("conditions").agg(_sums("cur").alias("cur")))
+
+
+def combination_scores(panel: DataFrame, feature: str, w: Windows, columns: Sequence[str] = COARSE_COLUMNS, size: int = 2, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """conditions (array of column and value), score, coverage, efficiency of every conjunction of up to `size` slices with enough coverage; the score is the divergence removed. Cells, not rows, are handed to the sets of columns."""
+    index = conjunction_index(panel, feature, w, columns, min_coverage)
+    sets = [s for k in range(1, size + 1) for s in combinations(index.columns, k)]
+    each = F.array(*(F.array(*(F.struct(F.lit(c).alias("col"), F.col(c).alias("val")) for c in s)) for s in sets))
+    rows = index.cells.select("cur", F.explode(F.filter(each, lambda s: F.forall(s, lambda x: x["val"].isNotNull()))).alias("conditions"))
+    return _of_counts(index, rows.groupBy("conditions").agg(_sums("cur").alias("cur")))
+
+
+def search_conjunctions(panel: DataFrame, feature: str, w: Windows, columns: Sequence[str] = COARSE_COLUMNS, top: int = SEED_COLUMNS, keep: int = TOP_K, min_coverage: float = MIN_COVERAGE) -> DataFrame:
+    """best_first() over conjunctions of any width: unions are scored from the index when they come up, and no others are."""
+    index = conjunction_index(panel, feature, w, columns, min_coverage)
+    each = F.array(*(F.array(F.struct(F.lit(c).alias("col"), F.col(c).alias("val"))) for c in index.columns))
+    singles = index.cells.select(F.explode(F.filter(each, lambda s: s[0]["val"].isNotNull())).alias("conditions")).distinct()
+    return best_first(score_conjunctions(index, singles), top, keep, lambda fresh: score_conjunctions(index, fresh))
+
+
+def best_first(scored: DataFrame, top: int = SEED_COLUMNS, keep: int = TOP_K, look_up: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """rank, conditions, score, coverage, efficiency: what a best-first search over conjunctions ends with. scored: all of them (of combination_scores), or single slices and look_up for unions.
 
     Seeds: of the 3 * top most efficient slices the best-scored of each column, `top` columns at most. Rounds: unions of two members whose first columns
     differ, looked up among the scored and not met before; while the most efficient of them beats all so far, the `top` best join the members.
-    Conjunctions that were not scored (too many slices, too little coverage) are never members. Each round is a small written table.
+    Conjunctions that have no score (too little coverage) are never members. Each round is a small written table.
     """
     order = [F.desc(F.round("efficiency", 12)), F.asc("conditions")]
     scored = written(scored.select(F.array_sort("conditions").alias("conditions"), "score", "coverage", "efficiency"), "scored")
@@ -230,7 +285,8 @@ def best_first(scored: DataFrame, top: int = SEED_COLUMNS, keep: int = TOP_K) ->
         fresh = pairs.select(F.array_sort(F.array_union("a", "b")).alias("conditions")).distinct()
         fresh = written(fresh if met is None else fresh.join(met, "conditions", "left_anti"), "unions")
         met = fresh if met is None else written(met.unionByName(fresh), "met")
-        found = written(scored.join(F.broadcast(fresh), "conditions").orderBy(*order).limit(top), "found")
+        found = look_up(fresh) if look_up else scored.join(F.broadcast(fresh), "conditions")
+        found = written(found.select(*members.columns).orderBy(*order).limit(top), "found")
         best = found.agg(F.max(F.round("efficiency", 12))).first()[0]
         if best is None or best <= lead:
             break

@@ -117,8 +117,8 @@ def k16(spark, sf_dir):
 
 
 def _search_sql(rounds: int = 3) -> str:
-    """The best-first search over conjunctions of up to three slices, its rounds written out."""
-    sets = [s for k in (1, 2, 3) for s in combinations(COARSE_COLUMNS, k)]
+    """The best-first search over conjunctions of as many slices as there are columns, its rounds written out."""
+    sets = [s for k in range(1, len(COARSE_COLUMNS) + 1) for s in combinations(COARSE_COLUMNS, k)]
     each = " UNION ALL ".join("SELECT [" + ", ".join(f"'{c}=' || {c}" for c in s) + "] AS conditions, bin FROM b WHERE win = 'cur'" for s in sets)
     best, first = "ORDER BY round(eff, 12) DESC, conditions LIMIT 5", "split_part({}.conditions[1], '=', 1)"
     out = (
@@ -144,8 +144,8 @@ def _search_sql(rounds: int = 3) -> str:
 
 @query("k17_best_first_search", _search_sql())
 def k17(spark, sf_dir):
-    """The best-first search over conjunctions of up to three slices."""
-    out = localise.best_first(localise.combination_scores(retail_panel(spark, sf_dir), "sales", RETAIL_WINDOWS, size=3))
+    """The best-first search over conjunctions of any width, scored from the index of cells."""
+    out = localise.search_conjunctions(retail_panel(spark, sf_dir), "sales", RETAIL_WINDOWS)
     name = F.array_join(F.transform("conditions", lambda c: F.concat(c["col"], F.lit("="), c["val"])), " & ")
     return out.select(F.col("rank").cast("int").alias("rank"), name.alias("conditions"), F.round("score", 7).alias("score"), F.round("coverage", 9).alias("coverage"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import quality, tools
 from ..operators.inject import Injection, zero_fill
-from ..sources.panel import EVENT_WINDOWS, RETAIL_WINDOWS, event_panel, read, retail_panel
+from ..sources.panel import EVENT_WINDOWS, RETAIL_WINDOWS, Windows, event_panel, read, retail_panel
 from . import sql as S
 from .localisation import within as within_sql
 from .registry import query
@@ -171,3 +171,57 @@ def m5(spark, sf_dir):
     from ..sources.panel import COARSE_COLUMNS
 
     return mean_shift(retail_panel(spark, sf_dir), "sell_price", RETAIL_WINDOWS, COARSE_COLUMNS, 10).select("slice_col", "slice_val", *_R("score", d=6))
+
+
+#: Trials of the full fit, all in one pair of windows: name, kind, slice.
+FIT_WINDOWS = Windows("2024-01-01", "2024-01-14", "2024-01-15", "2024-01-30")
+FIT_TRIALS = [("z1", "zero_fill", "dept_id", "view"), ("z2", "zero_fill", "store_id", "3"), ("s1", "stale_feed", "store_id", "4"), ("s2", "stale_feed", "dept_id", "click"), ("d1", "duplicated_rows", "cat_id", "TRAFFIC"), ("c1", "clean", "", ""), ("c2", "clean", "", "")]
+
+
+def _fit_sql() -> str:
+    ref, cur = (f"date BETWEEN DATE '{a}' AND DATE '{b}'" for a, b in ((FIT_WINDOWS.ref_start, FIT_WINDOWS.ref_end), (FIT_WINDOWS.cur_start, FIT_WINDOWS.cur_end)))
+    parts = []
+    for name, kind, col, val in FIT_TRIALS:
+        mask = f"({col} = '{val}' AND {cur})" if col else "false"
+        sales = {"zero_fill": f"CASE WHEN {mask} THEN 0 ELSE sales END", "stale_feed": f"CASE WHEN {mask} THEN coalesce((SELECT arg_max(o.sales, (o.date, o.sales)) FROM ev o WHERE o.item_id = ev.item_id AND o.store_id = ev.store_id AND o.date < DATE '{FIT_WINDOWS.cur_start}'), 0) ELSE sales END"}.get(kind, "sales")
+        parts.append(f"SELECT '{name}' AS trial_id, '{name}/' || item_id AS item_id, item_id AS item, store_id, dept_id, cat_id, state_id, date, {sales} AS sales FROM ev")
+        if kind == "duplicated_rows":
+            parts.append(f"SELECT '{name}', '{name}/' || item_id, item_id, store_id, dept_id, cat_id, state_id, date, sales FROM ev WHERE {mask}")
+    grid = quality.FIT_GRID
+    lists = ", ".join(f"{k[0] if k != 'k_stale' else 's'}g AS (SELECT unnest([{', '.join(map(str, v))}]::DOUBLE[]) AS {k}, unnest(range({len(v)})) AS i_{k})" for k, v in grid.items() if k not in ("m_ref", "n_min")) + "".join(
+        f", {k}_g AS (SELECT unnest([{', '.join(map(str, grid[k]))}]::DOUBLE[]) AS {k}, unnest(range({len(grid[k])})) AS i_{k})" for k in ("m_ref", "n_min")
+    )
+    truth = ", ".join(f"('{n}', '{k}', '{c}', '{v}')" for n, k, c, v in FIT_TRIALS)
+    order = "CASE slice_col WHEN 'cat_id' THEN 0 WHEN 'dept_id' THEN 1 WHEN 'state_id' THEN 2 WHEN 'store_id' THEN 3 ELSE 4 END"
+    per = "SELECT trial_id, {keys}, slice_col, slice_val, count(*) FILTER ({hit}) AS tp, count(*) AS size FROM sl{grids} GROUP BY ALL"
+    best = lambda name, keys, hit, grids: (
+        f"{name}_c AS ({per.format(keys=keys, hit=hit, grids=grids)}), {name}_n AS (SELECT trial_id, {keys}, count(*) FILTER ({hit}) AS n FROM me{grids} GROUP BY ALL), "
+        f"{name}_b AS (SELECT c.*, n FROM {name}_c c JOIN {name}_n USING (trial_id, {keys}) WHERE tp > 0 QUALIFY row_number() OVER (PARTITION BY trial_id, {keys} ORDER BY round(2 * tp / (size + n)::DOUBLE, 12) DESC, {order}, slice_val) = 1), "
+        f"{name} AS (SELECT n.trial_id, {', '.join(f'n.{k.strip()}' for k in keys.split(','))}, n.n, slice_col, slice_val FROM {name}_n n LEFT JOIN {name}_b USING (trial_id, {keys}))"
+    )
+    cols = ("cat_id", "dept_id", "state_id", "store_id", "item")
+    slices = " UNION ALL ".join(f"SELECT trial_id, trail_value, trail_run, ref_mean, dup, '{'item_id' if c == 'item' else c}' AS slice_col, {c} AS slice_val FROM me" for c in cols)
+    return (
+        f"WITH {S.EVENTS}, zx AS ({' UNION ALL '.join(parts)}), {_run_sql('zx', cur, ref)}, {lists}, tr(trial_id, kind, true_col, true_val) AS (VALUES {truth}), "
+        f"pd AS (SELECT item_id || '_' || store_id AS id, date, count(*) AS n, min(trial_id) AS trial_id, min(item) AS item, min(store_id) AS store_id, min(dept_id) AS dept_id, min(cat_id) AS cat_id, min(state_id) AS state_id FROM zx WHERE {cur} GROUP BY 1, 2), "
+        "me AS (SELECT st.*, m.* EXCLUDE (id) FROM st JOIN (SELECT id, max(n) > 1 AS dup, min(trial_id) AS trial_id, min(item) AS item, min(store_id) AS store_id, min(dept_id) AS dept_id, min(cat_id) AS cat_id, min(state_id) AS state_id FROM pd GROUP BY id) m USING (id)), "
+        f"sl AS ({slices}), one AS (SELECT 0 AS i_one), "
+        f"{best('bz', 'i_k_zero, i_m_ref', 'coalesce(trail_value = 0 AND trail_run >= k_zero AND ref_mean >= m_ref, false)', ', kg, m_ref_g')}, {best('bs', 'i_k_stale', 'coalesce(trail_value <> 0 AND trail_run >= k_stale, false)', ', sg')}, {best('bd', 'i_one', 'dup', ', one')}, "
+        "a AS (SELECT tr.*, k_zero, m_ref, k_stale, n_min, ((i_k_zero * 6 + i_m_ref) * 5 + i_k_stale) * 6 + i_n_min AS place, CASE WHEN bd.n > 0 THEN {'f': 'duplicated_rows', 'c': bd.slice_col, 'v': bd.slice_val} WHEN bz.n >= n_min AND (bs.n < n_min OR bz.n >= bs.n) THEN {'f': 'zero_fill', 'c': bz.slice_col, 'v': bz.slice_val} "
+        "WHEN bs.n >= n_min THEN {'f': 'stale_feed', 'c': bs.slice_col, 'v': bs.slice_val} ELSE {'f': 'none', 'c': NULL, 'v': NULL} END AS said FROM tr JOIN bz USING (trial_id) JOIN bs USING (trial_id) JOIN bd USING (trial_id) JOIN kg USING (i_k_zero) JOIN m_ref_g USING (i_m_ref) JOIN sg USING (i_k_stale) CROSS JOIN n_min_g), "
+        "r AS (SELECT *, CASE WHEN kind = 'clean' THEN said.f = 'none' ELSE coalesce(said.f = kind AND said.c = true_col AND said.v = true_val, false) END AS ok FROM a), "
+        "g AS (SELECT CAST(place AS INT) AS place, CAST(k_zero AS INT) AS k_zero, m_ref, CAST(k_stale AS INT) AS k_stale, CAST(n_min AS INT) AS n_min, "
+        + ", ".join(f"avg(ok::INT) FILTER (kind = '{k}') AS acc_{k}" for k in quality.FIT_KINDS)
+        + " FROM r GROUP BY ALL), x AS (SELECT *, (acc_stale_feed + acc_zero_fill + acc_duplicated_rows + acc_clean) / 4 AS score FROM g) "
+        "SELECT *, row_number() OVER (ORDER BY round(score, 12) DESC, place) = 1 AS picked FROM x"
+    )
+
+
+@query("o4_full_fit", _fit_sql())
+def o4_fit(spark, sf_dir):
+    """All 1,080 combinations over fault and clean trials, accuracies by kind, the objective, and the pick."""
+    from ..operators.inject import with_trials
+
+    injections = [(n, None if k == "clean" else Injection(k, c, v, FIT_WINDOWS.cur_start, FIT_WINDOWS.cur_end)) for n, k, c, v in FIT_TRIALS]
+    stats = quality.trial_stats(with_trials(event_panel(spark, sf_dir), injections), FIT_WINDOWS)
+    return quality.fit_thresholds(stats, spark.createDataFrame(FIT_TRIALS, "trial_id string, kind string, true_col string, true_val string"))
