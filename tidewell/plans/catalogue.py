@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import detection, files, localisation, modelling, profiling, relational, scoring, streams, tooling, trials  # noqa: F401  (they register their queries)
+from . import answers, detection, files, localisation, modelling, profiling, relational, scoring, streams, tooling, trials  # noqa: F401  (they register their queries)
 from .registry import ORACLES, QUERIES, Query
 
 
