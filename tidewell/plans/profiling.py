@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import model, profile, report
+from ..operators import model, onboarding, profile, report
 from ..sources import synthetic
 from ..sources.panel import RETAIL_WINDOWS, event_panel, read, retail_panel
+from ..sources.written import written
 
+from . import sql as S
 from .registry import query
 
 _R = lambda *names, d=9: [F.round(n, d).alias(n) for n in names]
@@ -57,10 +59,20 @@ def q7(spark, sf_dir):
     return spark.createDataFrame([(name, c, r, name == found["fact"]) for name, cs in found["roles"].items() for c, r in cs.items()], "table string, column string, role string, is_fact boolean")
 
 
-@query("q8_hierarchy", "SELECT * FROM (VALUES ('dept_id', 'cat_id'), ('item_id', 'dept_id'), ('store_id', 'state_id')) AS v(child, parent)")
+_SLICES = ("cat_id", "dept_id", "state_id", "store_id", "item_id")
+
+
+def _hierarchy_sql(name: str, source: str, columns: tuple[str, ...]) -> str:
+    """name: child, parent of the dependencies among columns that hold, towards fewer values, without those by way of another."""
+    pairs = [(a, b) for a in columns for b in columns if a != b]
+    held = " UNION ALL ".join(f"SELECT '{a}' AS child, '{b}' AS parent FROM (SELECT count(DISTINCT {b}) AS k FROM {source} GROUP BY {a}) HAVING max(k) <= 1 AND (SELECT count(DISTINCT {b}) < count(DISTINCT {a}) FROM {source})" for a, b in pairs)
+    return f"{name}_h AS ({held}), {name} AS (SELECT child, parent FROM {name}_h h WHERE NOT EXISTS (SELECT 1 FROM {name}_h x JOIN {name}_h y ON x.parent = y.child WHERE x.child = h.child AND y.parent = h.parent))"
+
+
+@query("q8_hierarchy", f"WITH {S.RETAIL}, {_hierarchy_sql('q', 'retail', _SLICES)} SELECT * FROM q")
 def q8(spark, sf_dir):
     """The hierarchy of the slice columns, found from the data."""
-    return profile.hierarchy_of(retail_panel(spark, sf_dir), ["cat_id", "dept_id", "state_id", "store_id", "item_id"])
+    return profile.hierarchy_of(retail_panel(spark, sf_dir), list(_SLICES))
 
 
 @query("q9_flags", "SELECT avg(CAST(value = 0 AS INT)) > 0.3 AS zero_inflated, avg(CAST(value % 1 <> 0 AS INT)) > 0 AS fractional, avg(CAST(value < 0 AS INT)) > 0 AS negative, CASE WHEN bool_and(value % 1 = 0) AND quantile_cont(value, 0.99) < 21 THEN 'integer' ELSE 'quantile' END AS bin_path FROM events")
@@ -76,14 +88,84 @@ def q10(spark, sf_dir):
     return p.groupBy("store_id").agg(F.count("*").alias("n"), F.min("date").alias("first_day"), F.round(F.sum("sales"), 4).alias("sales"))
 
 
-@query("q11_edge_scores", "SELECT 2::BIGINT AS tp, 3::BIGINT AS n_found, 3::BIGINT AS n_true, round(2 / 3.0::DOUBLE, 9) AS precision, round(2 / 3.0::DOUBLE, 9) AS recall, round(2 / 3.0::DOUBLE, 9) AS f1")
+@query("q11_edge_scores", f"WITH {S.RETAIL}, {_hierarchy_sql('q', 'retail', _SLICES)}, t(child, parent) AS (VALUES ('dept_id', 'cat_id'), ('store_id', 'state_id'), ('item_id', 'cat_id')), n AS (SELECT (SELECT count(*) FROM q SEMI JOIN t USING (child, parent)) AS tp, (SELECT count(*) FROM q) AS n_found, (SELECT count(*) FROM t) AS n_true) SELECT *, round(tp / n_found::DOUBLE, 9) AS precision, round(tp / n_true::DOUBLE, 9) AS recall, round(2 * tp / (n_found + n_true)::DOUBLE, 9) AS f1 FROM n")
 def q11(spark, sf_dir):
     """Precision and recall of found edges against known ones."""
-    found = profile.hierarchy_of(retail_panel(spark, sf_dir), ["cat_id", "dept_id", "state_id", "store_id", "item_id"])
+    found = profile.hierarchy_of(retail_panel(spark, sf_dir), list(_SLICES))
     truth = spark.createDataFrame([("dept_id", "cat_id"), ("store_id", "state_id"), ("item_id", "cat_id")], "child string, parent string")
     return profile.edge_scores(found, truth).select("tp", "n_found", "n_true", *_R("precision", "recall", "f1"))
 
 
+#: Runs that configure the retail panel from other columns, and the hierarchy that is known of it.
+_RUNS = {"all": _SLICES, "no_dept": ("cat_id", "state_id", "store_id", "item_id"), "places": ("state_id", "store_id"), "goods": ("cat_id", "dept_id", "item_id")}
+_KNOWN = (("item_id", "dept_id"), ("dept_id", "cat_id"), ("store_id", "state_id"))
+_RUN_SQL = f"{S.RETAIL}, " + ", ".join(_hierarchy_sql(f"r_{n}", "retail", c) for n, c in _RUNS.items()) + ", e AS (" + " UNION ALL ".join(f"SELECT '{n}' AS run, * FROM r_{n}" for n in _RUNS) + f"), k(child, parent) AS (VALUES {', '.join(map(str, _KNOWN))})"
+
+
+def _runs(spark, sf_dir):
+    panel = retail_panel(spark, sf_dir)
+    found = None
+    for n, c in _RUNS.items():
+        one = profile.hierarchy_of(panel, list(c)).select(F.lit(n).alias("run"), "child", "parent")
+        found = one if found is None else found.unionByName(one)
+    return spark.createDataFrame([(n,) for n in _RUNS], "run string"), written(found, "runs", few=False), spark.createDataFrame(list(_KNOWN), "child string, parent string")
+
+
+@query(
+    "q11_scores_of_runs",
+    f"WITH RECURSIVE {_RUN_SQL}, fc AS (SELECT run, child, parent FROM e UNION SELECT fc.run, fc.child, e.parent FROM fc JOIN e ON e.run = fc.run AND e.child = fc.parent), kc AS (SELECT * FROM k UNION SELECT kc.child, k.parent FROM kc JOIN k ON k.child = kc.parent), "
+    f"rr(run) AS (VALUES {', '.join(f'({n!r})' for n in _RUNS)}), b AS (SELECT coalesce(f.run, t.run) AS run, coalesce(f.child, t.child) || '->' || coalesce(f.parent, t.parent) AS edge, f.run IS NOT NULL AS f, t.run IS NOT NULL AS t FROM fc f FULL JOIN (SELECT * FROM rr, kc) t ON f.run = t.run AND f.child = t.child AND f.parent = t.parent), "
+    "g AS (SELECT run, count(*) FILTER (f AND t) AS tp, count(*) FILTER (f) AS n_found, count(*) FILTER (t) AS n_true, coalesce(string_agg(edge, '; ' ORDER BY edge) FILTER (f AND NOT t), '') AS invented, coalesce(string_agg(edge, '; ' ORDER BY edge) FILTER (t AND NOT f), '') AS missed FROM b GROUP BY 1) "
+    "SELECT run, tp, n_found, n_true, round(tp / n_found::DOUBLE, 9) AS precision, round(tp / n_true::DOUBLE, 9) AS recall, round(2 * tp / (n_found + n_true)::DOUBLE, 9) AS f1, invented, missed FROM g",
+)
+def q11_runs(spark, sf_dir):
+    """Found hierarchies of several runs against the known one, on transitive closures."""
+    return onboarding.edge_scores_by_run(*_runs(spark, sf_dir)).select("run", "tp", "n_found", "n_true", *_R("precision", "recall", "f1"), "invented", "missed")
+
+
+@query("q11_agreement", f"WITH {_RUN_SQL}, rr(run) AS (VALUES {', '.join(f'({n!r})' for n in _RUNS)}), p AS (SELECT a.run AS a, b.run AS b FROM rr a JOIN rr b ON a.run < b.run), j AS (SELECT (SELECT count(*) FROM e x JOIN e y USING (child, parent) WHERE x.run = p.a AND y.run = p.b) AS s, (SELECT count(*) FROM (SELECT child, parent FROM e WHERE run = p.a UNION SELECT child, parent FROM e WHERE run = p.b)) AS u FROM p) SELECT count(*) AS n_pairs, round(avg(s / u::DOUBLE), 9) AS mean_jaccard, round(avg((s = u)::INT), 9) AS identical_share, 4::BIGINT AS n_runs FROM j")
+def q11_agreement(spark, sf_dir):
+    """How far the runs' hierarchies agree."""
+    runs, found, _ = _runs(spark, sf_dir)
+    return onboarding.edge_agreement(runs, found).select("n_pairs", *_R("mean_jaccard", "identical_share"), "n_runs")
+
+
+_FLAGGED = "f AS (SELECT event_type AS run, CAST(avg((value < 5)::INT) > 0.4 AS VARCHAR) AS zero_inflated, CAST(max(value) > 300 AS VARCHAR) AS fractional FROM events GROUP BY 1)"
+
+
+@query("q11_flags", f"WITH {_FLAGGED}, l AS (SELECT run, 'zero_inflated' AS name, zero_inflated AS value FROM f UNION ALL SELECT run, 'fractional', fractional FROM f), t(name, want) AS (VALUES ('zero_inflated', 'true'), ('fractional', 'false'), ('negative', 'false')) SELECT l.run, count(DISTINCT t.name) AS n_flags, count(*) FILTER (l.name = t.name AND value = want) AS n_right, round(count(*) FILTER (l.name = t.name AND value = want) / 3.0::DOUBLE, 9) AS accuracy FROM l, t GROUP BY 1")
+def q11_flags(spark, sf_dir):
+    """Q11, Q9: accuracy of the flags that each run sets; one that none sets is wrong."""
+    e = read(spark, sf_dir, "events")
+    f = e.groupBy(F.col("event_type").alias("run")).agg((F.avg((F.col("value") < 5).cast("int")) > 0.4).cast("string").alias("zero_inflated"), (F.max("value") > 300).cast("string").alias("fractional"))
+    said = f.unpivot("run", ["zero_inflated", "fractional"], "name", "value")
+    truth = spark.createDataFrame([("zero_inflated", "true"), ("fractional", "false"), ("negative", "false")], "name string, value string")
+    return onboarding.flag_accuracy(f, said, truth).select("run", "n_flags", "n_right", *_R("accuracy"))
+
+
+_FACT = "x AS (SELECT o_custkey AS k, CAST(o_orderdate AS DATE) AS d, CASE WHEN o_orderkey % 9 = 0 THEN -o_totalprice ELSE o_totalprice END AS v, CASE WHEN o_orderkey % 5 > 0 THEN o_orderpriority END AS p FROM orders)"
+
+
+@query(
+    "q9_issue_list",
+    f"WITH {_FACT}, s AS (SELECT avg(1 - n / (datediff('day', a, b) + 1)::DOUBLE) AS m FROM (SELECT min(d) AS a, max(d) AS b, count(DISTINCT d) AS n FROM x GROUP BY k)), w AS (SELECT (datediff('day', min(d), max(d)) + 1 - count(DISTINCT d))::DOUBLE AS m FROM x), "
+    "i AS (SELECT 'negative values of the target' AS issue, 'v' AS column, avg((v < 0)::INT) AS evidence FROM x HAVING avg((v < 0)::INT) > 0 UNION ALL SELECT 'days without a row within a series', NULL, m FROM s WHERE m > 0 UNION ALL SELECT 'days missing for every series', NULL, m FROM w WHERE m > 0 "
+    "UNION ALL SELECT 'nulls in a column', 'p', avg((p IS NULL)::INT) FROM x HAVING avg((p IS NULL)::INT) > 0 UNION ALL SELECT 'no column that looks like a price', NULL, 0) SELECT issue, \"column\", round(evidence, 9) AS evidence FROM i",
+)
+def q9_issues(spark, sf_dir):
+    """Q9: what is wrong with a fact table, orders with some targets negative and some values gone."""
+    o, key = read(spark, sf_dir, "orders"), F.col("o_orderkey")
+    fact = o.select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d"), F.when(key % 9 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")).alias("v"), F.when(key % 5 > 0, F.col("o_orderpriority")).alias("p"))
+    return onboarding.issue_list(fact, "d", ["k"], "v").select("issue", "column", *_R("evidence"))
+
+
+@query("q11_issue_recall", "WITH g AS (SELECT source AS run, count(*) AS n_issues, count(*) FILTER (NOT (regexp_matches(lower(text), 'data|model') OR regexp_matches(lower(text), '(very|most).{0,40}time'))) AS n_unmatched, bool_or(regexp_matches(lower(text), 'data|model')) AS hit_a, bool_or(regexp_matches(lower(text), '(very|most).{0,40}time')) AS hit_b FROM documents WHERE text IS NOT NULL GROUP BY 1) SELECT *, round((hit_a::INT + hit_b::INT) / 2.0::DOUBLE, 9) AS recall FROM g")
+def q11_recall(spark, sf_dir):
+    """Q11: which categories of issues each source's texts speak of."""
+    d = read(spark, sf_dir, "documents").where("text is not null").select(F.col("source").alias("run"), "text")
+    return onboarding.issue_recall(d, d, {"a": "data|model", "b": "(very|most).{0,40}time"}).withColumn("recall", F.round("recall", 9))
+
+
 @query("q13_config_choice", "WITH c AS (SELECT s_nationkey AS k, count(*) AS n, round(max(s_acctbal), 2) AS top, min(s_suppkey) AS first FROM supplier GROUP BY 1) SELECT k, n, top, first FROM c ORDER BY n DESC, top DESC, first LIMIT 1")
 def q13(spark, sf_dir):
     """The best configuration by several keys."""
