@@ -63,7 +63,7 @@ def slice_counts(panel: DataFrame, feature: str, w: Windows, columns: Sequence[s
     x = F.col(feature).cast("double")
     binned = rows.withColumns({"bin": bin_of(x, F.col("edges"), False), "inside": bin_of(x, F.col("edges"), True).isNotNull()})
     long = unpivot_slices(binned, [*(c for c in columns if c != feature), ALL], ["win", "bin", "inside"])
-    return written(count_by_window(long, ["slice_col", "slice_ord", "slice_val", "inside"]), "slice-counts")
+    return written(count_by_window(long, ["slice_col", "slice_ord", "slice_val", "inside"]), "slice-counts", few=False)
 
 
 def _total(counts: DataFrame) -> DataFrame:

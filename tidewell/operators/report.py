@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.panel import COARSE_COLUMNS, Windows
-from .detect import CATEGORICAL, NUMERIC, global_scan
-from .localise import rank_within_slices, top_k
+from ..functions.binning import adaptive_edges, bin_of
+from ..functions.divergence import divergences
+from ..sources.panel import COARSE_COLUMNS, Windows, tag, unpivot_slices, within
+from ..sources.written import written
+from .detect import CATEGORICAL, MIN_SLICE_SIZE, NUMERIC, count_by_window, global_scan, is_drift
+from .localise import top_k
 
 #: Sentences about an alert, by what is known of it.
 SHIFTED = "%s no longer follows its reference distribution: divergence %.4f, largest change of a bin's share %.4f."
@@ -53,17 +56,63 @@ def with_fallback(synthesizer: Callable[[DataFrame], DataFrame], fallback: Calla
     return run
 
 
-def reports(panel: DataFrame, w: Windows, k: int = 5, synthesizer: Callable[[DataFrame], DataFrame] = narrate) -> DataFrame:
-    """feature, js, l_inf, is_drift, slices, narrative, recommended_actions of every monitored feature, those without drift without slices.
+#: Slice columns that are looked into, in this order, for a feature that does not drift as a whole.
+FALLBACK_COLUMNS = ("cat_id", "item_id")
+_BY = ["feature", "slice_col", "slice_ord", "slice_val"]
 
-    A synthesizer is any function from alerts to reports; the default is rule-based and needs no network.
+
+def _slice_bins(panel: DataFrame, w: Windows, numeric: Sequence[str], categorical: Sequence[str], columns: Sequence[str], drop_outside: bool) -> DataFrame:
+    """feature, slice_col, slice_ord, slice_val, bin, n_ref, n_cur of all features at once; a feature is no slice of itself. bin is null beyond the edges if drop_outside, and where there is no value."""
+    rows = tag(panel.select(*dict.fromkeys([*numeric, *categorical, *columns, "date"])), w)
+    parts = []
+    if numeric:
+        each = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in numeric))
+        long = rows.select("win", *columns, F.explode(each).alias("f")).select("win", *columns, "f.*")
+        edges = adaptive_edges(long.where("x is not null"), "x", ["feature"])
+        parts.append(long.join(F.broadcast(edges), "feature").select("win", *columns, "feature", bin_of(F.col("x"), F.col("edges"), drop_outside).cast("string").alias("bin")))  # a row a feature
+    if categorical:
+        each = F.array(*(F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("bin")) for c in categorical))
+        parts.append(rows.select("win", *columns, F.explode(each).alias("f")).select("win", *columns, "f.*"))
+    both = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return count_by_window(unpivot_slices(both, columns, ["feature", "win", "bin"]).where("slice_col <> feature"), _BY)
+
+
+def localised_alerts(panel: DataFrame, w: Windows, numeric: Sequence[str], categorical: Sequence[str], k: int = 5, min_slice_size: int = MIN_SLICE_SIZE) -> DataFrame:
+    """feature, rank, slice_col, slice_val, score, coverage: the k slices of each feature, numeric or categorical, whose own histograms moved most; all features in one job."""
+    counts = _slice_bins(panel, w, numeric, categorical, COARSE_COLUMNS, False).where("bin is not null")
+    total = panel.where(within(w.cur_start, w.cur_end)).agg(F.count("*").alias("total"))
+    ranked = divergences(counts, _BY).where((F.col("ref_n") >= min_slice_size) & (F.col("cur_n") >= min_slice_size)).crossJoin(F.broadcast(total))  # one row
+    return top_k(ranked.select(*_BY, F.col("js").alias("score"), (F.col("cur_n") / F.col("total")).alias("coverage")), k, ("feature",))
+
+
+def fallback_alerts(panel: DataFrame, w: Windows, features: Sequence[str], columns: Sequence[str] = FALLBACK_COLUMNS, min_slice_size: int = MIN_SLICE_SIZE) -> DataFrame:
+    """feature, js, l_inf, found_in: of each feature the most diverging slice of the first of `columns` that has a drifting one; features without any are left out. One job for all."""
+    counts = _slice_bins(panel, w, features, (), columns, True)
+    size = counts.groupBy(*_BY).agg(F.sum("n_ref").alias("_r"), F.sum("n_cur").alias("_c"))
+    found = divergences(counts.where("bin is not null"), _BY).join(size, _BY).where((F.col("_r") >= min_slice_size) & (F.col("_c") >= min_slice_size) & is_drift(F.col("js"), F.col("l_inf")))
+    order = F.struct(F.array_position(F.array(*map(F.lit, columns)), F.col("slice_col")).alias("at"), (-F.round("js", 12)).alias("js"), "slice_val")
+    best = F.min_by(F.struct("js", "l_inf", F.concat_ws("=", "slice_col", "slice_val").alias("found_in")), order)
+    return found.groupBy("feature").agg(best.alias("b")).select("feature", "b.*")
+
+
+def reports(panel: DataFrame, w: Windows, k: int = 5, synthesizer: Callable[[DataFrame], DataFrame] = narrate, fallback: bool = True) -> DataFrame:
+    """feature, js, l_inf, is_drift, found_in, slices, narrative, recommended_actions of every monitored feature, those without drift without slices.
+
+    A numeric feature that does not drift as a whole may do so within a slice (`fallback`): its numbers are then the slice's, named in found_in. Every feature that drifts, categorical ones included,
+    is localised, and no other: jobs are one scan, one look into slices and one ranking, however many features there are. A synthesizer is any function from alerts to reports; the default is rule-based and needs no network.
     """
-    alerts = global_scan(panel, w)
-    slices = None
-    for f in NUMERIC:
-        one = top_k(rank_within_slices(panel, f, w, COARSE_COLUMNS), k).withColumn("feature", F.lit(f))
-        slices = one if slices is None else slices.unionByName(one)
-    lists = slices.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("rank", "slice_col", "slice_val", "score", "coverage"))).alias("slices"))  # k rows a feature
+    alerts = written(global_scan(panel, w).where(F.col("feature").isin(*NUMERIC, *CATEGORICAL)), "alerts")  # a row a feature
+    quiet = [r["feature"] for r in alerts.where("not is_drift").collect() if r["feature"] in NUMERIC]
+    alerts = alerts.withColumn("found_in", F.lit(None).cast("string"))
+    if fallback and quiet:
+        inside = fallback_alerts(panel, w, quiet).select("feature", F.col("js").alias("_js"), F.col("l_inf").alias("_l"), F.col("found_in").alias("_in"))
+        alerts = alerts.join(F.broadcast(inside), "feature", "left")
+        alerts = written(alerts.select("feature_ord", "feature", F.coalesce("_js", "js").alias("js"), F.coalesce("_l", "l_inf").alias("l_inf"), (F.col("is_drift") | F.col("_in").isNotNull()).alias("is_drift"), F.col("_in").alias("found_in")), "alerts")
+    drifting = [r["feature"] for r in alerts.where("is_drift").orderBy("feature_ord").collect()]
     none = F.array().cast("array<struct<rank:int,slice_col:string,slice_val:string,score:double,coverage:double>>")
-    out = alerts.join(F.broadcast(lists), "feature", "left").withColumn("slices", F.when(F.col("is_drift"), F.coalesce("slices", none)).otherwise(none))
-    return synthesizer(out.where(F.col("feature").isin(*NUMERIC, *CATEGORICAL))).drop("feature_ord")
+    out = alerts.withColumn("slices", none)
+    if drifting:
+        found = localised_alerts(panel, w, [f for f in drifting if f in NUMERIC], [f for f in drifting if f in CATEGORICAL], k)
+        lists = found.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("rank", "slice_col", "slice_val", "score", "coverage"))).alias("_found"))  # k rows a feature
+        out = alerts.join(F.broadcast(lists), "feature", "left").withColumn("slices", F.coalesce("_found", none)).drop("_found")
+    return synthesizer(out).drop("feature_ord")

@@ -79,6 +79,36 @@ def breakdown(panel: DataFrame, col: str, by: str, w: Windows) -> DataFrame:
     return groups.join(whole, "slice_val").select("slice_val", "group", "pct", F.when(F.abs("whole") > 1e-9, F.col("delta") / F.col("whole")).alias("share"), follows.alias("follows"))
 
 
+MONTHS, MONTH_DAYS, BLOCKS = 12, 30, 6
+
+
+def slice_detail(panel: DataFrame, col: str, w: Windows, by: str | None = None) -> DataFrame:
+    """All that is known of the history of each value of col, in one answer: what history() has, months (means of the 12 stretches of 30 days before the window, oldest first), blocks (means of
+    6 near-equal blocks of the window's days), ref_max and cur_max (largest daily mean over the reference's mean), and with `by` where the change lives (the BREAKDOWN groups with the largest shares).
+
+    A day counts in a block if any slice has a row on it; a stretch without rows of the slice is null. For one value filter the panel by it, but then blocks are of that slice's days.
+    """
+    d = daily(panel, col)
+    start = F.lit(w.cur_start).cast("date")
+    month = F.ceil(F.datediff(start, F.col("date")) / MONTH_DAYS)
+    days = d.where(within(w.cur_start, w.cur_end)).select("date").distinct()
+    days = days.select("date", (F.row_number().over(Window.orderBy("date")) - 1).alias("_i"), F.count("*").over(Window.partitionBy()).alias("_n"))  # a row a day of the window
+    q, r = F.floor(F.col("_n") / BLOCKS), F.col("_n") % BLOCKS
+    block = F.when(F.col("_i") < r * (q + 1), F.floor(F.col("_i") / (q + 1))).otherwise(r + F.floor(F.try_divide(F.col("_i") - r * (q + 1), q)))
+    rows = d.join(days.select("date", block.alias("_block")), "date", "left").withColumns({"_month": month, "_ref": within(w.ref_start, w.ref_end), "_cur": within(w.cur_start, w.cur_end)})
+    mean = lambda test: F.avg(F.when(test, F.col("mean")))
+    top = lambda test: F.max(F.when(test, F.col("mean"))) / (mean(F.col("_ref")) + RATIO_EPS)
+    g = rows.groupBy("slice_val").agg(
+        F.array(*(mean(F.col("_month") == k) for k in range(MONTHS, 0, -1))).alias("months"), F.array(*(mean(F.col("_cur") & (F.col("_block") == b)) for b in range(BLOCKS))).alias("blocks"), top(F.col("_ref")).alias("ref_max"), top(F.col("_cur")).alias("cur_max")
+    )
+    out = history(panel, col, w).join(g, "slice_val")
+    if by is None:
+        return out
+    parts = breakdown(panel, col, by, w).withColumn("_k", F.row_number().over(Window.partitionBy("slice_val").orderBy(F.desc_nulls_last(F.round(F.abs("share"), 12)), "group"))).where(F.col("_k") <= BREAKDOWN)
+    lives = parts.groupBy(F.col("slice_val").cast("string").alias("slice_val")).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "group", "share", "pct", "follows"))), lambda x: F.struct(x["group"].alias("group"), x["share"].alias("share"), x["pct"].alias("pct"), x["follows"].alias("follows"))).alias("where_it_lives"))
+    return out.join(lives, "slice_val", "left")
+
+
 def compare_windows(panel: DataFrame, col: str, w: Windows, min_slice_size: int = 20) -> DataFrame:
     """slice_val, js, place, of_n, column_median_js, coverage, means and zero shares of both windows."""
     js = rank_within_slices(panel, "sales", w, (col,), min_slice_size).select("slice_val", F.col("score").alias("js"), "coverage")

@@ -63,7 +63,43 @@ def p6(spark, sf_dir):
     return tools.days_above(event_panel(spark, sf_dir), "item_id", EVENT_WINDOWS)
 
 
-@query("e12_peaks")
+_MONTHS = ", ".join(f"avg(m) FILTER (ceil(datediff('day', date, DATE '{RETAIL_WINDOWS.cur_start}') / 30.0) = {k})" for k in range(12, 0, -1))
+_BLOCKS = ", ".join(f"avg(m) FILTER ({S.RETAIL_CUR} AND block = {b})" for b in range(6))
+
+
+@query(
+    "p2_slice_detail",
+    f"WITH {S.RETAIL}, d AS (SELECT state_id AS slice_val, date, avg(sales) AS m FROM retail GROUP BY ALL), o AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM d WHERE {S.RETAIL_CUR})), "
+    "k AS (SELECT date, CASE WHEN i < (n % 6) * (n // 6 + 1) THEN i // (n // 6 + 1) ELSE n % 6 + (i - (n % 6) * (n // 6 + 1)) // (n // 6) END AS block FROM o), "
+    f"g AS (SELECT slice_val, [{_MONTHS}] AS months, [{_BLOCKS}] AS blocks, max(m) FILTER ({S.RETAIL_REF}) / (avg(m) FILTER ({S.RETAIL_REF}) + 1e-9) AS ref_max, max(m) FILTER ({S.RETAIL_CUR}) / (avg(m) FILTER ({S.RETAIL_REF}) + 1e-9) AS cur_max, avg(m) FILTER ({S.RETAIL_REF}) AS a, avg(m) FILTER ({S.RETAIL_CUR}) AS c FROM d LEFT JOIN k USING (date) GROUP BY 1), "
+    f"{S.tagged('t', 'retail', S.RETAIL_REF, S.RETAIL_CUR)}, "
+    + ", ".join(
+        f"{n} AS (SELECT {k}, coalesce(sum(sales) FILTER (win = 'cur'), 0) / greatest(count(DISTINCT date) FILTER (win = 'cur'), 1) - coalesce(sum(sales) FILTER (win = 'ref'), 0) / greatest(count(DISTINCT date) FILTER (win = 'ref'), 1) AS delta FROM t GROUP BY {k})"
+        for n, k in (("bg", "state_id, cat_id"), ("bh", "state_id"))
+    )
+    + ", b AS (SELECT bg.state_id, bg.cat_id, bg.delta / bh.delta AS share FROM bg JOIN bh ON bg.state_id = bh.state_id QUALIFY row_number() OVER (PARTITION BY bg.state_id ORDER BY round(abs(bg.delta / bh.delta), 12) DESC NULLS LAST, bg.cat_id) <= 5) "
+    "SELECT slice_val, round(a, 9) AS ref_mean, round(c, 9) AS cur_mean, round((c - a) / (a + 0.05), 9) AS pct_change, list_transform(months, lambda x: round(x, 9)) AS months, list_transform(blocks, lambda x: round(x, 9)) AS blocks, round(ref_max, 9) AS ref_max, round(cur_max, 9) AS cur_max, "
+    "(SELECT list(cat_id ORDER BY round(abs(share), 12) DESC, cat_id) FROM b WHERE b.state_id = slice_val) AS lives_in FROM g",
+)
+def p2(spark, sf_dir):
+    """A state's whole history in one answer: months, blocks, peaks, and the categories in which its change lives."""
+    d = tools.slice_detail(retail_panel(spark, sf_dir), "state_id", RETAIL_WINDOWS, "cat_id")
+    rounded = [F.transform(c, lambda x: F.round(x, 9)).alias(c) for c in ("months", "blocks")]
+    return d.select("slice_val", *_R("ref_mean", "cur_mean", "pct_change"), *rounded, *_R("ref_max", "cur_max"), F.col("where_it_lives.group").alias("lives_in"))
+
+
+_PEAKS = (
+    f"d AS (SELECT dept_id AS v, date, sum(sales) / count(*)::DOUBLE AS m FROM ev GROUP BY ALL), b AS (SELECT v, avg(m) + 1e-9 AS base FROM d WHERE {S.EVENT_REF} GROUP BY 1), "
+    f"r AS (SELECT * FROM (SELECT v, date, avg(m) OVER w AS x, count(*) OVER w AS n FROM d WHERE {S.EVENT_CUR} WINDOW w AS (PARTITION BY v ORDER BY date ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)) WHERE n = 2)"
+)
+_TAKE = "SELECT v, arg_min(date, (-x, date)) AS d, max(x) AS x FROM {} GROUP BY v"
+
+
+@query(
+    "e12_peaks",
+    f"WITH {S.EVENTS}, {_PEAKS}, p1 AS ({_TAKE.format('r')}), r2 AS (SELECT r.* FROM r JOIN p1 USING (v) WHERE abs(datediff('day', r.date, p1.d)) >= 2), p2 AS ({_TAKE.format('r2')}), r3 AS (SELECT r2.* FROM r2 JOIN p2 USING (v) WHERE abs(datediff('day', r2.date, p2.d)) >= 2), p3 AS ({_TAKE.format('r3')}), "
+    "a AS (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3) SELECT v AS slice_val, d AS end_date, round(x / base, 9) AS level FROM a JOIN b USING (v)",
+)
 def e12(spark, sf_dir):
     """The three highest peaks of each department, two days apart, by a fold."""
     return tools.peaks(event_panel(spark, sf_dir), "dept_id", EVENT_WINDOWS).select("slice_val", "end_date", *_R("level"))
