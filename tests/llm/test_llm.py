@@ -7,6 +7,7 @@ import math
 import operator
 import random
 import shutil
+import time
 import zlib
 from fractions import Fraction
 
@@ -314,6 +315,34 @@ def test_triplets_are_packed_full():
     assert sum(n for _, n in packing.complete(counts)) == 60 < sum(n for _, n in packing.best_fit(counts, 1024))
 
 
+@pytest.mark.parametrize(
+    ("low", "high", "n", "most", "seconds"),
+    [(340, 344, 20_000, 38_000, 5), (340, 344, 20, 38, 5), (300, 399, 1_000, 36_200, 60)],
+)
+def test_packing_without_small_pieces(low, high, n, most, seconds):
+    """Lengths of which three fill a bin only in some mixes: how often each filling is used has to be chosen for all together, and little input ends soon."""
+    counts = np.zeros(1025, dtype=np.int64)
+    counts[low : high + 1] = n
+    began = time.process_time()
+    found = packing.complete(counts)
+    assert time.process_time() - began < seconds * 4  # of all cores
+    assert sum(k for _, k in found) <= most and all(sum(p) <= 1024 for p, _ in found)
+    assert sum((np.bincount(p, minlength=1025) * k for p, k in found), np.zeros(1025, dtype=np.int64)).tolist() == counts.tolist()
+
+
+@settings(deadline=None, max_examples=40)
+@given(st.lists(st.integers(8, 60), min_size=1, max_size=11))
+def test_relaxation_bounds_the_fewest_bins(sizes):
+    """The relaxation's value is no more than the fewest bins, no less than the waste bound's share of total length, and its whole numbers pack every piece."""
+    counts = np.bincount(sizes, minlength=65)
+    patterns, bound = packing.relaxed(counts, 64, 500)
+    fewest = sum(k for _, k in packing.complete(counts, 64, max_steps=None))
+    assert bound is not None and sum(sizes) / 64 - 1e-6 <= bound <= fewest + 1e-6
+    made = packing.rounded(counts, 64, patterns)
+    assert all(sum(p) <= 64 for p, _ in made) and fewest <= sum(k for _, k in made) <= fewest + 3
+    assert sum((np.bincount(p, minlength=65) * k for p, k in made), np.zeros(65, dtype=np.int64)).tolist() == counts.tolist()
+
+
 def test_op5_packs_every_token(spark):
     import pandas as pd
 

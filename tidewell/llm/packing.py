@@ -9,6 +9,7 @@ list "rank r to r + n of length l go to sequences s to s + n at offset o", by wh
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -29,6 +30,10 @@ MAX_STEPS, FILLINGS = 3_000, 3
 REPACK_BINS, REPACK_FILLINGS, REPACK_STEPS, REPACK_ROUNDS = 80, 8, 200, 8
 #: Steps of a round where the part is all there is.
 WHOLE_STEPS = 20_000
+#: Totals of fillings that all searches in parts try together, a second or two of work.
+MOST_WORK = 60_000
+#: The relaxation: share of bins above the waste bound beyond which it is asked, and exchanges of a pattern it may make.
+RELAX_GAP, RELAX_ROUNDS = 0.002, 1_500
 
 Pattern = tuple[tuple[int, ...], int]
 
@@ -110,11 +115,11 @@ def all_fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
     return kept
 
 
-def _fillings(counts: np.ndarray, room: int, most: int, each: int = 1, slack: int | None = None) -> list[tuple[int, ...]]:
+def _fillings(counts: np.ndarray, room: int, most: int, each: int = 1, slack: int | None = None, meter: list[int] | None = None) -> list[tuple[int, ...]]:
     """Up to `most` fillings of `room` that waste at most slack, fullest first; of each total up to `each`, with the fewest pieces that give it, three at most.
 
     A filling is dominated by one that holds a single piece as large as all of it, so fewer pieces come first. Where three of the largest piece don't fill the
-    room, the largest go in first.
+    room, the largest go in first. meter: adds up the totals that were tried, which is what a call costs.
     """
     have = np.flatnonzero(counts[: room + 1])
     have = have[have > 0]
@@ -126,11 +131,13 @@ def _fillings(counts: np.ndarray, room: int, most: int, each: int = 1, slack: in
         if n:
             after = counts.copy()
             after[largest] -= n
-            return [(largest,) * n + f for f in _fillings(after, room - n * largest, most, each, slack)]
+            return [(largest,) * n + f for f in _fillings(after, room - n * largest, most, each, slack, meter)]
     found: list[tuple[int, ...]] = []
     there = np.zeros(room + 1, dtype=bool)
     there[have] = True
     for total in range(room, max(0, -1 if slack is None else room - slack - 1), -1):
+        if meter is not None:
+            meter[0] += 1
         own = [(total,)] if there[total] else []
         if len(own) < each:
             low = have[have <= total // 2]
@@ -183,8 +190,67 @@ def exact(counts: np.ndarray, capacity: int, best: list[Pattern], goal: int) ->
     return held
 
 
-def repacked(counts: np.ndarray, capacity: int, bins: int, max_steps: int, rng: np.random.Generator | None) -> list[Pattern] | None:
-    """A packing into `bins` bins, or None where max_steps find none: bin completion that may waste only what is left over by so many bins."""
+def relaxed(counts: np.ndarray, capacity: int, rounds: int) -> tuple[list[tuple[tuple[int, ...], float]], float | None]:
+    """Patterns with how often each is used, in fractions, in the linear relaxation of packing by whole bins; and its bound on the bins, None if `rounds` were not enough to reach it.
+
+    Prices of the lengths follow from the patterns in use; the filling that is worth most at these prices (a knapsack of the capacity) comes in for one of them, until none is worth more than a bin.
+    """
+    sizes = np.flatnonzero(counts)
+    use = np.diag(capacity // sizes).astype(float)
+    amount = counts[sizes] / (capacity // sizes)
+    for _ in range(rounds):
+        price = np.linalg.solve(use.T, np.ones(len(sizes)))
+        worth, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+        for room in range(int(sizes[0]), capacity + 1):
+            fits = sizes[: np.searchsorted(sizes, room, side="right")]
+            gain = worth[room - fits] + price[: len(fits)]
+            top = int(gain.argmax())
+            worth[room], pick[room] = (gain[top], top) if gain[top] > worth[room - 1] + 1e-12 else (worth[room - 1], -1)
+        if worth[capacity] <= 1 + 1e-9:
+            return [(tuple(np.repeat(sizes, use[:, k].astype(int))[::-1].tolist()), float(x)) for k, x in enumerate(amount) if x > 1e-9], float(amount.sum())
+        column, room = np.zeros(len(sizes)), capacity
+        while room > 0:
+            if pick[room] < 0:
+                room -= 1
+            else:
+                column[pick[room]] += 1
+                room -= int(sizes[pick[room]])
+        turn = np.linalg.solve(use, column)
+        on = np.flatnonzero(turn > 1e-9)
+        if not len(on):
+            break
+        ratio = amount[on] / turn[on]
+        out = on[int(ratio.argmin())]
+        step = max(0.0, float(ratio.min()))
+        amount = np.maximum(amount - step * turn, 0.0)
+        amount[out], use[:, out] = step, column
+    return [(tuple(np.repeat(sizes, use[:, k].astype(int))[::-1].tolist()), float(x)) for k, x in enumerate(amount) if x > 1e-9], None
+
+
+def rounded(counts: np.ndarray, capacity: int, patterns: list[tuple[tuple[int, ...], float]]) -> list[Pattern]:
+    """Whole numbers of the relaxation's patterns, the largest fractions rounded up while pieces last, and the search on counts for what is left."""
+    left, used = counts.copy(), Counter()
+
+    def take(p: tuple[int, ...], n: int) -> None:
+        need = np.bincount(p, minlength=len(counts))
+        on = need > 0
+        n = min(n, int((left[on] // need[on]).min()))
+        if n > 0:
+            left[on] -= n * need[on]
+            used[p] += n
+
+    for p, x in patterns:
+        take(p, int(x + 1e-9))
+    for p, _ in sorted(patterns, key=lambda t: t[1] % 1, reverse=True):
+        take(p, 1)
+    rest = best_fit(left, capacity) if left.any() else []
+    if rest:
+        rest = _on_counts(left, capacity, rest, waste_bound(left, capacity), MAX_STEPS // 10, FILLINGS)
+    return [*used.items(), *rest]
+
+
+def repacked(counts: np.ndarray, capacity: int, bins: int, max_steps: int, rng: np.random.Generator | None, meter: list[int], most: int) -> list[Pattern] | None:
+    """A packing into `bins` bins, or None where max_steps find none, or `most` on the meter is used up: bin completion that may waste only what is left over by so many bins."""
     steps = 0
 
     def branch(left: np.ndarray, slack: int) -> list[Pattern] | None:
@@ -196,11 +262,11 @@ def repacked(counts: np.ndarray, capacity: int, bins: int, max_steps: int, rng:
         big = int(sizes[-1])
         after = left.copy()
         after[big] -= 1
-        options = _fillings(after, capacity - big, REPACK_FILLINGS, REPACK_FILLINGS, slack)
+        options = _fillings(after, capacity - big, REPACK_FILLINGS, REPACK_FILLINGS, slack, meter)
         if rng is not None:
             rng.shuffle(options)
         for f in options:
-            if steps >= max_steps:
+            if steps >= max_steps or meter[0] > most:
                 return None
             rest = after.copy()
             for s in f:
@@ -213,12 +279,12 @@ def repacked(counts: np.ndarray, capacity: int, bins: int, max_steps: int, rng:
     return branch(counts.copy(), bins * capacity - int((counts * np.arange(len(counts))).sum()))
 
 
-def complete(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int | None = MAX_STEPS, fillings: int = FILLINGS, repack_steps: int = REPACK_STEPS, whole_steps: int = WHOLE_STEPS) -> list[Pattern]:
+def complete(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int | None = MAX_STEPS, fillings: int = FILLINGS, repack_steps: int = REPACK_STEPS, whole_steps: int = WHOLE_STEPS, relax_rounds: int = RELAX_ROUNDS, most_work: int = MOST_WORK) -> list[Pattern]:
     """The fewest bins found for counts[l] pieces of each length l: a list of (lengths in a bin, how many such bins). Never more than best-fit decreasing gives.
 
-    First the search on counts: up to `fillings` fillings a node, each taken as often as counts allow, max_steps choices. What it leaves above the
-    bound is searched again in parts (see repacked): the bins with room and as many others, REPACK_BINS at most, in rounds of
-    repack_steps steps (whole_steps where a part is all there is), REPACK_ROUNDS without a gain in a row. max_steps None: the exact search instead, for instances of some 30 pieces.
+    First the search on counts: up to `fillings` fillings a node, each taken as often as counts allow, max_steps choices. Where that ends more than RELAX_GAP above the waste bound, fillings are used as often as
+    the linear relaxation says (relax_rounds at most), if that is better. What is left above the bounds is searched again in parts (see repacked): the bins with room and as many others, REPACK_BINS at most, in rounds of
+    repack_steps steps (whole_steps where a part is all there is), REPACK_ROUNDS without a gain in a row, and in all as far as most_work fillings' totals go. max_steps None: the exact search instead, for instances of some 30 pieces.
     """
     counts = np.array(counts, dtype=np.int64)
     counts[0] = 0
@@ -227,8 +293,13 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int | None
     if max_steps is None:
         return exact(counts, capacity, best, goal)
     best = _on_counts(counts, capacity, best, goal, max_steps, fillings)
-    rng, missed = np.random.default_rng(0), 0
-    while sum(n for _, n in best) > goal and missed < REPACK_ROUNDS:
+    if sum(n for _, n in best) > goal + max(2, RELAX_GAP * goal):
+        patterns, bound = relaxed(counts, capacity, relax_rounds)
+        made = rounded(counts, capacity, patterns)
+        best = min(best, made, key=lambda b: sum(n for _, n in b))
+        goal = max(goal, math.ceil(bound - 1e-6)) if bound is not None else goal
+    rng, missed, meter = np.random.default_rng(0), 0, [0]
+    while sum(n for _, n in best) > goal and missed < REPACK_ROUNDS and meter[0] <= most_work:
         open_bins = sorted(((capacity - sum(p), p, n) for p, n in best if sum(p)), key=lambda x: -x[0])
         freed: list[tuple[int, ...]] = []
         for room, p, n in open_bins:
@@ -239,7 +310,7 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int | None
         full = [(p, n - taken[p]) for p, n in best]
         part = np.bincount([s for p in freed for s in p], minlength=len(counts))
         steps = repack_steps if any(n > 0 for _, n in full) else whole_steps
-        found = repacked(part, capacity, len(freed) - 1, steps, None if missed == 0 else rng)
+        found = repacked(part, capacity, len(freed) - 1, steps, None if missed == 0 else rng, meter, most_work)
         if found is None:
             missed += 1
         else:
@@ -283,10 +354,10 @@ def _on_counts(counts: np.ndarray, capacity: int, best: list[Pattern], goal: int
     return best
 
 
-def plan(counts: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
-    """Rows (length, first rank, count, first sequence, offset), by length and rank, that place every piece."""
+def plan(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int | None = MAX_STEPS) -> np.ndarray:
+    """Rows (length, first rank, count, first sequence, offset), by length and rank, that place every piece. max_steps: as complete() has it."""
     rows, taken, sequence = [], np.zeros(len(counts), dtype=np.int64), 0
-    for pattern, n in complete(counts, capacity):
+    for pattern, n in complete(counts, capacity, max_steps):
         offset = 0
         for size in pattern:
             rows.append((size, int(taken[size]), n, sequence, offset))
@@ -320,8 +391,8 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int
     return texts_of(docs, id_col, text_col).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + extra)
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, rows_per_bucket: int = 512) -> DataFrame:
-    """pieces() with sequence_id and offset: which sequence each piece lies in, and where; no sequence is longer than capacity.
+def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", carry: bool = False, rows_per_bucket: int = 512, max_steps: int | None = MAX_STEPS) -> DataFrame:
+    """pieces() with sequence_id and offset: which sequence each piece lies in, and where; no sequence is longer than capacity. max_steps: of the search (see complete(); None is the exact one, for few pieces).
 
     A null text is empty: its document is end_id alone. Repeated ids and texts are packed as separate rows, a null id too. Very
     long texts are cut; an empty table gives no rows. Other columns of docs are not looked at.
@@ -331,7 +402,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int =
     counts = np.zeros(capacity + 1, dtype=np.int64)
     for r in cut.groupBy("length").count().collect():  # at most `capacity` rows
         counts[r["length"]] = r["count"]
-    placed = spark.sparkContext.broadcast(plan(counts, capacity))
+    placed = spark.sparkContext.broadcast(plan(counts, capacity, max_steps))
     # A length with many pieces is ranked in buckets of about rows_per_bucket, and the buckets' sizes are added up.
     buckets = F.element_at(F.array(*(F.lit(int(n) // rows_per_bucket + 1) for n in counts)), (F.col("length") + 1).cast("int"))
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), buckets).cast("int"))
