@@ -181,8 +181,8 @@ def r1(spark, sf_dir):
 
 @query("a8_synthetic_panel")
 def a8(spark, sf_dir):
-    """A seeded synthetic panel."""
-    p = synthetic.panel(spark, days=60, items=40, stores=5, seed=7)
+    """A seeded synthetic panel with as many items and stores as there are parts and nations."""
+    p = synthetic.panel(spark, days=30, items=read(spark, sf_dir, "part").count(), stores=read(spark, sf_dir, "nation").count(), seed=7)
     return p.groupBy("state_id", "is_weekend").agg(F.count("*").alias("n"), F.avg("sales").alias("mean"))
 
 
@@ -199,6 +199,15 @@ def m2(spark, sf_dir):
 
 
 
+@query("a7_first_available", "SELECT count(*) AS n, round(sum(o_totalprice), 2) AS total, 'orders.parquet' AS source FROM orders")
+def a7(spark, sf_dir):
+    """The first source that can be read, a missing one passed over."""
+    from ..sources import io
+
+    df, name = io.first_available(spark, [(f"{sf_dir}/no_such_table.parquet", spark.read.parquet), (f"{sf_dir}/orders.parquet", spark.read.parquet)], lambda: synthetic.panel(spark))
+    return df.agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total")).withColumn("source", F.lit(name.rsplit("/", 1)[-1]))
+
+
 @query(
     "a17_obscured_copy",
     "WITH c AS (SELECT c_mktsegment AS v, 'v' || dense_rank() OVER (ORDER BY c_mktsegment) AS code FROM (SELECT DISTINCT c_mktsegment FROM customer)) SELECT c_custkey, code AS x1 FROM customer JOIN c ON v = c_mktsegment",

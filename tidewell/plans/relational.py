@@ -330,10 +330,11 @@ def h(spark, sf_dir):
     )
 
 
-@query("h5_seed_of_name", "SELECT * FROM (VALUES ('sudden', 934), ('gradual', 272), ('intermittent', 216)) AS t(name, seed)")
+@query("h5_seed_of_name", f"SELECT name, CAST({S.crc32('name')} % 1000 AS INT) AS seed FROM (SELECT DISTINCT event_type AS name FROM events UNION SELECT DISTINCT o_orderpriority FROM orders)")
 def h5(spark, sf_dir):
-    """H5: crc32 seeds."""
-    return spark.createDataFrame([("sudden",), ("gradual",), ("intermittent",)], "name string").select("name", seed_of(F.col("name")).cast("int").alias("seed"))
+    """H5: crc32 seeds of the names of event types and priorities."""
+    names = read(spark, sf_dir, "events").select(F.col("event_type").alias("name")).union(read(spark, sf_dir, "orders").select("o_orderpriority")).distinct()
+    return names.select("name", seed_of(F.col("name")).cast("int").alias("seed"))
 
 
 @query("h6_json", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, '{\"event_type\":\"' || event_type || '\",\"k\":' || json_extract_string(props, '$.k') || '}' AS payload FROM events")
@@ -343,10 +344,15 @@ def h6(spark, sf_dir):
     return e.select("event_id", "p.k", F.to_json(F.struct("event_type", "p.k")).alias("payload"))
 
 
-@query("h9_durations", "SELECT * FROM (VALUES ('577ms', 0.577::DOUBLE), ('1m26.4s', 86.4), ('2h3m', 7380.0), ('45s', 45.0)) AS t(text, seconds)")
+@query(
+    "h9_durations",
+    "SELECT o_orderkey, round(CASE o_orderkey % 4 WHEN 0 THEN o_custkey / 1000.0::DOUBLE WHEN 1 THEN (o_custkey % 90) * 60 + (o_orderkey % 600) / 10.0::DOUBLE WHEN 2 THEN (o_custkey % 30) * 3600 + (o_orderkey % 60) * 60 ELSE o_custkey END, 6) AS seconds FROM orders",
+)
 def h9(spark, sf_dir):
-    """H9: durations such as 1m26.4s."""
+    """H9: durations such as 577ms, 1m26.4s, 2h3m and 45s, made of each order's numbers."""
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    tenths = F.concat(F.floor(key % 600 / 10), F.lit("."), key % 600 % 10)
+    text = F.when(key % 4 == 0, F.concat(cust, F.lit("ms"))).when(key % 4 == 1, F.concat(cust % 90, F.lit("m"), tenths, F.lit("s"))).when(key % 4 == 2, F.concat(cust % 30, F.lit("h"), key % 60, F.lit("m"))).otherwise(F.concat(cust, F.lit("s")))
     part = lambda p: F.coalesce(F.regexp_extract("text", p, 1).try_cast("double"), F.lit(0.0))
     seconds = part(r"([0-9.]+)h") * 3600 + part(r"([0-9.]+)m(?!s)") * 60 + part(r"([0-9.]+)s$") + part(r"([0-9.]+)ms") / 1000
-    rows = spark.createDataFrame([("577ms",), ("1m26.4s",), ("2h3m",), ("45s",)], "text string")
-    return rows.select("text", F.round(seconds, 6).alias("seconds"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text")).select("o_orderkey", F.round(seconds, 6).alias("seconds"))

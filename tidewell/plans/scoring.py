@@ -36,13 +36,15 @@ def l2(spark, sf_dir):
     return scoring.mean_table(s, "kind", "x").select("kind", "n", *_R("mean"), *_R("lo", "hi", d=6))
 
 
-@query("l3_mcnemar", "SELECT * FROM (VALUES ('a', 15, 0, 0.000061035156::DOUBLE), ('b', 0, 13, 0.000244140625), ('c', 4, 17, 0.007197380066), ('d', 0, 0, 1.0), ('e', 5, 5, 1.0)) AS v(kind, b, c, p)")
+@query(
+    "l3_mcnemar",
+    f"WITH {_T}, g AS (SELECT kind || arm || (o_orderkey % 40) AS kind, count(*) FILTER (hit_a AND NOT hit_b) AS b, count(*) FILTER (hit_b AND NOT hit_a) AS c FROM t GROUP BY 1), "
+    "x AS (SELECT kind, b, c, unnest(range(least(b, c) + 1)) AS i, b + c AS n FROM g) SELECT kind, b, c, round(CASE WHEN b + c = 0 THEN 1 ELSE least(1, 2 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))) END + 1e-9, 7) AS p FROM x GROUP BY kind, b, c",
+)
 def l3(spark, sf_dir):
-    """L3: exact McNemar on five known tables."""
-    tables = spark.createDataFrame([("a", 15, 0), ("b", 0, 13), ("c", 4, 17), ("d", 0, 0), ("e", 5, 5)], "kind string, nb int, nc int")
-    rows = tables.select("kind", F.explode(F.array_repeat(F.lit(1), 60)).alias("_"), "nb", "nc").withColumn("i", F.row_number().over(Window.partitionBy("kind").orderBy("_")))
-    pairs = rows.select("kind", (F.col("i") <= F.col("nb")).alias("x"), ((F.col("i") > F.col("nb")) & (F.col("i") <= F.col("nb") + F.col("nc"))).alias("y"))
-    return scoring.paired_test(pairs, "kind", "x", "y").select("kind", "b", "c", *_R("p", d=12))
+    """L3: exact McNemar tests of two arms over many small groups."""
+    t = _trials(spark, sf_dir).withColumn("kind", F.concat("kind", "arm", (F.col("o_orderkey") % 40).cast("string")))
+    return scoring.paired_test(t, "kind", "hit_a", "hit_b").select("kind", "b", "c", F.round(F.col("p") + 1e-9, 7).alias("p"))  # exact halves of the last digit go up
 
 
 @query("l3_paired_arms", f"WITH {_T} SELECT kind, count(*) FILTER (hit_a AND NOT hit_b) AS b, count(*) FILTER (hit_b AND NOT hit_a) AS c FROM t GROUP BY 1")

@@ -57,3 +57,9 @@ COUNTS = "count(*) FILTER (win = 'ref') AS r, count(*) FILTER (win = 'cur') AS c
 def slices(name: str, source: str, keep: str, columns: tuple[str, ...]) -> str:
     order = {"cat_id": 0, "dept_id": 1, "state_id": 2, "store_id": 3, "item_id": 4}
     return f"{name} AS (" + " UNION ALL ".join(f"SELECT {keep}, '{c}' AS slice_col, {order[c]} AS slice_ord, CAST({c} AS VARCHAR) AS slice_val FROM {source} WHERE {c} IS NOT NULL" for c in columns) + ")"
+
+
+def crc32(text: str) -> str:
+    """CRC-32 of an ASCII text, bit by bit."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, _i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
