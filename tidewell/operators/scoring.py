@@ -3,14 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.draws import PIECES, hash_of, poisson, uniforms
+from ..functions.ranges import running
 from ..functions.stats import mcnemar, mean_interval, wilson
 
 
+#: Combinations of a grid search that one aggregation counts.
+AT_ONCE = 64
+
+
 def rate_table(df: DataFrame, by: str, hit: str, pooled: str = "ALL") -> DataFrame:
     """by, k, n, rate, lo, hi: a row a group and one for all, in one aggregation."""
     g = df.rollup(by).agg(F.count_if(hit).alias("k"), F.count("*").alias("n"))
@@ -39,13 +46,11 @@ def confusion(df: DataFrame, by: Sequence[str], predicted: Column, actual: Colum
 def threshold_fit(df: DataFrame, x: str, label: str) -> DataFrame:
     """One row: the threshold of largest balanced accuracy for "x >= t". Candidates lie midway between neighbouring values and beyond the ends; of equally good ones the median.
 
-    One sort of the distinct values and running counts replace trying each candidate on all rows.
+    Distinct values in order and running counts replace trying each candidate on all rows; the order is spread over ranges, and nowhere in one task.
     """
     v = df.groupBy(x).agg(F.count_if(label).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
-    w = Window.orderBy(x)  # distinct values, by then counted
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    c = v.select(x, *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_below") for k in ("pos", "neg")), F.lag(x).over(w).alias("prev"), F.max(x).over(Window.partitionBy()).alias("top"))
-    n = v.agg(F.sum("pos").alias("P"), F.sum("neg").alias("Q"))
+    c = running(v.where(F.col(x).isNotNull()), x, ("pos", "neg"), "thresholds")
+    n = c.agg(F.sum("pos").alias("P"), F.sum("neg").alias("Q"))
     at = c.select(F.coalesce((F.col("prev") + F.col(x)) / 2, F.col(x) - 1).alias("t"), "pos_below", "neg_below")
     end = c.agg((F.max(x) + 1).alias("t")).crossJoin(n).select("t", F.col("P").alias("pos_below"), F.col("Q").alias("neg_below"))
     scored = at.unionByName(end).crossJoin(F.broadcast(n)).withColumn("balanced", (F.try_divide(F.col("P") - F.col("pos_below"), F.col("P")) + F.try_divide("neg_below", F.col("Q"))) / 2)
@@ -56,19 +61,20 @@ def threshold_fit(df: DataFrame, x: str, label: str) -> DataFrame:
 def grid_search(df: DataFrame, thresholds: dict[str, Sequence[float]], predict, label: str) -> DataFrame:
     """A row a combination with its balanced accuracy and how many predictions differ from the first combination's; best first, then fewest changes.
 
-    Rows are handed to the combinations (a bounded list) and counted in one job.
+    Counts of AT_ONCE combinations are one aggregation: a scan each, and no row is copied.
     """
-    from itertools import product
-
     names = list(thresholds)
     combos = list(product(*thresholds.values()))
-    each = F.array(*(F.struct(F.lit(i).alias("i"), *(F.lit(v).alias(n) for n, v in zip(names, c, strict=True))) for i, c in enumerate(combos)))
-    first = dict(zip(names, (F.lit(v) for v in combos[0]), strict=True))
-    rows = df.select("*", F.explode(each).alias("c"))
-    p = predict({n: F.col(f"c.{n}") for n in names})
-    g = confusion(rows.withColumns({"_p": p, "_q": predict(first)}), ["c"], F.col("_p"), F.col(label))
-    changed = rows.withColumns({"_p": p, "_q": predict(first)}).groupBy("c").agg(F.count_if(F.col("_p") != F.col("_q")).alias("n_changed"))
-    out = g.join(changed, "c").select(*(F.col(f"c.{n}").alias(n) for n in names), "balanced", "n_changed")
+    of = lambda combo: predict(dict(zip(names, map(F.lit, combo), strict=True)))
+    first, y, parts = of(combos[0]), F.col(label), []
+    for i in range(0, len(combos), AT_ONCE):
+        tests = [(c, of(c)) for c in combos[i : i + AT_ONCE]]
+        counts = lambda p: [F.count_if(p & y).alias("tp"), F.count_if(p & ~y).alias("fp"), F.count_if(~p & y).alias("fn"), F.count_if(~p & ~y).alias("tn"), F.count_if(p != first).alias("n_changed")]
+        each = F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, c, strict=True)), *counts(p)) for c, p in tests))
+        parts.append(df.agg(each.alias("g")).select(F.explode("g").alias("g")).select("g.*"))
+    g = reduce(DataFrame.unionByName, parts)
+    recall, spec = F.try_divide("tp", F.col("tp") + F.col("fn")), F.try_divide("tn", F.col("tn") + F.col("fp"))
+    out = g.select(*names, ((recall + spec) / 2).alias("balanced"), "n_changed")
     return out.withColumn("place", F.row_number().over(Window.orderBy(F.desc_nulls_last("balanced"), "n_changed", *names)))  # a row a combination
 
 

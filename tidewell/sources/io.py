@@ -10,6 +10,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranges import positions
+
 
 def read_csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str] | None = None, where: str | None = None) -> DataFrame:
     """A CSV with a header and a given schema (no inference pass); column choice and filter reach the scan."""
@@ -106,7 +108,7 @@ def obscured(df: DataFrame, columns: Sequence[str], names: dict[str, str] | None
     """df with the values of columns replaced by codes and columns renamed, and the code table (column, value, code)."""
     each = F.array(*(F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns))
     values = df.select(F.explode(each).alias("e")).select("e.*").where("value is not null").distinct()
-    codes = values.withColumn("code", F.concat(F.lit(prefix), F.dense_rank().over(Window.partitionBy("column").orderBy("value")).cast("string")))
+    codes = positions(values, "column", "value", "codes").select("column", "value", F.concat(F.lit(prefix), F.col("position").cast("string")).alias("code"))
     out = df
     for c in columns:
         out = out.join(codes.where(F.col("column") == c).select(F.col("value").alias(c), F.col("code").alias(f"_{c}")), c, "left").drop(c).withColumnRenamed(f"_{c}", c)
