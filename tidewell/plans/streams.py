@@ -67,3 +67,10 @@ def i1_stream(spark, sf_dir):
     with stateful.rocksdb(spark):
         out = drift.run_to_table(stateful.rolling_reference(_stream(spark, sf_dir), "ts", "event_type", "1 day"), shared_folder(spark))
     return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), F.round("js", 9).alias("js"), F.round("l_inf", 9).alias("l_inf"))
+
+
+@query("i5_sessions_in_stream", "WITH d AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 2 DAY THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM d), g AS (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2 HAVING max(ts) + INTERVAL 2 DAY <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)) SELECT user_id, count(*) AS n_sessions, max(n) AS longest FROM g GROUP BY 1")
+def i5_stream(spark, sf_dir):
+    """Sessions that the watermark has closed, from the stream."""
+    out = drift.run_to_table(drift.sessions(_stream(spark, sf_dir), "ts", "user_id", "2 days"), shared_folder(spark))
+    return out.groupBy("user_id").agg(F.count("*").alias("n_sessions"), F.max("n").alias("longest"))

@@ -104,7 +104,30 @@ def k23(spark, sf_dir):
 _TRIALS = [("a", Injection("sudden", "cat_id", "TRAFFIC", "2024-01-11", "2024-01-30", 2.0)), ("b", Injection("gradual", "store_id", "3", "2024-01-21", "2024-01-30", 4.0)), ("c", Injection("zero_fill", "dept_id", "click", "2024-01-21", "2024-01-30"))]
 
 
-@query("l4_score_rankings")
+_SHIFTED = (
+    ("a", "CASE WHEN cat_id = 'TRAFFIC' AND date BETWEEN DATE '2024-01-21' AND DATE '2024-01-30' THEN sales * 3 ELSE sales END"),
+    ("b", "CASE WHEN store_id = '3' AND date BETWEEN DATE '2024-01-21' AND DATE '2024-01-30' THEN sales * (1 + 4.0::DOUBLE * (datediff('day', DATE '2024-01-21', date) / 9.0::DOUBLE)) ELSE sales END"),
+    ("c", "CASE WHEN dept_id = 'click' AND date BETWEEN DATE '2024-01-21' AND DATE '2024-01-30' THEN 0 ELSE sales END"),
+)
+_TRUTH = ", ".join(f"('{n}', '{i.slice_col}', '{i.slice_val}')" for n, i in _TRIALS)
+
+
+def _scored_sql() -> str:
+    """The trials injected, each slice's own divergence, the five best of each trial, and how they meet the truth."""
+    rows = " UNION ALL ".join(f"SELECT '{n}' AS trial_id, * REPLACE ({x} AS sales) FROM ev" for n, x in _SHIFTED)
+    keys = "trial_id, slice_col, slice_ord, slice_val"
+    up = " UNION ".join(f"SELECT '{c}' AS col, {c} AS val, '{p}' AS up_col, {p} AS up_val FROM ev" for c, p in (("item_id", "dept_id"), ("item_id", "cat_id"), ("dept_id", "cat_id"), ("store_id", "state_id")))
+    return (
+        f"WITH {S.EVENTS}, tr AS ({rows}), {S.tagged('t', 'tr', S.EVENT_REF, S.EVENT_CUR)}, {S.edges('ed', 't', 'sales', 'trial_id')}, {S.slices('u', 't', 'trial_id, win, sales', COARSE_COLUMNS)}, "
+        f"b AS (SELECT u.*, {S.bin_of('sales')} AS bin FROM u JOIN ed USING (trial_id)), h AS (SELECT {keys}, bin, {S.COUNTS} FROM b GROUP BY ALL), {S.js(keys, 'h', 'd')}, "
+        "k AS (SELECT *, row_number() OVER (PARTITION BY trial_id ORDER BY round(js, 12) DESC, slice_ord, slice_val) AS rank FROM d WHERE r >= 20 AND c >= 20 QUALIFY rank <= 5), "
+        f"x AS ({up}), w(trial_id, true_col, true_val) AS (VALUES {_TRUTH}), "
+        "m AS (SELECT w.trial_id, rank, slice_col = true_col AND slice_val = true_val AS strict, EXISTS (SELECT 1 FROM x WHERE (col = slice_col AND val = slice_val AND up_col = true_col AND up_val = true_val) OR (col = true_col AND val = true_val AND up_col = slice_col AND up_val = slice_val)) AS kin FROM w LEFT JOIN k ON k.trial_id = w.trial_id) "
+        "SELECT trial_id, coalesce(bool_or(strict AND rank <= 1), false) AS strict_top1, coalesce(bool_or(strict AND rank <= 3), false) AS strict_topk, coalesce(bool_or((strict OR kin) AND rank <= 1), false) AS hier_top1, coalesce(bool_or((strict OR kin) AND rank <= 3), false) AS hier_topk, CAST(min(rank) FILTER (strict) AS INT) AS true_rank FROM m GROUP BY 1"
+    )
+
+
+@query("l4_score_rankings", _scored_sql())
 def l4(spark, sf_dir):
     """Three injected trials localised in one job and scored strictly and along the hierarchy."""
     from ..sources.panel import EVENT_WINDOWS, tag
