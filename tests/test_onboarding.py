@@ -67,3 +67,10 @@ def test_issues_of_a_fact_table(spark):
     assert got == {("negative values of the target", "v"): 0.25, ("days without a row within a series", None): pytest.approx((1 / 3 + 3 / 5) / 2), ("days missing for every series", None): 2.0, ("nulls in a column", "p"): 0.25, ("no column that looks like a price", None): 0.0}
     priced = df.selectExpr("k", "d", "abs(v) AS v", "1.5 AS price")
     assert {r["issue"] for r in onboarding.issue_list(priced, "d", ["k"], "v").collect()} == {"days without a row within a series", "days missing for every series"}
+
+
+def test_choice(spark):
+    df = spark.createDataFrame([("b", 1.0, None), ("a", 1.0, 2.0), ("c", 0.5, 9.0), ("d", 1.0, 2.0)], "run string, f1 double, recall double")
+    got = {r["chosen_by"]: r["run"] for r in onboarding.choose(df, "run", ("f1", "recall"), 1).collect()}
+    assert got["best"] == "a" and got == {r["chosen_by"]: r["run"] for r in onboarding.choose(df.repartition(3), "run", ("f1", "recall"), 1).collect()}
+    assert onboarding.choose(df.where("false"), "run", ("f1",)).collect() == []

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.draws import hash_of
 from ..sources.written import written
 from .profile import columns_profile
 
@@ -114,3 +115,10 @@ def modal_shares(values: DataFrame) -> DataFrame:
     w = Window.partitionBy("name")
     first = n.select("name", "value", "n", F.sum("n").over(w).alias("n_runs"), F.row_number().over(w.orderBy(F.desc("n"), "value")).alias("k"))
     return first.where("k = 1").select("name", "n_runs", F.col("value").alias("mode"), (F.col("n") / F.col("n_runs")).alias("share"))
+
+
+def choose(configs: DataFrame, name: str, order: Sequence[str], seed: int = 0) -> DataFrame:
+    """The rows of configs that are taken, with chosen_by: the best, by the columns of `order`, larger ones first and nulls last, then by name; and one at random, that whose hash of seed and name is smallest."""
+    best = configs.orderBy(*(F.desc_nulls_last(c) for c in order), name).limit(1).withColumn("chosen_by", F.lit("best"))
+    drawn = configs.orderBy(hash_of(F.lit(seed), F.col(name)), name).limit(1).withColumn("chosen_by", F.lit("random"))
+    return best.unionByName(drawn)

@@ -111,18 +111,26 @@ def _runs(spark, sf_dir):
     return spark.createDataFrame([(n,) for n in _RUNS], "run string"), written(found, "runs", few=False), spark.createDataFrame(list(_KNOWN), "child string, parent string")
 
 
-@query(
-    "q11_scores_of_runs",
+_SCORED_RUNS = (
     f"WITH RECURSIVE {_RUN_SQL}, fc AS (SELECT run, child, parent FROM e UNION SELECT fc.run, fc.child, e.parent FROM fc JOIN e ON e.run = fc.run AND e.child = fc.parent), kc AS (SELECT * FROM k UNION SELECT kc.child, k.parent FROM kc JOIN k ON k.child = kc.parent), "
     f"rr(run) AS (VALUES {', '.join(f'({n!r})' for n in _RUNS)}), b AS (SELECT coalesce(f.run, t.run) AS run, coalesce(f.child, t.child) || '->' || coalesce(f.parent, t.parent) AS edge, f.run IS NOT NULL AS f, t.run IS NOT NULL AS t FROM fc f FULL JOIN (SELECT * FROM rr, kc) t ON f.run = t.run AND f.child = t.child AND f.parent = t.parent), "
     "g AS (SELECT run, count(*) FILTER (f AND t) AS tp, count(*) FILTER (f) AS n_found, count(*) FILTER (t) AS n_true, coalesce(string_agg(edge, '; ' ORDER BY edge) FILTER (f AND NOT t), '') AS invented, coalesce(string_agg(edge, '; ' ORDER BY edge) FILTER (t AND NOT f), '') AS missed FROM b GROUP BY 1) "
-    "SELECT run, tp, n_found, n_true, round(tp / n_found::DOUBLE, 9) AS precision, round(tp / n_true::DOUBLE, 9) AS recall, round(2 * tp / (n_found + n_true)::DOUBLE, 9) AS f1, invented, missed FROM g",
+    "SELECT run, tp, n_found, n_true, round(tp / n_found::DOUBLE, 9) AS precision, round(tp / n_true::DOUBLE, 9) AS recall, round(2 * tp / (n_found + n_true)::DOUBLE, 9) AS f1, invented, missed FROM g"
 )
+
+
+@query("q11_scores_of_runs", _SCORED_RUNS)
 def q11_runs(spark, sf_dir):
     """Found hierarchies of several runs against the known one, on transitive closures."""
     return onboarding.edge_scores_by_run(*_runs(spark, sf_dir)).select("run", "tp", "n_found", "n_true", *_R("precision", "recall", "f1"), "invented", "missed")
 
 
+@query("q13_choice_among_runs", f"WITH s AS ({_SCORED_RUNS}), c AS (SELECT *, row_number() OVER (ORDER BY f1 DESC, precision DESC, recall DESC, n_found DESC, run) AS b, row_number() OVER (ORDER BY md5('3:' || run), run) AS r FROM s) SELECT run, f1, n_found, 'best' AS chosen_by FROM c WHERE b = 1 UNION ALL SELECT run, f1, n_found, 'random' FROM c WHERE r = 1")
+def q13_runs(spark, sf_dir):
+    """The best of the scored runs by four keys, and one at random."""
+    return onboarding.choose(q11_runs(spark, sf_dir), "run", ("f1", "precision", "recall", "n_found"), 3).select("run", "f1", "n_found", "chosen_by")
+
+
 @query("q11_agreement", f"WITH {_RUN_SQL}, rr(run) AS (VALUES {', '.join(f'({n!r})' for n in _RUNS)}), p AS (SELECT a.run AS a, b.run AS b FROM rr a JOIN rr b ON a.run < b.run), j AS (SELECT (SELECT count(*) FROM e x JOIN e y USING (child, parent) WHERE x.run = p.a AND y.run = p.b) AS s, (SELECT count(*) FROM (SELECT child, parent FROM e WHERE run = p.a UNION SELECT child, parent FROM e WHERE run = p.b)) AS u FROM p) SELECT count(*) AS n_pairs, round(avg(s / u::DOUBLE), 9) AS mean_jaccard, round(avg((s = u)::INT), 9) AS identical_share, 4::BIGINT AS n_runs FROM j")
 def q11_agreement(spark, sf_dir):
     """How far the runs' hierarchies agree."""
