@@ -211,8 +211,10 @@ def conjunction_index(panel: DataFrame, feature: str, w: Windows, columns: Seque
     known = {c: [r["slice_val"] for r in frequent if r["slice_col"] == c] for c in columns}
     value = [F.when(F.col(c).cast("string").isin(known[c]), F.col(c).cast("string")).alias(c) if known[c] else F.lit(None).cast("string").alias(c) for c in columns]
     binned = rows.crossJoin(F.broadcast(edges)).select(*value, "win", bin_of(F.col(feature).cast("double"), F.col("edges"), True).alias("bin"))  # one row
-    by = lambda win: F.array(*(F.count_if((F.col("win") == win) & (F.col("bin") == i)) for i in range(n_bins))).alias(win)
-    return ConjunctionIndex(written(binned.groupBy(*columns).agg(by("ref"), by("cur")).withColumn("cell", F.monotonically_increasing_id()), "cells", few=False), columns, min_coverage)
+    # Counted by bin first: a row a cell, window and bin, before these become arrays.
+    counts = binned.groupBy(*columns, "win", "bin").agg(F.count("*").alias("n"))
+    by = lambda win: F.array(*(F.coalesce(F.sum(F.when((F.col("win") == win) & (F.col("bin") == i), F.col("n"))), F.lit(0)) for i in range(n_bins))).alias(win)
+    return ConjunctionIndex(written(counts.groupBy(*columns).agg(by("ref"), by("cur")).withColumn("cell", F.monotonically_increasing_id()), "cells", few=False), columns, min_coverage)
 
 
 def _sums(name: str, n_bins: int = N_BINS) -> Column:
