@@ -134,6 +134,11 @@ def test_densify(spark):
     assert [r["x"] for r in densify(f, ["k"], "x", "2024-01-01", "2024-01-03").orderBy("date").collect()] == [0.0, 3.0, 0.0]
 
 
+def test_densify_tells_fillings_from_facts(spark):
+    f = spark.createDataFrame([("a", date(2024, 1, 2), 0.0), ("a", date(2024, 1, 3), None)], "k string, date date, x double")
+    assert [tuple(r) for r in densify(f, ["k"], "x", "2024-01-01", "2024-01-03", filled="none").orderBy("date").select("x", "none").collect()] == [(0.0, True), (0.0, False), (0.0, True)]
+
+
 def test_windows_and_draws():
     w = trials.rolling_windows(date(2024, 3, 1))
     assert (w.ref_start, w.ref_end, w.cur_end) == ("2024-01-01", "2024-02-29", "2024-03-31")
