@@ -2,6 +2,8 @@
 
 import json
 from datetime import date
+from fractions import Fraction
+from itertools import accumulate
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -64,6 +66,15 @@ def test_wilson_and_mcnemar(spark):
     assert [r[0] for r in pairs] == pytest.approx([6.1035e-05, 2.4414e-04, 0.0071974, 1.0], rel=1e-4)
 
 
+def test_mcnemar_of_many_pairs(spark):
+    """Counts whose binomial terms, and whose 2 ** -n, are beyond a double."""
+    given = [(520, 560), (3600, 3600), (3500, 3750), (0, 1200), (9000, 9200)]
+    got = spark.createDataFrame(given, "b int, c int").select(mcnemar(F.col("b"), F.col("c"))).collect()
+    tails = [list(accumulate(range(1, min(b, c) + 1), lambda term, i, n=b + c: term * (n - i + 1) // i, initial=1)) for b, c in given]
+    exact = [min(1.0, float(Fraction(2 * sum(tail), 2 ** (b + c)))) for tail, (b, c) in zip(tails, given, strict=True)]
+    assert [r[0] for r in got] == pytest.approx(exact, rel=1e-9, abs=1e-300)
+
+
 def test_burst(spark):
     p = small_panel(spark, [("a", "1", d, 1) for d in (1, 2, 3, 4)] + [("a", "1", d, x) for d, x in ((11, 1), (12, 1), (13, 9), (14, 9))])
     assert localise.rank_bursts(p, W, min_rows=1).first()["score"] == pytest.approx(16 / 1.5)
