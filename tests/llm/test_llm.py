@@ -241,6 +241,20 @@ def test_encoder_is_the_library(path):
     assert [x.tolist() for x in e.encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_packing_takes_equal_fillings_apart_once(monkeypatch):
+    """Bins filled alike that stand in two entries lose no piece when the search in parts takes some of them apart."""
+    n = packing.REPACK_BINS
+    counts = np.zeros(11, dtype=np.int64)
+    counts[[4, 6]] = n + 1
+    given = [((6,), n), ((6,), 1), ((4,), n + 1)]
+    for step in ("_on_counts", "rounded"):
+        monkeypatch.setattr(packing, step, lambda *_: given)
+    packed = np.zeros(11, dtype=np.int64)
+    for p, k in packing.complete(counts, 10):
+        packed += k * np.bincount(p, minlength=11)
+    assert packed.tolist() == counts.tolist() and sum(k for _, k in packing.complete(counts, 10)) < 2 * n + 2
+
+
 @pytest.mark.parametrize("low,high,n", [(1, 1024, 60), (300, 520, 200), (1, 60, 500), (1024, 1025, 5)])
 def test_bin_completion(low, high, n):
     counts = np.bincount(np.random.default_rng(n).integers(low, high, n), minlength=1025)

@@ -300,6 +300,10 @@ def complete(counts: np.ndarray, capacity: int = CAPACITY, max_steps: int | None
         goal = max(goal, math.ceil(bound - 1e-6)) if bound is not None else goal
     rng, missed, meter = np.random.default_rng(0), 0, [0]
     while sum(n for _, n in best) > goal and missed < REPACK_ROUNDS and meter[0] <= most_work:
+        alike = Counter()  # bins filled alike come from several searches; as one entry, none is taken apart twice
+        for p, n in best:
+            alike[p] += n
+        best = list(alike.items())
         open_bins = sorted(((capacity - sum(p), p, n) for p, n in best if sum(p)), key=lambda x: -x[0])
         freed: list[tuple[int, ...]] = []
         for room, p, n in open_bins:
