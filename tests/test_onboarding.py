@@ -3,8 +3,9 @@
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tidewell.operators import onboarding
+from tidewell.operators import onboarding, profile
 
 EDGE = "run string, child string, parent string"
 
@@ -74,3 +75,21 @@ def test_choice(spark):
     got = {r["chosen_by"]: r["run"] for r in onboarding.choose(df, "run", ("f1", "recall"), 1).collect()}
     assert got["best"] == "a" and got == {r["chosen_by"]: r["run"] for r in onboarding.choose(df.repartition(3), "run", ("f1", "recall"), 1).collect()}
     assert onboarding.choose(df.where("false"), "run", ("f1",)).collect() == []
+
+
+def test_hierarchies_read_their_table_once(spark):
+    """All runs come from one pass, however many columns there are; nulls are no values, and a column without values has no parent."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        read.add(1)
+        return x
+
+    rows = [("i1", "d1", "c1", None), ("i2", "d1", "c1", None), ("i3", "d2", "c1", None), ("i4", "d3", "c2", None), (None, "d3", "c2", None), ("i4", None, "c2", None)]
+    df = spark.createDataFrame(rows, "item string, dept string, cat string, none string").withColumn("item", counted("item"))
+    found = profile.hierarchies_of(df, {"all": ("item", "dept", "cat", "none"), "no_dept": ("item", "cat"), "alone": ("dept",)})
+    assert {tuple(r) for r in found.select("run", "child", "parent").collect()} == {("all", "item", "dept"), ("all", "dept", "cat"), ("no_dept", "item", "cat")}
+    assert read.value == len(rows)
+    read.value = 0
+    assert {tuple(r) for r in profile.hierarchy_of(df, ["item", "cat"]).collect()} == {("item", "cat")} and read.value == len(rows)
