@@ -183,3 +183,13 @@ def test_a_forged_sibling_or_leaf_fails(spark):
     forged = F.transform("path", lambda x, k: F.struct(x["level"].alias("level"), x["side"].alias("side"), F.when(k == 1, F.unhex(F.lit("00" * 32))).otherwise(x["hash"]).alias("hash")))
     assert rows.where((merkle.fold(F.col("hash"), forged) == F.lit(made.root)) & (F.get(F.col("path"), F.lit(1))["side"] != merkle.ALONE)).count() == 0
     assert rows.where(merkle.fold(F.unhex(F.lit("11" * 32)), F.col("path")) == F.lit(made.root)).count() == 0
+
+
+def test_proofs_of_more_tiers_are_no_larger_plan(spark):
+    """What a tier hands down is written, so the plan of the proofs does not grow with the tiers: the driver holds it in memory."""
+
+    def joins(n):
+        docs = spark.range(n).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+        return merkle.manifest(docs).proofs()._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+    assert joins(2 << merkle.TIER) == joins(2 << 2 * merkle.TIER)

@@ -122,7 +122,8 @@ def segments(walkers: DataFrame, nodes: DataFrame, first: int) -> DataFrame:
 def paths(leaves: DataFrame, nodes: DataFrame, most: int, above: DataFrame) -> DataFrame:
     """leaves (g, n, idx, ...) with `path`: their siblings up to the top of the group, then the path that `above` (g, n, path, ...) has for it, whose other columns come along.
 
-    From the highest tier down: a tier's nodes look their own siblings up and append what was handed to their block.
+    From the highest tier down: a tier's nodes look their own siblings up and append what was handed to their block. What a tier hands down, a row a block, is written: so no
+    plan holds more than one tier, however many there are, and the driver's memory does not grow with them.
     """
     n, handed = F.col("n"), None
     for first in reversed(tiers(most)):
@@ -132,6 +133,8 @@ def paths(leaves: DataFrame, nodes: DataFrame, most: int, above: DataFrame) -> D
         handed = begin if handed is None else begin.unionByName(handed.drop("n").withColumnRenamed("idx", "block").withColumnRenamed("path", "_above"))
         own = rows.join(segments(rows, nodes, first), ["g", "idx"], "left").withColumn("block", F.shiftright("idx", TIER))
         handed = own.join(handed, ["g", "block"]).withColumn("path", F.concat(F.coalesce("path", NO_PATH()), "_above")).drop("block", "_above")
+        if first:
+            handed = spool(handed, f"paths-{first}", small=True)
     return handed
 
 
@@ -165,7 +168,7 @@ class Manifest:
         top = self.groups.select(F.lit(0).cast("long").alias("g"), F.count("*").over(Window.partitionBy()).alias("n"), F.col("g").alias("idx"), F.col("n").alias("_size"), "subroot")
         n = self.groups.count()
         begin = self.groups.sparkSession.range(1).select(F.lit(0).cast("long").alias("g"), F.lit(n).cast("long").alias("n"), NO_PATH().alias("path"))
-        above = paths(top, self.upper, n, begin).select(F.col("idx").alias("g"), F.col("_size").alias("n"), "path", "subroot")
+        above = spool(paths(top, self.upper, n, begin).select(F.col("idx").alias("g"), F.col("_size").alias("n"), "path", "subroot"), "above", small=True)
         return paths(self.leaves, self.nodes, self.most, above)
 
 
@@ -178,8 +181,8 @@ def manifest(docs: DataFrame, group: str = "lang", order: str = "doc_id", fields
     given = docs.select(F.col(group).cast("string").alias("group"), F.col(order).alias("id"), leaf(*(F.col(c).cast("string") for c in fields)).alias("hash"), *((c.alias(k)) for k, c in (carry or {}).items()))
     rows, parts = ordered(given, ["group"], ["id", "hash"], "leaves")
     kinds, kind_parts = ordered(parts.select("group", "n").distinct(), [], ["group"], "groups")
-    groups = numbered(kinds.withColumnRenamed("n", "size"), kind_parts).select(F.col("idx").alias("g"), F.col("size").alias("n"), "group")
-    spread = parts.drop("n").join(groups.withColumnRenamed("group", "_of"), F.col("group").eqNullSafe(F.col("_of"))).drop("_of")
+    groups = spool(numbered(kinds.withColumnRenamed("n", "size"), kind_parts).select(F.col("idx").alias("g"), F.col("size").alias("n"), "group"), "kinds", small=True)
+    spread = spool(parts.drop("n").join(groups.withColumnRenamed("group", "_of"), F.col("group").eqNullSafe(F.col("_of"))).drop("_of"), "spread", small=True)
     leaves = numbered(rows, spread, "group")
     most = groups.agg(F.max("n")).first()[0] or 0
     nodes = grow(leaves, most, "nodes")
