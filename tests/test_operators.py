@@ -301,3 +301,21 @@ def test_ranked_quantiles_are_the_same(spark, keys):
 def test_input_size_is_seen(spark):
     size = leaf_bytes(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").join(spark.range(3).withColumnRenamed("id", "l_orderkey"), "l_orderkey"))
     assert 1000 < size < LARGE_BYTES
+
+
+def test_global_scan_reads_its_rows_once(spark):
+    """Edges and bins come from counted values: the numbers of a feature are computed once a row, and a value's weight is its count."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        read.add(1)
+        return x
+
+    rows = [("a", "1", d, x) for d in range(1, 21) for x in (1.5, 1.5, 2.25, float(d))]
+    panel = small_panel(spark, rows).drop("sell_price", "revenue")
+    plain = detect.global_scan(panel, W, ("sales",), ()).collect()
+    assert detect.global_scan(panel.withColumn("sales", counted("sales")), W, ("sales",), ()).collect() == plain and read.value == len(rows)
+    weighed = panel.groupBy("sales").agg(F.count("*").alias("n"))
+    for ranked in (False, True):
+        assert adaptive_edges(weighed, "sales", ranked=ranked, weight="n").collect() == adaptive_edges(panel, "sales", ranked=ranked).collect()
