@@ -219,6 +219,16 @@ def test_components_of_a_path_and_a_star(spark):
     assert components.connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def test_dense_edges_are_thinned_before_they_meet(spark, monkeypatch):
+    seen, star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: seen.append(edges.count()) or star(edges))
+    edges = [(i, j) for i in range(200) for j in range(i)] + [(500, 501), (501, 499), (600, 600)]
+    random.Random(2).shuffle(edges)
+    got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(edges, "u long, v long").repartition(3)).collect()}
+    assert got == dict.fromkeys(range(200), 0) | dict.fromkeys((499, 500, 501), 499)
+    assert max(seen) <= 3 * 203  # each piece has at most an edge a node; 19,902 before
+
+
 # ---- tokens, op5, op10
 
 BYTES, WORDS = (public_tokenizers.path(f"{n}.json") for n in ("byte_bpe_50k", "word_bpe_49k"))

@@ -148,7 +148,7 @@ def _against_hubs(members: DataFrame, hubs: DataFrame, least: float) -> DataFram
 def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int, least: float, id_col: str, text_col: str) -> DataFrame | None:
     """(node, component) by pairs of similarity `least` or more inside each candidate group; None where there are no groups. nodes: (node, rep, n, words...); groups: (node, component)."""
     state = groups.withColumnRenamed("component", "key").withColumn("component", F.col("node"))
-    sets = edges = joined = None
+    sets = joined = None
     for i in range(_MOST_ROUNDS):
         mixed = state.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
         state, seen = spool_counted(state.join(mixed, "key", "left_semi"), "groups", small=True)
@@ -164,8 +164,8 @@ def _verified(docs: DataFrame, nodes: DataFrame, groups: DataFrame, shingle: int
         hubs = spool(hubs, "hubs", small=True)
         members = state.join(sets, "node")
         found = spool(_against_hubs(members, members.join(hubs, "node", "left_semi"), least), "similar", small=True)
-        edges = found if edges is None else edges.unionByName(found)
-        joined = connected_components(edges)
+        # What was joined before comes as an edge a node, not as all that was found.
+        joined = connected_components(found if joined is None else joined.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(found))
         left = state.drop("component").join(hubs, "node", "left_anti")  # a hub has met all in its group
         state = left.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     raise RuntimeError(f"groups were not compared in {_MOST_ROUNDS} rounds")
@@ -179,7 +179,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     each = spool(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle), "sketches")
     nodes = spool(by_node(each, "node", *(F.first(w).alias(w) for w in ("n", *WORDS))), "nodes")
-    candidates = connected_components(links(nodes, APART, WORDS, n_blocks=BLOCKS, block_bits=BLOCK_BITS))
+    candidates = connected_components(spool(links(nodes, APART, WORDS, n_blocks=BLOCKS, block_bits=BLOCK_BITS), "links"))
     joined = _verified(docs, nodes.drop("salts"), candidates, shingle, least, id_col, text_col)
     none = candidates.where("false") if joined is None else joined
     return numbered(each.select("doc_id", "node"), nodes, none).select("doc_id", "component_id")

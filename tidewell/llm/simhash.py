@@ -299,7 +299,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     each = spool(fingerprints(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle, seed), "fingerprints")
     nodes = spool(by_node(each, "fp"), "nodes")
-    joined = connected_components(links(nodes.withColumn("fp", F.col("node")), max_bits))
+    joined = connected_components(spool(links(nodes.withColumn("fp", F.col("node")), max_bits), "links"))
     return numbered(each, nodes, joined, "fp").select("doc_id", "fp", "component_id")
 
 
