@@ -28,6 +28,18 @@ def test_draws_are_those_of_python(spark):
     assert sum(k * v for k, v in share.items()) == pytest.approx(1, abs=0.08)
 
 
+def test_draws_are_told_from_digits(spark):
+    marks = {min(max(int(s * 2**32) + d, 0), 2**32 - 1) for s in [0.0, 1.0, *draws.poisson_steps()] for d in (-1, 0, 1, 2)}
+    df = spark.createDataFrame([(f"{m:08x}", m / 2**32) for m in marks], "digits string, u double")
+    assert df.where(draws.poisson_of(F.col("digits")) != draws.poisson(F.col("u"))).count() == 0
+
+
+def test_a_row_is_copied_once_a_hash(spark):
+    g = scoring.resamples(spark.range(50).select("id", (F.col("id") % 2 == 0).alias("y"), (F.col("id") % 3 == 0).alias("p")), "id", "y", "p", 40, 1)
+    plan = g._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("posexplode") < plan.index("Aggregate [_block")  # printed from the top: draws are unpacked after they are added up
+
+
 @pytest.mark.parametrize("n", [1, 6])
 def test_every_row_is_resampled(spark, n):
     rng = random.Random(1)

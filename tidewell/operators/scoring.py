@@ -9,7 +9,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.draws import PIECES, hash_of, poisson, uniforms
+from ..functions.draws import DIGITS, PIECES, hash_of, poisson_of
 from ..functions.ranges import running
 from ..functions.stats import mcnemar, mean_interval, wilson
 
@@ -82,15 +82,19 @@ def resamples(df: DataFrame, key: str, label: str, predicted: str, n: int, seed:
     """resample (0 to n - 1), tp, fp, fn, tn: how often rows of each kind are in it.
 
     How often a row is in a resample is a Poisson variable of mean 1, drawn from the hash of seed, resample and key; a hash serves four resamples. Rows meet their draws where
-    they are and are added up before anything moves, so a resample is a row a task in the shuffle.
+    they are and are added up by hash and kind before anything moves: a row is copied once a hash, and a hash is four kinds a task in the shuffle.
     """
     rows = df.select(F.col(key).cast("string").alias("_key"), F.col(label).alias("_y"), F.col(predicted).alias("_p"))
+    rows = rows.repartition("_key")  # hashing takes the time, and a scan of few columns has few tasks
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit((n - 1) // PIECES))).alias("_block"))
-    rows = rows.select("_y", "_p", "_block", F.posexplode(uniforms(hash_of(F.lit(seed), F.col("_block"), F.col("_key")))).alias("_piece", "_u"))
-    times, y, p = poisson(F.col("_u")), F.col("_y"), F.col("_p")
+    rows = rows.select("_y", "_p", "_block", hash_of(F.lit(seed), F.col("_block"), F.col("_key")).alias("_h"))
+    rows = rows.select("_y", "_p", "_block", *(F.substring("_h", 1 + DIGITS * i, DIGITS).alias(f"_d{i}") for i in range(PIECES)))
+    kinds = rows.groupBy("_block", "_y", "_p").agg(*(F.sum(poisson_of(F.col(f"_d{i}"))).alias(f"_t{i}") for i in range(PIECES)))
+    kinds = kinds.select("_y", "_p", "_block", F.posexplode(F.array(*(f"_t{i}" for i in range(PIECES)))).alias("_piece", "_times"))
+    y, p = F.col("_y"), F.col("_p")
     of = lambda test: F.coalesce(F.sum(F.when(test, F.col("_times"))), F.lit(0)).alias
-    rows = rows.select((F.col("_block") * PIECES + F.col("_piece")).alias("resample"), "_y", "_p", times.alias("_times")).where((F.col("resample") < n) & (F.col("_times") > 0))
-    return rows.groupBy("resample").agg(of(p & y)("tp"), of(p & ~y)("fp"), of(~p & y)("fn"), of(~p & ~y)("tn"))
+    kinds = kinds.select((F.col("_block") * PIECES + F.col("_piece")).alias("resample"), "_y", "_p", "_times").where((F.col("resample") < n) & (F.col("_times") > 0))
+    return kinds.groupBy("resample").agg(of(p & y)("tp"), of(p & ~y)("fp"), of(~p & y)("fn"), of(~p & ~y)("tn"))
 
 
 def bootstrap(df: DataFrame, label: str, predicted: str, n: int = 2000, seed: int = 0, key: str = "id") -> DataFrame:
