@@ -319,3 +319,17 @@ def test_global_scan_reads_its_rows_once(spark):
     weighed = panel.groupBy("sales").agg(F.count("*").alias("n"))
     for ranked in (False, True):
         assert adaptive_edges(weighed, "sales", ranked=ranked, weight="n").collect() == adaptive_edges(panel, "sales", ranked=ranked).collect()
+
+
+@pytest.mark.parametrize("ranked", [False, True])
+def test_trials_are_not_gathered_by_key(spark, ranked):
+    """Rows of a trial meet its edges, and values their ranges, where they are: no sort-merge join by trial alone."""
+    df = small_panel(spark, [("a1", "s1", d, d) for d in range(1, 21)]).withColumns({"trial_id": F.col("item_id"), "win": F.when(F.dayofmonth("date") < 11, "ref").otherwise("cur")})
+    found = quantiles(df, "sales", [0.5], ["trial_id"], True) if ranked else localise.slice_histograms(df, "sales", None, ["store_id"], ("trial_id",))
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
