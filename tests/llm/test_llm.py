@@ -178,6 +178,21 @@ def test_anchors_meet_all_links(spark, blocks):
     assert {i: joined.get(i, i) for i in reps.values()} == brute_components({i: f for f, i in reps.items()})
 
 
+def test_large_group_of_near_copies_gives_few_links(spark):
+    r = random.Random(5)
+    centre, apart = r.getrandbits(64), [r.getrandbits(64) for _ in range(30)]
+    fps = {f: None for f in (centre ^ sum(1 << b for b in r.sample(range(64), r.randint(0, 4))) for _ in range(1500))} | {f ^ b: None for f in apart for b in (0, 1 << 3)}
+    nodes = {f - (1 << 64) if f >> 63 else f: f for f in fps}
+    found = simhash.links(spark.createDataFrame([(n, n) for n in nodes], "fp long, node long").repartition(3), home_rows=200, probe_rows=2000).collect()
+    joined = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(found, "u long, v long")).collect()}
+    brute = brute_components(dict(enumerate(nodes.values())))
+    least = {}
+    for i, n in enumerate(nodes):
+        least[brute[i]] = min(least.get(brute[i], n), n)
+    assert {n: joined.get(n, n) for n in nodes} == {n: least[brute[i]] for i, n in enumerate(nodes)}
+    assert len(found) <= 4 * len(nodes)  # 36,683 for 1,029 nodes before: a link a node and anchor
+
+
 def test_simhash_edges(spark):
     docs = documents(spark, ["", None, "  ", "one two three four five"], [5, 3, 9, 1])
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs).collect()}

@@ -41,7 +41,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def _stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def stars(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what the given ones connect: each node but the smallest of its component with that one."""
     nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
     a, b, up = at[: len(u)], at[len(u) :], np.arange(len(nodes))
@@ -61,7 +61,7 @@ def _thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def out() -> pa.RecordBatch:
-        u, v = _stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        u, v = stars(*(np.concatenate(x) for x in zip(*held, strict=True)))
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 

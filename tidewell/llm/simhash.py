@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import SALTS, connected_components
+from .components import SALTS, connected_components, stars
 from .kernels import mix
 from .shared import partitions, spool, text_chunks, texts_of, tidied
 
@@ -111,11 +111,13 @@ def blocks_of(n_blocks: int, block_bits: int) -> tuple[tuple[int, Code], ...]:
 
 
 class _Bucket:
-    """Compares what comes to one anchor with what is at home there, and keeps only a forest of the links found."""
+    """Compares what comes to one anchor with what is at home there, and keeps only a forest of the links found between roots; nodes of one root are linked already."""
 
-    def __init__(self, fp: np.ndarray, node: np.ndarray):
+    def __init__(self, fp: np.ndarray, node: np.ndarray, root: np.ndarray):
         self.fp, self.node = fp, node
-        self.parent = np.arange(len(fp))
+        label, self.first, at = np.unique(root, return_index=True, return_inverse=True)
+        self.parent = self.first[at]
+        self.met = dict(zip(label.tolist(), self.first.tolist(), strict=True))
 
     def roots(self) -> np.ndarray:
         while True:
@@ -124,8 +126,8 @@ class _Bucket:
                 return up
             self.parent = up
 
-    def probe(self, fp: np.ndarray, node: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Links (node of a probe, node of a home), one for each probe that has any besides itself; homes that a probe links are joined."""
+    def probe(self, fp: np.ndarray, node: np.ndarray, label: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Links (root of a probe, node of a home), one for each root that has not met any yet; homes that a probe links, or probes of one root, are joined."""
         apart = np.bitwise_count(fp[:, None, 0] ^ self.fp[None, :, 0]).astype(np.uint16 if fp.shape[1] > 3 else np.uint8)
         for k in range(1, fp.shape[1]):
             apart += np.bitwise_count(fp[:, None, k] ^ self.fp[None, :, k])
@@ -144,9 +146,16 @@ class _Bucket:
             for a, b in set(zip(root[new != root].tolist(), new[new != root].tolist(), strict=True)):
                 self._join(a, b)
             root = self.roots()
-        u, v = node[some], self.node[least]
-        keep = u != v
-        return u[keep], v[keep]
+        found = []
+        other = node[some] != self.node[least]
+        for own, home in sorted(set(zip(label[some[other]].tolist(), least[other].tolist(), strict=True))):
+            if own in self.met:
+                self._join(self.met[own], home)
+            else:
+                self.met[own] = home
+                found.append((own, self.node[home]))
+        u, v = np.array(found, dtype=np.int64).reshape(-1, 2).T
+        return u, v
 
     def _join(self, a: int, b: int) -> None:
         while self.parent[a] != a:
@@ -156,13 +165,37 @@ class _Bucket:
         self.parent[max(a, b)] = min(a, b)
 
     def own(self) -> tuple[np.ndarray, np.ndarray]:
-        root = self.roots()
-        keep = np.flatnonzero(root != np.arange(len(root)))
-        return self.node[keep], self.node[root[keep]]
+        root = self.roots()[self.first]
+        keep = root != self.first
+        return self.node[self.first[keep]], self.node[root[keep]]
+
+
+def _roots_at_hand(fp: np.ndarray, codes: Sequence[tuple[int, int, Code]], compared: int, max_bits: int) -> np.ndarray:
+    """For each of some fingerprints the first that it is known to be linked with, the same one for those linked with each other; itself where none is known.
+
+    In each block the fingerprints of one home are compared with the first of them, what is left with the first of the rest, _LEADERS times. All that is found so would be found
+    at that home, so groups stay what they are; but a group of very many near copies, most of which share a home in some block, has few roots.
+    """
+    u, v = [], []
+    for w, shift, code in codes:
+        home, left = code.home((fp[:, w] >> np.uint64(shift)) & code.mask), np.arange(len(fp))
+        for _ in range(_LEADERS):
+            _, first, at = np.unique(home[left], return_index=True, return_inverse=True)
+            lead = left[first][at]
+            near = np.bitwise_count(fp[left, :compared] ^ fp[lead, :compared]).sum(axis=1, dtype=np.int64) <= max_bits
+            u.append(left[near])
+            v.append(lead[near])
+            left = left[~near]
+    own, up = stars(np.concatenate(u), np.concatenate(v))
+    root = np.arange(len(fp))
+    root[own] = up
+    return root
 
 
 #: Where the number of a block begins in the key of an anchor: blocks are shorter than this.
 _BLOCK_AT = np.uint64(40)
+#: Fingerprints known to all tasks, those of a task whose links at hand are looked for at once, comparisons of each with others of its home, and places of the links found so.
+_KNOWN, _HELD, _LEADERS, _PLACES = 1 << 12, 1 << 16, 4, 1 << 12
 
 
 def links(
@@ -173,7 +206,9 @@ def links(
     A fingerprint is the 64-bit `words` together. Two are linked if they meet at an anchor, being at most block_bits apart in one of the n_blocks blocks of a
     word, and differ in at most max_bits of the first `compared` words. With the defaults (one word; max_bits // n_blocks apart in a block) that finds
     every pair of at most max_bits differing bits. An anchor with more than home_rows at home, or more than about probe_rows coming, is dealt out
-    over several tasks, in pieces that meet pairwise; where the hot ones are is a list no longer than there are anchors.
+    over several tasks, in pieces that meet pairwise; where the hot ones are is a list no longer than there are anchors. Of fingerprints that are known to be
+    linked before they are dealt out, by others of their task or by the _KNOWN that every task has, an anchor gives one link only: so a large group of near copies
+    does not give one for each of its nodes at each of its anchors. What is known so decides only which links are told again, not what is connected.
     """
     spark = fingerprints.sparkSession
     if n_blocks is None:
@@ -199,18 +234,30 @@ def links(
     hot_rows = given.mapInArrow(tidied(home_keys), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > home_rows).collect()
     hot_rows = sorted((r["anchor"], -(-r["n"] // home_rows), max(1, r["n"] * far // probe_rows)) for r in hot_rows)
     hot = spark.sparkContext.broadcast(np.array(hot_rows, dtype=np.int64).reshape(-1, 3))
+    some = np.array([tuple(r) for r in given.orderBy(F.xxhash64("node")).limit(_KNOWN).collect()], dtype=np.int64).reshape(-1, 1 + len(words))
+    known = spark.sparkContext.broadcast((some[:, 0].copy(), some[:, 1:].copy().view(np.uint64)))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["anchor", "piece", "probe", "node", *kept]
-        for whole in batches:
-            for at in range(0, whole.num_rows, 4096):
-                node, fp = columns(whole.slice(at, 4096))
+        names = ["anchor", "piece", "probe", "node", "root", *kept]
+        n_known = len(known.value[0])
+        first = np.flatnonzero(_roots_at_hand(known.value[1], codes, compared, max_bits) == np.arange(n_known))
+        for held in _gathered(map(columns, batches)):
+            nodes, fps = (np.concatenate(x) for x in zip(known.value, held, strict=True))
+            roots = nodes[_roots_at_hand(fps, codes, compared, max_bits)]
+            # A task's own nodes with their roots, and roots of what all tasks know where its own nodes link them.
+            told = np.concatenate([first, np.arange(n_known, len(nodes))])
+            told = told[nodes[told] != roots[told]]
+            none = pa.array(np.zeros(len(told), dtype=np.int64))
+            place = -1 - (mix(nodes[told].view(np.uint64)) % np.uint64(_PLACES)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(place), none.cast(pa.int32()), none.cast(pa.bool_()), pa.array(nodes[told]), pa.array(roots[told]), *[none] * compared], names=names)
+            for at in range(n_known, len(nodes), 4096):
+                node, fp, root = (x[at : at + 4096] for x in (nodes, fps, roots))
                 spread = (mix(node.view(np.uint64)) >> np.uint64(1)).astype(np.int64)
                 for b, (w, shift, code) in enumerate(codes):
                     x = (fp[:, w] >> np.uint64(shift)) & code.mask
                     for probe, (i, a) in ((False, (np.arange(len(fp)), code.home(x))), (True, code.near(x))):
                         i, a, piece = _replicate(i, (a | np.uint64(b) << _BLOCK_AT).view(np.int64), probe, spread, hot.value)
-                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(piece), pa.array(np.full(len(i), probe)), pa.array(node[i]), *(pa.array(fp[i, k].view(np.int64)) for k in range(compared))], names=names)
+                        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(piece), pa.array(np.full(len(i), probe)), pa.array(node[i]), pa.array(root[i]), *(pa.array(fp[i, k].view(np.int64)) for k in range(compared))], names=names)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, bucket = None, [], None
@@ -219,8 +266,13 @@ def links(
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         for whole in batches:
-            anchor, piece, probe, node = (whole.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            fps = np.stack([whole.column(4 + k).to_numpy().view(np.uint64) for k in range(compared)], axis=1)
+            anchor, piece, probe, node, root = (whole.column(i).to_numpy(zero_copy_only=False) for i in range(5))
+            told = int(np.searchsorted(anchor, 0))  # links, not fingerprints
+            if told:
+                yield out(node[:told], root[:told])
+                whole = whole.slice(told)
+                anchor, piece, probe, node, root = (x[told:] for x in (anchor, piece, probe, node, root))
+            fps = np.stack([whole.column(5 + k).to_numpy().view(np.uint64) for k in range(compared)], axis=1)
             same = (anchor[1:] == anchor[:-1]) & (piece[1:] == piece[:-1]) & (probe[1:] == probe[:-1])
             cuts = [0, *(np.flatnonzero(~same) + 1).tolist(), whole.num_rows] if whole.num_rows else []
             found = []
@@ -231,11 +283,11 @@ def links(
                         found.append(bucket.own())
                     key, held, bucket = now, [], None
                 if not probe[a]:
-                    held.append((fps[a:b], node[a:b]))
+                    held.append((fps[a:b], node[a:b], root[a:b]))
                 elif held or bucket:
                     if bucket is None:
-                        bucket, held = _Bucket(np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])), []
-                    found += [bucket.probe(fps[i : min(i + 512, b)], node[i : min(i + 512, b)], max_bits) for i in range(a, b, 512)]
+                        bucket, held = _Bucket(*(np.concatenate(x) for x in zip(*held, strict=True))), []
+                    found += [bucket.probe(*(x[i : min(i + 512, b)] for x in (fps, node, root)), max_bits) for i in range(a, b, 512)]
             if found:
                 u, v = (np.concatenate(x) for x in zip(*found, strict=True))
                 if len(u):
@@ -243,12 +295,24 @@ def links(
         if bucket:
             yield out(*bucket.own())
 
-    schema = "anchor long, piece int, probe boolean, node long, " + ", ".join(f"{c} long" for c in kept)
+    schema = "anchor long, piece int, probe boolean, node long, root long, " + ", ".join(f"{c} long" for c in kept)
     dealt = given.repartition(partitions(spark)).mapInArrow(tidied(deal), schema)
     met = dealt.repartition(partitions(spark), "anchor", "piece").sortWithinPartitions("anchor", "piece", "probe")
     return met.mapInArrow(tidied(compare), "u long, v long").where("u <> v")
 
 
+def _gathered(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(nodes, fingerprints) of a task, some _HELD at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for part in parts:
+        held.append(part)
+        if sum(len(node) for node, _ in held) >= _HELD:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held = []
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def _replicate(i: np.ndarray, anchor: np.ndarray, probe: bool, spread: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A home goes to its row of the grid of pieces, a probe to its column: each pair meets in one piece. hot: anchor, rows, columns, by anchor."""
     if not len(hot):
