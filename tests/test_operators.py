@@ -333,3 +333,15 @@ def test_trials_are_not_gathered_by_key(spark, ranked):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_statistics_by_store_keep_no_values_in_a_task(spark, monkeypatch):
+    from tests.held import connection, same
+    from tidewell.functions import quantiles as q
+    from tidewell.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(q, "LARGE_BYTES", 0)
+    df = catalogue.queries()["d5_d14_statistics"](spark, sf)
+    assert "percentile(" not in df._jdf.queryExecution().optimizedPlan().toString() and "median(" not in df._jdf.queryExecution().optimizedPlan().toString()
+    same(df, connection(sf), catalogue.oracle_sql()["d5_d14_statistics"])
