@@ -1,6 +1,7 @@
 """Hand-checked fixtures of the operators, and their edges: nulls, empty tables, ties, clashing names."""
 
 import json
+import math
 from datetime import date
 from fractions import Fraction
 from itertools import accumulate
@@ -298,6 +299,38 @@ def test_ranked_quantiles_are_the_same(spark, keys):
     assert adaptive_edges(df.where("false"), "x", ranked=True).first()["edges"] == [0, 1]
 
 
+def test_large_quantiles_count_ranges_not_values(spark, monkeypatch):
+    """What is handed on is a row a range, and the few values of the ranges that hold a wanted rank: not all distinct values."""
+    from tidewell.functions import quantiles as q
+
+    tables, write = [], q.written
+    monkeypatch.setattr(q, "written", lambda *a, **k: tables.append(write(*a, **k)) or tables[-1])
+    df = spark.range(100_000).select(F.sqrt(F.col("id") + 1).alias("x"))
+    marks = [i / 20 for i in range(21)]
+    assert quantiles(df, "x", marks, ranked=True).first()["q"] == pytest.approx(quantiles(df, "x", marks, ranked=False).first()["q"], rel=1e-12)
+    assert sum(t.count() for t in tables) < 12_000
+
+
+@pytest.mark.parametrize("most", [1 << 20, 3])
+def test_ranges_ascend_with_values(spark, monkeypatch, most):
+    """Ends of doubles, neighbours of powers of two, zeros, crowded ranges and null keys: ranks by ranges are those of sorted values."""
+    from tidewell.functions import quantiles as q
+
+    monkeypatch.setattr(q, "MOST_ROWS", most)
+    odd = [v for e in (-1074, -1022, -3, 0, 1, 10, 52, 1023) for v in (2.0**e, math.nextafter(2.0**e, 0), math.nextafter(2.0**e, math.inf))]
+    crowd = [1e9 + i / 7 for i in range(194)] + [math.nextafter(1e9, math.inf)] * 9
+    values = [*odd, *(-v for v in odd), 0.0, -0.0, math.inf, -math.inf, 1.7976931348623157e308, -1.7976931348623157e308, *crowd]
+    df = spark.createDataFrame([(k, v) for k in ("a", None) for v in values] + [("b", None), ("c", 2.5)], "k string, x double")
+    n, ordered = len(values), sorted(values)  # 257: ranks are exact
+    found = {r["k"]: r["q"] for r in quantiles(df, "x", [i / (n - 1) for i in range(n)], ["k"], True).collect()}
+    assert n == 257 and found == {"a": ordered, None: ordered, "c": [2.5] * n}
+    numbers = [r["b"] for r in df.where("k = 'a'").orderBy("x").select(q._range(F.col("x")).alias("b")).collect()]
+    assert numbers == sorted(numbers)
+    some = df.where("k is null or k <> 'a'").where("x is null or abs(x) between 1e-3 and 1e12")
+    edges = lambda ranked: sorted(map(str, adaptive_edges(some, "x", ["k"], ranked=ranked).collect()))
+    assert edges(True) == edges(False)
+
+
 def test_input_size_is_seen(spark):
     size = leaf_bytes(spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").join(spark.range(3).withColumnRenamed("id", "l_orderkey"), "l_orderkey"))
     assert 1000 < size < LARGE_BYTES

@@ -20,7 +20,7 @@ from .registry import query
 def k1(spark, sf_dir):
     """K1: adaptive edges of a quantile-path, a price and an integer-path feature."""
     p = retail_panel(spark, sf_dir)
-    v = p.select(F.explode(F.array(F.struct(F.lit("sales").alias("feature"), F.col("sales").alias("x")), F.struct(F.lit("sell_price").alias("feature"), F.col("sell_price").alias("x")))).alias("f")).select("f.*")
+    v = p.select("sales", "sell_price").unpivot([], ["sales", "sell_price"], "feature", "x")
     v = v.unionByName(read(spark, sf_dir, "lineitem").select(F.lit("line").alias("feature"), F.col("l_linenumber").cast("double").alias("x")))
     return adaptive_edges(v, "x", ["feature"]).select("feature", F.posexplode("edges").alias("pos", "edge")).select("feature", (F.col("pos") + 1).alias("pos"), F.round("edge", 6).alias("edge"))
 
