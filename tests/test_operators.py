@@ -115,6 +115,38 @@ def test_hierarchy(spark):
         hierarchy.validated(p.unionByName(p.where("item_id = 'a1'").withColumn("dept_id", F.lit("other"))))
 
 
+def test_hierarchy_is_read_once_and_told_apart_by_level(spark):
+    """Items times stores are never distinct rows of their own, and the self joins of the closure don't read the panel again."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(x):
+        read.add(1)
+        return x
+
+    rows = [(f"{a}{i}", str(s), 1, 1) for a in "ab" for i in range(3) for s in range(4)]
+    p = small_panel(spark, rows)
+    found = hierarchy.edges(p.withColumn("item_id", counted("item_id")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    up = hierarchy.closure(found)
+    pairs = {tuple(r)[:4] for r in up.collect()}
+    assert {("item_id", "a0", "dept_id"), ("item_id", "a0", "cat_id"), ("dept_id", "da", "cat_id")} <= {t[:3] for t in pairs} and read.value == len(rows)
+    gaps = p.withColumn("dept_id", F.when(F.col("item_id") != "a0", F.col("dept_id")))
+    assert not hierarchy.edges(gaps).where("child_val = 'a0' or child_val is null or parent_val is null").count()
+
+
+def test_slices_are_counted_in_generated_code(spark, monkeypatch):
+    """Edges are literals and slices are unpivoted row by row: no join with the edges, no array of slices."""
+    plans, write = [], localise.written
+    monkeypatch.setattr(localise, "written", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, *a, **k))
+    rows = [("a1", "1", d, x) for d in range(1, 21) for x in (1, 2, 9)]
+    panel = small_panel(spark, rows).withColumn("sales", F.when(F.col("sales") < 9, F.col("sales")))
+    counts = localise.slice_counts(panel, "sales", W, ["store_id"])
+    assert len(plans) == 1 and "Join" not in plans[0] and "Generate" not in plans[0]
+    got = {(r["slice_col"], r["bin"], r["inside"], r["n_ref"], r["n_cur"]) for r in counts.collect()}
+    assert got == {(c, b, i, 10, 10) for c in ("store_id", localise.ALL) for b, i in ((1, True), (2, True), (None, False))}
+
+
 def test_empty_and_null(spark):
     empty = small_panel(spark, [("a", "1", 1, 1)]).where("false")
     assert detect.global_scan(empty, W).where("is_drift").count() == 0

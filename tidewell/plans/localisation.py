@@ -181,7 +181,8 @@ def k20(spark, sf_dir):
     """Which of all ranked slices are related to which."""
     panel = retail_panel(spark, sf_dir)
     ranked = localise.rank_within_slices(panel, "sales", RETAIL_WINDOWS)
-    return hierarchy.related_pairs(ranked, hierarchy.closure(hierarchy.edges(panel)))
+    coarse = {c: p for c, p in hierarchy.PARENT_OF.items() if c in COARSE_COLUMNS}  # items are not ranked here
+    return hierarchy.related_pairs(ranked, hierarchy.closure(hierarchy.edges(panel, coarse)))
 
 
 @query(
